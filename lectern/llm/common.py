@@ -34,9 +34,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut by a reliable checkpoint, so that a lost executor costs one task."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` with its lineage cut by a reliable checkpoint, so that a lost executor costs one task.
+
+    A checkpoint keeps the planner's size estimate, and the estimate of a join is a product: in a loop its
+    digits double each round until planning fills the driver. So the stored rows get a fresh plan node.
+    """
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    stored = df.checkpoint(eager=True)._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(stored.queryExecution().toRdd(), stored.schema(), False), spark)
 
 
 def tasks(spark: SparkSession) -> int:

@@ -9,9 +9,9 @@ coordinate with its value; two sets of similarity 0.75 agree in three quarters o
   of each. What a passage that many texts quote puts into their signatures is frequent and skipped.
 * Count. A pair that meets in a prefix post counts all its equal coordinates and is dropped under ``MATCHES``.
 * Confirm. What is left is compared on the full shingle sets, exactly.
-* Star, then rest. All members of a post first meet one pivot each (linear in posts), links become
-  components, and only classes of different components meet again; a last join takes every pair that still
-  shares a prefix post across components. No cap, no pair within a component, no link lost.
+* Star, then rest. While pairs outnumber posts, all members of a post meet one pivot (linear in posts), links
+  become components, and only classes of different components meet again; then one join takes every pair
+  that still shares a prefix post across components. No cap, no pair within a component, no link lost.
 
 At similarity 0.75 the chance that 48 coordinates agree fewer than 22 times is below one in a hundred
 thousand, and less above.
@@ -33,7 +33,9 @@ from .textvec import Powers, mix, shingles, words
 COORDINATES = 48
 MATCHES = 22
 PERCENT = 75
-STAR_ROUNDS = 4
+#: Every pair across components is tried once there are no more than so many for each post.
+PAIRS_A_POST = 4
+STAR_ROUNDS = 6
 
 _rng = np.random.default_rng(20240611)
 _XOR = _rng.integers(0, 2**64, COORDINATES, np.uint64)
@@ -130,14 +132,19 @@ class _Links:
         sets = rows.mapInArrow(_set_rows, "k1 long, k2 long, members binary").groupBy("k1", "k2").agg(F.first("members").alias("members"))
         self.sets = cut(active.join(sets, ["k1", "k2"]).select("cid", "signature", "members"))
 
-    def label(self) -> DataFrame:
-        """Prefix posts with the component of their class, only of posts that hold several components."""
+    def parts(self) -> DataFrame | None:
+        return None if self.links is None else connected_components(self.links)
+
+    def label(self) -> tuple[DataFrame, int, int]:
+        """Prefix posts with their class's component, only of posts that hold several; their rows, and pairs across."""
         labelled = self.posts.withColumn("component", F.col("cid"))
-        if self.links is not None:
-            parts = connected_components(self.links)
+        if (parts := self.parts()) is not None:
             labelled = self.posts.join(parts.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-        open_ = labelled.groupBy("post").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("post")
-        return cut(labelled.join(open_, "post"))
+        each = labelled.groupBy("post", "component").agg(F.count("*").cast("decimal(38,0)").alias("n"))
+        open_ = each.groupBy("post").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("square")).where("parts > 1")
+        open_ = cut(open_.select("post", "n", ((F.col("n") * F.col("n") - F.col("square")) / 2).cast("decimal(38,0)").alias("across")))
+        rows, across = open_.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("across"), F.lit(0))).first()
+        return labelled.join(open_.select("post"), "post"), int(rows), int(across)
 
     def confirm(self, pairs: DataFrame) -> None:
         """Count matches, then compare full sets; adds what holds to the links."""
@@ -179,15 +186,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     grouped = full.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
     classes = cut(grouped.select(F.monotonically_increasing_id().alias("cid"), "*"))
     known = _Links(classes, texts)
-    labelled = known.label()
-    for seed in range(STAR_ROUNDS):
-        if labelled.isEmpty():
+    for seed in range(STAR_ROUNDS + 1):
+        labelled, rows, across = known.label()
+        if not rows:
+            break
+        if across <= PAIRS_A_POST * rows or seed == STAR_ROUNDS:
+            known.confirm(known.rest(labelled))
             break
-        known.confirm(known.star(labelled, seed))
-        labelled = known.label()
-    if not labelled.isEmpty():
-        known.confirm(known.rest(labelled))
-    parts = connected_components(known.links) if known.links is not None else None
+        known.confirm(known.star(cut(labelled), seed))
+    parts = known.parts()
     named = classes.select("cid", "k1", "k2", "doc_id")
     if parts is not None:
         named = named.join(parts.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
