@@ -5,16 +5,18 @@ coordinate with its value; two sets of similarity 0.75 agree in three quarters o
 
 * Classes. Equal sets are one class; all later work is between classes, so exact copies never meet.
 * Prefix. Posts are ordered by how many classes hold them, rarest first, as in prefix filtering: two
-  signatures that agree in ``MATCHES`` posts or more share one among the ``COORDINATES - MATCHES + 1`` rarest
-  of each. What a passage that many texts quote puts into their signatures is frequent and skipped.
-* Count. A pair that meets in a prefix post counts all its equal coordinates and is dropped under ``MATCHES``.
+  signatures that agree in ``MATCHES`` posts or more share ``MEETINGS`` among the
+  ``COORDINATES - MATCHES + MEETINGS`` rarest of each. What a passage that many texts quote puts into their
+  signatures is frequent and skipped.
+* Count. A pair that meets in fewer prefix posts is dropped; the others count all their equal coordinates and
+  are dropped under ``MATCHES``.
 * Confirm. What is left is compared on the full shingle sets, exactly.
-* Star, then rest. While pairs outnumber posts, all members of a post meet one pivot (linear in posts), links
-  become components, and only classes of different components meet again; then one join takes every pair
+* Star, then rest. While pairs outnumber posts, all members of a post meet one pivot, the class with the most
+  company (linear in posts), links become components, and only classes of different components meet again; then one join takes every pair
   that still shares a prefix post across components. No cap, no pair within a component, no link lost.
 
-At similarity 0.75 the chance that 48 coordinates agree fewer than 22 times is below one in a hundred
-thousand, and less above.
+At similarity 0.75 the chance that 48 coordinates agree fewer than 24 times is about one in ten thousand; at
+0.8 it is one in ten million.
 """
 
 from __future__ import annotations
@@ -31,11 +33,14 @@ from .components import connected_components
 from .textvec import Powers, mix, shingles, words
 
 COORDINATES = 48
-MATCHES = 22
+MATCHES = 24
+MEETINGS = 3
 PERCENT = 75
 #: Every pair across components is tried once there are no more than so many for each post.
-PAIRS_A_POST = 4
-STAR_ROUNDS = 6
+PAIRS_A_POST = 6
+STAR_ROUNDS = 5
+#: Bits of the filter that picks the texts of active classes on the map side; it bounds what is broadcast.
+FILTER_BITS = 1 << 24
 
 _rng = np.random.default_rng(20240611)
 _XOR = _rng.integers(0, 2**64, COORDINATES, np.uint64)
@@ -95,6 +100,26 @@ def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(k1), pa.array(k2), pa.array([x.tobytes() for x in sets], pa.binary())], ["k1", "k2", "members"])
 
 
+def _sets_of(texts: DataFrame, active: DataFrame) -> DataFrame:
+    """Sets of the texts whose doc_id an active class goes by; a bitmap of fixed size drops most others unshuffled."""
+    slot = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0))), F.lit(FILTER_BITS))
+    words_ = active.select(slot.alias("slot")).groupBy(F.shiftright("slot", 5).cast("int").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot & 31 as int)))").alias("bits")).toArrow()
+    bitmap = np.zeros(FILTER_BITS // 32, np.uint32)
+    bitmap[words_.column("word").to_numpy()] = words_.column("bits").to_numpy().astype(np.uint32)
+
+    def picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def wanted() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at = batch.column("slot").to_numpy()
+                keep = (bitmap[at >> 5] >> (at & 31).astype(np.uint32)) & 1
+                if keep.any():
+                    yield batch.filter(pa.array(keep.astype(bool)))
+
+        return _set_rows(wanted())
+
+    return texts.select(slot.alias("slot"), "text").mapInArrow(picked, "k1 long, k2 long, members binary")
+
+
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose full sets reach the similarity."""
     for batch in batches:
@@ -124,13 +149,14 @@ class _Links:
         shared = posts.groupBy("post").agg(F.count("*").alias("df")).where("df > 1")
         # a class's unshared posts are its rarest and take the first places of its prefix
         held = posts.join(shared, "post").groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("df", "post"))).alias("held"))
-        prefix = F.greatest(F.lit(0), F.size("held") - (MATCHES - 1))
-        self.posts = cut(held.select("cid", F.explode(F.slice("held", 1, prefix)).alias("x")).select("cid", F.col("x.post").alias("post")))
-        active = self.posts.select("cid").distinct().join(classes, "cid").select("cid", "k1", "k2", "doc_id", "signature")
-        wanted = active.select(F.col("doc_id").alias("want")).distinct()
-        rows = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("want")), "left_semi").select("text")
-        sets = rows.mapInArrow(_set_rows, "k1 long, k2 long, members binary").groupBy("k1", "k2").agg(F.first("members").alias("members"))
-        self.sets = cut(active.join(sets, ["k1", "k2"]).select("cid", "signature", "members"))
+        prefix = F.greatest(F.lit(0), F.size("held") - (MATCHES - MEETINGS))
+        company = F.aggregate("held", F.lit(0).cast("long"), lambda acc, x: acc + x["df"])
+        self.posts = cut(held.select("cid", company.alias("company"), F.explode(F.slice("held", 1, prefix)).alias("x")).select("cid", "company", F.col("x.post").alias("post")))
+        short = F.transform("signature", lambda x: F.shiftright(x, 48).cast("short"))
+        active = cut(self.posts.select("cid").distinct().join(classes, "cid").select("cid", "k1", "k2", "doc_id", short.alias("signature")))
+        sets = _sets_of(texts, active).groupBy("k1", "k2").agg(F.first("members").alias("members"))
+        self.signatures = active.select("cid", "signature")
+        self.sets = cut(active.select("cid", "k1", "k2").join(sets, ["k1", "k2"]).select("cid", "members"))
 
     def parts(self) -> DataFrame | None:
         return None if self.links is None else connected_components(self.links)
@@ -148,26 +174,26 @@ class _Links:
 
     def confirm(self, pairs: DataFrame) -> None:
         """Count matches, then compare full sets; adds what holds to the links."""
-        left = self.sets.select(F.col("cid").alias("a"), F.col("signature").alias("s"), F.col("members").alias("left"))
-        right = self.sets.select(F.col("cid").alias("b"), F.col("signature").alias("t"), F.col("members").alias("right"))
-        # signatures first: sets travel only for pairs above the match threshold
-        near = pairs.join(left.drop("left"), "a").join(right.drop("right"), "b").where(_matches("s", "t") >= MATCHES).select("a", "b")
-        found = near.join(left.drop("s"), "a").join(right.drop("t"), "b").select("a", "b", "left", "right").mapInArrow(_confirmed, "a long, b long")
+        s, t = (self.signatures.select(F.col("cid").alias(c), F.col("signature").alias(n)) for c, n in (("a", "s"), ("b", "t")))
+        left, right = (self.sets.select(F.col("cid").alias(c), F.col("members").alias(n)) for c, n in (("a", "left"), ("b", "right")))
+        # signatures first (16 bits of a coordinate are enough to count by): sets travel only for pairs above the threshold
+        near = pairs.join(s, "a").join(t, "b").where(_matches("s", "t") >= MATCHES).select("a", "b")
+        found = near.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(_confirmed, "a long, b long")
         self.links = cut(found if self.links is None else found.union(self.links))
 
     def star(self, labelled: DataFrame, seed: int) -> DataFrame:
         """Each class with the one pivot it meets most often among its posts' pivots of other components."""
-        order = F.col("cid") if seed == 0 else F.xxhash64(F.col("cid"), F.lit(seed))
-        pivots = labelled.groupBy("post").agg(F.min_by(F.struct("cid", "component"), order).alias("p")).select("post", F.col("p.cid").alias("pivot"), F.col("p.component").alias("of"))
+        order = F.struct("company", "cid") if seed == 0 else F.struct(F.xxhash64(F.col("cid"), F.lit(seed)), "cid")
+        pivots = labelled.groupBy("post").agg(F.max_by(F.struct("cid", "component"), order).alias("p")).select("post", F.col("p.cid").alias("pivot"), F.col("p.component").alias("of"))
         met = labelled.join(pivots, "post").where("component <> of").groupBy("cid", "pivot").agg(F.count("*").alias("n"))
         best = met.groupBy("cid").agg(F.max_by("pivot", F.struct("n", -F.col("pivot"))).alias("pivot"))
         return best.select(F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b")).distinct()
 
     def rest(self, labelled: DataFrame) -> DataFrame:
-        """Every pair that shares a prefix post across components."""
+        """Every pair of different components that shares prefix posts enough."""
         x = labelled.select("post", F.col("cid").alias("a"), F.col("component").alias("ca"))
         y = labelled.select("post", F.col("cid").alias("b"), F.col("component").alias("cb"))
-        return x.join(y, "post").where("a < b and ca <> cb").select("a", "b").distinct()
+        return x.join(y, "post").where("a < b and ca <> cb").groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= MEETINGS).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
