@@ -1,5 +1,78 @@
-"""DuckDB SQL for the registered queries that SQL can express."""
+"""DuckDB SQL for the registered queries that SQL can express.
+
+Media files, trained fields, hashed models, best-fit bins, MinHash signatures and tokenizers have no SQL; their
+queries are tested against brute force, exact round trips or held-out labels in ``tests/llm``.
+"""
 
 from __future__ import annotations
 
-ORACLE_SQL: dict[str, str] = {}
+from .mixing import LANES, MOST_TIMES, PERCENT, SEED, WEIGHTS
+from .rules import HostRules
+from .urlfilter import ALPHABET, BIN, LOWER, MICRO, ORDER, RULES, UPPER
+
+_WORD = r"[^\x20\x09-\x0D]+"
+_R = HostRules()
+
+_MIX = f"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS n, row_number() OVER (ORDER BY source NULLS LAST) AS k FROM d GROUP BY source),
+w AS (SELECT *, [{", ".join(f"{x}::DOUBLE" for x in WEIGHTS)}][(k - 1) % {len(WEIGHTS)} + 1] AS w, {MOST_TIMES} * n AS cap FROM s),
+o AS (SELECT *, row_number() OVER (ORDER BY cap / w, k) AS turn, (SELECT sum(n) * {PERCENT} / 100 FROM s) - coalesce(sum(cap) OVER (ORDER BY cap / w, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+  (SELECT sum(w) FROM w) - coalesce(sum(w) OVER (ORDER BY cap / w, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS heavy FROM w),
+c AS (SELECT coalesce(min(turn), 1 << 30) AS first_free FROM o WHERE NOT rest * w / heavy > cap),
+f AS (SELECT rest, heavy FROM o, c WHERE turn = first_free),
+t AS (SELECT source, n, CASE WHEN turn < first_free THEN cap::DOUBLE ELSE (SELECT rest FROM f)::DOUBLE * w / (SELECT heavy FROM f) END AS target FROM o, c),
+r AS (SELECT doc_id, source, size, row_number() OVER (PARTITION BY source ORDER BY size, doc_id % {LANES}, doc_id) AS i FROM d WHERE size > 0),
+u AS (SELECT source, ('0x' || substr(md5('{SEED}/' || coalesce(source, '')), 1, 8))::BIGINT::DOUBLE / 4294967296.0 AS u FROM s)
+SELECT d.doc_id, d.size::BIGINT AS size, t.n AS source_size, t.target, (CASE WHEN d.size > 0 THEN floor(t.target / t.n * r.i + u.u) - floor(t.target / t.n * (r.i - 1) + u.u) ELSE 0 END)::BIGINT * d.size AS taken
+FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source JOIN u ON d.source IS NOT DISTINCT FROM u.source LEFT JOIN r ON r.doc_id = d.doc_id
+"""
+
+_HOSTS = f"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS ws FROM documents),
+l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS lines FROM d),
+g AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM d)),
+rep AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, k) > 1),
+cov AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM rep) GROUP BY doc_id),
+m AS (SELECT d.doc_id, d.source, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda w: length(w))), 0)::BIGINT AS word_chars,
+  length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(cov.n, 0)::BIGINT AS n_repeat_words
+  FROM d JOIN l ON d.doc_id = l.doc_id LEFT JOIN cov ON d.doc_id = cov.doc_id),
+b AS (SELECT *, n_words < {_R.least_words} OR 100 * n_repeat_words > {_R.most_repeat_percent} * n_words AS base_failed, 100 * n_symbols > {_R.most_symbol_percent} * word_chars AS noisy FROM m),
+h AS (SELECT source, count(*) AS docs, count(*) FILTER (base_failed OR noisy) AS failures FROM b GROUP BY source),
+p AS (SELECT least(greatest(sum(failures) / sum(docs), 1e-6), 1 - 1e-6) AS mean, greatest(sum(failures * failures / docs) / sum(docs) - (sum(failures) / sum(docs)) ** 2, 0) AS var FROM h),
+q AS (SELECT mean, CASE WHEN var > 0 THEN least(greatest(mean * (1 - mean) / var - 1, 1), 1e6) ELSE 1e6 END AS strength FROM p),
+v AS (SELECT source, (failures + mean * strength) / (docs + strength) <= {_R.most_failures} AS good FROM h, q)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND good AS kept FROM b JOIN v ON b.source IS NOT DISTINCT FROM v.source
+"""
+
+
+def _url_sql() -> str:
+    by_length = sorted(RULES, key=lambda r: -len(r[1]) - len(r[2]))
+    fits = lambda r: f"(host = '{r[1]}' OR ends_with(host, '.{r[1]}')) AND starts_with(path, '{r[2]}')"
+    rule = "CASE " + " ".join(f"WHEN {fits(r)} THEN '{r[1]}{r[2]}'" for r in by_length) + " END"
+    verdict = "CASE " + " ".join(f"WHEN {fits(r)} THEN '{r[0]}'" for r in by_length) + " END"
+    out = [
+        f"u AS (SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '{UPPER}', '{LOWER}'), '') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages)",
+        f"j AS (SELECT *, {rule} AS rule, {verdict} AS by_rule FROM u)",
+        "t AS (SELECT host || path AS text, count(*) FILTER (by_rule = 'allow') AS good, count(*) FILTER (by_rule = 'block') AS bad FROM j GROUP BY 1)",
+        f"e AS (SELECT text, good, bad, substring(text || chr(10), greatest(1, i - {ORDER})::INT, least(i, {ORDER + 1})::INT) AS win FROM (SELECT *, unnest(range(1, length(text) + 2)) AS i FROM t))",
+        f"x AS (SELECT win, sum(good)::BIGINT AS good, sum(bad)::BIGINT AS bad, {1.0 / ALPHABET}::DOUBLE AS p_good, {1.0 / ALPHABET}::DOUBLE AS p_bad FROM e GROUP BY win)",
+    ]
+    before = "x"
+    for o in range(ORDER + 1):
+        out.append(f"g{o} AS (SELECT right(win, {o + 1}) AS gram, left(right(win, {o + 1}), {o}) AS ctx, sum(good)::BIGINT AS good, sum(bad)::BIGINT AS bad FROM x WHERE length(win) > {o} GROUP BY 1, 2)")
+        out.append(f"c{o} AS (SELECT ctx, sum(good)::BIGINT AS n_good, sum(bad)::BIGINT AS n_bad, count(*) FILTER (good > 0) AS t_good, count(*) FILTER (bad > 0) AS t_bad FROM g{o} GROUP BY ctx)")
+        step = lambda k: f"CASE WHEN c.n_{k} > 0 THEN (g.{k} + c.t_{k} * y.p_{k}) / (c.n_{k} + c.t_{k}) ELSE y.p_{k} END AS p_{k}"
+        out.append(f"y{o} AS (SELECT y.win, {step('good')}, {step('bad')} FROM {before} y LEFT JOIN g{o} g ON length(y.win) > {o} AND right(y.win, {o + 1}) = g.gram LEFT JOIN c{o} c ON g.ctx = c.ctx)")
+        before = f"y{o}"
+    out += [
+        f"s AS (SELECT win, round(ln(p_good / p_bad) * {MICRO})::BIGINT AS score FROM {before})",
+        f"m AS (SELECT text, good, bad, floor(sum(score)::DOUBLE / count(*) / {BIN}) AS bin FROM e JOIN s ON e.win = s.win GROUP BY text, good, bad)",
+        "h AS (SELECT bin, sum(good) AS good, sum(bad) AS bad FROM m WHERE good + bad > 0 GROUP BY bin)",
+        "k AS (SELECT bin, coalesce(sum(good) OVER (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lost, coalesce(sum(bad) OVER (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS caught, sum(good) OVER () AS n_good, sum(bad) OVER () AS n_bad FROM h)",
+        "z AS (SELECT bin FROM k WHERE n_good > 0 AND n_bad > 0 ORDER BY lost / n_good + (n_bad - caught) / n_bad, bin LIMIT 1)",
+    ]
+    return "WITH " + ",\n".join(out) + "\nSELECT page_id, host, path, rule, coalesce(by_rule, CASE WHEN (SELECT bin FROM z) IS NULL OR bin >= (SELECT bin FROM z) THEN 'allow' ELSE 'block' END) AS verdict FROM j JOIN m ON j.host || j.path = m.text"
+
+
+ORACLE_SQL: dict[str, str] = {"op4_source_mixing": _MIX, "op5_host_rules": _HOSTS, "op8_url_filter": _url_sql()}
