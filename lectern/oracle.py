@@ -59,7 +59,7 @@ _CLEAN = "regexp_replace(regexp_replace(regexp_replace(replace({}, chr(0), ' '),
 _DENSE = "list_cosine_similarity(e.embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0))"
 _SIDES = """p AS (SELECT p_partkey, lower(p_name) AS k FROM part), l AS (SELECT k, min(p_partkey) AS list_key FROM p WHERE p_partkey % 2 = 0 GROUP BY k), r AS (SELECT k, max(p_partkey) AS dir_key FROM p WHERE p_partkey % 3 = 0 GROUP BY k)"""
 _STATUS = f"""WITH {_SIDES} SELECT coalesce(l.k, r.k) AS normalized_title, list_key, dir_key, CASE WHEN l.k IS NULL THEN 'unlisted' WHEN r.k IS NULL THEN 'missing' ELSE 'matched' END AS status FROM l FULL JOIN r ON l.k = r.k"""
-_AND = "SELECT doc_id, round(0.1 * n, 6) AS rank FROM (SELECT doc_id, len(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_\\p{M}]+'), lambda w: w = 'and')) AS n FROM documents) WHERE n > 0 ORDER BY n DESC, doc_id LIMIT 20"
+_AND = "SELECT doc_id, round(0.1::DOUBLE * n, 6) AS rank FROM (SELECT doc_id, len(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_\\p{M}]+'), lambda w: w = 'and')) AS n FROM documents) WHERE n > 0 ORDER BY n DESC, doc_id LIMIT 20"
 _BEST = "(SELECT *, row_number() OVER (ORDER BY n_chars, doc_id) AS n FROM (SELECT * FROM documents WHERE lang = 'en' ORDER BY n_chars DESC, doc_id LIMIT 12))"
 _ENTRY = f"SELECT n, concat('--- [Passage ', n, '] 《', source, '》', CASE WHEN doc_id <> 0 THEN concat(' | p. ', doc_id) ELSE '' END, ' ---', chr(10), {_STRIP.format('text')}, chr(10)) AS entry FROM {_BEST}"
 
@@ -123,7 +123,7 @@ _FULL = {
     "sentence_units": f"SELECT doc_id, (generate_subscripts(u, 1) - 1)::INT AS n, unnest(u) AS unit FROM (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: {_STRIP.format('x')}), lambda x: x <> '') AS u FROM documents)",
     "dense_topk": f"SELECT vec_id, round(s, 6) AS similarity FROM (SELECT vec_id, {_DENSE} AS s FROM embeddings e) ORDER BY s DESC, vec_id LIMIT 10",
     "dense_topk_filtered": f"SELECT vec_id, n_name AS domain, round(s, 6) AS similarity FROM (SELECT vec_id, n_name, {_DENSE} AS s FROM embeddings e JOIN nation ON label = n_nationkey WHERE n_name ILIKE '%a%') ORDER BY s DESC, vec_id LIMIT 10",
-    "l2_normalize": "SELECT vec_id, CASE WHEN vec_id = 0 THEN 0.0 ELSE round(embedding[1]::DOUBLE * vec_id / sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: (x * vec_id) * (x * vec_id)))), 6) END AS first, CASE WHEN vec_id = 0 THEN 0.0 ELSE 1.0 END AS norm FROM embeddings",
+    "l2_normalize": "SELECT vec_id, CASE WHEN vec_id = 0 THEN 0.0 ELSE round(embedding[1]::DOUBLE * vec_id / sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: (x * vec_id) * (x * vec_id)))), 6) END AS first, (CASE WHEN vec_id = 0 THEN 0.0 ELSE 1.0 END)::DOUBLE AS norm FROM embeddings",
     "hierarchical": "WITH b AS (SELECT label AS book_id, ["
     + ", ".join(f"round(avg(embedding[{i}]::DOUBLE), 9)" for i in range(1, 65))
     + f"] AS v FROM embeddings GROUP BY label), top AS (SELECT book_id FROM b ORDER BY list_cosine_similarity(v, (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)) DESC, book_id LIMIT 3) SELECT vec_id, label::BIGINT AS book_id, round(s, 6) AS similarity FROM (SELECT vec_id, label, {_DENSE} AS s FROM embeddings e WHERE label IN (SELECT book_id FROM top)) ORDER BY s DESC, vec_id LIMIT 9",
