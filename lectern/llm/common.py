@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterator
 
@@ -37,11 +38,16 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut by a reliable checkpoint, so that a lost executor costs one task.
 
     A checkpoint keeps the planner's size estimate, and the estimate of a join is a product: in a loop its
-    digits double each round until planning fills the driver. So the stored rows get a fresh plan node.
+    digits double each round until planning fills the driver. So the stored rows get a fresh plan node. Shuffle
+    files behind the cut are of no more use, but Spark deletes them only when the driver happens to collect
+    its garbage: it is asked to.
     """
     spark = df.sparkSession
     checkpoint_dir(spark)
     stored = df.checkpoint(eager=True)._jdf
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(stored.queryExecution().toRdd(), stored.schema(), False), spark)
 
 

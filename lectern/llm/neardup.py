@@ -11,7 +11,7 @@ coordinate with its value; two sets of similarity 0.75 agree in three quarters o
 * Count. A pair that meets in fewer prefix posts is dropped; the others count all their equal coordinates and
   are dropped under ``MATCHES``.
 * Confirm. What is left is compared on the full shingle sets, exactly.
-* Star, then rest. While pairs outnumber posts, all members of a post meet one pivot, the class with the most
+* Star, then rest. While pairs outnumber posts and stars still halve them, all members of a post meet one pivot, the class with the most
   company (linear in posts), links become components, and only classes of different components meet again; then one join takes every pair
   that still shares a prefix post across components. No cap, no pair within a component, no link lost.
 
@@ -37,7 +37,7 @@ MATCHES = 24
 MEETINGS = 3
 PERCENT = 75
 #: Every pair across components is tried once there are no more than so many for each post.
-PAIRS_A_POST = 6
+PAIRS_A_POST = 2
 STAR_ROUNDS = 5
 #: Bits of the filter that picks the texts of active classes on the map side; it bounds what is broadcast.
 FILTER_BITS = 1 << 24
@@ -165,12 +165,12 @@ class _Links:
         """Prefix posts with their class's component, only of posts that hold several; their rows, and pairs across."""
         labelled = self.posts.withColumn("component", F.col("cid"))
         if (parts := self.parts()) is not None:
-            labelled = self.posts.join(parts.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+            labelled = cut(self.posts.join(parts.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid")))
         each = labelled.groupBy("post", "component").agg(F.count("*").cast("decimal(38,0)").alias("n"))
         open_ = each.groupBy("post").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("square")).where("parts > 1")
         open_ = cut(open_.select("post", "n", ((F.col("n") * F.col("n") - F.col("square")) / 2).cast("decimal(38,0)").alias("across")))
         rows, across = open_.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("across"), F.lit(0))).first()
-        return labelled.join(open_.select("post"), "post"), int(rows), int(across)
+        return cut(labelled.join(open_.select("post"), "post")), int(rows), int(across)
 
     def confirm(self, pairs: DataFrame) -> None:
         """Count matches, then compare full sets; adds what holds to the links."""
@@ -212,14 +212,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     grouped = full.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
     classes = cut(grouped.select(F.monotonically_increasing_id().alias("cid"), "*"))
     known = _Links(classes, texts)
+    before = None
     for seed in range(STAR_ROUNDS + 1):
         labelled, rows, across = known.label()
         if not rows:
             break
-        if across <= PAIRS_A_POST * rows or seed == STAR_ROUNDS:
+        if across <= PAIRS_A_POST * rows or seed == STAR_ROUNDS or (before and 2 * across > before):
             known.confirm(known.rest(labelled))
             break
-        known.confirm(known.star(cut(labelled), seed))
+        known.confirm(known.star(labelled, seed))
+        before = across
     parts = known.parts()
     named = classes.select("cid", "k1", "k2", "doc_id")
     if parts is not None:
