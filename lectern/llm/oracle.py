@@ -1,12 +1,14 @@
 """DuckDB SQL for the registered queries that SQL can express.
 
-Media files, trained fields, hashed models, best-fit bins, MinHash signatures and tokenizers have no SQL; their
-queries are tested against brute force, exact round trips or held-out labels in ``tests/llm``.
+Media files, trained fields, hashed models, best-fit bins and tokenizers have no SQL; their queries are tested
+against brute force, exact round trips or held-out labels in ``tests/llm``.
 """
 
 from __future__ import annotations
 
+from .linededup import LEAST_WORDS
 from .mixing import LANES, MOST_TIMES, PERCENT, SEED, WEIGHTS
+from .neardup import PERCENT as PERCENT_NEAR
 from .rules import HostRules
 from .urlfilter import ALPHABET, BIN, LOWER, MICRO, ORDER, RULES, UPPER
 
@@ -75,4 +77,34 @@ def _url_sql() -> str:
     return "WITH " + ",\n".join(out) + "\nSELECT page_id, host, path, rule, coalesce(by_rule, CASE WHEN (SELECT bin FROM z) IS NULL OR bin >= (SELECT bin FROM z) THEN 'allow' ELSE 'block' END) AS verdict FROM j JOIN m ON j.host || j.path = m.text"
 
 
-ORACLE_SQL: dict[str, str] = {"op4_source_mixing": _MIX, "op5_host_rules": _HOSTS, "op8_url_filter": _url_sql()}
+_LINES = f"""
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+a AS (SELECT doc_id, unnest(range(len(ls))) AS raw, unnest(ls) AS line FROM d),
+l AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY raw) AS pos, sum(w) OVER (PARTITION BY doc_id ORDER BY raw) AS upto FROM (SELECT *, len(regexp_extract_all(line, '{_WORD}')) AS w FROM a) WHERE w > 0),
+i AS (SELECT s.doc_id, s.pos, s.upto AS own, max(p.pos) AS last, string_agg(md5(p.line), '' ORDER BY p.pos) AS name FROM l s JOIN l p ON s.doc_id = p.doc_id AND p.pos >= s.pos AND p.upto - p.w - (s.upto - s.w) < {LEAST_WORDS}
+  GROUP BY s.doc_id, s.pos, s.upto, s.w HAVING sum(p.w) >= {LEAST_WORDS}),
+f AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY doc_id, pos) > 1 AS later, count(*) OVER (PARTITION BY name) > 1 AS shared FROM i),
+x AS (SELECT f.doc_id, f.pos, q.pos AS last, f.name || '/' || string_agg(md5(q.line), '') OVER (PARTITION BY f.doc_id, f.pos ORDER BY q.pos) AS name FROM f JOIN l q ON f.shared AND f.doc_id = q.doc_id AND q.pos > f.last AND q.upto - f.own < {LEAST_WORDS}),
+y AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY doc_id, pos) > 1 AS later FROM x),
+r AS (SELECT doc_id, pos, last FROM f WHERE later UNION ALL SELECT doc_id, pos, last FROM y WHERE later),
+g AS (SELECT DISTINCT l.doc_id, l.raw FROM l JOIN r ON l.doc_id = r.doc_id AND l.pos BETWEEN r.pos AND r.last),
+m AS (SELECT a.*, l.pos IS NOT NULL AS solid, g.raw IS NOT NULL AS gone FROM a LEFT JOIN l ON a.doc_id = l.doc_id AND a.raw = l.raw LEFT JOIN g ON a.doc_id = g.doc_id AND a.raw = g.raw),
+b AS (SELECT *, last_value(CASE WHEN solid THEN gone END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY raw ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS before, first_value(CASE WHEN solid THEN gone END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY raw ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS after FROM m),
+k AS (SELECT doc_id, raw, line, coalesce(before, false) AND coalesce(after, false) AS del FROM b),
+o AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (del) AS n_deleted, coalesce(string_agg(line, chr(10) ORDER BY raw) FILTER (NOT del), '') AS text FROM k GROUP BY doc_id)
+SELECT d.doc_id, coalesce(o.n_lines, 0)::BIGINT AS n_lines, coalesce(o.n_deleted, 0)::BIGINT AS n_deleted, o.text FROM d LEFT JOIN o ON d.doc_id = o.doc_id
+"""
+
+_NEAR = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{_WORD}') AS ws FROM documents),
+g AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM g a JOIN g b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT x, y FROM p JOIN n a ON p.x = a.doc_id JOIN n b ON p.y = b.doc_id WHERE 100 * c >= {PERCENT_NEAR} * (a.n + b.n - c)),
+b AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+r AS (SELECT doc_id, doc_id AS root FROM w UNION SELECT b.y, r.root FROM r JOIN b ON r.doc_id = b.x),
+c AS (SELECT doc_id, min(root) AS component_id FROM r GROUP BY doc_id)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, w.doc_id = component_id AS kept FROM w JOIN c ON w.doc_id = c.doc_id LEFT JOIN n ON w.doc_id = n.doc_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op4_source_mixing": _MIX, "op5_host_rules": _HOSTS, "op7_line_dedup": _LINES, "op8_url_filter": _url_sql(), "op9_minhash_neardup": _NEAR}
