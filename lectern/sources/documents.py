@@ -160,3 +160,37 @@ def page_front_matter(meta: DataFrame) -> DataFrame:
         "path", F.coalesce(title, one).alias("title"), sub.alias("subtitle"), F.coalesce(author, by_line).alias("author"), F.coalesce(page_publisher(made_by), page_publisher(F.col("text"))).alias("publisher"),
         year.alias("published"), find_isbn(F.col("text")).alias("isbn"), nth.alias("revision"), label.alias("edition"), about.alias("summary"), F.lit("pdf_front_matter").alias("source"),
     )
+
+
+def _pdf_info(max_pages: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        try:
+            from pypdf import PdfReader
+        except ImportError:
+            PdfReader = None
+        for pdf in batches:
+            rows = []
+            for path, content in zip(pdf["path"], pdf["content"], strict=True):
+                info, texts = {}, []
+                try:
+                    reader = PdfReader(io.BytesIO(content)) if PdfReader else None
+                    info = {str(k).lstrip("/"): str(v) for k, v in (reader.metadata or {}).items()} if reader else {}
+                    texts = [p.extract_text() or "" for p in reader.pages[:max_pages]] if reader else []
+                except Exception:
+                    pass
+                rows.append((path, info, texts[0] if texts else "", "\n".join(texts)))
+            yield pd.DataFrame(rows, columns=["path", "info", "first_page", "text"])
+
+    return run
+
+
+def pdf_front_matter(rows: DataFrame, max_pages: int = 5) -> DataFrame:
+    """Front matter of PDF files: bytes to the info dictionary and first pages in Python, all rules as Columns."""
+    meta = rows.where("suffix = 'pdf'").select("path", "content").mapInPandas(_pdf_info(max_pages), "path string, info map<string,string>, first_page string, text string")
+    return page_front_matter(meta)
+
+
+def front_matter(rows: DataFrame, max_pages: int = 5) -> DataFrame:
+    """Front matter by suffix; other files get a row that says so."""
+    other = rows.where(~F.coalesce(F.col("suffix"), F.lit("")).isin("pdf", "epub", "ibooks")).select("path", F.lit("unsupported_format").alias("source"))
+    return pdf_front_matter(rows, max_pages).unionByName(epub_front_matter(rows), allowMissingColumns=True).unionByName(other, allowMissingColumns=True)

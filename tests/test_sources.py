@@ -84,3 +84,32 @@ def test_stream_merges_twice(spark, tmp_path):
     spark.createDataFrame([(2, "z")], schema).write.mode("append").parquet(src)
     merge_stream(spark, src, schema, str(tmp_path / "t"), "id", str(tmp_path / "cp")).awaitTermination()
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "t/v1")).collect())) == [(1, "a"), (2, "z")]
+
+
+def test_front_matter_by_suffix(spark, tmp_path):
+    (tmp_path / "a.epub").write_bytes(epub())
+    (tmp_path / "b.bin").write_text("x")
+    got = {r.path.rsplit("/", 1)[1]: r for r in D.front_matter(D.files(spark, str(tmp_path))).collect()}
+    assert got["a.epub"].title == "A Title" and got["b.bin"].source == "unsupported_format"
+
+
+def test_schema(spark):
+    from lectern import schema as S
+
+    assert len(S.BOOKS) == 26
+    df = spark.createDataFrame([(1, "t", 2.5)], "id long, clean_title string, extra double")
+    assert S.conform(df, defaults=S.DEFAULTS).first().language == "en" and S.conform(df).schema.fieldNames() == S.BOOKS.fieldNames()
+    assert ("extra", "unknown") in S.differences(df) and ("author", "missing") in S.differences(df)
+    assert S.differences(S.create(spark)) == [] and "extra" in S.add_missing(df).columns
+    chunks = spark.createDataFrame([(1,), (2,)], "book_id long")
+    assert [r.book_id for r in S.orphans(chunks, df).collect()] == [2] and S.drop_orphans(chunks, df).count() == 1
+
+
+def test_cli_reconcile(spark, tmp_path, capsys):
+    from lectern.cli import main
+
+    (tmp_path / "list").write_text("alpha_book.pdf\nbeta.pdf\n")
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "Alpha Book.epub").write_text("x")
+    main(["reconcile", "--list", str(tmp_path / "list"), "--directory", str(tmp_path / "d")])
+    assert "Matched: 1 (50.0%)" in capsys.readouterr().out
