@@ -39,10 +39,10 @@ _LOWER[0x41:0x5B] += 32
 class Training:
     """Bounds of the sample the field is fitted to, and of the fit."""
 
-    toxic_docs: int = 3000
-    clean_docs: int = 6000
+    toxic_docs: int = 2000
+    clean_docs: int = 4000
     doc_chars: int = 20_000  # longer labelled documents are not used for fitting
-    crf_tokens: int = 800_000
+    crf_tokens: int = 400_000
     rounds: int = 30
     chance: float = 0.5
 
@@ -196,23 +196,41 @@ def train_field(t: Tokens, y: np.ndarray, rounds: int) -> Field:
     return out
 
 
-def _token_labels(t: Tokens, toxic: np.ndarray, chance: float) -> np.ndarray:
-    """Tokens of toxic documents with a feature that is toxic documents' own, beyond chance."""
+def _parts(texts: list[str], most: int = 1_000_000) -> Iterator[tuple[int, pa.Array]]:
+    """The texts in parts of about ``most`` characters, each with the place of its first; fitting holds one at a time."""
+    start = held = 0
+    for i, t in enumerate(texts):
+        if held and held + len(t) > most:
+            yield start, pa.array(texts[start:i], pa.string())
+            start, held = i, 0
+        held += len(t)
+    if start < len(texts):
+        yield start, pa.array(texts[start:], pa.string())
+
+
+def _signs(texts: list[str], toxic: np.ndarray, chance: float) -> np.ndarray:
+    """Features that are toxic documents' own, beyond chance, sorted; only features of three documents or more are looked at."""
     n_docs, n_toxic = len(toxic), int(toxic.sum())
+    none = np.zeros(0, np.uint64)
     if not n_toxic or n_toxic == n_docs:
-        return np.zeros(len(t.row), bool)
-    names, of = np.unique(t.features.ravel(), return_inverse=True)
-    of = of.reshape(t.features.shape)
-    seen = np.unique(t.row[:, None].astype(np.int64) * len(names) + of)
-    doc, name = seen // len(names), seen % len(names)
-    both = np.bincount(name, minlength=len(names))
-    bad = np.bincount(name[toxic[doc]], minlength=len(names))
+        return none
+    powers, names, both, bad = Powers(), none, np.zeros(0, np.int32), np.zeros(0, np.int32)
+    for start, part in _parts(texts):
+        t = tokens(part, powers)
+        at = np.searchsorted(t.row, np.arange(len(part) + 1))
+        seen = [np.unique(t.features[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)]
+        marks = np.repeat(toxic[start : start + len(part)], [len(x) for x in seen])
+        merged, of = np.unique(np.concatenate([names, *seen]), return_inverse=True)
+        both = np.bincount(of, np.concatenate([both, np.ones(len(marks), np.int32)]), len(merged)).astype(np.int32)
+        bad = np.bincount(of, np.concatenate([bad, marks.astype(np.int32)]), len(merged)).astype(np.int32)
+        names = merged
+    often = both >= 3
+    names, both, bad = names[often], both[often], bad[often]
     share, base = bad / both, n_toxic / n_docs
     p = np.clip(share, 1e-9, 1 - 1e-9)
     gain = both * (p * np.log(p / base) + (1 - p) * np.log((1 - p) / (1 - base)))
     # about ``chance`` features in all may pass by luck
-    mark = (share >= max(0.9, 1 - (1 - base) / 10)) & (gain >= np.log(max(1, int((both >= 3).sum())) / chance))
-    return toxic[t.row] & mark[of].any(axis=1)
+    return names[(share >= max(0.9, 1 - (1 - base) / 10)) & (gain >= np.log(max(1, len(names)) / chance))]
 
 
 def _document_inputs(odds: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -221,44 +239,48 @@ def _document_inputs(odds: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndar
     return most, np.log1p(np.bincount(row, _sigmoid(odds), minlength=n))
 
 
-def _apart(texts: list[str], powers: Powers, looks: int = 8, alike: int = 3) -> np.ndarray:
+def _apart(texts: list[str], looks: int = 8, alike: int = 3) -> np.ndarray:
     """Which texts are not near copies of an earlier one, whose every word would look like a sign."""
-    h, bounds, _, _ = words(pa.array(texts, pa.string()), powers)
-    grams, at = shingles(h, bounds)
-    first: dict[tuple[int, int], int] = {}
-    keep = np.ones(len(texts), bool)
-    for i in range(len(texts)):
-        own = grams[at[i] : at[i + 1]]
-        if not len(own):
-            continue
-        least = [(k, int(mix(own + np.uint64(k)).min())) for k in range(looks)]
-        met = Counter(first[x] for x in least if x in first)
-        if met and max(met.values()) >= alike:
-            keep[i] = False
-        else:
-            for x in least:
-                first.setdefault(x, i)
+    powers, first, keep = Powers(), {}, np.ones(len(texts), bool)
+    for start, part in _parts(texts):
+        h, bounds, _, _ = words(part, powers)
+        grams, at = shingles(h, bounds)
+        for i in range(len(part)):
+            own = grams[at[i] : at[i + 1]]
+            if not len(own):
+                continue
+            least = [(k, int(mix(own + np.uint64(k)).min())) for k in range(looks)]
+            met = Counter(first[x] for x in least if x in first)
+            if met and max(met.values()) >= alike:
+                keep[start + i] = False
+            else:
+                for x in least:
+                    first.setdefault(x, start + i)
     return keep
 
 
 def fit(rows: list[tuple[str, int]], share: float, how: Training = Training()) -> Field:
     """A field from labelled texts; ``share`` is the true share of toxic labels."""
-    powers = Powers()
-    rows = [r for r, k in zip(rows, _apart([x for x, _ in rows], powers), strict=True) if k]
+    rows = [r for r, k in zip(rows, _apart([x for x, _ in rows]), strict=True) if k]
     if not rows:
         return Field()
+    powers, texts = Powers(), [x for x, _ in rows]
     toxic = np.array([y == 1 for _, y in rows])
-    t = tokens(pa.array([x for x, _ in rows], pa.string()), powers)
-    y = _token_labels(t, toxic, how.chance)
-    per_doc = np.bincount(t.row, minlength=len(rows))
-    # toxic documents first, then clean ones, as long as the tokens last
-    order = np.argsort(~toxic, kind="stable")
-    used = np.zeros(len(rows), bool)
-    used[order[np.cumsum(per_doc[order]) <= how.crf_tokens]] = True
-    small = tokens(pa.array([x for (x, _), u in zip(rows, used, strict=True) if u], pa.string()), powers)
-    out = train_field(small, y[used[t.row]], how.rounds)
-    odds, _, _ = forward_backward(out.emissions(t.features), t.chain, out.begin, out.step)
-    most, count = _document_inputs(odds, t.row, len(rows))
+    signs = _signs(texts, toxic, how.chance)
+    # toxic and clean documents in turn, as long as the tokens last
+    order = np.argsort(np.where(toxic, np.cumsum(toxic), np.cumsum(~toxic)), kind="stable")
+    size = np.array([len(x) // 6 for x in texts])
+    used = order[np.cumsum(size[order]) <= how.crf_tokens]
+    small = tokens(pa.array([texts[i] for i in used], pa.string()), Powers())
+    y = toxic[used][small.row]
+    y[y] = np.isin(small.features[y], signs).any(axis=1)
+    out = train_field(small, y, how.rounds)
+    del small
+    most, count = np.zeros(len(rows)), np.zeros(len(rows))
+    for start, part in _parts(texts):
+        t = tokens(part, powers)
+        odds, _, _ = forward_backward(out.emissions(t.features), t.chain, out.begin, out.step)
+        most[start : start + len(part)], count[start : start + len(part)] = _document_inputs(odds, t.row, len(part))
     share = min(max(share, 1e-4), 1 - 1e-4)
     weight = np.where(toxic, share / max(toxic.mean(), 1e-9), (1 - share) / max(1 - toxic.mean(), 1e-9))
     x = np.stack([np.ones(len(rows)), most / 10, count], axis=1)
