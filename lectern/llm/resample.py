@@ -172,9 +172,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """
     sample = cut(sample_labels(labels))
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    model = fit_models(narrow, sample)
+    # one half of the labels makes the target model, the other calibrates: a model flatters what it has counted
+    half = F.pmod(F.xxhash64("doc_id", F.lit(SEED + 1)), F.lit(2))
+    model = fit_models(narrow, sample.where(half == 0))
     scored = cut(with_weights(narrow, model).drop("text"))
-    model.bias = _bias(scored, sample)
+    model.bias = _bias(scored, sample.where(half == 1))
     if not np.isfinite(model.bias) or not model.ratio.any():
         return Model(model.ratio)
     keyed = scored.withColumn("log_weight", F.col("log_weight") - F.lit(model.bias) * F.col("n_ngrams")).withColumn("key", gumbel_key())
