@@ -5,6 +5,9 @@ a character interpolates contexts of 0 to ``ORDER`` characters (Witten-Bell: an
 against its number of distinct followers). A URL's score is the log-likelihood difference of its characters over
 their number; the threshold is calibrated on the rule-decided URLs, at the least sum of both error rates.
 
+Its characters are those of host and path only, as in the SQL: scheme, query string and fragment are not scored,
+URLs that differ in nothing else share a verdict, and so do all null URLs and all without ``://``.
+
 Everything is counted on distinct windows (a context with its character): windows are pre-aggregated with class
 counts, each distinct window is scored once, and URLs meet the scores in one join whose hot windows AQE splits.
 Scores are whole millionths, so sums do not depend on order. One number, the threshold, reaches the driver.
