@@ -348,8 +348,8 @@ def embedding_cache_miss(spark, d):
 
 
 def embedded_chunks(spark, d):
-    x = embedded(_t(spark, d, "benchmark").select("item_id", "text"), HashEmbedder)
-    return x.select("item_id", F.size("embedding").alias("dimension"), F.round(V.l2_norm(F.col("embedding")), 3).alias("norm"))
+    x = embedded(chunked_documents(spark, d), HashEmbedder, "content")
+    return x.select("book_id", "chunk_index", F.size("embedding").alias("dimension"), F.round(V.l2_norm(F.col("embedding")), 3).alias("norm"))
 
 
 QUERIES = {

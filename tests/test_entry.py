@@ -42,6 +42,14 @@ def test_query(spark, name):
     assert got == rows(r.columns, r.fetchall())
 
 
+@needs_data
+def test_every_chunk_of_every_document_is_embedded(spark):
+    chunks = QUERIES["chunked_documents"](spark, DATA).select("book_id", "chunk_index").collect()
+    got = QUERIES["embedded_chunks"](spark, DATA).collect()
+    assert sorted((r.book_id, r.chunk_index) for r in got) == sorted(map(tuple, chunks)) and len({r.book_id for r in got}) > 100
+    assert all((r.dimension, r.norm) == (384, 1.0) for r in got)
+
+
 @needs_data
 def test_entry_runs(spark):
     assert entry.entry(spark).count() == 5
