@@ -85,9 +85,10 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k1, k2 = _class_keys(flat, sizes)
         signature = _signatures(flat, sizes).view(np.int64)
         ends = np.concatenate([[0], np.cumsum(np.where(sizes > 0, COORDINATES, 0))]).astype(np.int32)
+        own = [c for c in batch.schema.names if c != "text"]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(sizes), pa.array(k1), pa.array(k2), pa.ListArray.from_arrays(pa.array(ends), pa.array(signature.ravel()))],
-            ["doc_id", "n_shingles", "k1", "k2", "signature"],
+            [*map(batch.column, own), pa.array(sizes), pa.array(k1), pa.array(k2), pa.ListArray.from_arrays(pa.array(ends), pa.array(signature.ravel()))],
+            [*own, "n_shingles", "k1", "k2", "signature"],
         )
 
 
@@ -206,8 +207,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     name, and is kept only where a component has no doc_id at all (component_id is null then). Other
     columns are ignored, whatever their names. An empty table gives an empty table.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    base = cut(texts.mapInArrow(_signed, "doc_id long, n_shingles long, k1 long, k2 long, signature array<long>"))
+    return near_components(docs).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def near_components(docs: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
+    """``near_duplicates`` with the ``carried`` columns of each row and ``component``, which tells components
+    apart where ids do not: 128 bits that depend on the component's sets alone, null for an empty set.
+    """
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *carried, F.col("text").cast("string").alias("text"))
+    texts = own.select("doc_id", "text")
+    kinds = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in own.drop("text").schema)
+    base = cut(own.mapInArrow(_signed, f"{kinds}, n_shingles long, k1 long, k2 long, signature array<long>"))
     full = base.where("n_shingles > 0")
     grouped = full.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
     classes = cut(grouped.select(F.monotonically_increasing_id().alias("cid"), "*"))
@@ -226,11 +236,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = classes.select("cid", "k1", "k2", "doc_id")
     if parts is not None:
         named = named.join(parts.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-        names = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+        names = named.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.min(F.struct("k1", "k2")).alias("name"))
         named = named.join(names, "component")
     else:
-        named = named.withColumn("component_id", F.col("doc_id"))
-    named = named.select("k1", "k2", "component_id")
+        named = named.select("*", F.col("doc_id").alias("component_id"), F.struct("k1", "k2").alias("name"))
+    named = named.select("k1", "k2", "component_id", "name")
     out = base.drop("signature").join(named, ["k1", "k2"], "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    name = F.when(F.col("n_shingles") > 0, F.col("name"))
+    return out.select("doc_id", *carried, "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"), name.alias("component"))

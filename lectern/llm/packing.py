@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import NOT_WORD_CHARS, WORD, cut, text_of
+from .neardup import near_components
 
 CAPACITY = 2048
 SHARD = 4096
@@ -119,9 +120,20 @@ def pack(items: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> Data
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Documents by their number of words, conflicting by source and by equal lower-cased word sequence.
 
-    A null text has no words. Only ``doc_id``, ``text`` and ``source`` are read.
+    This is for documents without near copies; ``pack_near_documents`` finds those first. A null text has no words. Only ``doc_id``, ``text`` and ``source`` are read.
     """
     text = text_of()
     same = F.xxhash64(F.trim(F.regexp_replace(F.lower(text), NOT_WORD_CHARS + "+", " ")))
     items = docs.select("doc_id", F.col("source").cast("string").alias("source"), same.alias("cluster"), F.regexp_count(text, F.lit(WORD)).alias("size"))
     return pack(cut(items), capacity)
+
+
+def pack_near_documents(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """Documents by their number of words, conflicting by source and by near-duplicate component.
+
+    Components are those of ``near_components`` over lower-cased texts, so that texts which differ in case and
+    white space alone, in any script, are one cluster here too. A null text has no words.
+    """
+    own = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.regexp_count(text_of(), F.lit(WORD)).alias("size"), F.lower("text").alias("text"))
+    items = near_components(own, ("source", "size")).select("doc_id", "source", F.col("component").alias("cluster"), "size")
+    return pack(cut(items), capacity)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .linededup import dedup_lines
 from .mixing import mix
 from .neardup import near_duplicates
-from .packing import pack_documents
+from .packing import pack_near_documents
 from .resample import quality_classifier
 from .rules import host_quality
 from .tiff import text_to_tiff, tiff_documents
@@ -26,8 +26,8 @@ def op1_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's pieces with their bins."""
-    return pack_documents(_table(spark, sf_dir, "documents"))
+    """Every document's pieces with their bins; near copies never share one."""
+    return pack_near_documents(_table(spark, sf_dir, "documents"))
 
 
 def op3_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,8 @@ from collections import Counter, defaultdict
 from pyspark.sql import functions as F
 
 from lectern.llm.mixing import mix, mixed_documents, targets
-from lectern.llm.packing import best_fit, pack, pack_documents
+from lectern.llm.packing import best_fit, pack, pack_documents, pack_near_documents
+from lectern.llm.queries import QUERIES
 
 
 def plain(sizes, sources, clusters, capacity):
@@ -66,6 +67,25 @@ def test_pack_documents(spark):
     assert sorted((r.piece, r.start, r.words) for r in got if r.doc_id == 4) == [(0, 0, 2048), (1, 2048, 2048), (2, 4096, 904)]
 
 
+def test_near_copies_never_share_a_bin(spark, tmp_path):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(500)]
+    base = [rng.choice(words) for _ in range(100)]
+    near = [" ".join([*base[:i], "changed", *base[i + 1 :]]) for i in (0, 40, 99)]
+    rows = [(k, t, f"s{k}") for k, t in enumerate([" ".join(base), *near, " ".join(base).upper()])]
+    rows += [(None, t.replace("w", "v"), f"n{k}") for k, t in enumerate(near)] + [(20, "É " + "été " * 8, "x"), (21, "é " + "ÉTÉ " * 8, "y"), (22, None, "x"), (23, "", "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("component", F.lit("clash"))
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["op2_best_fit_packing"](spark, str(tmp_path)).collect()
+    assert sum(r.words for r in got) == sum(len((t or "").split()) for _, t, _ in rows) and len(got) == len(rows)
+    bins = lambda ids: [(r.shard, r.bin) for r in got if r.doc_id in ids]
+    assert len(set(bins(range(5)))) == 5 and len(set(bins([None]))) == 3 and len(set(bins((20, 21)))) == 2
+    assert bins((22, 23)) == [(None, None)] * 2
+    assert len(set(bins([None, *range(5)]))) == 5
+    assert sorted(map(str, pack_near_documents(df.repartition(3)).collect())) == sorted(map(str, got))
+    assert pack_near_documents(df.limit(0)).count() == 0
+
+
 def test_targets():
     assert targets([("a", 100), ("b", 100), ("c", 100)]) == [200.0, 500 / 3, 250 / 3] or sum(targets([("a", 100), ("b", 100), ("c", 100)])) == 450.0
     t = targets([("a", 10), ("b", 1000), ("c", 500), (None, 0)])
