@@ -5,13 +5,13 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.common import checkpoint_dir
 from lectern.llm.linededup import dedup_lines
 from lectern.llm.mixing import mixed_documents
-from lectern.llm.neardup import near_duplicates
+from lectern.llm.neardup import near_components
 from lectern.llm.packing import pack_documents
 from lectern.llm.resample import fit, gumbel_key, with_weights
 
@@ -29,9 +29,21 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays, the one with the smallest id."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("stays")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("stays")), "left_semi").select(*docs.columns)
+    """One row of each component stays, the one with the smallest id; rows without words stay, once for each id.
+
+    Ids need not name a row: a row is found by its id and text, and of rows equal in both the first by the other
+    columns stays. Without an id, rows without words cannot be told to be one document, and all stay.
+    """
+    no_id = F.col("doc_id").isNull()
+    row = F.struct(no_id.alias("no_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.col("hash"))
+    rows = near_components(docs.withColumn("hash", F.xxhash64("text")), ("hash",)).select("component", row.alias("row"))
+    full = rows.where("component is not null").groupBy("component").agg(F.min("row").alias("row")).select("row.*", F.lit(False).alias("empty"))
+    empty = rows.where("component is null").select("row.*").distinct().withColumn("empty", F.lit(True))
+    keyed = docs.select(F.struct(*docs.columns).alias("doc"), no_id.alias("no_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.xxhash64("text").alias("hash"))
+    met = keyed.join(full.unionByName(empty), ["no_id", "id", "hash"])
+    others = [F.col("doc")[c] for c in docs.columns if c not in ("doc_id", "text")]
+    first = Window.partitionBy("no_id", "id", "hash").orderBy(*(others or [F.lit(0)]))
+    return met.withColumn("n", F.row_number().over(first)).where("n = 1 or (no_id and empty)").select("doc.*")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -53,6 +53,24 @@ def test_stages(spark, corpus):
     assert sum(r.words for r in packed[1]) == sum(len((r.text or "").split()) for r in mixed[1])
 
 
+def test_near_dedup_where_ids_do_not_name_a_row(spark):
+    rng = random.Random(3)
+    texts = [prose(rng, 80).split() for _ in range(4)]
+    a, b, c, d = map(" ".join, texts)
+    near = lambda x: " ".join([*x[:40], "changed", *x[41:]])
+    rows = [
+        *[(1, a, "s"), (1, a, "s"), (1, a, "r"), (2, near(texts[0]), "s")],  # repeated rows, and a copy
+        *[(5, b, "s"), (6, c, "s"), (6, near(texts[1]), "s")],  # 6 stays through c, not through a copy of b
+        *[(None, d, "s"), (None, near(texts[3]), "s"), (None, near(texts[0]), "s"), (None, "", "s"), (None, "", "s")],
+        *[(7, None, "s"), (7, None, "s"), (8, " ", "s")],
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = [tuple(r) for r in pipeline.near_dedup(spark, docs, "").collect()]
+    d_kept = [r for r in got if r[0] is None and r[1]]
+    assert len(d_kept) == 1 and d_kept[0][1] in (d, near(texts[3]))
+    assert sorted((r for r in got if r not in d_kept), key=str) == sorted([(1, a, "r"), (5, b, "s"), (6, c, "s"), (None, "", "s"), (None, "", "s"), (7, None, "s"), (8, " ", "s")], key=str)
+
+
 def test_run(spark, corpus):
     got = pipeline.run(spark, corpus[0])
     assert sorted(map(str, got.collect())) == sorted(map(str, pipeline.run(spark, corpus[0]).collect()))
