@@ -5,7 +5,9 @@ a file; ``text_to_tiff`` stores UTF-8 payloads as 8-bit samples. Files are decod
 batches: a worker holds one piece of a batch, never a group of rows.
 
 Defined results. A null or empty file, a broken header or a directory chain that is cut short gives a row with
-``error`` set (page 0 for files without any page) and null samples; pages before the fault are still given. A
+``error`` set (page 0 for files without any page) and null samples; pages before the fault are still given. A page
+that cannot be decoded is such a row in its place, and the walk goes on with the next directory. Samples of 1, 2
+and 4 bits are given one a byte. A
 directory chain that comes back to itself ends there with an error. Extra columns are carried only if named.
 """
 
@@ -28,11 +30,13 @@ from .common import pieces, text_of
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 COMPRESSION_NAMES = {NONE: "none", LZW: "lzw", DEFLATE: "deflate", OLD_DEFLATE: "deflate", PACKBITS: "packbits"}
 _WIDTH, _HEIGHT, _BITS, _COMPRESSION, _PHOTOMETRIC = 256, 257, 258, 259, 262
+_FILL_ORDER = 266
 _STRIP_OFFSETS, _SAMPLES, _ROWS_PER_STRIP, _STRIP_COUNTS = 273, 277, 278, 279
 _PLANAR, _PREDICTOR = 284, 317
 _TILE_WIDTH, _TILE_HEIGHT, _TILE_OFFSETS, _TILE_COUNTS = 322, 323, 324, 325
 _TYPES = {1: "B", 3: "H", 4: "I"}
 _CLEAR, _END, _FIRST = 256, 257, 258
+_REVERSED = bytes(int(f"{i:08b}"[::-1], 2) for i in range(256))
 _RUN = re.compile(rb"(.)\1{2,127}", re.S)
 
 
@@ -174,6 +178,14 @@ def _decompress(data: bytes, how: int, size: int) -> bytes:
 # ---------------------------------------------------------------- reading
 
 
+@dataclass
+class Fault:
+    """A page that cannot be decoded."""
+
+    page: int
+    error: str
+
+
 @dataclass
 class Page:
     page: int
@@ -187,12 +199,18 @@ class Page:
     pixels: bytes
 
 
-def _fields(file: bytes, at: int, order: str) -> tuple[dict[int, tuple[int, ...]], int]:
+def _next(file: bytes, at: int, order: str) -> int:
+    """The place of the directory after the one at ``at``, 0 after the last."""
     if at + 2 > len(file):
         raise TiffError("directory outside the file")
     (n,) = struct.unpack_from(order + "H", file, at)
     if at + 6 + 12 * n > len(file):
         raise TiffError("directory is cut short")
+    return struct.unpack_from(order + "I", file, at + 2 + 12 * n)[0]
+
+
+def _fields(file: bytes, at: int, order: str) -> dict[int, tuple[int, ...]]:
+    (n,) = struct.unpack_from(order + "H", file, at)
     out = {}
     for i in range(n):
         tag, kind, count = struct.unpack_from(order + "HHI", file, at + 2 + 12 * i)
@@ -205,17 +223,25 @@ def _fields(file: bytes, at: int, order: str) -> tuple[dict[int, tuple[int, ...]
         if place + size > len(file):
             raise TiffError(f"values of tag {tag} outside the file")
         out[tag] = struct.unpack_from(form, file, place)
-    return out, struct.unpack_from(order + "I", file, at + 2 + 12 * n)[0]
+    return out
 
 
-def _block(file: bytes, at: int, n: int, how: int, predictor: int, shape: tuple[int, int, int], kind: np.dtype) -> np.ndarray:
+def _block(file: bytes, at: int, n: int, how: int, predictor: int, shape: tuple[int, int, int], kind: np.dtype, bits: int, reverse: bool) -> np.ndarray:
     """Samples of one strip or tile, rows x columns x samples."""
     if at + n > len(file):
         raise TiffError("samples outside the file")
-    size = shape[0] * shape[1] * shape[2] * kind.itemsize
-    plain = _decompress(file[at : at + n], how, size)
+    wide = -(-shape[1] * shape[2] * bits // 8)  # rows begin at whole bytes
+    size = shape[0] * wide
+    data = file[at : at + n]
+    plain = _decompress(data.translate(_REVERSED) if reverse else data, how, size)
     if len(plain) < size:
         raise TiffError("a strip or tile is cut short")
+    if bits < 8:
+        if predictor != 1:
+            raise TiffError(f"predictor {predictor} is not supported for {bits} bits")
+        shifts = np.arange(8 - bits, -1, -bits, dtype=np.uint8)
+        each = (np.frombuffer(plain, np.uint8, size).reshape(shape[0], wide, 1) >> shifts) & ((1 << bits) - 1)
+        return each.reshape(shape[0], -1)[:, : shape[1] * shape[2]].reshape(shape)
     got = np.frombuffer(plain, kind, shape[0] * shape[1] * shape[2]).reshape(shape)
     if predictor == 2:
         return np.cumsum(got, axis=1, dtype=kind.newbyteorder("="))
@@ -230,9 +256,10 @@ def _page(file: bytes, number: int, f: dict[int, tuple[int, ...]], order: str) -
         raise TiffError("no width or height")
     width, height, samples = one(_WIDTH, 0), one(_HEIGHT, 0), one(_SAMPLES, 1)
     bits, how, predictor, planar = one(_BITS, 1), one(_COMPRESSION, 1), one(_PREDICTOR, 1), one(_PLANAR, 1)
-    if bits not in (8, 16, 32) or len(set(f.get(_BITS, (bits,)))) > 1:
+    if bits not in (1, 2, 4, 8, 16, 32) or len(set(f.get(_BITS, (bits,)))) > 1:
         raise TiffError(f"{bits} bits a sample are not supported")
-    kind = np.dtype(f"{order}u{bits // 8}")
+    kind = np.dtype(f"{order}u{max(1, bits // 8)}")
+    reverse = bits < 8 and one(_FILL_ORDER, 1) == 2
     planes, deep = (samples, 1) if planar == 2 else (1, samples)
     image = np.zeros((height, width, samples), kind.newbyteorder("="))
     tiled = _TILE_OFFSETS in f
@@ -251,13 +278,13 @@ def _page(file: bytes, number: int, f: dict[int, tuple[int, ...]], order: str) -
     for p in range(planes):
         for i, (y, x, h, w) in enumerate(grid):
             k = p * len(grid) + i
-            got = _block(file, offsets[k], counts[k], how, predictor, (h, w, deep), kind)
+            got = _block(file, offsets[k], counts[k], how, predictor, (h, w, deep), kind, bits, reverse)
             image[y : y + h, x : x + w, p if planes > 1 else slice(None)] = got[: height - y, : width - x, 0 if planes > 1 else slice(None)]
     return Page(number, width, height, samples, bits, how, predictor, tiled, image.tobytes())
 
 
-def walk(file: bytes | None) -> Iterator[Page]:
-    """The pages of a file in directory order."""
+def walk(file: bytes | None) -> Iterator[Page | Fault]:
+    """The pages of a file in directory order; a fault of one page does not end the walk."""
     if not file or len(file) < 8:
         raise TiffError("not a TIFF file")
     order = {b"II": "<", b"MM": ">"}.get(bytes(file[:2]))
@@ -269,8 +296,12 @@ def walk(file: bytes | None) -> Iterator[Page]:
         if at in seen:
             raise TiffError("the directories form a circle")
         seen.add(at)
-        fields, following = _fields(file, at, order)
-        yield _page(file, len(seen) - 1, fields, order)
+        following = _next(file, at, order)
+        try:
+            page = _page(file, len(seen) - 1, _fields(file, at, order), order)
+        except TiffError as e:
+            page = Fault(len(seen) - 1, str(e))
+        yield page
         at = following
 
 
@@ -383,8 +414,12 @@ def _paged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             page = 0
             try:
                 for p in walk(media.as_buffer().to_pybytes() if media.is_valid else None):
+                    page = p.page + 1
+                    if isinstance(p, Fault):
+                        rows.append((key, p.page, *[None] * 8, p.error))
+                        continue
                     rows.append((key, p.page, p.width, p.height, p.samples, p.bits, COMPRESSION_NAMES[p.compression], p.predictor, p.tiled, p.pixels, None))
-                    page, held = page + 1, held + len(p.pixels)
+                    held += len(p.pixels)
                     if held > 4_000_000:
                         yield made(rows)
                         rows, held = [], 0
@@ -407,6 +442,9 @@ def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             digest, pages, size, tail, total, square, forms, error = hashlib.sha256(), 0, 0, b"", 0, 0, set(), None
             try:
                 for p in walk(file):
+                    if isinstance(p, Fault):
+                        error = error or f"page {p.page}: {p.error}"
+                        continue
                     pages, size = pages + 1, size + len(p.pixels)
                     digest.update(p.pixels)
                     tail = (tail + p.pixels)[-64:]
@@ -414,7 +452,7 @@ def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     total, square = total + int(x.sum()), square + int((x * x).sum())
                     forms.add(f"{COMPRESSION_NAMES[p.compression]}/{p.predictor}/{'tiles' if p.tiled else 'strips'}/{p.width}")
             except TiffError as e:
-                error = str(e)
+                error = error or str(e)
             mean = total / size if size else 0.0
             feature = f"pages={pages};form={','.join(sorted(forms))};mean={mean:.4f};var={square / size - mean * mean if size else 0.0:.3f}"
             rows.append((pages, size, digest.hexdigest(), zlib.crc32(tail), len(file), hashlib.sha256(file).hexdigest(), feature, error))

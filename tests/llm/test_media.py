@@ -58,6 +58,41 @@ def test_faults(spark):
     assert all(got[i] == [(0, False)] for i in (2, 3, 4, 6))
 
 
+def hand_made(pages):
+    """A file of ``(width, height, bits, compression, fill order, data)`` pages."""
+    out, link = bytearray(b"II*\0\0\0\0\0"), 4
+    for width, height, bits, how, fill, data in pages:
+        at = len(out)
+        out += data
+        struct.pack_into("<I", out, link, len(out))
+        fields = [(256, width), (257, height), (258, bits), (259, how), (266, fill), (273, at), (277, 1), (278, height), (279, len(data))]
+        out += struct.pack("<H", len(fields)) + b"".join(struct.pack("<HHII", t, 4, 1, v) for t, v in fields)
+        link = len(out)
+        out += b"\0\0\0\0"
+    return bytes(out)
+
+
+@pytest.mark.parametrize("bits", [1, 2, 4])
+@pytest.mark.parametrize("fill", [1, 2])
+def test_few_bits(bits, fill):
+    image = np.random.default_rng(bits).integers(0, 1 << bits, (5, 13), np.uint8)
+    plain = b"".join(int("".join(f"{x:0{bits}b}" for x in row).ljust(-(-13 * bits // 8) * 8, "0"), 2).to_bytes(-(-13 * bits // 8), "big") for row in image)
+    packed = T.packbits_encode(plain)
+    stored = packed if fill == 1 else bytes(int(f"{x:08b}"[::-1], 2) for x in packed)
+    (page,) = T.walk(hand_made([(13, 5, bits, T.PACKBITS, fill, stored)]))
+    assert page.bits == bits and page.pixels == image.tobytes()
+
+
+def test_a_bad_page_does_not_end_the_file(spark):
+    good = (4, 1, 8, T.NONE, 1, b"abcd")
+    file = hand_made([good, (4, 1, 8, T.DEFLATE, 1, b"damaged!"), (4, 1, 8, 7, 1, b"abcd"), good])
+    df = spark.createDataFrame([(1, 4, bytearray(file))], "doc_id long, n_bytes long, media binary")
+    got = sorted((r.page, r.error is None, r.pixels and bytes(r.pixels)) for r in T.tiff_pages(df).collect())
+    assert got == [(0, True, b"abcd"), (1, False, None), (2, False, None), (3, True, b"abcd")]
+    r = T.tiff_documents(df).first()
+    assert (r.n_pages, r.payload_bytes) == (2, 8) and r.error.startswith("page 1: deflate")
+
+
 def test_documents(spark):
     texts = {1: "", 2: None, 3: "x" * 64, 4: "héllo wörld", 5: "long text " * 20_000, 6: "héllo wörld"}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
