@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -15,6 +17,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 NOT_WORD_CHARS = r"[\x20\x09-\x0D]"
 
+_folder = ""
+
 #: Arrow batches are cut into pieces of about this many bytes before any per-token arrays are made.
 PIECE_BYTES = 2_000_000
 
@@ -34,21 +38,47 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return where
 
 
+def _scratch(spark: SparkSession) -> str:
+    """This driver's own folder for cuts; it goes when the driver ends."""
+    global _folder
+    where = f"{checkpoint_dir(spark)}/lectern-{spark.sparkContext.applicationId}"
+    if where != _folder:
+        _folder = where
+        atexit.register(_delete, spark, where)
+    return where
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    sc = spark.sparkContext
+    if sc._jsc is not None:  # else the session has ended before its driver
+        at = sc._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut by a reliable checkpoint, so that a lost executor costs one task.
+    """``df`` with its lineage cut: written as a table in the shared folder and read again.
 
-    A checkpoint keeps the planner's size estimate, and the estimate of a join is a product: in a loop its
-    digits double each round until planning fills the driver. So the stored rows get a fresh plan node. Shuffle
-    files behind the cut are of no more use, but Spark deletes them only when the driver happens to collect
-    its garbage: it is asked to.
+    A lost executor costs one task, later reads prune columns, and the planner knows the true size.
     """
     spark = df.sparkSession
-    checkpoint_dir(spark)
-    stored = df.checkpoint(eager=True)._jdf
-    del df
+    path = f"{_scratch(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*frames: DataFrame | None) -> None:
+    """Delete the tables behind frames from ``cut`` that nothing reads any more."""
+    for df in frames:
+        if df is not None and (path := df.__dict__.pop("_stored_at", None)):
+            _delete(df.sparkSession, path)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Have shuffle files deleted whose plans are done: Spark does so when the driver collects its garbage."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return DataFrame(spark._jsparkSession.internalCreateDataFrame(stored.queryExecution().toRdd(), stored.schema(), False), spark)
 
 
 def tasks(spark: SparkSession) -> int:

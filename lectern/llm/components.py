@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, discard
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """``edges(a, b)`` of longs -> ``(node, component)``, the smallest node reachable; nodes without edges are absent.
 
     Each round hooks a node's parent under the smallest grandparent next to it and halves the paths, so
-    rounds grow with the logarithm of a component's width. State is one long pair a node, checkpointed.
+    rounds grow with the logarithm of a component's width. State is one long pair a node, stored after each round.
     """
     both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
     parent = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("component")))
@@ -30,9 +30,11 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
                 )
             ).alias("x")
         ).select("x.node", "x.to")
-        parent = cut(hooks.groupBy("node").agg(F.min("to").alias("component")))
+        old, parent = parent, cut(hooks.groupBy("node").agg(F.min("to").alias("component")))
+        discard(old)
         now = parent.agg(F.count("*"), F.sum(F.col("component").cast("decimal(38,0)"))).first()
         if now == before:
+            discard(both)
             return parent
         before = now
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")

@@ -1,22 +1,25 @@
 """MinHash near-duplicates by a signature-coordinate inverted join.
 
-Every text's set (distinct five-word shingles) becomes a signature of ``COORDINATES`` minima. A *post* is a
-coordinate with its value; two sets of similarity 0.75 agree in three quarters of their posts on average.
+Every text's set (distinct five-word shingles, hashed to 64 bits) becomes a one-permutation signature: the range
+of hashes is divided into ``COORDINATES`` equal parts, and a coordinate's value is the least hash in its part (a
+part may be empty). Of the parts that two sets of similarity J fill together, a share J agrees, hypergeometrically
+distributed. A *post* is a coordinate with its value; the hash itself says both.
 
 * Classes. Equal sets are one class; all later work is between classes, so exact copies never meet.
-* Prefix. Posts are ordered by how many classes hold them, rarest first, as in prefix filtering: two
-  signatures that agree in ``MATCHES`` posts or more share ``MEETINGS`` among the
-  ``COORDINATES - MATCHES + MEETINGS`` rarest of each. What a passage that many texts quote puts into their
-  signatures is frequent and skipped.
-* Count. A pair that meets in fewer prefix posts is dropped; the others count all their equal coordinates and
-  are dropped under ``MATCHES``.
-* Confirm. What is left is compared on the full shingle sets, exactly.
-* Star, then rest. While pairs outnumber posts and stars still halve them, all members of a post meet one pivot, the class with the most
-  company (linear in posts), links become components, and only classes of different components meet again; then one join takes every pair
-  that still shares a prefix post across components. No cap, no pair within a component, no link lost.
-
-At similarity 0.75 the chance that 48 coordinates agree fewer than 24 times is about one in ten thousand; at
-0.8 it is one in ten million.
+* Threshold. A class knows how many coordinates any set of similarity 0.75 must agree in, less ``SIGMAS`` standard
+  deviations (``least``): at 0.75 one link in ten thousand is missed, above it far fewer.
+* Prefix. Posts are ordered by how many classes hold them, rarest first. Two signatures that agree in ``least``
+  places share a post among the ``filled - least + 1`` rarest of each. What a passage that many texts quote puts
+  into their signatures is frequent and skipped: it is counted only for pairs that met before.
+* Star. All members of a post meet one pivot, the member with the most company: linear in posts. A pair's equal
+  coordinates are counted, and from ``least`` on its full sets are compared, exactly. Links become components.
+* Fine signature. Only classes that still share a prefix post with another component go on. Their signature gets
+  as many coordinates as there are hashes, so that every shingle is a post and the threshold is exact: a pair of sizes
+  n and m must agree in t = ceil(75 (n + m) / 175) posts, hence meet at places up to n - t and m - t of
+  their orders. Texts that share most of a template or of a common original, yet not enough, have more posts of their
+  own than that and do not meet. They meet pivots first, as above, then every pair that is left.
+* Rest. A post's members of equal component and size are one cell; classes meet cells, and only cells that
+  pass the test of places are opened. No cap, no pair within a component, no link lost.
 """
 
 from __future__ import annotations
@@ -28,31 +31,26 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, pieces
+from .common import cut, discard, pieces, tidy
 from .components import connected_components
 from .textvec import Powers, mix, shingles, words
 
-COORDINATES = 48
-MATCHES = 24
-MEETINGS = 3
+COORDINATES = 64
+SIGMAS = 3.72
 PERCENT = 75
-#: Every pair across components is tried once there are no more than so many for each post.
-PAIRS_A_POST = 2
-STAR_ROUNDS = 5
 #: Bits of the filter that picks the texts of active classes on the map side; it bounds what is broadcast.
 FILTER_BITS = 1 << 24
 
-_rng = np.random.default_rng(20240611)
-_XOR = _rng.integers(0, 2**64, COORDINATES, np.uint64)
-_MUL = _rng.integers(0, 2**64, COORDINATES, np.uint64) | np.uint64(1)
-_SALTS = _rng.integers(0, 2**64, 2, np.uint64)
+_SALTS = np.random.default_rng(20240611).integers(0, 2**64, 2, np.uint64)
 
 
-def _sets(column: pa.Array, powers: Powers) -> tuple[list[np.ndarray], np.ndarray]:
+def _sets(column: pa.Array, powers: Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All rows' sets, each in order, one after the other; their sizes; and the rows' numbers of words."""
     h, bounds, _, _ = words(column, powers)
     s, b = shingles(h, bounds)
     sets = [np.unique(s[b[i] : b[i + 1]]) for i in range(len(b) - 1)]
-    return sets, np.array([len(x) for x in sets], np.int64)
+    flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    return flat, np.array([len(x) for x in sets], np.int64), np.diff(bounds)
 
 
 def _class_keys(flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -66,39 +64,44 @@ def _class_keys(flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.nda
     return out[0], out[1]
 
 
-def _signatures(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """A row of minima for each non-empty set."""
-    full = sizes > 0
-    starts = np.concatenate([[0], np.cumsum(sizes)])[:-1][full]
-    out = np.zeros((int(full.sum()), COORDINATES), np.uint64)
-    if len(starts):
-        for k in range(COORDINATES):
-            out[:, k] = np.minimum.reduceat((flat ^ _XOR[k]) * _MUL[k], starts)
-    return mix(out + np.arange(COORDINATES, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+def signatures(flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The posts of all sets, one after the other, and each set's number of filled coordinates."""
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    place = ((flat >> np.uint64(32)) * np.uint64(COORDINATES)) >> np.uint64(32)
+    first = np.ones(len(flat), bool)
+    first[1:] = place[1:] != place[:-1]
+    first[bounds[:-1][sizes > 0]] = True
+    upto = np.concatenate([[0], np.cumsum(first)])
+    return flat[first], upto[bounds[1:]] - upto[bounds[:-1]]
+
+
+def least_matches(sizes: np.ndarray, filled: np.ndarray) -> np.ndarray:
+    """Coordinates in which any set of similarity 0.75 agrees with one of these sizes, but for ``SIGMAS`` deviations."""
+    j, n, e = PERCENT / 100, sizes.astype(float), filled.astype(float)
+    spread = np.sqrt(j * (1 - j) * e * np.maximum(0, n - e) / np.maximum(1, n - 1))
+    return np.maximum(1, np.floor(j * e - SIGMAS * spread)).astype(np.int32)
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     powers = Powers()
     for batch in pieces(batches):
-        sets, sizes = _sets(batch.column("text"), powers)
-        flat = np.concatenate(sets) if len(sets) else np.zeros(0, np.uint64)
+        flat, sizes, n_words = _sets(batch.column("text"), powers)
         k1, k2 = _class_keys(flat, sizes)
-        signature = _signatures(flat, sizes).view(np.int64)
-        ends = np.concatenate([[0], np.cumsum(np.where(sizes > 0, COORDINATES, 0))]).astype(np.int32)
+        posts, filled = signatures(flat, sizes)
+        ends = pa.array(np.concatenate([[0], np.cumsum(filled)]).astype(np.int32))
         own = [c for c in batch.schema.names if c != "text"]
-        yield pa.RecordBatch.from_arrays(
-            [*map(batch.column, own), pa.array(sizes), pa.array(k1), pa.array(k2), pa.ListArray.from_arrays(pa.array(ends), pa.array(signature.ravel()))],
-            [*own, "n_shingles", "k1", "k2", "signature"],
-        )
+        found = [pa.array(n_words.astype(np.int64)), pa.array(sizes), pa.array(k1), pa.array(k2), pa.array(least_matches(sizes, filled)), pa.ListArray.from_arrays(ends, pa.array(posts.view(np.int64)))]
+        yield pa.RecordBatch.from_arrays([*map(batch.column, own), *found], [*own, "n_words", "n_shingles", "k1", "k2", "least", "posts"])
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     powers = Powers()
     for batch in pieces(batches):
-        sets, sizes = _sets(batch.column("text"), powers)
-        flat = np.concatenate(sets) if len(sets) else np.zeros(0, np.uint64)
+        flat, sizes, _ = _sets(batch.column("text"), powers)
         k1, k2 = _class_keys(flat, sizes)
-        yield pa.RecordBatch.from_arrays([pa.array(k1), pa.array(k2), pa.array([x.tobytes() for x in sets], pa.binary())], ["k1", "k2", "members"])
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        members = [flat[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(k1), pa.array(k2), pa.array(members, pa.binary())], ["k1", "k2", "members"])
 
 
 def _sets_of(texts: DataFrame, active: DataFrame) -> DataFrame:
@@ -121,80 +124,135 @@ def _sets_of(texts: DataFrame, active: DataFrame) -> DataFrame:
     return texts.select(slot.alias("slot"), "text").mapInArrow(picked, "k1 long, k2 long, members binary")
 
 
+def _fine_posts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each member of each set, a few sets at a time."""
+    for batch in pieces(batches, "members"):
+        sets = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("members")]
+        sizes = np.array([len(x) for x in sets], np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("cid").to_numpy(), sizes)), pa.array(np.concatenate(sets))], ["cid", "post"])
+
+
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose full sets reach the similarity."""
     for batch in batches:
         keep = []
         left, right = batch.column("left"), batch.column("right")
         for i in range(batch.num_rows):
-            x, y = np.frombuffer(left[i].as_buffer(), np.uint64), np.frombuffer(right[i].as_buffer(), np.uint64)
-            if 100 * min(len(x), len(y)) >= PERCENT * max(len(x), len(y)):
-                both = np.concatenate([x, y])
-                both.sort()
-                common = int(np.count_nonzero(both[1:] == both[:-1]))
-                if 100 * common >= PERCENT * (len(both) - common):
-                    keep.append(i)
+            both = np.concatenate([np.frombuffer(left[i].as_buffer(), np.uint64), np.frombuffer(right[i].as_buffer(), np.uint64)])
+            both.sort()
+            common = int(np.count_nonzero(both[1:] == both[:-1]))
+            if 100 * common >= PERCENT * (len(both) - common):
+                keep.append(i)
         yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep, pa.int64())) for c in ("a", "b")], ["a", "b"])
 
 
-def _matches(x: str, y: str) -> Column:
-    return F.aggregate(F.zip_with(x, y, lambda p, q: (p == q).cast("int")), F.lit(0), lambda acc, v: acc + v)
+def _prefixes(posts: DataFrame, classes: DataFrame) -> DataFrame:
+    """``posts(cid, post)``, ``classes(cid, n, least, filled)`` -> ``(cid, n, company, post, pos)``, prefix posts that others hold.
+
+    ``pos`` is the post's place in the class's order, ``company`` how often the class's posts are held in all.
+    """
+    posts = posts.repartition("post")  # one exchange for both the count and the join
+    shared = posts.groupBy("post").agg(F.count("*").alias("df")).where("df > 1")
+    held = posts.join(shared, "post").groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("df", "post"))).alias("held")).join(classes, "cid")
+    company = F.aggregate("held", F.lit(0).cast("long"), lambda acc, x: acc + x["df"])
+    # posts that no other class holds are the rarest and take the first places
+    own = F.col("filled") - F.size("held")
+    prefix = F.slice("held", 1, F.greatest(F.lit(0), F.size("held") - F.col("least") + 1))
+    return held.select("cid", "n", company.alias("company"), own.alias("own"), F.posexplode(prefix).alias("i", "x")).select("cid", "n", "company", F.col("x.post").alias("post"), (F.col("own") + F.col("i")).alias("pos"))
+
+
+def _places(n: Column, pos: Column, m: Column, at: Column) -> Column:
+    """Whether a post at these places of sets of these sizes can be the first common one of a link."""
+    t = F.floor((PERCENT * (n + m) + 99 + PERCENT) / F.lit(100 + PERCENT))
+    return (pos <= n - t) & (at <= m - t)
+
+
+def _sizes(n: Column, pos: Column, m: Column, at: Column) -> Column:
+    return 100 * F.least(n, m) >= PERCENT * F.greatest(n, m)
 
 
 class _Links:
     """The link graph between classes as far as it is known."""
 
     def __init__(self, classes: DataFrame, texts: DataFrame) -> None:
-        self.classes, self.links = classes, None
-        posts = classes.where("n_shingles > 0").select("cid", F.explode("signature").alias("post"))
-        shared = posts.groupBy("post").agg(F.count("*").alias("df")).where("df > 1")
-        # a class's unshared posts are its rarest and take the first places of its prefix
-        held = posts.join(shared, "post").groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("df", "post"))).alias("held"))
-        prefix = F.greatest(F.lit(0), F.size("held") - (MATCHES - MEETINGS))
-        company = F.aggregate("held", F.lit(0).cast("long"), lambda acc, x: acc + x["df"])
-        self.posts = cut(held.select("cid", company.alias("company"), F.explode(F.slice("held", 1, prefix)).alias("x")).select("cid", "company", F.col("x.post").alias("post")))
-        short = F.transform("signature", lambda x: F.shiftright(x, 48).cast("short"))
-        active = cut(self.posts.select("cid").distinct().join(classes, "cid").select("cid", "k1", "k2", "doc_id", short.alias("signature")))
+        self.links: DataFrame | None = None
+        self.known: DataFrame | None = None
+        full = classes.where("n_shingles > 0")
+        own = full.select("cid", F.col("n_shingles").alias("n"), "least", F.size("posts").alias("filled"))
+        self.posts = cut(self._open(cut(_prefixes(full.select("cid", F.explode("posts").alias("post")), own))))
+        # 32 bits of a post, its coordinate among them, are enough to count by
+        short = F.transform("posts", lambda x: F.shiftright(x, 32).cast("int"))
+        active = cut(self.posts.select("cid").distinct().join(classes, "cid").select("cid", "k1", "k2", "doc_id", "n_shingles", "least", short.alias("signature")))
         sets = _sets_of(texts, active).groupBy("k1", "k2").agg(F.first("members").alias("members"))
-        self.signatures = active.select("cid", "signature")
-        self.sets = cut(active.select("cid", "k1", "k2").join(sets, ["k1", "k2"]).select("cid", "members"))
+        self.signatures = active.select("cid", "least", "signature")
+        self.sets = cut(active.select("cid", "k1", "k2", F.col("n_shingles").alias("n")).join(sets, ["k1", "k2"]).select("cid", "n", "members"))
+        tidy(classes.sparkSession)
+
+    @staticmethod
+    def _open(posts: DataFrame) -> DataFrame:
+        """Posts that several components hold, each class its own."""
+        return posts.join(posts.groupBy("post").agg(F.count("*").alias("k")).where("k > 1").select("post"), "post").withColumn("component", F.col("cid"))
 
     def parts(self) -> DataFrame | None:
-        return None if self.links is None else connected_components(self.links)
-
-    def label(self) -> tuple[DataFrame, int, int]:
-        """Prefix posts with their class's component, only of posts that hold several; their rows, and pairs across."""
-        labelled = self.posts.withColumn("component", F.col("cid"))
-        if (parts := self.parts()) is not None:
-            labelled = cut(self.posts.join(parts.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid")))
-        each = labelled.groupBy("post", "component").agg(F.count("*").cast("decimal(38,0)").alias("n"))
-        open_ = each.groupBy("post").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("square")).where("parts > 1")
-        open_ = cut(open_.select("post", "n", ((F.col("n") * F.col("n") - F.col("square")) / 2).cast("decimal(38,0)").alias("across")))
-        rows, across = open_.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("across"), F.lit(0))).first()
-        return cut(labelled.join(open_.select("post"), "post")), int(rows), int(across)
+        """``(node, component)`` of the classes that have links by now."""
+        if self.known is None and self.links is not None:
+            self.known = connected_components(self.links)
+        return self.known
+
+    def labelled(self, posts: DataFrame) -> DataFrame:
+        """``posts`` with the component of each class, only of posts that several components hold."""
+        parts = self.parts()
+        if parts is None:
+            return posts
+        now = posts.drop("component").join(parts.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+        now = cut(now)
+        several = now.groupBy("post").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("post")
+        out = cut(now.join(several, "post"))
+        discard(now)
+        return out
 
     def confirm(self, pairs: DataFrame) -> None:
-        """Count matches, then compare full sets; adds what holds to the links."""
-        s, t = (self.signatures.select(F.col("cid").alias(c), F.col("signature").alias(n)) for c, n in (("a", "s"), ("b", "t")))
+        """Count equal coordinates, then compare full sets; adds what holds to the links."""
+        s, t = (self.signatures.select(F.col("cid").alias(c), F.col("least").alias(f"least_{c}"), F.col("signature").alias(n)) for c, n in (("a", "s"), ("b", "t")))
         left, right = (self.sets.select(F.col("cid").alias(c), F.col("members").alias(n)) for c, n in (("a", "left"), ("b", "right")))
-        # signatures first (16 bits of a coordinate are enough to count by): sets travel only for pairs above the threshold
-        near = pairs.join(s, "a").join(t, "b").where(_matches("s", "t") >= MATCHES).select("a", "b")
+        # signatures first: sets travel only for pairs that reach the threshold
+        matches = F.size(F.array_intersect("s", "t"))
+        near = pairs.join(s, "a").join(t, "b").where(matches >= F.greatest("least_a", "least_b")).select("a", "b")
         found = near.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(_confirmed, "a long, b long")
-        self.links = cut(found if self.links is None else found.union(self.links))
-
-    def star(self, labelled: DataFrame, seed: int) -> DataFrame:
-        """Each class with the one pivot it meets most often among its posts' pivots of other components."""
-        order = F.struct("company", "cid") if seed == 0 else F.struct(F.xxhash64(F.col("cid"), F.lit(seed)), "cid")
-        pivots = labelled.groupBy("post").agg(F.max_by(F.struct("cid", "component"), order).alias("p")).select("post", F.col("p.cid").alias("pivot"), F.col("p.component").alias("of"))
-        met = labelled.join(pivots, "post").where("component <> of").groupBy("cid", "pivot").agg(F.count("*").alias("n"))
-        best = met.groupBy("cid").agg(F.max_by("pivot", F.struct("n", -F.col("pivot"))).alias("pivot"))
-        return best.select(F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b")).distinct()
-
-    def rest(self, labelled: DataFrame) -> DataFrame:
-        """Every pair of different components that shares prefix posts enough."""
-        x = labelled.select("post", F.col("cid").alias("a"), F.col("component").alias("ca"))
-        y = labelled.select("post", F.col("cid").alias("b"), F.col("component").alias("cb"))
-        return x.join(y, "post").where("a < b and ca <> cb").groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= MEETINGS).select("a", "b")
+        old, self.links = self.links, cut(found if self.links is None else found.union(self.links))
+        discard(old, self.known)
+        self.known = None
+
+    @staticmethod
+    def star(labelled: DataFrame, fits) -> DataFrame:
+        """Each class with the pivots of its posts, as far as these are of other components."""
+        top = labelled.groupBy("post").agg(F.max_by(F.struct("cid", "n", "pos", "component"), F.struct("company", "cid")).alias("p"))
+        met = labelled.join(top, "post").where((F.col("component") != F.col("p.component")) & fits(F.col("n"), F.col("pos"), F.col("p.n"), F.col("p.pos")))
+        return met.select(F.least("cid", "p.cid").alias("a"), F.greatest("cid", "p.cid").alias("b")).distinct()
+
+    @staticmethod
+    def rest(labelled: DataFrame, fits) -> DataFrame:
+        """Every pair of different components that meets at fitting places; the larger class looks for smaller or equal ones."""
+        cells = labelled.groupBy("post", F.col("component").alias("other"), F.col("n").alias("m")).agg(F.min("pos").alias("low"))
+        opened = labelled.join(cells, "post").where((F.col("m") <= F.col("n")) & (F.col("component") != F.col("other")) & fits(F.col("n"), F.col("pos"), F.col("m"), F.col("low")))
+        opened = opened.select("post", "other", "m", F.col("cid").alias("a"), F.col("n").alias("n"), "pos")
+        members = labelled.select("post", F.col("component").alias("other"), F.col("n").alias("m"), F.col("cid").alias("b"), F.col("pos").alias("at"))
+        met = opened.join(members, ["post", "other", "m"]).where(((F.col("m") < F.col("n")) | (F.col("b") < F.col("a"))) & fits(F.col("n"), F.col("pos"), F.col("m"), F.col("at")))
+        return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    def fine(self, labelled: DataFrame) -> DataFrame:
+        """Posts of the fine signature of the classes that are still open."""
+        sets = self.sets.join(labelled.select("cid").distinct(), "cid")
+        exact = F.floor((PERCENT * F.col("n") + 99) / F.lit(100)).cast("int")
+        return cut(self._open(cut(_prefixes(sets.select("cid", "members").mapInArrow(_fine_posts, "cid long, post long"), self.sets.select("cid", "n", exact.alias("least"), F.col("n").alias("filled"))))))
+
+    def find(self) -> DataFrame | None:
+        """``(node, component)`` of all classes that have links."""
+        self.confirm(self.star(self.posts, _sizes))
+        fine = self.fine(self.labelled(self.posts))
+        self.confirm(self.star(self.labelled(fine), _places))
+        self.confirm(self.rest(self.labelled(fine), _places))
+        return self.parts()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -211,37 +269,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def near_components(docs: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
-    """``near_duplicates`` with the ``carried`` columns of each row and ``component``, which tells components
+    """``near_duplicates`` with the ``carried`` columns of each row, ``n_words``, and ``component``, which tells components
     apart where ids do not: 128 bits that depend on the component's sets alone, null for an empty set.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *carried, F.col("text").cast("string").alias("text"))
     texts = own.select("doc_id", "text")
     kinds = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in own.drop("text").schema)
-    base = cut(own.mapInArrow(_signed, f"{kinds}, n_shingles long, k1 long, k2 long, signature array<long>"))
+    base = cut(own.mapInArrow(_signed, f"{kinds}, n_words long, n_shingles long, k1 long, k2 long, least int, posts array<long>"))
     full = base.where("n_shingles > 0")
-    grouped = full.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
-    classes = cut(grouped.select(F.monotonically_increasing_id().alias("cid"), "*"))
-    known = _Links(classes, texts)
-    before = None
-    for seed in range(STAR_ROUNDS + 1):
-        labelled, rows, across = known.label()
-        if not rows:
-            break
-        if across <= PAIRS_A_POST * rows or seed == STAR_ROUNDS or (before and 2 * across > before):
-            known.confirm(known.rest(labelled))
-            break
-        known.confirm(known.star(labelled, seed))
-        before = across
-    parts = known.parts()
-    named = classes.select("cid", "k1", "k2", "doc_id")
-    if parts is not None:
-        named = named.join(parts.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-        names = named.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.min(F.struct("k1", "k2")).alias("name"))
-        named = named.join(names, "component")
-    else:
-        named = named.select("*", F.col("doc_id").alias("component_id"), F.struct("k1", "k2").alias("name"))
-    named = named.select("k1", "k2", "component_id", "name")
-    out = base.drop("signature").join(named, ["k1", "k2"], "left")
+    firsts = [F.first(c).alias(c) for c in ("n_shingles", "least", "posts")]
+    classes = cut(full.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"), *firsts).select(F.monotonically_increasing_id().alias("cid"), "*"))
+    parts = _Links(classes, texts).find()
+    named = classes.select("cid", "k1", "k2", "doc_id").join(parts.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    names = named.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.min(F.struct("k1", "k2")).alias("name"))
+    named = named.join(names, "component").select("k1", "k2", "component_id", "name")
+    out = base.drop("posts", "least").join(named, ["k1", "k2"], "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     name = F.when(F.col("n_shingles") > 0, F.col("name"))
-    return out.select("doc_id", *carried, "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"), name.alias("component"))
+    return out.select("doc_id", *carried, "n_words", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"), name.alias("component"))

@@ -134,6 +134,6 @@ def pack_near_documents(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     Components are those of ``near_components`` over lower-cased texts, so that texts which differ in case and
     white space alone, in any script, are one cluster here too. A null text has no words.
     """
-    own = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.regexp_count(text_of(), F.lit(WORD)).alias("size"), F.lower("text").alias("text"))
-    items = near_components(own, ("source", "size")).select("doc_id", "source", F.col("component").alias("cluster"), "size")
+    own = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.lower("text").alias("text"))
+    items = near_components(own, ("source",)).select("doc_id", "source", F.col("component").alias("cluster"), F.col("n_words").alias("size"))
     return pack(cut(items), capacity)
