@@ -1,11 +1,12 @@
 """Token counts with the library of a public tokenizer file, in Arrow functions that return lengths only.
 
-A token never reaches over the end of a run of non-white-space (the byte-level pre-tokenizer splits there), so
-long texts are cut at these safe boundaries and a text's count is the sum over its parts: texts of any length
-are whole, and memory is bounded.
+Every text is encoded by the library that defines the result, in calls of about ``BATCH_BYTES`` bytes: short
+texts go together, and a long text is cut at safe boundaries, so that calls are balanced by bytes whatever the
+lengths of the texts are. A boundary is safe where a run of non-white-space ends: the byte-level pre-tokenizer
+splits there, so no token reaches over it, a text's count is the sum over its parts, and memory is bounded.
 
 Files whose tokens may cross white space (SentencePiece models, and .json files with another pre-tokenizer or a
-normalizer) are encoded whole, in batches balanced by bytes, without cutting.
+normalizer) are encoded without cutting, a long text in a call of its own.
 """
 
 from __future__ import annotations
@@ -20,49 +21,19 @@ from pyspark.sql import functions as F
 
 from .common import pieces, text_of
 
-#: Bytes of one call to the encoder.
+#: UTF-8 bytes of one call to the encoder.
 BATCH_BYTES = 500_000
-#: Longer texts are cut at the next safe boundary after so many characters.
+#: Longer texts are cut at the next safe boundary after so many characters (a character has four bytes at most).
 PART_CHARS = 100_000
-#: A longer run of non-white-space goes to the library whole.
-LONG_RUN = re.compile(r"\S{5000}")
-_SAFE = re.compile(r"(?<=\S)(?=\s)")
-#: Letters of scripts whose classes no Unicode version since has changed.
-_FAR = re.compile("[^\x00-\u024f]")
-
-
-def _ranks(model: dict) -> dict[bytes, int] | None:
-    """Byte strings by rank, if merging by the rank of the result is what the merge list says."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [x for x in range(256) if x not in set(plain)]
-    byte_of = {chr(c): b for b, c in [*zip(plain, plain, strict=True), *((b, 256 + i) for i, b in enumerate(rest))]}
-    vocab, last = model["vocab"], -1
-    for m in model["merges"]:
-        a, b = m.split(" ") if isinstance(m, str) else m
-        rank = vocab.get(a + b, -1)
-        if rank <= last:
-            return None
-        last = rank
-    out = {}
-    for token, rank in vocab.items():
-        if all(c in byte_of for c in token):
-            out[bytes(byte_of[c] for c in token)] = rank
-    singles = [out.get(bytes((i,)), 1 << 30) for i in range(256)]
-    return out if max(singles) < 256 else None
+#: White space to the pre-tokenizer and to Python alike follows what is none to either.
+_SAFE = re.compile(r"(?<=\S)(?=[ \t\n\r])")
 
 
 class Counter:
-    """Counts tokens as the library of ``path`` gives them, without begin, end or added special tokens.
-
-    Byte-level BPE files whose merges are in rank order also get the faster encoder of ranks, for the texts
-    where both must agree: near scripts only, no special string, no overlong run.
-    """
-
-    #: The byte-level pre-tokenizer's pattern.
-    PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+    """Counts tokens as the library of ``path`` gives them, without begin, end or added special tokens."""
 
     def __init__(self, path: str) -> None:
-        self.cuts, self.fast, self.special = False, None, None
+        self.cuts = False
         if path.endswith(".json"):
             from tokenizers import Tokenizer
 
@@ -71,55 +42,45 @@ class Counter:
             tokenizer = Tokenizer.from_file(path)
             tokenizer.no_truncation()
             tokenizer.no_padding()
-            added, pre, model = kind.get("added_tokens") or (), kind.get("pre_tokenizer") or {}, kind["model"]
-            self.cuts = not kind.get("normalizer") and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not any(x["lstrip"] or x["rstrip"] or x["single_word"] or re.search(r"\s", x["content"]) for x in added)
-            self.encode = lambda texts: [len(x.ids) for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            plain = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
-            if self.cuts and plain and (ranks := _ranks(model)):
-                import tiktoken
-
-                self.special = re.compile("|".join(re.escape(x["content"]) for x in added)) if added else None
-                for x in added:
-                    ranks.pop(x["content"].encode(), None)
-                self.fast = tiktoken.Encoding("counted", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={})
+            added, pre = kind.get("added_tokens") or (), kind.get("pre_tokenizer") or {}
+            plain = not any(x["lstrip"] or x["rstrip"] or x["single_word"] or re.search(r"\s", x["content"]) for x in added)
+            self.cuts = plain and not kind.get("normalizer") and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+            self.encode = lambda texts: [len(x) for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         else:
             import sentencepiece
 
             model = sentencepiece.SentencePieceProcessor(model_file=path)
             self.encode = lambda texts: [len(x) for x in model.encode(texts, num_threads=1)]
 
-    def batches(self, texts: list[str]) -> list[int]:
-        """Lengths, encoded in calls of about ``BATCH_BYTES`` each."""
-        out, part, size = [], [], 0
-        for t in texts:
-            if part and size + len(t) > BATCH_BYTES:
-                out += self.encode(part)
-                part, size = [], 0
-            part.append(t)
-            size += len(t)
-        return out + (self.encode(part) if part else [])
-
-    def parts(self, text: str) -> list[str]:
+    def parts(self, text: str) -> Iterator[str]:
         """A text in parts that no token crosses."""
-        out, at = [], 0
-        while len(text) - at > PART_CHARS and (m := _SAFE.search(text, at + PART_CHARS)):
-            out.append(text[at : m.start()])
+        at = 0
+        while self.cuts and len(text) - at > PART_CHARS and (m := _SAFE.search(text, at + PART_CHARS)):
+            yield text[at : m.start()]
             at = m.start()
-        return [*out, text[at:]]
+        yield text[at:] if at else text
 
     def counts(self, texts: list[str]) -> list[int]:
-        if not self.cuts:
-            return self.batches(texts)
-        out, later, owner = [0] * len(texts), [], []
-        for i, t in enumerate(texts):
-            for p in [t] if len(t) <= PART_CHARS else self.parts(t):
-                if self.fast is None or (self.special and self.special.search(p)) or _FAR.search(p) or LONG_RUN.search(p):
-                    later.append(p)
-                    owner.append(i)
-                else:
-                    out[i] += len(self.fast.encode_ordinary(p))
-        for i, n in zip(owner, self.batches(later), strict=True):
-            out[i] += n
+        """The number of tokens of each text, in calls that are balanced by bytes."""
+        out, batch, owners, held = [0] * len(texts), [], [], 0
+
+        def flush() -> None:
+            for i, n in zip(owners, self.encode(batch), strict=True):
+                out[i] += n
+            batch.clear()
+            owners.clear()
+
+        for i, text in enumerate(texts):
+            for part in self.parts(text):
+                size = len(part.encode())
+                if batch and held + size > BATCH_BYTES:
+                    flush()
+                    held = 0
+                batch.append(part)
+                owners.append(i)
+                held += size
+        if batch:
+            flush()
         return out
 
 
@@ -128,7 +89,8 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 1024) ->
 
     ``path`` is the tokenizer file (``byte_bpe_50k.json`` of the installed public vocabularies if not given),
     the same on every worker. A null text counts as empty: 0 bytes, 0 tokens. Special strings inside a text are
-    treated as the library's default treats them. Only ``doc_id`` and ``text`` are read, so no other column clashes.
+    treated as the library's default treats them. A null doc_id stays null; repeated rows are counted each; an empty
+    table gives an empty table. Only ``doc_id`` and ``text`` are read, so no other column clashes.
     """
     if path is None:
         import public_tokenizers
@@ -145,5 +107,5 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 1024) ->
             n = pa.array(counter.counts(batch.column("text").to_pylist()), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), n], ["doc_id", "n_bytes", "n_tokens"])
 
-    texts = docs.select("doc_id", text_of().alias("text")).withColumn("n_bytes", F.octet_length("text").cast("long"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).withColumn("n_bytes", F.octet_length("text").cast("long"))
     return texts.mapInArrow(counted, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
