@@ -4,13 +4,16 @@ Each document's expected copies (its source's target over its source's size) are
 source, one random offset is added, and a copy is emitted for every integer boundary crossed. Documents stand
 in order of size, so every stretch of sizes gets its share and the words taken come near the target.
 
-The prefix sum is distributed: documents fall into cells (source, size, id modulo ``LANES``), cells are counted
-before the shuffle and summed along a source, and only within a cell are rows numbered. A source, or a group of
-equal documents, with a third of all rows is thus ``LANES`` cells and never one task.
+The prefix sum is distributed: documents fall into cells (source, size, one of ``LANES`` lanes by a digest of the id), cells are
+counted before the shuffle and summed along a source, and only within a cell are rows numbered. A source, or a group of
+documents of one size, with a third of all rows is thus ``LANES`` cells and never one task. Sources are a table
+like any other: they are ranked where they lie, and a few sums over them reach the driver.
 """
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,28 +27,50 @@ LANES = 1024
 SEED = "lectern-mix-1"
 
 
-def targets(sizes: list[tuple[str | None, int]], weights: tuple[float, ...] = WEIGHTS, percent: int = PERCENT, most: int = MOST_TIMES) -> list[float]:
-    """Each source's words: weighted shares, what is above ``most`` times a source's size reshared until none is."""
-    left, open_, out = sum(n for _, n in sizes) * percent / 100, set(range(len(sizes))), [0.0] * len(sizes)
-    weight = [weights[i % len(weights)] for i in range(len(sizes))]
-    while open_:
-        total = sum(weight[i] for i in sorted(open_))
-        over = [i for i in sorted(open_) if left * weight[i] / total > most * sizes[i][1]]
-        if not over:
-            for i in open_:
-                out[i] = left * weight[i] / total
+def _ranked(sources: DataFrame) -> DataFrame:
+    """``sources`` with ``rank`` from 0 by code points, null last; one count a partition reaches the driver."""
+    placed = sources.orderBy(F.col("source").isNull(), "source").select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("row"))
+    placed = cut(placed)
+    counts = sorted((r["part"], r["n"]) for r in placed.groupBy("part").agg(F.count("*").alias("n")).collect())
+    starts = dict(zip((p for p, _ in counts), accumulate((n for _, n in counts), initial=0), strict=False))
+    start = F.lit(0).cast("long")
+    if starts:
+        start = F.create_map(*[F.lit(x) for pair in starts.items() for x in pair])[F.col("part")].cast("long")
+    return placed.withColumn("rank", start + F.col("row").bitwiseAND((1 << 33) - 1)).drop("part", "row")
+
+
+def source_targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, percent: int = PERCENT, most: int = MOST_TIMES) -> DataFrame:
+    """``sources(source, n)``, one row each -> ``(source, source_size, target, rate)``.
+
+    Weighted shares of ``percent`` of all words; what is above ``most`` times a source's size is reshared by weight
+    until none is above. Each round is one sum over the sources at their cap. A source without words gets nothing.
+    """
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
+    x = cut(_ranked(sources).withColumn("w", weight).withColumn("cap", most * F.col("n")))
+    all_n, all_w = x.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("w"), F.lit(0.0))).first()
+    left, heavy, capped, full = all_n * percent / 100, all_w, 0, F.lit(False)
+    while heavy > 0:
+        # caps only join from round to round, for what is left a unit of weight only grows
+        full = F.lit(float(left)) * F.col("w") / F.lit(float(heavy)) > F.col("cap")
+        n, words, w = x.where(full).agg(F.count("*"), F.coalesce(F.sum("cap"), F.lit(0)), F.coalesce(F.sum("w"), F.lit(0.0))).first()
+        if n == capped:
             break
-        for i in over:
-            out[i] = float(most * sizes[i][1])
-            left -= out[i]
-            open_.discard(i)
-    return out
+        capped, left, heavy = n, all_n * percent / 100 - words, all_w - w
+    else:
+        full = F.lit(True)
+    target = F.when(full, F.col("cap").cast("double")).otherwise(F.lit(float(left)) * F.col("w") / F.lit(float(heavy or 1)))
+    rate = F.when(F.col("n") > 0, F.col("target") / F.col("n")).otherwise(0.0)
+    return x.withColumn("target", target).select("source", F.col("n").alias("source_size"), "target", rate.alias("rate"))
 
 
 def offset_of(source: Column, seed: str = SEED) -> Column:
     """The source's random offset in [0, 1), from the first 32 bits of a digest."""
-    digest = F.md5(F.concat(F.lit(seed), F.lit("/"), F.coalesce(source, F.lit(""))).cast("binary"))
-    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long").cast("double") / float(1 << 32)
+    return _digest(F.concat(F.lit(seed), F.lit("/"), F.coalesce(source, F.lit("")))).cast("double") / float(1 << 32)
+
+
+def _digest(text: Column) -> Column:
+    """The first 32 bits of a digest."""
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long")
 
 
 def with_copies(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, percent: int = PERCENT, seed: str = SEED) -> DataFrame:
@@ -53,7 +78,8 @@ def with_copies(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, percent:
 
     ``size`` counts the words of the whole text (null: 0). A null source is a source of its own, after all
     others. A document without words gets no copy, and so does every document of a source without words. Rows
-    equal in id, source and text are interchangeable, and number as separate rows. Extra columns are not read.
+    equal in id, source and text are interchangeable, and number as separate rows. Where the id is null its text
+    stands in. Extra columns are not read.
     """
     narrow = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -61,13 +87,9 @@ def with_copies(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, percent:
         F.xxhash64(text_of()).alias("text_hash"),
         F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("size"),
     )
-    lane = F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(LANES))
+    lane = _digest(F.coalesce("doc_id", "text_hash").cast("string")) % LANES
     sized = cut(narrow.withColumn("lane", lane))
-    # one row a source reaches the driver: sources are named, documents are not
-    by_source = sized.groupBy("source").agg(F.sum("size").alias("n")).collect()
-    sizes = sorted(((r["source"], r["n"]) for r in by_source), key=lambda x: (x[0] is None, (x[0] or "").encode()))
-    rows = [(s, n, t, t / n if n else 0.0) for (s, n), t in zip(sizes, targets(sizes, weights, percent), strict=True)]
-    table = docs.sparkSession.createDataFrame(rows, "of string, source_size long, target double, rate double")
+    table = source_targets(sized.groupBy("source").agg(F.sum("size").alias("n")), weights, percent).withColumnRenamed("source", "of")
     used = sized.where("size > 0")
     cells = used.groupBy("source", "size", "lane").agg(F.count("*").alias("n"))
     by_size = cells.groupBy("source", "size").agg(F.sum("n").alias("n"))
@@ -78,7 +100,8 @@ def with_copies(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, percent:
     start = start.select(F.col("source").alias("s"), F.col("size").alias("z"), F.col("lane").alias("l"), (F.coalesce("below", F.lit(0)) + F.coalesce("beside", F.lit(0))).alias("before"))
     numbered = sized.withColumn("nth", F.row_number().over(Window.partitionBy("source", "size", "lane").orderBy("doc_id", "text_hash")))
     placed = numbered.join(start, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")) & (F.col("lane") == F.col("l")), "left").drop("s", "z", "l")
-    placed = placed.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
+    # no hint: the planner broadcasts sources while they are small and shuffles once they are many
+    placed = placed.join(table, F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
     u, index = offset_of(F.col("source"), seed), F.coalesce("before", F.lit(0)) + F.col("nth")
     crossed = F.floor(F.col("rate") * index + u) - F.floor(F.col("rate") * (index - 1) + u)
     return placed.select("doc_id", "source", "text_hash", "size", "source_size", "target", F.when(F.col("size") > 0, crossed).otherwise(0).cast("long").alias("copies"))

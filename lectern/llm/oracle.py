@@ -10,7 +10,7 @@ from .linededup import LEAST_WORDS
 from .mixing import LANES, MOST_TIMES, PERCENT, SEED, WEIGHTS
 from .neardup import PERCENT as PERCENT_NEAR
 from .rules import HostRules
-from .urlfilter import ALPHABET, BIN, LOWER, MICRO, ORDER, RULES, UPPER
+from .urlfilter import ALPHABET, BIN, HELD, LOWER, MICRO, ORDER, RULES, UPPER
 
 _WORD = r"[^\x20\x09-\x0D]+"
 _R = HostRules()
@@ -24,7 +24,7 @@ o AS (SELECT *, row_number() OVER (ORDER BY cap / w, k) AS turn, (SELECT sum(n)
 c AS (SELECT coalesce(min(turn), 1 << 30) AS first_free FROM o WHERE NOT rest * w / heavy > cap),
 f AS (SELECT rest, heavy FROM o, c WHERE turn = first_free),
 t AS (SELECT source, n, CASE WHEN turn < first_free THEN cap::DOUBLE ELSE (SELECT rest FROM f)::DOUBLE * w / (SELECT heavy FROM f) END AS target FROM o, c),
-r AS (SELECT doc_id, source, size, row_number() OVER (PARTITION BY source ORDER BY size, doc_id % {LANES}, doc_id) AS i FROM d WHERE size > 0),
+r AS (SELECT doc_id, source, size, row_number() OVER (PARTITION BY source ORDER BY size, ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT % {LANES}, doc_id) AS i FROM d WHERE size > 0),
 u AS (SELECT source, ('0x' || substr(md5('{SEED}/' || coalesce(source, '')), 1, 8))::BIGINT::DOUBLE / 4294967296.0 AS u FROM s)
 SELECT d.doc_id, d.size::BIGINT AS size, t.n AS source_size, t.target, (CASE WHEN d.size > 0 THEN floor(t.target / t.n * r.i + u.u) - floor(t.target / t.n * (r.i - 1) + u.u) ELSE 0 END)::BIGINT * d.size AS taken
 FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source JOIN u ON d.source IS NOT DISTINCT FROM u.source LEFT JOIN r ON r.doc_id = d.doc_id
@@ -37,14 +37,15 @@ g AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS k FROM
 rep AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, k) > 1),
 cov AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM rep) GROUP BY doc_id),
 m AS (SELECT d.doc_id, d.source, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda w: length(w))), 0)::BIGINT AS word_chars,
-  length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(cov.n, 0)::BIGINT AS n_repeat_words
+  length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, len(lines) AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(cov.n, 0)::BIGINT AS n_repeat_words
   FROM d JOIN l ON d.doc_id = l.doc_id LEFT JOIN cov ON d.doc_id = cov.doc_id),
-b AS (SELECT *, n_words < {_R.least_words} OR 100 * n_repeat_words > {_R.most_repeat_percent} * n_words AS base_failed, 100 * n_symbols > {_R.most_symbol_percent} * word_chars AS noisy FROM m),
-h AS (SELECT source, count(*) AS docs, count(*) FILTER (base_failed OR noisy) AS failures FROM b GROUP BY source),
-p AS (SELECT least(greatest(sum(failures) / sum(docs), 1e-6), 1 - 1e-6) AS mean, greatest(sum(failures * failures / docs) / sum(docs) - (sum(failures) / sum(docs)) ** 2, 0) AS var FROM h),
-q AS (SELECT mean, CASE WHEN var > 0 THEN least(greatest(mean * (1 - mean) / var - 1, 1), 1e6) ELSE 1e6 END AS strength FROM p),
-v AS (SELECT source, (failures + mean * strength) / (docs + strength) <= {_R.most_failures} AS good FROM h, q)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND good AS kept FROM b JOIN v ON b.source IS NOT DISTINCT FROM v.source
+b AS (SELECT *, n_words < {_R.least_words} OR 100 * n_repeat_words > {_R.most_repeat_percent} * n_words AS base_failed, 100 * n_symbols > {_R.most_symbol_percent} * word_chars OR 100 * n_dup_lines > {_R.most_dup_line_percent} * n_lines AS odd FROM m),
+h AS (SELECT source, count(*) AS docs, count(*) FILTER (base_failed OR odd) AS failures FROM b GROUP BY source),
+p AS (SELECT least(greatest(sum(failures) / sum(docs), 1e-6), 1 - 1e-6) AS mean, count(*) - 1 AS k, sum(docs) AS docs, sum(failures * failures / docs) - sum(failures) * sum(failures) / sum(docs) AS raw, sum(docs * docs) AS squares FROM h),
+e AS (SELECT mean, raw - k * mean * (1 - mean) AS spread, docs - squares / docs - k AS weight FROM p),
+q AS (SELECT mean, CASE WHEN spread > 0 AND weight > 0 THEN least(greatest(mean * (1 - mean) * weight / spread - 1, 1), 1e6) ELSE 1e6 END AS strength FROM e),
+v AS (SELECT source, (failures + mean * strength) / (docs + strength) AS rate FROM h, q)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rate <= {_R.most_failures} AND (rate <= {_R.trusted_failures} OR NOT odd) AS kept FROM b JOIN v ON b.source IS NOT DISTINCT FROM v.source
 """
 
 
@@ -54,10 +55,10 @@ def _url_sql() -> str:
     rule = "CASE " + " ".join(f"WHEN {fits(r)} THEN '{r[1]}{r[2]}'" for r in by_length) + " END"
     verdict = "CASE " + " ".join(f"WHEN {fits(r)} THEN '{r[0]}'" for r in by_length) + " END"
     out = [
-        f"u AS (SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '{UPPER}', '{LOWER}'), '') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages)",
+        f"u AS (SELECT page_id, coalesce(url, '') AS text, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '{UPPER}', '{LOWER}'), '') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages)",
         f"j AS (SELECT *, {rule} AS rule, {verdict} AS by_rule FROM u)",
-        "t AS (SELECT host || path AS text, count(*) FILTER (by_rule = 'allow') AS good, count(*) FILTER (by_rule = 'block') AS bad FROM j GROUP BY 1)",
-        f"e AS (SELECT text, good, bad, substring(text || chr(10), greatest(1, i - {ORDER})::INT, least(i, {ORDER + 1})::INT) AS win FROM (SELECT *, unnest(range(1, length(text) + 2)) AS i FROM t))",
+        f"t AS (SELECT text, count(*) FILTER (by_rule = 'allow') AS good, count(*) FILTER (by_rule = 'block') AS bad, ('0x' || substr(md5(text), 1, 8))::BIGINT % {HELD} = 0 AS held FROM j GROUP BY text)",
+        f"e AS (SELECT text, CASE WHEN held THEN 0 ELSE good END AS good, CASE WHEN held THEN 0 ELSE bad END AS bad, substring(text || chr(10), greatest(1, i - {ORDER})::INT, least(i, {ORDER + 1})::INT) AS win FROM (SELECT *, unnest(range(1, length(text) + 2)) AS i FROM t))",
         f"x AS (SELECT win, sum(good)::BIGINT AS good, sum(bad)::BIGINT AS bad, {1.0 / ALPHABET}::DOUBLE AS p_good, {1.0 / ALPHABET}::DOUBLE AS p_bad FROM e GROUP BY win)",
     ]
     before = "x"
@@ -69,12 +70,14 @@ def _url_sql() -> str:
         before = f"y{o}"
     out += [
         f"s AS (SELECT win, round(ln(p_good / p_bad) * {MICRO})::BIGINT AS score FROM {before})",
-        f"m AS (SELECT text, good, bad, floor(sum(score)::DOUBLE / count(*) / {BIN}) AS bin FROM e JOIN s ON e.win = s.win GROUP BY text, good, bad)",
-        "h AS (SELECT bin, sum(good) AS good, sum(bad) AS bad FROM m WHERE good + bad > 0 GROUP BY bin)",
+        f"m AS (SELECT t.text, t.good, t.bad, t.held, b.bin FROM t JOIN (SELECT text, floor(sum(score)::DOUBLE / count(*) / {BIN}) AS bin FROM e JOIN s ON e.win = s.win GROUP BY text) b ON t.text = b.text)",
+        "h AS (SELECT bin, sum(good) AS good, sum(bad) AS bad FROM m WHERE held AND good + bad > 0 GROUP BY bin)",
         "k AS (SELECT bin, coalesce(sum(good) OVER (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lost, coalesce(sum(bad) OVER (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS caught, sum(good) OVER () AS n_good, sum(bad) OVER () AS n_bad FROM h)",
         "z AS (SELECT bin FROM k WHERE n_good > 0 AND n_bad > 0 ORDER BY lost / n_good + (n_bad - caught) / n_bad, bin LIMIT 1)",
     ]
-    return "WITH " + ",\n".join(out) + "\nSELECT page_id, host, path, rule, coalesce(by_rule, CASE WHEN (SELECT bin FROM z) IS NULL OR bin >= (SELECT bin FROM z) THEN 'allow' ELSE 'block' END) AS verdict FROM j JOIN m ON j.host || j.path = m.text"
+    out.append("n AS (SELECT coalesce(sum(good), 0) > 0 AND coalesce(sum(bad), 0) > 0 AS trained FROM m WHERE NOT held)")
+    by_model = "CASE WHEN (SELECT trained FROM n) AND bin < coalesce((SELECT bin FROM z), 0) THEN 'block' ELSE 'allow' END"
+    return "WITH " + ",\n".join(out) + f"\nSELECT page_id, host, path, rule, coalesce(by_rule, {by_model}) AS verdict FROM j JOIN m ON j.text = m.text"
 
 
 _LINES = f"""

@@ -2,15 +2,13 @@
 
 URLs that a rule decides train two variable-order Markov models, of accepted and of rejected URLs: the chance of
 a character interpolates contexts of 0 to ``ORDER`` characters (Witten-Bell: an order is trusted by its count
-against its number of distinct followers). A URL's score is the log-likelihood difference of its characters over
-their number; the threshold is calibrated on the rule-decided URLs, at the least sum of both error rates.
-
-Its characters are those of host and path only, as in the SQL: scheme, query string and fragment are not scored,
-URLs that differ in nothing else share a verdict, and so do all null URLs and all without ``://``.
+against its number of distinct followers). A URL's score is the log-likelihood difference of all its characters, from
+the scheme to the fragment, over their number. One part in ``HELD`` of the rule-decided URLs, by a digest, trains nothing and
+calibrates the threshold, at the least sum of both error rates; where it lacks accepted or rejected ones the threshold is 0.
 
 Everything is counted on distinct windows (a context with its character): windows are pre-aggregated with class
 counts, each distinct window is scored once, and URLs meet the scores in one join whose hot windows AQE splits.
-Scores are whole millionths, so sums do not depend on order. One number, the threshold, reaches the driver.
+Scores are whole millionths, so sums do not depend on order. The threshold and the sums over all windows reach the driver.
 """
 
 from __future__ import annotations
@@ -20,13 +18,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, tasks
 
 ORDER = 4
 #: Bins of a hundredth of a nat a character for calibration.
 BIN = 10_000
 MICRO = 1_000_000
 ALPHABET = 256
+#: One rule-decided URL in so many is held out for calibration.
+HELD = 4
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: (verdict, host, path) of the production rules.
@@ -72,9 +72,12 @@ def _scored_windows(windows: DataFrame, order: int) -> DataFrame:
         # windows at the start of a text are shorter: they take part in the orders that they have
         gram = F.substring("window", -(o + 1), o + 1)
         grams = windows.where(F.length("window") > o).groupBy(gram.alias("gram")).agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
-        context = F.substring("gram", 1, o) if o else F.lit("")
-        followers = grams.groupBy(context.alias("context")).agg(F.sum("good").alias("n_good"), F.sum("bad").alias("n_bad"), F.sum((F.col("good") > 0).cast("long")).alias("t_good"), F.sum((F.col("bad") > 0).cast("long")).alias("t_bad"))
-        table = grams.withColumn("context", context).join(followers, "context").drop("context")
+        sums = [F.sum("good").alias("n_good"), F.sum("bad").alias("n_bad"), F.sum((F.col("good") > 0).cast("long")).alias("t_good"), F.sum((F.col("bad") > 0).cast("long")).alias("t_bad")]
+        if o:
+            context = F.substring("gram", 1, o)
+            table = grams.withColumn("context", context).join(grams.groupBy(context.alias("context")).agg(*sums), "context").drop("context")
+        else:  # one context, the empty one
+            table = grams.withColumns({name: F.lit(value or 0) for name, value in grams.agg(*sums).first().asDict().items()})
         out = out.withColumn("gram", F.when(F.length("window") > o, gram)).join(table, "gram", "left")
         steps = []
         for k in ("good", "bad"):
@@ -97,25 +100,32 @@ def _threshold(bins: DataFrame) -> int | None:
 def filter_urls(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, order: int = ORDER) -> DataFrame:
     """``pages(page_id, url, ...)`` -> ``(page_id, host, path, rule, verdict, score)``, a row for each input row.
 
-    A null url, or one without ``://``, has an empty host and path, fits no rule and is judged like any other
-    text (the empty one). ``score`` is the model's difference in millionths of a nat a character, null where a
-    rule decides. Where rules accept or reject nothing there is no model and what no rule decides is allowed.
+    A null url, or one without ``://``, has an empty host and path and fits no rule; the model judges it by its
+    characters like any other (a null url by none). ``score`` is the model's difference in millionths of a nat a character, null
+    where a rule decides. Where rules accept or reject nothing there is no model and what no rule decides is allowed.
     Equal URLs are scored once. Extra columns are not read; an empty table gives an empty table.
     """
     url = F.col("url").cast("string")
-    parsed = pages.select(F.col("page_id").cast("long").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
+    parsed = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(url, F.lit("")).alias("text"), host_of(url).alias("host"), path_of(url).alias("path"))
     rule, verdict = matched_rule(F.col("host"), F.col("path"), rules)
-    judged = cut(parsed.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("by_rule")))
-    texts = judged.groupBy(F.concat("host", "path").alias("text")).agg(F.sum((F.col("by_rule") == "allow").cast("long")).alias("good"), F.sum((F.col("by_rule") == "block").cast("long")).alias("bad"))
-    texts = cut(texts.na.fill(0, ["good", "bad"]))
-    each = texts.select("text", "good", "bad", F.explode(_windows(F.col("text"), order)).alias("window"))
+    judged = cut(parsed.select("page_id", "text", "host", "path", rule.alias("rule"), verdict.alias("by_rule")))
+    held = F.conv(F.substring(F.md5(F.col("text").cast("binary")), 1, 8), 16, 10).cast("long") % HELD == 0
+    texts = judged.groupBy("text").agg(F.sum((F.coalesce("by_rule", F.lit("")) == "allow").cast("long")).alias("good"), F.sum((F.coalesce("by_rule", F.lit("")) == "block").cast("long")).alias("bad"))
+    texts = cut(texts.withColumn("held", held))
+    # dealt out anew: a few small files would be one task, and each row becomes as many as it has characters
+    train = [F.when(F.col("held"), 0).otherwise(F.col(c)).alias(c) for c in ("good", "bad")]
+    each = texts.repartition(tasks(pages.sparkSession), "text").select("text", *train, F.explode(_windows(F.col("text"), order)).alias("window"))
     windows = cut(each.groupBy("window").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")))
     scores = cut(_scored_windows(windows, order))
     met = each.groupBy("text", "window").agg(F.count("*").alias("n")).join(scores, "window")
     scored = cut(met.groupBy("text").agg(F.sum(F.col("n") * F.col("score")).alias("total"), F.sum("n").alias("n")).join(texts, "text"))
     mean = F.col("total") / F.col("n")
-    least = _threshold(scored.where("good + bad > 0").groupBy(F.floor(mean / BIN).alias("bin")).agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")))
-    by_model = F.when(F.floor(mean / BIN) >= least, "allow").otherwise("block") if least is not None else F.lit("allow")
+    decided = scored.where("good + bad > 0").withColumn("bin", F.floor(mean / BIN))
+    trained = decided.where("not held").agg(F.sum("good"), F.sum("bad")).first()
+    by_model = F.lit("allow")
+    if all(trained):
+        least = _threshold(decided.where("held").groupBy("bin").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")))
+        by_model = F.when(F.floor(mean / BIN) >= (least or 0), "allow").otherwise("block")
     model = scored.select("text", by_model.alias("by_model"), F.round(mean, 3).alias("score"))
-    out = judged.withColumn("text", F.concat("host", "path")).join(model, "text", "left")
+    out = judged.join(model, "text", "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("by_rule", "by_model", F.lit("allow")).alias("verdict"), F.when(F.col("rule").isNull(), F.col("score")).alias("score"))
