@@ -13,13 +13,15 @@ from lectern.llm.linededup import dedup_lines
 from lectern.llm.mixing import mixed_documents
 from lectern.llm.neardup import near_components
 from lectern.llm.packing import pack_documents
-from lectern.llm.resample import fit, gumbel_key, with_weights
+from lectern.llm.resample import fit, is_kept, with_weights
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Importance resampling against the labelled good documents; rejected documents go."""
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return with_weights(docs, model).where(gumbel_key() >= F.lit(model.least_key)).select(*docs.columns)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    weighed = with_weights(docs.select(row, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), model)
+    return weighed.where(is_kept(model)).select("row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,10 +2,13 @@
 
 Tokens are runs of letters and digits or single other characters (case kept); unigrams and bigrams fall into
 ``BUCKETS`` hash buckets. The raw model counts every document; the target model counts the labelled good
-documents of a bounded sample (``sample_labels``). A document's log weight is the sum over its n-grams of the
-log ratio of the two models, less ``bias`` an n-gram, calibrated on the same sample. Every document gets one
-Gumbel draw from its id; the ``k`` greatest ``log weight + draw`` are kept, which samples without
-replacement in proportion to the weights.
+documents of a bounded sample (``sample_labels``). The log ratio of the two models grows with a text's length, far
+beyond what any draw could turn, so it is taken as the mean of the text's n-grams and tempered: a logistic fit on labels
+that the target model has not counted turns the mean into the log odds of being good, times ``GOOD_COST``, for
+losing a good document costs so many times what keeping a bad one does. These odds are the document's weight. Every
+document gets one Gumbel draw from its id; the ``k`` greatest ``log weight + draw`` are kept, which samples ``k`` documents without
+replacement in proportion to the weights. ``k`` is a share of the documents, if one is given, else the expected
+number of good ones, the sum of odds / (1 + odds) over all.
 
 Counts are pre-aggregated in each task (``BUCKETS`` rows a task at most); the driver sees the two fixed-size
 models and fixed-size histograms, never a row for each document. Nothing is sorted: the k-th greatest key is
@@ -27,6 +30,8 @@ from .textvec import Powers, mix, text_bytes
 
 BUCKETS = 1 << 18
 SEED = 17
+#: What losing a good document costs against keeping a bad one.
+GOOD_COST = 5.0
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _SOLID = np.zeros(256, bool)
@@ -70,10 +75,11 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Model:
-    """The log ratio of each bucket, the bias of an n-gram, and the key from which documents are kept."""
+    """The log ratio of each bucket, what turns a text's mean into log odds, and the key from which documents are kept."""
 
     ratio: np.ndarray
-    bias: float = 0.0
+    scale: float = 1.0
+    offset: float = 0.0
     least_key: float = -np.inf
 
 
@@ -103,29 +109,35 @@ def fit_models(docs: DataFrame, sample: DataFrame) -> Model:
 def with_weights(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with ``n_ngrams`` and ``log_weight`` added, in one pass without a shuffle.
 
-    Only ``text`` is read; both names must be free, which ``quality_classifier`` and the pipeline see to.
+    A text without n-grams has log weight 0. Only ``text`` is read; columns of either name are replaced.
     """
-    ratio, bias = model.ratio, model.bias
+    ratio, scale, offset = model.ratio, model.scale, model.offset
+    docs = docs.drop("n_ngrams", "log_weight")
 
     def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
         for batch in pieces(batches):
             bucket, row = _ngrams(batch.column("text"), powers)
             n = np.bincount(row, minlength=batch.num_rows)
-            total = np.bincount(row, ratio[bucket].astype(np.float64), minlength=batch.num_rows) - bias * n
-            arrays = [*batch.columns, pa.array(n.astype(np.int64)), pa.array(total)]
+            mean = np.bincount(row, ratio[bucket].astype(np.float64), minlength=batch.num_rows) / np.maximum(n, 1)
+            arrays = [*batch.columns, pa.array(n.astype(np.int64)), pa.array(np.where(n > 0, scale * mean + offset, 0.0))]
             yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names, "n_ngrams", "log_weight"])
 
     kinds = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return docs.mapInArrow(weighed, f"{kinds}, n_ngrams long, log_weight double")
 
 
-def gumbel_key() -> Column:
+def gumbel_key(seed: int = SEED) -> Column:
     """``log_weight`` with the document's Gumbel draw, the same in every run."""
-    u = (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(SEED)), 11).cast("double") + 0.5) / float(1 << 53)
+    u = (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
     return F.col("log_weight") - F.log(-F.log(u))
 
 
+def is_kept(model: Model, seed: int = SEED) -> Column:
+    """Whether a row of ``with_weights`` is among the sampled; texts without n-grams show nothing against them and stay."""
+    return (F.col("n_ngrams") == 0) | (gumbel_key(seed) >= F.lit(model.least_key))
+
+
 def kth_greatest(keys: DataFrame, column: str, k: int, bins: int = 4096, few: int = 4096) -> float:
     """The k-th greatest value, by counting in bins; at most ``bins`` counts or ``few`` values reach the driver."""
     low, high = keys.agg(F.min(column), F.max(column)).first()
@@ -150,23 +162,26 @@ def kth_greatest(keys: DataFrame, column: str, k: int, bins: int = 4096, few: in
         low, high = least, most
 
 
-def _bias(scored: DataFrame, sample: DataFrame) -> float:
-    """The log ratio an n-gram that best parts good from bad labels; losing a good one counts five times."""
-    rows = scored.where("n_ngrams > 0").join(F.broadcast(sample), "doc_id").select((F.col("log_weight") / F.col("n_ngrams")).alias("mean"), "quality").toArrow()
-    mean, good = rows.column("mean").to_numpy(), rows.column("quality").to_numpy() == 1
-    if good.all() or not good.any():
-        return -np.inf if good.any() else 0.0
-    order = np.argsort(mean, kind="stable")
-    mean, good = mean[order], good[order]
-    # cost of a cut just under position i: good ones below are lost, bad ones from there on are kept
-    cost = 5 * np.concatenate([[0], np.cumsum(good)]) + np.concatenate([np.cumsum(~good[::-1])[::-1], [0]])
-    best = np.flatnonzero(cost == cost.min())
-    i = int(best[len(best) // 2])
-    return float(mean[0] - 1 if i == 0 else mean[-1] + 1 if i == len(mean) else (mean[i - 1] + mean[i]) / 2)
+def _log_odds(mean: np.ndarray, good: np.ndarray) -> tuple[float, float] | None:
+    """Scale and offset of the logistic fit, with targets short of 0 and 1 so that clear-cut labels do not part without bound."""
+    n_good, n_bad = int(good.sum()), int((~good).sum())
+    if not n_good or not n_bad or mean.std() == 0:
+        return None
+    centre, width = mean.mean(), mean.std()
+    x = np.stack([(mean - centre) / width, np.ones(len(mean))], 1)
+    y = np.where(good, (n_good + 1) / (n_good + 2), 1 / (n_bad + 2))
+    w = np.zeros(2)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2), x.T @ (p - y) + 1e-3 * w)
+        w -= np.clip(step, -2, 2)
+        if np.abs(step).max() < 1e-9:
+            break
+    return float(w[0] / width), float(w[1] - w[0] * centre / width)
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """Models, bias and sampling threshold: k is the number of documents whose log weight is not negative.
+def fit(docs: DataFrame, labels: DataFrame, share: float | None = None, seed: int = SEED) -> Model:
+    """Models, calibration and the key of the k-th document.
 
     Without a good label, or without a bad one, nothing can be told apart and every document is kept.
     """
@@ -176,23 +191,29 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     half = F.pmod(F.xxhash64("doc_id", F.lit(SEED + 1)), F.lit(2))
     model = fit_models(narrow, sample.where(half == 0))
     scored = cut(with_weights(narrow, model).drop("text"))
-    model.bias = _bias(scored, sample.where(half == 1))
-    if not np.isfinite(model.bias) or not model.ratio.any():
+    # one row a sampled label, however many documents share its id
+    held = F.broadcast(sample.where(half == 1))
+    rows = scored.where("n_ngrams > 0").join(held, "doc_id").groupBy("doc_id").agg(F.min("log_weight").alias("mean"), F.min("quality").alias("quality")).orderBy("doc_id").toArrow()
+    found = _log_odds(rows.column("mean").to_numpy(), rows.column("quality").to_numpy() == 1) if model.ratio.any() else None
+    if found is None:
         return Model(model.ratio)
-    keyed = scored.withColumn("log_weight", F.col("log_weight") - F.lit(model.bias) * F.col("n_ngrams")).withColumn("key", gumbel_key())
-    k = keyed.where("log_weight >= 0").count()
+    model.scale, model.offset = found[0], found[1] + float(np.log(GOOD_COST))
+    keyed = scored.where("n_ngrams > 0").withColumn("log_weight", F.col("log_weight") * model.scale + model.offset).withColumn("key", gumbel_key(seed))
+    # whole millionths, so that the sum does not depend on its order
+    chance = F.round(1e6 / (1 + F.exp(-F.col("log_weight")))).cast("long")
+    n, good = keyed.agg(F.count("*"), F.coalesce(F.sum(chance), F.lit(0))).first()
+    k = round(share * n) if share is not None else round(good / 1e6)
     model.least_key = kth_greatest(keyed, "key", k)
     return model
 
 
-def quality_classifier(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def quality_classifier(docs: DataFrame, labels: DataFrame, share: float | None = None, seed: int = SEED) -> DataFrame:
     """``docs(doc_id, text, ...)``, ``labels(doc_id, quality)`` -> ``(doc_id, n_ngrams, log_weight, kept)``, a row for each input row.
 
-    A null text is empty and has log weight 0. Rows with equal doc_id share one Gumbel draw. Rows whose key
-    ties with the k-th are all kept. Labels of unknown documents and null labels are ignored; where a document
-    has several labels the lowest counts. Extra columns are not read.
+    A null text is empty; a text without n-grams has log weight 0, takes no part in the sampling and is kept. Rows with equal
+    doc_id share one Gumbel draw, and so do all without one. Rows whose key ties with the k-th are all kept. Labels of unknown documents
+    and null labels are ignored; where a document has several labels the lowest counts. Extra columns are not read.
     """
-    model = fit(docs, labels)
+    model = fit(docs, labels, share, seed)
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = with_weights(narrow, model).drop("text")
-    return out.withColumn("kept", gumbel_key() >= F.lit(model.least_key))
+    return with_weights(narrow, model).drop("text").withColumn("kept", is_kept(model, seed))
