@@ -153,12 +153,16 @@ def _prefixes(posts: DataFrame, classes: DataFrame) -> DataFrame:
     """
     posts = posts.repartition("post")  # one exchange for both the count and the join
     shared = posts.groupBy("post").agg(F.count("*").alias("df")).where("df > 1")
-    held = posts.join(shared, "post").groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("df", "post"))).alias("held")).join(classes, "cid")
-    company = F.aggregate("held", F.lit(0).cast("long"), lambda acc, x: acc + x["df"])
-    # posts that no other class holds are the rarest and take the first places
-    own = F.col("filled") - F.size("held")
-    prefix = F.slice("held", 1, F.greatest(F.lit(0), F.size("held") - F.col("least") + 1))
-    return held.select("cid", "n", company.alias("company"), own.alias("own"), F.posexplode(prefix).alias("i", "x")).select("cid", "n", "company", F.col("x.post").alias("post"), (F.col("own") + F.col("i")).alias("pos"))
+    held = posts.join(shared, "post").groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("df", "post"))).alias("held")).join(classes, "cid")
+    # posts that no other class holds are the rarest and take the first places; sums come before the explode, else each of its rows makes them anew
+    summed = held.select(
+        "cid",
+        "n",
+        F.aggregate("held", F.lit(0).cast("long"), lambda acc, x: acc + x["df"]).alias("company"),
+        (F.col("filled") - F.size("held")).alias("own"),
+        F.slice("held", 1, F.greatest(F.lit(0), F.size("held") - F.col("least") + 1)).alias("prefix"),
+    )
+    return summed.select("cid", "n", "company", "own", F.posexplode("prefix").alias("i", "x")).select("cid", "n", "company", F.col("x.post").alias("post"), (F.col("own") + F.col("i")).alias("pos"))
 
 
 def _places(n: Column, pos: Column, m: Column, at: Column) -> Column:
