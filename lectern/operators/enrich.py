@@ -32,12 +32,18 @@ def lookups_to_fetch(books: DataFrame, cache: DataFrame) -> DataFrame:
     return want.join(cache.select("key"), "key", "left_anti")
 
 
+def _once(df: DataFrame, fields: Column) -> DataFrame:
+    """``df`` with the struct's fields as columns, computed once a row: the optimizer would put a projection's rules into every use of them, but not through a generator."""
+    return df.select("*", F.inline(F.array(fields)))
+
+
 def enrich(books: DataFrame, front: DataFrame | None = None, cache: DataFrame | None = None) -> DataFrame:
     """``books(id, clean_title, raw_title, source_path, in_directory)`` -> all catalog columns.
 
     ``front`` has front matter by ``path``, ``cache`` answers by key. Without either, rules decide alone.
     """
     spark = books.sparkSession
+    titled = front is not None or cache is not None
     front = spark.createDataFrame([], FRONT_SCHEMA) if front is None else front
     cache = spark.createDataFrame([], LOOKUP_SCHEMA) if cache is None else cache
     answers = cache.where("hit")
@@ -47,15 +53,16 @@ def enrich(books: DataFrame, front: DataFrame | None = None, cache: DataFrame |
     blank = M.is_uninformative(F.col("clean_title"))
     useful = F.when(~M.is_uninformative(F.col("fm.title")), F.col("fm.title"))
     candidate = F.when(blank, F.coalesce(M.nonblank(F.col("isbn_data.title")), useful))
-    x = x.withColumn("clean_title", F.when(candidate.isNotNull(), clean_title(candidate)).otherwise(F.col("clean_title")))
+    if titled:
+        x = _once(x, F.struct(F.when(candidate.isNotNull(), clean_title(candidate)).alias("_better")))
+        x = x.withColumn("clean_title", F.coalesce("_better", "clean_title")).drop("_better")
     x = x.join(answers.select(F.col("key").alias("_tk"), F.col("data").alias("title_data")), (lookup_key(F.col("clean_title")) == F.col("_tk")) & F.col("isbn_data").isNull(), "left").drop("_tk")
     api = lambda c: M.nonblank(F.coalesce(F.col("isbn_data"), F.col("title_data"))[c].cast("string"))
     isbn, page = (lambda c: M.nonblank(F.col(f"isbn_data.{c}"))), (lambda c: M.nonblank(F.col(f"fm.{c}")))
     raw, clean = F.coalesce("raw_title", F.lit("")), F.coalesce("clean_title", F.lit(""))
     info = M.file_info(F.when(F.length(F.coalesce("source_path", F.lit(""))) > 0, F.col("source_path")).otherwise(raw))
-    rules = M.edition_info(raw, clean)
-    x = x.withColumn("info", info).withColumn("tax", M.taxonomy(raw, clean)).withColumn("ed", rules)
-    x = x.withColumn("media", M.media_class(raw, clean, F.col("info.file_type")))
+    x = _once(x, F.struct(info.alias("info"), M.taxonomy(raw, clean).alias("tax"), M.edition_info(raw, clean).alias("ed")))
+    x = _once(x, F.struct(M.media_class(raw, clean, F.col("info.file_type")).alias("media")))
     sub = F.coalesce(M.subtitle(clean), isbn("subtitle"), page("subtitle"))
     author = F.coalesce(api("author"), isbn("author"), page("author"), M.author(raw, clean))
     publisher = F.coalesce(api("publisher"), isbn("publisher"), page("publisher"), M.publisher(raw, clean))
@@ -65,8 +72,8 @@ def enrich(books: DataFrame, front: DataFrame | None = None, cache: DataFrame |
     edition = F.when(paged, F.coalesce(page("edition"), F.concat(F.col("fm.revision").cast("string"), F.lit("th Edition")))).otherwise(F.col("ed.edition"))
     counted = F.coalesce(F.col("isbn_data"), F.col("title_data"))["revision"]
     edition = F.when(counted > revision, F.concat(counted.cast("string"), F.lit("th Edition"))).otherwise(edition)
-    x = x.withColumn("subtitle", sub).withColumn("author", author).withColumn("publisher", publisher).withColumn("published", published)
-    x = x.withColumn("edition", edition).withColumn("revision", F.greatest(revision, F.coalesce(counted, F.lit(0))))
+    told = (sub.alias("subtitle"), author.alias("author"), publisher.alias("publisher"), published.alias("published"), edition.alias("edition"), F.greatest(revision, F.coalesce(counted, F.lit(0))).alias("revision"))
+    x = _once(x, F.struct(*told))
     found = F.coalesce(api("summary"), page("summary"))
     told = html_snippet(found)
     made = M.summary(F.col("clean_title"), F.col("subtitle"), F.col("author"), F.col("publisher"), F.col("published"), F.col("edition"), F.col("media.media_type"), F.col("tax.domain"), F.col("tax.subject"), F.col("tax.subfield"), F.col("tax.genre"))

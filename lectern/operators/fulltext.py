@@ -32,8 +32,8 @@ def cover_density(positions: list[list[int]]) -> float:
         return 0.0
     events = sorted((at, term) for term, ps in enumerate(positions) for at in ps)
     last: dict[int, int] = {}
-    total, previous = 0.0, -1
-    for i, (at, term) in enumerate(events):
+    total, previous, low, upto = 0.0, -1, 0, 0
+    for at, term in events:
         last[term] = at
         if len(last) < len(positions):
             continue
@@ -41,8 +41,12 @@ def cover_density(positions: list[list[int]]) -> float:
         if begin == previous:
             continue
         previous = begin
-        inside = sum(1 for p, _ in events if begin <= p <= at)
-        noise = (at - begin) - (inside - 1)
+        # covers begin and end ever later: two pointers count the events between
+        while events[low][0] < begin:
+            low += 1
+        while upto < len(events) and events[upto][0] <= at:
+            upto += 1
+        noise = (at - begin) - (upto - low - 1)
         total += 0.1 / (1 + max(0, noise)) if len(positions) > 1 else 0.1
     return total
 
@@ -70,7 +74,18 @@ def sparse_search(chunks: DataFrame, query: str, k: int = 10, id_: str = "chunk_
     return top_k(matched.select(id_, _rank(F.array(*[F.col(f"p{n}") for n in range(len(terms))])).alias("rank")), "rank", id_, k)
 
 
-def postings(chunks: DataFrame, id_: str = "chunk_id", content: str = "content") -> DataFrame:
-    """``(lexeme, id, positions)``: an inverted index to store partitioned or bucketed by lexeme."""
-    each = chunks.select(id_, F.posexplode(stems(lexemes(F.col(content)))).alias("at", "lexeme")).where("lexeme is not null")
-    return each.groupBy("lexeme", id_).agg(F.sort_array(F.collect_list(F.col("at") + 1)).alias("positions"))
+def postings(chunks: DataFrame, id_: str = "chunk_id", content: str = "content", stemmed: bool = True, carried: tuple[str, ...] = ()) -> DataFrame:
+    """``(lexeme, id, carried..., positions)``: an inverted index to store partitioned or bucketed by lexeme."""
+    tokens = lexemes(F.col(content))
+    each = chunks.select(id_, *carried, F.posexplode(stems(tokens) if stemmed else tokens).alias("at", "lexeme")).where("lexeme is not null")
+    return each.groupBy("lexeme", id_, *carried).agg(F.sort_array(F.collect_list(F.col("at") + 1)).alias("positions"))
+
+
+def indexed_search(index: DataFrame, query: str, k: int = 10, id_: str = "chunk_id", stemmed: bool = True) -> DataFrame:
+    """``sparse_search`` over stored ``postings``: only the postings of the query's terms are read, no text."""
+    terms = query_terms(query, stemmed)
+    if not terms:
+        return index.select(F.col(id_), F.lit(0.0).alias("rank")).limit(0)
+    met = index.where(F.col("lexeme").isin(*terms)).groupBy(id_).agg(F.collect_list("positions").alias("p")).where(F.size("p") == len(terms))
+    rank = F.size(F.col("p")[0]) * F.lit(0.1) if len(terms) == 1 else _rank(F.col("p"))
+    return top_k(met.select(id_, rank.alias("rank")), "rank", id_, k)

@@ -52,13 +52,25 @@ def fold_by_key(df: DataFrame, key: str, order: str, greatest: tuple[str, ...] =
     return df.groupBy(key).agg(F.min(order).alias(order), *columns)
 
 
-def sync_catalog(catalog: DataFrame, statuses: DataFrame, list_path: str = "") -> DataFrame:
-    """Matched, missing and unlisted records into a catalog by ``clean_title``; the last of these three wins on a title."""
+def sync_catalog(catalog: DataFrame, statuses: DataFrame, list_path: str = "", now: Column | None = None) -> DataFrame:
+    """Matched, missing and unlisted records into a catalog by ``clean_title``; the last of these three wins on a title.
+
+    A missing record that the catalog does not know is inserted with its own path, else ``list_path``. Where the catalog has ``updated_at`` (and
+    ``created_at``), every row that is touched gets ``now``; inserted ones get both.
+    """
+    now = F.current_timestamp() if now is None else now
     row = lambda side, path, flag: F.struct(F.col(f"{side}.clean_title").alias("clean_title"), F.col(f"{side}.raw_title").alias("raw_title"), path.alias("source_path"), F.lit(flag).alias("in_directory"))
     part = lambda s, side, path, flag: statuses.where(F.col("status") == s).select(row(side, path, flag).alias("r")).select("r.*")
-    rows = last_by_priority([part("matched", "list", F.col("dir.source_path"), 1), part("missing", "list", F.lit(list_path), 0), part("unlisted", "dir", F.col("dir.source_path"), 1)], "clean_title")
-    update = {"in_directory": lambda o, n: n("in_directory"), "source_path": lambda o, n: F.when(n("in_directory") == 1, n("source_path")).otherwise(o("source_path"))}
-    return merge(catalog, rows, "clean_title", update)
+    listed = F.coalesce("list.source_path", F.lit(list_path))
+    rows = last_by_priority([part("matched", "list", F.col("dir.source_path"), 1), part("missing", "list", listed, 0), part("unlisted", "dir", F.col("dir.source_path"), 1)], "clean_title")
+    update = {"in_directory": lambda o, n: n("in_directory"), "source_path": lambda o, n: F.when(n("in_directory") == 1, n("source_path")).otherwise(o("source_path")), "updated_at": lambda o, n: now}
+    return merge(catalog, rows, "clean_title", update, {"updated_at": lambda n: now, "created_at": lambda n: now})
+
+
+def sync_counts(statuses: DataFrame) -> DataFrame:
+    """One row: how many records of each status a synchronisation takes in."""
+    n = lambda s: F.coalesce(F.sum((F.col("status") == s).cast("long")), F.lit(0))
+    return statuses.agg(n("matched").alias("matched_synced"), n("missing").alias("missing_synced"), n("unlisted").alias("unlisted_synced"))
 
 
 def reclean(catalog: DataFrame, cleaned: Column) -> DataFrame:

@@ -53,10 +53,20 @@ def summarize(statuses: DataFrame) -> DataFrame:
 
 
 def number_rows(df: DataFrame, order: list[str], name: str = "id") -> DataFrame:
-    """Dense ids from 1 by a total order, without one task for all rows: ranges are sorted apart and offset by their counts."""
-    spread = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
-    spread = spread.withColumn("_nth", F.row_number().over(Window.partitionBy("_part").orderBy("_at")))
+    """Dense ids from 1 by a total order, without one task for all rows: the bounds of sorted ranges are drawn once, ranges are numbered apart and offset by their counts.
+
+    A row's range is a function of its values and the drawn bounds, so both readings below agree whatever is computed again.
+    """
+    n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    key = F.struct(*order)
+    drawn = df.select(key.alias("k")).orderBy(F.xxhash64("k")).limit(64 * n).orderBy("k").collect()
+    bounds = [r["k"] for r in drawn[len(drawn) // n or 1 :: len(drawn) // n or 1]]
+    fields = df.select(key.alias("k")).schema["k"].dataType.fields
+    at = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(b, fields, strict=True)]) for b in bounds]
+    part = F.size(F.filter(F.array(*at), lambda b: b < key)) if at else F.lit(0)
+    spread = df.withColumn("_part", part)
+    spread = spread.withColumn("_nth", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
     sizes = spread.groupBy("_part").agg(F.count("*").alias("_n"))
     # one row a partition: the running sum is small by construction
     offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    return spread.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_before") + F.col("_nth")).drop("_part", "_at", "_nth", "_before")
+    return spread.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_before") + F.col("_nth")).drop("_part", "_nth", "_before")

@@ -57,11 +57,14 @@ _HTML = "regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script.*?</sc
 _ENT = "replace(replace(replace(replace({}, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;', '&')"
 _CLEAN = "regexp_replace(regexp_replace(regexp_replace(replace({}, chr(0), ' '), '[ \\t]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g')"
 _DENSE = "list_cosine_similarity(e.embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0))"
-_SIDES = """p AS (SELECT p_partkey, lower(p_name) AS k FROM part), l AS (SELECT k, min(p_partkey) AS list_key FROM p WHERE p_partkey % 2 = 0 GROUP BY k), r AS (SELECT k, max(p_partkey) AS dir_key FROM p WHERE p_partkey % 3 = 0 GROUP BY k)"""
+_SIDES = """l AS (SELECT lower(concat(p_name, ' ', p_size + p_partkey % 5)) AS k, min(p_partkey) AS list_key FROM part GROUP BY k), r AS (SELECT lower(concat(p_name, ' ', p_size + p_partkey % 3)) AS k, max(p_partkey) AS dir_key FROM part GROUP BY k)"""
 _STATUS = f"""WITH {_SIDES} SELECT coalesce(l.k, r.k) AS normalized_title, list_key, dir_key, CASE WHEN l.k IS NULL THEN 'unlisted' WHEN r.k IS NULL THEN 'missing' ELSE 'matched' END AS status FROM l FULL JOIN r ON l.k = r.k"""
 _AND = "SELECT doc_id, round(0.1::DOUBLE * n, 6) AS rank FROM (SELECT doc_id, len(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_\\p{M}]+'), lambda w: w = 'and')) AS n FROM documents) WHERE n > 0 ORDER BY n DESC, doc_id LIMIT 20"
-_BEST = "(SELECT *, row_number() OVER (ORDER BY n_chars, doc_id) AS n FROM (SELECT * FROM documents WHERE lang = 'en' ORDER BY n_chars DESC, doc_id LIMIT 12))"
+_BEST = f"(SELECT d.*, row_number() OVER (ORDER BY rank DESC, doc_id) AS n FROM documents d JOIN ({_AND.replace('LIMIT 20', 'LIMIT 12')}) USING (doc_id))"
 _ENTRY = f"SELECT n, concat('--- [Passage ', n, '] 《', source, '》', CASE WHEN doc_id <> 0 THEN concat(' | p. ', doc_id) ELSE '' END, ' ---', chr(10), {_STRIP.format('text')}, chr(10)) AS entry FROM {_BEST}"
+_LIBRARY = """c AS (SELECT vec_id AS chunk_id, label AS book_id, embedding, vec_id % 7 AS page_number, text AS content, n_name AS clean_title FROM embeddings LEFT JOIN documents ON vec_id = doc_id JOIN nation ON label = n_nationkey WHERE n_name ILIKE '%a%'),
+  dv AS (SELECT c.*, list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)) AS s FROM c),
+  sv AS (SELECT *, 0.1::DOUBLE * n AS rank FROM (SELECT *, len(list_filter(regexp_extract_all(lower(content), '[\\p{L}\\p{N}_\\p{M}]+'), lambda w: w = 'and')) AS n FROM c) WHERE n > 0)"""
 
 
 def _context(most: int) -> str:
@@ -78,11 +81,13 @@ _FULL = {
     "reconcile_summary": f"SELECT m + x AS total_list, m + u AS total_dir, m AS matched, x AS missing_from_dir, u AS unlisted_in_dir, round(CASE WHEN m + x > 0 THEN m / (m + x) * 100 ELSE 0 END, 6) AS match_rate FROM (SELECT count(*) FILTER (status = 'matched') AS m, count(*) FILTER (status = 'missing') AS x, count(*) FILTER (status = 'unlisted') AS u FROM ({_STATUS}))",
     "list_missing": f"WITH {_SIDES} SELECT k AS normalized_title, list_key AS p_partkey FROM l WHERE k NOT IN (SELECT k FROM r)",
     "dir_unlisted": f"WITH {_SIDES} SELECT k AS normalized_title, dir_key AS p_partkey FROM r WHERE k NOT IN (SELECT k FROM l)",
-    "sync_merge": """WITH t AS (SELECT p_name AS k, min(p_partkey) AS raw FROM part WHERE p_partkey % 5 = 0 GROUP BY 1), a AS (SELECT p_name AS k, min(p_partkey) AS raw FROM part WHERE p_partkey % 7 = 1 GROUP BY 1),
-      b AS (SELECT p_name AS k, min(p_partkey) AS raw FROM part WHERE p_partkey % 11 = 1 GROUP BY 1), s AS (SELECT k, raw, 'list' AS path, 0 AS f FROM b UNION ALL SELECT k, raw, 'dir', 1 FROM a WHERE k NOT IN (SELECT k FROM b))
-      SELECT coalesce(t.k, s.k) AS clean_title, coalesce(t.raw, s.raw) AS raw, CASE WHEN t.k IS NULL THEN s.path WHEN s.f = 1 THEN s.path END AS source_path, coalesce(s.f, 0)::INT AS in_directory FROM t FULL JOIN s ON t.k = s.k""",
+    "sync_merge": f"""WITH {_SIDES}, s AS (SELECT coalesce(l.k, r.k) AS k, coalesce(list_key, dir_key) AS i, dir_key FROM l FULL JOIN r ON l.k = r.k), n AS (SELECT lower(p_name) AS low, any_value(p_name) AS p_name FROM part GROUP BY 1),
+      t AS (SELECT concat(p_name, ' ', p_size) AS k, min(p_partkey) AS i FROM part GROUP BY 1), u AS (SELECT s.*, concat(p_name, regexp_extract(k, ' \\d+$')) AS title FROM s JOIN n ON low = regexp_replace(k, ' \\d+$', ''))
+      SELECT coalesce(t.k, u.title) AS clean_title, CASE WHEN t.k IS NULL THEN concat('raw ', u.i) ELSE concat('old ', t.i) END AS raw_title, CASE WHEN u.dir_key IS NOT NULL THEN concat('/d/', u.dir_key) WHEN t.k IS NULL THEN 'list' ELSE 'old' END AS source_path,
+      (u.dir_key IS NOT NULL)::INT AS in_directory, CASE WHEN u.k IS NULL THEN 'before' ELSE 'now' END AS updated_at FROM t FULL JOIN u ON t.k = u.title""",
+    "sync_totals": f"SELECT count(*) FILTER (status = 'matched') AS matched_synced, count(*) FILTER (status = 'missing') AS missing_synced, count(*) FILTER (status = 'unlisted') AS unlisted_synced FROM ({_STATUS})",
     "reclean_merge": "SELECT p_name, min(p_partkey) AS p_partkey, arg_max(p_brand, p_partkey) FILTER (p_size % 2 = 0) AS brand, max(p_size % 2)::INT AS in_directory FROM part GROUP BY p_name",
-    "catalog_upsert": "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN upper(p_name) ELSE p_name END AS p_name, (CASE WHEN p_partkey % 3 = 0 THEN p_size + 100 ELSE p_size END)::INT AS p_size FROM part WHERE p_partkey % 2 = 0 OR p_partkey % 3 = 0",
+    "catalog_upsert": "SELECT coalesce(a.p_partkey, b.k) AS p_partkey, coalesce(b.name, a.p_name) AS p_name, coalesce(b.size, a.p_size)::INT AS p_size FROM part a FULL JOIN (SELECT p_partkey * 3 AS k, upper(p_name) AS name, p_size + 100 AS size FROM part) b ON a.p_partkey = b.k",
     "chunk_replace": "WITH x AS (SELECT doc_id % 50 AS book_id, doc_id AS chunk_id, n_chars FROM documents), f AS (SELECT book_id, chunk_id, -n_chars AS n_chars FROM x WHERE book_id % 10 = 4 AND chunk_id % 4 = 0) SELECT * FROM f UNION ALL SELECT * FROM x WHERE book_id NOT IN (SELECT book_id FROM f)",
     "ext_strip": f"WITH {_TITLES} SELECT p_partkey, {_NO_EXT} AS title FROM titles",
     "doubled_extension": f"WITH {_TITLES} SELECT p_partkey, CASE WHEN raw LIKE '%.pdf' THEN raw ELSE raw || '.pdf' END AS name FROM titles",
@@ -116,6 +121,7 @@ _FULL = {
     "enrich_counts": "SELECT count(*) AS rows, 0::BIGINT AS online, count(*) AS local FROM part",
     "html_strip": f"SELECT page_id, {_CLEAN.format(_ENT.format(_HTML))} AS text FROM pages",
     "html_snippet": f"SELECT page_id, trim(regexp_replace({_ENT.format("regexp_replace(html, '<[^>]+>', ' ', 'g')")}, '\\s+', ' ', 'g')) AS text FROM pages",
+    "html_unescaped": f"SELECT page_id, trim(regexp_replace({_ENT.format("regexp_replace(html, '<[^>]+>', ' ', 'g')")}, '\\s+', ' ', 'g')) AS text FROM pages",
     "html_heading": f"SELECT page_id, nullif({_CLEAN.format(_ENT.format("regexp_replace(regexp_extract(html, '(?is)<h[1-3][^>]*>(.*?)</h[1-3]>', 1), '<[^>]+>', ' ', 'g')"))}, '') AS heading FROM pages",
     "token_estimate": "SELECT doc_id, (CASE WHEN length(text) > 0 THEN greatest(1, floor((floor(w * 1.33::DOUBLE) + 1 + floor(length(text) / 4.0) + 1) / 2.0)) ELSE 0 END)::INT AS tokens FROM (SELECT doc_id, text, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS w FROM documents)",
     "clean_text": f"SELECT doc_id, {_CLEAN.format("concat(text, chr(9), ' ', chr(10), chr(10), chr(10), chr(10), 'end  ')")} AS text FROM documents",
@@ -128,11 +134,17 @@ _FULL = {
     + ", ".join(f"round(avg(embedding[{i}]::DOUBLE), 9)" for i in range(1, 65))
     + f"] AS v FROM embeddings GROUP BY label), top AS (SELECT book_id FROM b ORDER BY list_cosine_similarity(v, (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)) DESC, book_id LIMIT 3) SELECT vec_id, label::BIGINT AS book_id, round(s, 6) AS similarity FROM (SELECT vec_id, label, {_DENSE} AS s FROM embeddings e WHERE label IN (SELECT book_id FROM top)) ORDER BY s DESC, vec_id LIMIT 9",
     "keyword_single": _AND,
-    "rrf_scores": "SELECT p_partkey, round(1.0::DOUBLE / (60 + p_partkey), 9) AS score, round(0.5::DOUBLE / (10 + p_partkey), 9) AS half FROM part WHERE p_partkey <= 100",
+    "rrf_scores": "SELECT p_partkey, round(1.0::DOUBLE / (60 + p_partkey), 9) AS score, round(0.5::DOUBLE / (10 + p_partkey), 9) AS half FROM part",
     "hybrid_rrf": f"""WITH d AS (SELECT vec_id AS chunk_id, row_number() OVER (ORDER BY s DESC, vec_id) AS dense_rank FROM (SELECT vec_id, {_DENSE} AS s FROM embeddings e) ORDER BY s DESC, vec_id LIMIT 20),
       s AS (SELECT doc_id AS chunk_id, row_number() OVER (ORDER BY rank DESC, doc_id) AS sparse_rank FROM ({_AND}))
       SELECT chunk_id, dense_rank::INT AS dense_rank, sparse_rank::INT AS sparse_rank, round(score, 9) AS score FROM (SELECT coalesce(d.chunk_id, s.chunk_id) AS chunk_id, dense_rank, sparse_rank, coalesce(0.5::DOUBLE / (60 + dense_rank), 0) + coalesce(0.5::DOUBLE / (60 + sparse_rank), 0) AS score FROM d FULL JOIN s ON d.chunk_id = s.chunk_id)
       ORDER BY score DESC, dense_rank NULLS LAST, sparse_rank NULLS LAST LIMIT 5""",
+    "chunk_search_dense": f"WITH {_LIBRARY} SELECT chunk_id, clean_title, page_number, round(s, 6) AS similarity FROM dv ORDER BY s DESC, chunk_id LIMIT 10",
+    "chunk_search_sparse": f"WITH {_LIBRARY} SELECT chunk_id, clean_title, page_number, round(rank, 6) AS rank FROM sv ORDER BY n DESC, chunk_id LIMIT 10",
+    "chunk_search_hybrid": f"""WITH {_LIBRARY}, a AS (SELECT chunk_id, clean_title, row_number() OVER (ORDER BY s DESC, chunk_id) AS dense_rank FROM dv QUALIFY dense_rank <= 20), b AS (SELECT chunk_id, clean_title, row_number() OVER (ORDER BY n DESC, chunk_id) AS sparse_rank FROM sv QUALIFY sparse_rank <= 20)
+      SELECT chunk_id, clean_title, dense_rank::INT AS dense_rank, sparse_rank::INT AS sparse_rank, round(score, 9) AS score FROM (SELECT coalesce(a.chunk_id, b.chunk_id) AS chunk_id, coalesce(a.clean_title, b.clean_title) AS clean_title, dense_rank, sparse_rank, coalesce(0.5::DOUBLE / (60 + dense_rank), 0) + coalesce(0.5::DOUBLE / (60 + sparse_rank), 0) AS score FROM a FULL JOIN b ON a.chunk_id = b.chunk_id)
+      ORDER BY score DESC, dense_rank NULLS LAST, sparse_rank NULLS LAST LIMIT 5""",
+    "keyword_indexed": _AND,
     "citations": "SELECT doc_id, concat_ws(' | ', '《' || source || '》', 'by ' || lang, CASE WHEN doc_id % 2 = 1 THEN 'Section: intro' END, CASE WHEN doc_id % 3 = 1 THEN 'p. ' || doc_id END) AS citation FROM documents",
     "rag_context": _context(60_000),
     "rag_prompt": f"SELECT concat({_q(INSTRUCTION)}, chr(10), chr(10), {_q(HEAD)}, chr(10), context, chr(10), {_q(FOOT)}, chr(10), chr(10), 'User Question: {QUESTION}', chr(10), chr(10), 'Answer:') AS prompt FROM ({_context(8000)})",

@@ -13,10 +13,11 @@ from .operators import vector as V
 from .operators.chunk import chunk_documents, one_page, paragraphs, sentences
 from .operators.embed import HashEmbedder, cache_key, embedded, misses
 from .operators.enrich import enrich, enrichment_counts
-from .operators.fulltext import sparse_search
+from .operators.fulltext import indexed_search, postings, sparse_search
 from .operators.fusion import fuse, rrf
-from .operators.merge import fold_by_key, last_by_priority, merge, replace_chunks, verify
+from .operators.merge import fold_by_key, merge, replace_chunks, sync_catalog, sync_counts, verify
 from .operators.reconcile import first_per_key, last_per_key, missing, number_rows, reconcile, summarize, unlisted
+from .plans.search import answer_prompt, search_chunks_dense, search_chunks_sparse, search_hybrid
 from .sources.documents import sections
 
 #: Titles made of part names, in an expression that Spark and DuckDB both read.
@@ -52,9 +53,17 @@ def _vector(spark: SparkSession, d: str, vec_id: int = 0) -> list[float]:
     return list(_t(spark, d, "embeddings").where(F.col("vec_id") == vec_id).select("embedding").first()[0])
 
 
+def _side(spark: SparkSession, d: str, shift: str) -> DataFrame:
+    """A record for every part, titled by its name and a size moved by ``shift``, an expression that Spark and DuckDB both read."""
+    title = F.expr(f"concat(p_name, ' ', p_size + {shift})")
+    return _t(spark, d, "part").select("p_partkey", title.alias("clean_title"), F.lower(title).alias("normalized_title"), F.expr("concat('raw ', p_partkey)").alias("raw_title"))
+
+
 def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    p = _t(spark, d, "part").select("p_partkey", F.lower("p_name").alias("normalized_title"), F.col("p_name").alias("clean_title"))
-    return first_per_key(p.where("p_partkey % 2 = 0"), "normalized_title", "p_partkey"), last_per_key(p.where("p_partkey % 3 = 0"), "normalized_title", "p_partkey")
+    """Two lists of all parts: the first record of a title on the one side, the last on the other."""
+    listed = _side(spark, d, "p_partkey % 5").withColumn("source_path", F.lit("list"))
+    found = _side(spark, d, "p_partkey % 3").withColumn("source_path", F.expr("concat('/d/', p_partkey)"))
+    return first_per_key(listed, "normalized_title", "p_partkey"), last_per_key(found, "normalized_title", "p_partkey")
 
 
 # --- catalog
@@ -105,12 +114,13 @@ def dir_unlisted(spark, d):
 
 
 def sync_merge(spark, d):
-    p = _t(spark, d, "part").select("p_name", "p_partkey", "p_size")
-    target = first_per_key(p.where("p_partkey % 5 = 0"), "p_name", "p_partkey").select(F.col("p_name").alias("clean_title"), F.col("p_partkey").alias("raw"), F.lit(None).cast("string").alias("source_path"), F.lit(0).alias("in_directory"))
-    side = lambda m, path, flag: first_per_key(p.where(f"p_partkey % {m} = 1"), "p_name", "p_partkey").select(F.col("p_name").alias("clean_title"), F.col("p_partkey").alias("raw"), F.lit(path).alias("source_path"), F.lit(flag).alias("in_directory"))
-    rows = last_by_priority([side(7, "dir", 1), side(11, "list", 0)], "clean_title")
-    update = {"in_directory": lambda o, n: n("in_directory"), "source_path": lambda o, n: F.when(n("in_directory") == 1, n("source_path")).otherwise(o("source_path"))}
-    return merge(target, rows, "clean_title", update)
+    old = first_per_key(_side(spark, d, "0"), "clean_title", "p_partkey")
+    catalog = old.select("clean_title", F.expr("concat('old ', p_partkey)").alias("raw_title"), F.lit("old").alias("source_path"), F.lit(0).alias("in_directory"), F.lit("before").alias("updated_at"))
+    return sync_catalog(catalog, reconcile(*_sides(spark, d)), now=F.lit("now"))
+
+
+def sync_totals(spark, d):
+    return sync_counts(reconcile(*_sides(spark, d)))
 
 
 def reclean_merge(spark, d):
@@ -120,7 +130,7 @@ def reclean_merge(spark, d):
 
 def catalog_upsert(spark, d):
     p = _t(spark, d, "part").select("p_partkey", "p_name", "p_size")
-    return merge(p.where("p_partkey % 2 = 0"), p.where("p_partkey % 3 = 0").select("p_partkey", F.upper("p_name").alias("p_name"), (F.col("p_size") + 100).alias("p_size")), "p_partkey")
+    return merge(p, p.select((F.col("p_partkey") * 3).alias("p_partkey"), F.upper("p_name").alias("p_name"), (F.col("p_size") + 100).alias("p_size")), "p_partkey")
 
 
 def chunk_replace(spark, d):
@@ -249,6 +259,10 @@ def html_heading(spark, d):
     return _t(spark, d, "pages").select("page_id", T.html_heading(F.col("html"), ENTITIES).alias("heading"))
 
 
+def html_unescaped(spark, d):
+    return _t(spark, d, "pages").select("page_id", T.html_snippet(F.col("html")).alias("text"))
+
+
 def token_estimate(spark, d):
     return _t(spark, d, "documents").select("doc_id", T.token_estimate(F.col("text")).alias("tokens"))
 
@@ -313,7 +327,7 @@ def keyword_stemmed(spark, d):
 
 
 def rrf_scores(spark, d):
-    return _t(spark, d, "part").where("p_partkey <= 100").select("p_partkey", F.round(rrf(F.col("p_partkey")), 9).alias("score"), F.round(rrf(F.col("p_partkey"), 10, 0.5), 9).alias("half"))
+    return _t(spark, d, "part").select("p_partkey", F.round(rrf(F.col("p_partkey")), 9).alias("score"), F.round(rrf(F.col("p_partkey"), 10, 0.5), 9).alias("half"))
 
 
 def hybrid_rrf(spark, d):
@@ -322,6 +336,35 @@ def hybrid_rrf(spark, d):
     return fuse(dense, sparse).withColumn("score", F.round("score", 9))
 
 
+def _library(spark, d):
+    """Every vector with its document's text as a chunk (null where there is none), and nations as the books."""
+    texts = _t(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), F.col("lang").alias("section_title"))
+    chunks = _t(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("label").cast("long").alias("book_id"), "embedding", (F.col("vec_id") % 7).alias("page_number")).join(texts, "chunk_id", "left")
+    books = _t(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("book_id"), F.col("n_name").alias("clean_title"), F.col("n_name").alias("domain"), F.lit("").alias("author"))
+    return chunks, books
+
+
+def chunk_search_dense(spark, d):
+    return search_chunks_dense(*_library(spark, d), _vector(spark, d), 10, {"domain": "a"}).select("chunk_id", "clean_title", "page_number", F.round("similarity", 6).alias("similarity"))
+
+
+def chunk_search_sparse(spark, d):
+    return search_chunks_sparse(*_library(spark, d), "and", 10, {"domain": "a"}, stemmed=False).select("chunk_id", "clean_title", "page_number", F.round("rank", 6).alias("rank"))
+
+
+def _hybrid(spark, d):
+    return search_hybrid(*_library(spark, d), _vector(spark, d), "and", filters={"domain": "a"}, stemmed=False)
+
+
+def chunk_search_hybrid(spark, d):
+    return _hybrid(spark, d).select("chunk_id", "clean_title", "dense_rank", "sparse_rank", F.round("score", 9).alias("score"))
+
+
+def keyword_indexed(spark, d):
+    index = postings(_t(spark, d, "documents"), "doc_id", "text", stemmed=False)
+    return indexed_search(index, "and", 20, "doc_id", stemmed=False).withColumn("rank", F.round("rank", 6))
+
+
 def citations(spark, d):
     x = _t(spark, d, "documents")
     page = F.when(F.col("doc_id") % 3 == 0, 0).when(F.col("doc_id") % 3 == 1, F.col("doc_id")).cast("long")
@@ -329,16 +372,20 @@ def citations(spark, d):
 
 
 def _best(spark, d):
-    x = _t(spark, d, "documents").where("lang = 'en'").orderBy(F.desc("n_chars"), "doc_id").limit(12)
-    return x.withColumn("rank", F.row_number().over(Window.orderBy("n_chars", "doc_id"))).withColumn("cited", C.citation(F.col("source"), F.lit(""), F.lit(""), F.col("doc_id")))
+    """The passages of a keyword search, in its order."""
+    x = _t(spark, d, "documents")
+    found = sparse_search(x, "and", 12, "doc_id", "text", stemmed=False)
+    rows = x.join(F.broadcast(found), "doc_id")
+    return rows.select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), F.col("source").alias("clean_title"), F.lit("").alias("author"), F.lit("").alias("section_title"), F.col("doc_id").alias("page_number"), "rank")
 
 
 def rag_context(spark, d):
-    return C.context(_best(spark, d), "rank", "cited", "text", 60_000)
+    x = _best(spark, d).withColumn("cited", C.citation(F.col("clean_title"), F.col("author"), F.col("section_title"), F.col("page_number")))
+    return C.context(x.withColumn("place", F.struct(-F.col("rank"), "chunk_id")), "place", "cited", "content", 60_000)
 
 
 def rag_prompt(spark, d):
-    return C.prompt(C.context(_best(spark, d), "rank", "cited", "text"), QUESTION)
+    return answer_prompt(_best(spark, d), QUESTION, "rank")
 
 
 def embedding_cache_miss(spark, d):
@@ -355,9 +402,9 @@ def embedded_chunks(spark, d):
 QUERIES = {
     q.__name__: q
     for q in (
-        dense_topk, dense_topk_filtered, l2_normalize, hierarchical, keyword_single, keyword_cover_density, keyword_stemmed, rrf_scores, hybrid_rrf, citations, rag_context, rag_prompt, embedding_cache_miss, embedded_chunks,
-        catalog_count, catalog_head, verify_catalog, number_titles, first_titles, reconcile_status, reconcile_summary, list_missing, dir_unlisted, sync_merge, reclean_merge, catalog_upsert, chunk_replace,
+        dense_topk, dense_topk_filtered, l2_normalize, hierarchical, keyword_single, keyword_cover_density, keyword_stemmed, rrf_scores, hybrid_rrf, chunk_search_dense, chunk_search_sparse, chunk_search_hybrid, keyword_indexed, citations, rag_context, rag_prompt, embedding_cache_miss, embedded_chunks,
+        catalog_count, catalog_head, verify_catalog, number_titles, first_titles, reconcile_status, reconcile_summary, list_missing, dir_unlisted, sync_merge, sync_totals, reclean_merge, catalog_upsert, chunk_replace,
         ext_strip, doubled_extension, copy_suffix, camel_split, title_clean, title_key, file_info, publisher, subtitle, edition, published_year, author, taxonomy, media_class, uninformative, isbn_valid, isbn_find,
-        title_jaccard, search_words, metadata_passage, summary_text, enrich_offline, enrich_counts, html_strip, html_snippet, html_heading, token_estimate, clean_text, paragraph_units, sentence_units, chunked_documents, markdown_sections,
+        title_jaccard, search_words, metadata_passage, summary_text, enrich_offline, enrich_counts, html_strip, html_snippet, html_heading, html_unescaped, token_estimate, clean_text, paragraph_units, sentence_units, chunked_documents, markdown_sections,
     )
 }

@@ -46,7 +46,7 @@ def sections(text: Column) -> Column:
 
 def text_pages(rows: DataFrame) -> DataFrame:
     """``(path, pages)`` of text and Markdown files."""
-    return rows.where(F.col("suffix").isin(*TEXT_SUFFIXES)).select("path", sections(F.decode("content", "UTF-8")).alias("pages"))
+    return rows.where(F.col("suffix").isin(*TEXT_SUFFIXES)).select("path", sections(F.make_valid_utf8(F.col("content").cast("string"))).alias("pages"))
 
 
 def _epub_members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
