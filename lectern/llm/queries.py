@@ -22,7 +22,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts stored as TIFF files, walked and decoded again."""
-    return tiff_documents(text_to_tiff(_table(spark, sf_dir, "documents"))).drop("error")
+    return tiff_documents(text_to_tiff(_table(spark, sf_dir, "documents")))
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,8 +4,8 @@ Tokens are runs of letters and digits or single other characters (case kept); un
 ``BUCKETS`` hash buckets. The raw model counts every document; the target model counts the labelled good
 documents of a bounded sample (``sample_labels``). The log ratio of the two models grows with a text's length, far
 beyond what any draw could turn, so it is taken as the mean of the text's n-grams and tempered: a logistic fit on labels
-that the target model has not counted turns the mean into the log odds of being good, times ``GOOD_COST``, for
-losing a good document costs so many times what keeping a bad one does. These odds are the document's weight. Every
+that the target model has not counted turns the mean into the log odds of being good (a good label counts ``GOOD_COST``
+times, for losing a good document costs so many times what keeping a bad one does). These odds are the document's weight. Every
 document gets one Gumbel draw from its id; the ``k`` greatest ``log weight + draw`` are kept, which samples ``k`` documents without
 replacement in proportion to the weights. ``k`` is a share of the documents, if one is given, else the expected
 number of good ones, the sum of odds / (1 + odds) over all.
@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from .common import cut, pieces
 from .textvec import Powers, mix, text_bytes
@@ -32,6 +33,8 @@ BUCKETS = 1 << 18
 SEED = 17
 #: What losing a good document costs against keeping a bad one.
 GOOD_COST = 5.0
+#: Weight of the Gaussian prior of the logistic fit, which keeps clear-cut labels from parting without bound.
+RIDGE = 0.1
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _SOLID = np.zeros(256, bool)
@@ -123,8 +126,8 @@ def with_weights(docs: DataFrame, model: Model) -> DataFrame:
             arrays = [*batch.columns, pa.array(n.astype(np.int64)), pa.array(np.where(n > 0, scale * mean + offset, 0.0))]
             yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names, "n_ngrams", "log_weight"])
 
-    kinds = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(weighed, f"{kinds}, n_ngrams long, log_weight double")
+    schema = StructType([*docs.schema.fields, StructField("n_ngrams", LongType()), StructField("log_weight", DoubleType())])
+    return docs.mapInArrow(weighed, schema)
 
 
 def gumbel_key(seed: int = SEED) -> Column:
@@ -163,17 +166,15 @@ def kth_greatest(keys: DataFrame, column: str, k: int, bins: int = 4096, few: in
 
 
 def _log_odds(mean: np.ndarray, good: np.ndarray) -> tuple[float, float] | None:
-    """Scale and offset of the logistic fit, with targets short of 0 and 1 so that clear-cut labels do not part without bound."""
-    n_good, n_bad = int(good.sum()), int((~good).sum())
-    if not n_good or not n_bad or mean.std() == 0:
+    """Scale and offset of the logistic fit; None where labels are all alike, or all texts."""
+    if good.all() or not good.any() or mean.std() == 0:
         return None
     centre, width = mean.mean(), mean.std()
     x = np.stack([(mean - centre) / width, np.ones(len(mean))], 1)
-    y = np.where(good, (n_good + 1) / (n_good + 2), 1 / (n_bad + 2))
-    w = np.zeros(2)
-    for _ in range(50):
+    cost, w = np.where(good, GOOD_COST, 1.0), np.zeros(2)
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2), x.T @ (p - y) + 1e-3 * w)
+        step = np.linalg.solve((x * (cost * p * (1 - p))[:, None]).T @ x + RIDGE * np.eye(2), x.T @ (cost * (p - good)) + RIDGE * w)
         w -= np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-9:
             break
@@ -197,7 +198,7 @@ def fit(docs: DataFrame, labels: DataFrame, share: float | None = None, seed: in
     found = _log_odds(rows.column("mean").to_numpy(), rows.column("quality").to_numpy() == 1) if model.ratio.any() else None
     if found is None:
         return Model(model.ratio)
-    model.scale, model.offset = found[0], found[1] + float(np.log(GOOD_COST))
+    model.scale, model.offset = found
     keyed = scored.where("n_ngrams > 0").withColumn("log_weight", F.col("log_weight") * model.scale + model.offset).withColumn("key", gumbel_key(seed))
     # whole millionths, so that the sum does not depend on its order
     chance = F.round(1e6 / (1 + F.exp(-F.col("log_weight")))).cast("long")

@@ -35,6 +35,9 @@ _STRIP_OFFSETS, _SAMPLES, _ROWS_PER_STRIP, _STRIP_COUNTS = 273, 277, 278, 279
 _PLANAR, _PREDICTOR = 284, 317
 _TILE_WIDTH, _TILE_HEIGHT, _TILE_OFFSETS, _TILE_COUNTS = 322, 323, 324, 325
 _TYPES = {1: "B", 3: "H", 4: "I"}
+_TYPE_BYTES = {1: 1, 3: 2, 4: 4}
+#: A page of more bytes is a fault, not an allocation; a dimension of more does not fit its column.
+MOST_PAGE_BYTES, MOST_SIDE = 1 << 28, (1 << 31) - 1
 _CLEAR, _END, _FIRST = 256, 257, 258
 _REVERSED = bytes(int(f"{i:08b}"[::-1], 2) for i in range(256))
 _RUN = re.compile(rb"(.)\1{2,127}", re.S)
@@ -123,7 +126,9 @@ def lzw_encode(data: bytes) -> bytes:
     return np.packbits(bits[shift >= 0].astype(np.uint8)).tobytes()
 
 
-def lzw_decode(data: bytes) -> bytes:
+def lzw_decode(data: bytes, size: int | None = None) -> bytes:
+    """The bytes of an LZW stream; decoding ends with the table in which ``size`` bytes are reached."""
+    held = 0
     raw = np.frombuffer(data + b"\0\0\0", np.uint8).astype(np.int32)
     at, end, out = 0, 8 * len(data), []
     base = [bytes((i,)) for i in range(256)] + [b"", b""]
@@ -154,7 +159,8 @@ def lzw_decode(data: bytes) -> bytes:
                 raise TiffError("LZW code out of range")
             emit(entry)
             last = entry
-        if stop == fit or codes[stop] == _END:
+        held += sum(map(len, out[-stop:])) if stop else 0
+        if stop == fit or codes[stop] == _END or size is not None and held >= size:
             break
         at = int(places[stop + 1])
     return b"".join(out)
@@ -166,10 +172,10 @@ def _decompress(data: bytes, how: int, size: int) -> bytes:
     if how == PACKBITS:
         return packbits_decode(data, size)
     if how == LZW:
-        return lzw_decode(data)
+        return lzw_decode(data, size)
     if how in (DEFLATE, OLD_DEFLATE):
         try:
-            return zlib.decompress(data)
+            return zlib.decompressobj().decompress(data, size) if size else b""
         except zlib.error as e:
             raise TiffError(f"deflate: {e}") from None
     raise TiffError(f"compression {how} is not supported")
@@ -214,15 +220,14 @@ def _fields(file: bytes, at: int, order: str) -> dict[int, tuple[int, ...]]:
     out = {}
     for i in range(n):
         tag, kind, count = struct.unpack_from(order + "HHI", file, at + 2 + 12 * i)
-        if kind not in _TYPES:
+        if kind not in _TYPES or not count:
             continue
-        form = f"{order}{count}{_TYPES[kind]}"
-        size, place = struct.calcsize(form), at + 10 + 12 * i
+        size, place = count * _TYPE_BYTES[kind], at + 10 + 12 * i
         if size > 4:
             (place,) = struct.unpack_from(order + "I", file, place)
         if place + size > len(file):
             raise TiffError(f"values of tag {tag} outside the file")
-        out[tag] = struct.unpack_from(form, file, place)
+        out[tag] = struct.unpack_from(f"{order}{count}{_TYPES[kind]}", file, place)
     return out
 
 
@@ -232,6 +237,8 @@ def _block(file: bytes, at: int, n: int, how: int, predictor: int, shape: tuple[
         raise TiffError("samples outside the file")
     wide = -(-shape[1] * shape[2] * bits // 8)  # rows begin at whole bytes
     size = shape[0] * wide
+    if size > MOST_PAGE_BYTES:
+        raise TiffError("a strip or tile is too large")
     data = file[at : at + n]
     plain = _decompress(data.translate(_REVERSED) if reverse else data, how, size)
     if len(plain) < size:
@@ -261,20 +268,26 @@ def _page(file: bytes, number: int, f: dict[int, tuple[int, ...]], order: str) -
     kind = np.dtype(f"{order}u{max(1, bits // 8)}")
     reverse = bits < 8 and one(_FILL_ORDER, 1) == 2
     planes, deep = (samples, 1) if planar == 2 else (1, samples)
-    image = np.zeros((height, width, samples), kind.newbyteorder("="))
+    if not (0 < width <= MOST_SIDE and 0 < height <= MOST_SIDE and samples):
+        raise TiffError(f"{width} x {height} pixels of {samples} samples are not supported")
+    if width * height * samples * kind.itemsize > MOST_PAGE_BYTES:
+        raise TiffError("the page is too large")
     tiled = _TILE_OFFSETS in f
     if tiled:
         tw, th = one(_TILE_WIDTH, 0), one(_TILE_HEIGHT, 0)
         if not tw or not th:
             raise TiffError("no tile size")
         offsets, counts = f[_TILE_OFFSETS], f.get(_TILE_COUNTS, ())
-        grid = [(y, x, th, tw) for y in range(0, height, th) for x in range(0, width, tw)]
+        need = -(-height // th) * -(-width // tw)
     else:
         rows = min(one(_ROWS_PER_STRIP, height), height) or 1
         offsets, counts = f.get(_STRIP_OFFSETS, ()), f.get(_STRIP_COUNTS, ())
-        grid = [(y, 0, min(rows, height - y), width) for y in range(0, height, rows)]
-    if len(offsets) < planes * len(grid) or len(counts) < planes * len(grid):
+        need = -(-height // rows)
+    # before anything of the size that the directory claims is made
+    if len(offsets) < planes * need or len(counts) < planes * need:
         raise TiffError("fewer strips or tiles than the page needs")
+    grid = [(y, x, th, tw) for y in range(0, height, th) for x in range(0, width, tw)] if tiled else [(y, 0, min(rows, height - y), width) for y in range(0, height, rows)]
+    image = np.zeros((height, width, samples), kind.newbyteorder("="))
     for p in range(planes):
         for i, (y, x, h, w) in enumerate(grid):
             k = p * len(grid) + i
@@ -299,8 +312,8 @@ def walk(file: bytes | None) -> Iterator[Page | Fault]:
         following = _next(file, at, order)
         try:
             page = _page(file, len(seen) - 1, _fields(file, at, order), order)
-        except TiffError as e:
-            page = Fault(len(seen) - 1, str(e))
+        except (ValueError, IndexError, OverflowError, struct.error) as e:  # a TiffError is a ValueError
+            page = Fault(len(seen) - 1, str(e) or type(e).__name__)
         yield page
         at = following
 
@@ -317,8 +330,9 @@ class Form:
     tiled: bool = False
 
 
-#: The forms that stored payloads take by their checksum; LZW, the slowest to write, once in eight.
-FORMS = (Form(LZW), *[Form(PACKBITS)] * 2, *[Form(DEFLATE, predictor=2)] * 3, *[Form(DEFLATE, predictor=2, tiled=True)] * 2)
+#: The forms that stored payloads take by their checksum: each compression a third, in strips and tiles, with and without
+#: a predictor where the format has one (not for PackBits).
+FORMS = tuple(Form(how, p if how != PACKBITS else 1, tiled) for how in (PACKBITS, LZW, DEFLATE) for p in (1, 2) for tiled in (False, True))
 PAGE_ROWS, STRIP_ROWS, TILE = 1024, 256, 64
 
 

@@ -106,3 +106,45 @@ def test_documents(spark):
     assert got[5].n_pages > 1
     assert [getattr(got[4], c) == getattr(got[6], c) for c in ("media_sha256", "feature")] == [True, True]
     assert T.tiff_documents(T.text_to_tiff(df.limit(0))).count() == 0
+
+
+def test_damaged_files_end_in_faults_not_crashes(spark):
+    rng = random.Random(13)
+    files = [T.write_tiff([np.full((40, 64), 7, np.uint8), np.arange(30 * 70, dtype=np.uint8).reshape(30, 70)], f) for f in T.FORMS]
+    bad = []
+    for f in files:
+        for _ in range(60):
+            x = bytearray(f[: rng.randint(9, len(f))] if rng.random() < 0.3 else f)
+            for _ in range(rng.randint(1, 4)):
+                x[rng.randrange(8, len(x))] = rng.choice([0, 255, rng.randrange(256)])
+            bad.append(bytes(x))
+
+    def tag(file, number, value, count=1, kind=4):
+        at = struct.unpack_from("<I", file, 4)[0]
+        x = bytearray(file)
+        for i in range(struct.unpack_from("<H", file, at)[0]):
+            if struct.unpack_from("<H", file, at + 2 + 12 * i)[0] == number:
+                struct.pack_into("<HHII", x, at + 2 + 12 * i, number, kind, count, value)
+        return bytes(x)
+
+    strips = T.write_tiff([np.zeros((40, 64), np.uint8)], T.Form(T.DEFLATE))
+    claims = [tag(strips, 256, 0xFFFFFFFF), tag(strips, 257, 0xFFFFFFFF), tag(tag(strips, 256, 0xFFFFFFFF), 257, 0), tag(strips, 258, 0, 0, 3), tag(strips, 273, 0, 0), tag(strips, 277, 0, 1, 3), tag(strips, 278, 0), tag(strips, 257, 1 << 27)]
+    bomb = zlib.compress(b"\0" * 50_000_000)
+    at = struct.unpack_from("<I", strips, 4)[0]
+    claims.append(tag(tag(strips, 273, len(strips)), 279, len(bomb)) + bomb)
+    for f in claims:
+        got = list(T.walk(f))
+        assert len(got) == 1 and (isinstance(got[0], T.Fault) or got[0].height * got[0].width == len(got[0].pixels)), at
+    assert isinstance(next(T.walk(claims[0])), T.Fault) and list(T.walk(claims[-1]))[0].pixels == bytes(40 * 64)
+    df = spark.createDataFrame([(i, x, len(x)) for i, x in enumerate(bad + claims)], "doc_id long, media binary, n_bytes long")
+    assert {r.doc_id for r in T.tiff_pages(df).select("doc_id").collect()} == set(range(len(bad) + len(claims)))
+    assert T.tiff_documents(df).count() == len(bad) + len(claims)
+
+
+def test_payloads_take_every_form(spark):
+    rows = [(i, "x" * (i * 7)) for i in range(200)]
+    got = T.tiff_documents(T.text_to_tiff(spark.createDataFrame(rows, "doc_id long, text string"))).collect()
+    assert len({r.feature.split(";")[1] for r in got}) == 10 and all(r.error is None for r in got)
+    for r in got:
+        want = T.payload_of(dict(rows)[r.doc_id].encode())
+        assert (r.payload_sha256, r.payload_bytes) == (hashlib.sha256(want).hexdigest(), len(want))

@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
-from lectern.llm.mixing import mix, mixed_documents, targets
+from lectern.llm.mixing import PERCENT, WEIGHTS, mix, mixed_documents, source_targets
 from lectern.llm.packing import best_fit, pack, pack_documents, pack_near_documents
 from lectern.llm.queries import QUERIES
 
@@ -86,11 +86,31 @@ def test_near_copies_never_share_a_bin(spark, tmp_path):
     assert pack_near_documents(df.limit(0)).count() == 0
 
 
-def test_targets():
-    assert targets([("a", 100), ("b", 100), ("c", 100)]) == [200.0, 500 / 3, 250 / 3] or sum(targets([("a", 100), ("b", 100), ("c", 100)])) == 450.0
-    t = targets([("a", 10), ("b", 1000), ("c", 500), (None, 0)])
-    assert t[0] == 20.0 and t[3] == 0.0 and abs(sum(t) - 2265) < 1e-6 and all(x <= 2 * n for x, n in zip(t, (10, 1000, 500, 0)))
-    assert targets([]) == []
+def shares(sizes):
+    """Targets by resharing one step at a time."""
+    out, open_, left = {}, set(range(len(sizes))), sum(n for _, n in sizes) * PERCENT / 100
+    weight = [WEIGHTS[i % len(WEIGHTS)] for i in range(len(sizes))]
+    while open_:
+        heavy = sum(weight[i] for i in open_)
+        over = {i for i in open_ if left * weight[i] / heavy > 2 * sizes[i][1]}
+        for i in over or open_:
+            out[i] = float(2 * sizes[i][1]) if over else left * weight[i] / heavy
+        left -= sum(out[i] for i in over)
+        open_ = open_ - over if over else set()
+    return {s: out[i] for i, (s, _) in enumerate(sizes)}
+
+
+def test_targets(spark):
+    rng = random.Random(4)
+    cases = [[("a", 100), ("b", 100), ("c", 100)], [("a", 10), ("b", 1000), ("c", 500), (None, 0)], [(None, 7)], [(None, 0)], [("Z", 5), ("a", 5), ("É", 900), ("ﬀ", 1), ("𝒳", 40)]]
+    cases.append([(f"s{i:05d}", rng.choice([0, 1, 50, 4000])) for i in range(3000)])
+    for sizes in cases:
+        df = spark.createDataFrame(sizes, "source string, n long").repartition(5)
+        got = {r.source: r for r in source_targets(df).collect()}
+        want = shares(sizes)
+        assert got.keys() == want.keys() and all(abs(got[s].target - t) < 1e-6 * max(1, t) for s, t in want.items())
+        assert all(got[s].source_size == n and got[s].target <= 2 * n for s, n in sizes)
+    assert source_targets(spark.createDataFrame([], "source string, n long")).count() == 0
 
 
 def test_mix(spark):

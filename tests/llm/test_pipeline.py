@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 pipeline = pytest.importorskip("corpus_pipeline")
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau".split()
@@ -75,3 +76,36 @@ def test_run(spark, corpus):
     got = pipeline.run(spark, corpus[0])
     assert sorted(map(str, got.collect())) == sorted(map(str, pipeline.run(spark, corpus[0]).collect()))
     assert got.count() > 100
+
+
+CLASHES = ("log_weight", "n_ngrams", "runs", "n_lines", "n_deleted", "hash", "component", "id", "row", "rest", "k", "copies", "n", "empty", "size", "a.b")
+
+
+def test_clashing_names_equal_ids_and_nulls(spark, corpus):
+    d, _ = corpus
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    docs = docs.union(docs.where("doc_id < 40")).union(docs.where("doc_id = 7").withColumn("text", F.lit(None).cast("string")))
+    docs = docs.unionByName(docs.limit(1).select(*[F.lit(None).cast(t).alias(c) for c, t in docs.dtypes]))
+    docs = docs.select("*", *[F.concat(F.lit(f"{c} "), F.coalesce("doc_id", F.lit(-1))).alias(c) for c in CLASHES])
+    for name, f in pipeline.STAGES:
+        before, docs = docs, f(spark, docs, d)
+        if name == "best-fit packing":
+            break
+        assert docs.columns == before.columns
+        rows = docs.collect()
+        assert rows and all(r[c] == f"{c} {-1 if r.doc_id is None else r.doc_id}" for r in rows for c in CLASHES)
+        if name == "MinHash near-dedup":
+            assert len({r.doc_id for r in rows if r.text}) == len([r for r in rows if r.text])
+    assert docs.count() > 100
+
+
+def test_empty_tables(spark, corpus, tmp_path):
+    d, _ = corpus
+    none = str(tmp_path / "none")
+    for t in ("documents", "labels"):
+        spark.read.parquet(f"{d}/{t}.parquet").limit(0).write.parquet(f"{none}/{t}.parquet")
+    assert pipeline.run(spark, none).count() == 0
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    assert pipeline.quality(spark, docs, none).count() == docs.count()
+    for _, f in pipeline.STAGES:
+        assert f(spark, docs.limit(0), d).count() == 0

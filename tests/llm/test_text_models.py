@@ -13,7 +13,7 @@ from lectern.llm import tokens as K
 from lectern.llm import toxicity as X
 from lectern.llm.components import connected_components
 from lectern.llm.neardup import near_duplicates
-from lectern.llm.rules import HostRules, host_quality
+from lectern.llm.rules import HostRules, beta_prior, host_quality
 from lectern.llm.urlfilter import filter_urls
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau".split()
@@ -49,6 +49,30 @@ def test_bad_host_falls_and_small_host_is_shrunk(spark):
     assert got[2001].kept and all(got[i].kept for i in range(400))
 
 
+def test_host_verdicts_part_documents(spark):
+    rng = random.Random(4)
+    noisy = lambda: prose(rng, 60) + " " + "#$% " * 40
+    rows = [(i, noisy() if i % 5 == 0 else prose(rng, 70), "mixed") for i in range(200)] + [(1000 + i, noisy() if i == 0 else prose(rng, 70), "clean") for i in range(400)]
+    rows += [(2000 + i, "\n".join([prose(rng, 30)] * 2 + [prose(rng, 20)]) if i % 4 == 0 else prose(rng, 70), None) for i in range(80)]
+    got = {r.doc_id: r for r in host_quality(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got[1000].kept and got[1000].failed and got[1000].host_verdict == "trusted"
+    assert all(got[i].kept == bool(i % 5) and got[i].host_verdict == "watched" for i in range(200))
+    assert all(got[2000 + i].kept == bool(i % 4) for i in range(80))
+    twice = {r.doc_id: r.kept for r in host_quality(spark.createDataFrame(rows + rows, "doc_id long, text string, source string")).collect()}
+    assert len(twice) == len(got)
+
+
+def test_prior_takes_sampling_off(spark):
+    rng = random.Random(7)
+    same = spark.createDataFrame([(20, sum(rng.random() < 0.2 for _ in range(20))) for _ in range(400)], "docs long, failures long")
+    alpha, beta = beta_prior(same)
+    assert abs(alpha / (alpha + beta) - 0.2) < 0.03 and alpha + beta > 50
+    spread = spark.createDataFrame([(200, sum(rng.random() < p for _ in range(200))) for p in (rng.betavariate(2, 6) for _ in range(600))], "docs long, failures long")
+    alpha, beta = beta_prior(spread)
+    assert abs(alpha - 2) < 0.6 and abs(beta - 6) < 1.6
+    assert beta_prior(same.limit(0)) == (1.0, 1.0)
+
+
 def test_kth_greatest(spark):
     rng = random.Random(5)
     values = [rng.gauss(0, 1) for _ in range(3000)] + [0.5] * 500
@@ -70,6 +94,70 @@ def test_resampling_keeps_good_and_drops_junk(spark):
     assert R.quality_classifier(docs.limit(0), labels).count() == 0
 
 
+def brute_tokens(text):
+    """Runs of letters and digits (all beyond ASCII count as such), single other characters, in order."""
+    out, run = [], b""
+    for c in (text or "").encode():
+        if c >= 128 or chr(c).isalnum():
+            run += bytes((c,))
+            continue
+        if run:
+            out.append(run)
+        run = b""
+        if chr(c) not in " \t\n\x0b\x0c\r":
+            out.append(bytes((c,)))
+    return out + ([run] if run else [])
+
+
+def test_resampling_by_brute_force(spark):
+    rng = random.Random(12)
+    text = lambda bad: " ".join((rng.choice(["#", "|", "zz", "9"]) if rng.random() < bad else rng.choice(WORDS)) for _ in range(rng.randint(5, 60)))
+    rows = [(i, text(rng.random())) for i in range(300)] + [(900, None), (901, " \n"), (7, "copy of an id | é!")]
+    quality = {i: int(sum(c in "#|" for c in t) * 8 < len(t.split())) for i, t in rows[:300] if i % 3}
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(list(quality.items()), "doc_id long, quality int")
+    half = {r.doc_id: r.h for r in labels.select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit(R.SEED + 1)), F.lit(2)).alias("h")).collect()}
+    # exact counts of n-grams, without hashing
+    raw, target, grams = {}, {}, []
+    for i, t in rows:
+        ws = brute_tokens(t)
+        own = [(w,) for w in ws] + list(zip(ws, ws[1:]))
+        grams.append(own)
+        for g in own:
+            raw[g] = raw.get(g, 0) + 1
+            if quality.get(i) == 1 and half[i] == 0:
+                target[g] = target.get(g, 0) + 1
+    n_raw, n_target, half_b = sum(raw.values()) + R.BUCKETS / 2, sum(target.values()) + R.BUCKETS / 2, R.BUCKETS / 2
+    p = {g: (c + 0.5) / n_raw for g, c in raw.items()}
+    ratio = {g: np.log((target.get(g, 0) + half_b * p[g]) / n_target / p[g]) for g in raw}
+    mean = [np.mean([ratio[g] for g in own]) if own else None for own in grams]
+    model = R.fit(docs, labels)
+    got = R.with_weights(docs, model).withColumn("key", R.gumbel_key()).withColumn("kept", R.is_kept(model)).collect()
+    for (i, t), m, own, r in zip(rows, mean, grams, got, strict=True):
+        assert (r.doc_id, r.n_ngrams) == (i, len(own))
+        assert abs(r.log_weight - (model.scale * m + model.offset if own else 0)) < 2e-3 * (1 + abs(model.scale))
+    # the k greatest keys, k the expected number of good documents
+    full = [r for r in got if r.n_ngrams]
+    k = round(sum(round(1e6 / (1 + np.exp(-r.log_weight))) for r in full) / 1e6)
+    best = sorted((r.key for r in full), reverse=True)[k - 1]
+    assert all(r.kept == (not r.n_ngrams or r.key >= best) for r in got) and 50 < k < 290
+    # the draw matters: a plain threshold would choose others
+    assert sum(r.kept != (r.log_weight >= sorted((x.log_weight for x in full), reverse=True)[k - 1]) for r in full) > 5
+    assert sum(r.kept for r in R.quality_classifier(docs, labels, share=0.5).collect()) == 2 + round(0.5 * len(full))
+
+
+def test_sampling_frequencies(spark):
+    weights = [3.0, 2.0, 1.0, 0.5, 0.0, -0.5, -1.0, -2.0]
+    df = spark.createDataFrame([(i, w) for i, w in enumerate(weights)], "doc_id long, log_weight double").coalesce(1).cache()
+    rng, k, times = np.random.default_rng(1), 4, 300
+    keys = df.select("doc_id", *[R.gumbel_key(s).alias(f"k{s}") for s in range(times)]).orderBy("doc_id").toPandas().drop(columns="doc_id").to_numpy()
+    got = (keys.argsort(0)[::-1][:k][:, :, None] == np.arange(len(weights))).any(0).mean(0)
+    want = ((np.array(weights) + rng.gumbel(size=(20_000, len(weights)))).argsort(1)[:, ::-1][:, :k, None] == np.arange(len(weights))).any(1).mean(0)
+    assert np.abs(got - want).max() < 0.1
+    one = df.withColumn("key", R.gumbel_key(5))
+    assert R.kth_greatest(one, "key", k) == sorted(keys[:, 5], reverse=True)[k - 1]
+    df.unpersist()
+
+
 def brute_marginals(e, begin, step):
     n = len(e)
     total = np.zeros(n)
@@ -127,6 +215,16 @@ def test_urls(spark):
     assert all(r.verdict == "allow" for r in filter_urls(spark.createDataFrame(rows[7:8], "page_id long, url string")).collect())
 
 
+def test_urls_are_scored_whole(spark):
+    rng = random.Random(2)
+    rows = [(i, f"http://h{i % 7}.com/a{rng.randint(0, 99)}?ref=good&x={i}") for i in range(60)] + [(100 + i, f"http://h{i % 7}.net/es/b?ref=spam&y={i}#z") for i in range(60)]
+    rows += [(300, "http://q.org/p?ref=good&x=1"), (301, "http://q.org/p?ref=spam&y=1#z"), (302, "ref=good"), (303, "ref=spam#z"), (304, "http://q.org/" + "ab" * 20_000)]
+    got = {r.page_id: r for r in filter_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert got[300].score > got[301].score and (got[300].verdict, got[301].verdict) == ("allow", "block")
+    assert got[302].score > got[303].score and got[302].host == got[303].host == ""
+    assert len(got) == len(rows) and got[304].verdict in ("allow", "block")
+
+
 def test_tokens(spark):
     tokenizers = pytest.importorskip("tokenizers")
     import public_tokenizers as P
@@ -139,6 +237,13 @@ def test_tokens(spark):
     whole = tokenizers.Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     for i, e in enumerate(whole.encode_batch([t or "" for t in texts], add_special_tokens=False)):
         assert (got[i].n_tokens, got[i].n_bytes, got[i].over_limit) == (len(e.ids), len((texts[i] or "").encode()), len(e.ids) > 1024), i
+    assert K.count_tokens(df.limit(0)).count() == 0
+    twice = K.count_tokens(spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "a b")], "doc_id long, text string")).collect()
+    assert len(twice) == 3 and len({r.n_tokens for r in twice}) == 1
+    calls, counter = [], K.Counter(P.path("byte_bpe_50k.json"))
+    encode, counter.encode = counter.encode, lambda part: calls.append(sum(len(x.encode()) for x in part)) or encode(part)
+    many = [prose(rng, n) for n in (5, 200_000, 3, 900, 90_000)]
+    assert counter.counts(many) == [len(e.ids) for e in whole.encode_batch(many, add_special_tokens=False)] and max(calls) <= K.BATCH_BYTES and len(calls) > 2
     for name in ("word_bpe_49k.json", "piece_bpe_32k.model"):
         assert K.Counter(P.path(name)).counts(["a b", ""])[1] == 0
 
