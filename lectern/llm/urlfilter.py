@@ -117,7 +117,8 @@ def filter_urls(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULE
     each = texts.repartition(tasks(pages.sparkSession), "text").select("text", *train, F.explode(_windows(F.col("text"), order)).alias("window"))
     windows = cut(each.groupBy("window").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")))
     scores = cut(_scored_windows(windows, order))
-    met = each.groupBy("text", "window").agg(F.count("*").alias("n")).join(scores, "window")
+    # the planner takes exploded rows to be as small as their texts: never broadcast them
+    met = each.groupBy("text", "window").agg(F.count("*").alias("n")).hint("merge").join(scores, "window")
     scored = cut(met.groupBy("text").agg(F.sum(F.col("n") * F.col("score")).alias("total"), F.sum("n").alias("n")).join(texts, "text"))
     mean = F.col("total") / F.col("n")
     decided = scored.where("good + bad > 0").withColumn("bin", F.floor(mean / BIN))
