@@ -57,6 +57,8 @@ _HTML = "regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script.*?</sc
 _ENT = "replace(replace(replace(replace({}, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;', '&')"
 _CLEAN = "regexp_replace(regexp_replace(regexp_replace(replace({}, chr(0), ' '), '[ \\t]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g')"
 _DENSE = "list_cosine_similarity(e.embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0))"
+_CATALOG = """SELECT s_suppkey AS id, s_name AS clean_title, concat('Title ', s_suppkey % 40, '.pdf') AS raw_title, CASE WHEN s_suppkey % 3 = 0 THEN concat('Author ', s_nationkey) END AS author, (s_suppkey % 2)::INT AS in_directory,
+  CASE WHEN s_suppkey % 5 = 0 THEN concat('/d/', s_suppkey) END AS source_path, 'en' AS language, 1 AS revision, 'before' AS updated_at FROM supplier"""
 _SIDES = """l AS (SELECT lower(concat(p_name, ' ', p_size + p_partkey % 5)) AS k, min(p_partkey) AS list_key FROM part GROUP BY k), r AS (SELECT lower(concat(p_name, ' ', p_size + p_partkey % 3)) AS k, max(p_partkey) AS dir_key FROM part GROUP BY k)"""
 _STATUS = f"""WITH {_SIDES} SELECT coalesce(l.k, r.k) AS normalized_title, list_key, dir_key, CASE WHEN l.k IS NULL THEN 'unlisted' WHEN r.k IS NULL THEN 'missing' ELSE 'matched' END AS status FROM l FULL JOIN r ON l.k = r.k"""
 _AND = "SELECT doc_id, round(0.1::DOUBLE * n, 6) AS rank FROM (SELECT doc_id, len(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_\\p{M}]+'), lambda w: w = 'and')) AS n FROM documents) WHERE n > 0 ORDER BY n DESC, doc_id LIMIT 20"
@@ -89,6 +91,23 @@ _FULL = {
     "reclean_merge": "SELECT p_name, min(p_partkey) AS p_partkey, arg_max(p_brand, p_partkey) FILTER (p_size % 2 = 0) AS brand, max(p_size % 2)::INT AS in_directory FROM part GROUP BY p_name",
     "catalog_upsert": "SELECT coalesce(a.p_partkey, b.k) AS p_partkey, coalesce(b.name, a.p_name) AS p_name, coalesce(b.size, a.p_size)::INT AS p_size FROM part a FULL JOIN (SELECT p_partkey * 3 AS k, upper(p_name) AS name, p_size + 100 AS size FROM part) b ON a.p_partkey = b.k",
     "chunk_replace": "WITH x AS (SELECT doc_id % 50 AS book_id, doc_id AS chunk_id, n_chars FROM documents), f AS (SELECT book_id, chunk_id, -n_chars AS n_chars FROM x WHERE book_id % 10 = 4 AND chunk_id % 4 = 0) SELECT * FROM f UNION ALL SELECT * FROM x WHERE book_id NOT IN (SELECT book_id FROM f)",
+    "dense_rounded": f"SELECT vec_id, round(s, 4) AS similarity FROM (SELECT vec_id, {_DENSE.replace('vec_id = 0', 'vec_id = 1')} AS s FROM embeddings e) ORDER BY s DESC, vec_id LIMIT 10",
+    "seed_upsert": f"""WITH c AS ({_CATALOG}), r AS (SELECT s_suppkey AS place, CASE WHEN s_suppkey % 2 = 0 THEN s_name ELSE concat('new ', s_name) END AS t, concat('seed ', s_suppkey) AS raw FROM supplier)
+      SELECT coalesce(c.id, (SELECT max(id) FROM c) + r.place) AS id, coalesce(c.clean_title, r.t) AS clean_title, coalesce(r.raw, c.raw_title) AS raw_title, c.author, CASE WHEN c.id IS NULL THEN 0 ELSE c.in_directory END AS in_directory, c.source_path,
+      'en' AS language, 1 AS revision, CASE WHEN r.t IS NULL THEN 'before' ELSE 'now' END AS updated_at FROM c FULL JOIN r ON c.clean_title = r.t""",
+    "reclean_renumbered": f"""WITH n AS (SELECT * REPLACE (row_number() OVER (ORDER BY id) AS id, regexp_replace(raw_title, '\\.pdf$', '') AS clean_title) FROM ({_CATALOG}) WHERE id % 7 <> 0)
+      SELECT min(id) AS id, clean_title, arg_max(raw_title, id) AS raw_title, arg_max(author, id) FILTER (author IS NOT NULL) AS author, max(in_directory) AS in_directory, arg_max(source_path, id) FILTER (source_path IS NOT NULL) AS source_path,
+      'en' AS language, 1 AS revision, CASE WHEN count(*) > 1 THEN 'now' ELSE 'before' END AS updated_at FROM n GROUP BY clean_title""",
+    "reclean_counts": "SELECT count(*) FILTER (s_suppkey % 7 <> 0) AS processed, count(*) FILTER (s_suppkey % 7 = 0) AS skipped, count(DISTINCT CASE WHEN s_suppkey % 7 <> 0 THEN s_suppkey % 40 END) AS titles FROM supplier",
+    "ingest_guard": "SELECT s_suppkey + 1000 AS book_id, concat('/d/', s_suppkey) AS path FROM supplier WHERE s_suppkey % 10 = 0 AND s_suppkey % 4 <> 1",
+    "ingest_report": "SELECT (SELECT count(*) FROM part) AS catalog_records_ingested, count(DISTINCT doc_id % 97) AS documents_chunked, count(*) AS total_chunks_ingested, 384 AS vector_dimension FROM documents",
+    "catalog_introspection": "SELECT count(*) AS row_count, 9 AS total_columns, 'created_at, domain, edition, file_extension, file_type, genre, is_collection, key_concepts, media_type, published, publisher, subfield, subject, subtitle, summary, target_audience, topics, updated_at' AS wrong_columns, false AS valid FROM supplier",
+    "lookup_answers": """WITH p AS (SELECT concat(lower(p_name), ' ', p_partkey) AS q, p_size % 4 IN (0, 3) AS near, p_brand FROM part), x AS (SELECT q, near AS ol, length(q) % 3 = 0 AS cr, p_brand, length(q) AS n FROM p)
+      SELECT concat('k:', q) AS key, ol OR cr AS hit, CASE WHEN ol THEN CASE WHEN n % 2 = 0 THEN 'A, B, C' END WHEN cr THEN 'E' END AS author, CASE WHEN ol THEN (n + 1900)::VARCHAR WHEN cr THEN '2001' END AS published,
+      CASE WHEN ol THEN p_brand WHEN cr THEN 'P' END AS publisher, CASE WHEN ol THEN 'en' END AS language, CASE WHEN ol AND n % 3 > 1 THEN (n % 3)::INT END AS revision, CASE WHEN ol THEN 'OpenLibrary' WHEN cr THEN 'Crossref' END AS source FROM x""",
+    "isbn_answers": """SELECT concat('isbn:978', lpad(p_partkey::VARCHAR, 10, '0')) AS key, a OR b AS hit, CASE WHEN a OR b THEN p_name END AS title, CASE WHEN a THEN 'A' WHEN b THEN 'B' END AS author, CASE WHEN a THEN '1999' WHEN b THEN '2010' END AS published,
+      CASE WHEN a THEN 'de' WHEN b THEN 'en' END AS language, CASE WHEN b AND NOT a THEN 'text' END AS summary, CASE WHEN a THEN 'OpenLibrary:ISBN' WHEN b THEN 'GoogleBooks:ISBN' END AS source
+      FROM (SELECT *, p_partkey % 2 = 0 AS a, p_partkey % 3 = 0 AS b FROM part WHERE p_partkey % 5 <> 0)""",
     "ext_strip": f"WITH {_TITLES} SELECT p_partkey, {_NO_EXT} AS title FROM titles",
     "doubled_extension": f"WITH {_TITLES} SELECT p_partkey, CASE WHEN raw LIKE '%.pdf' THEN raw ELSE raw || '.pdf' END AS name FROM titles",
     "copy_suffix": f"WITH {_TITLES} {_NO_COPY}",

@@ -9,7 +9,10 @@ from .functions import metadata as M
 from .functions import text as T
 from .functions import titles as N
 from .operators import context as C
+from .operators import lookup as L
 from .operators import vector as V
+from .operators.ann import ann_search, fit_centroids
+from .operators.ann import index as ann_index
 from .operators.chunk import chunk_documents, one_page, paragraphs, sentences
 from .operators.embed import HashEmbedder, cache_key, embedded, misses
 from .operators.enrich import enrich, enrichment_counts
@@ -17,8 +20,10 @@ from .operators.fulltext import indexed_search, postings, sparse_search
 from .operators.fusion import fuse, rrf
 from .operators.merge import fold_by_key, merge, replace_chunks, sync_catalog, sync_counts, verify
 from .operators.reconcile import first_per_key, last_per_key, missing, number_rows, reconcile, summarize, unlisted
+from .plans import catalog as K
 from .plans.search import answer_prompt, search_chunks_dense, search_chunks_sparse, search_hybrid
 from .sources.documents import sections
+from .sources.sinks import rounded
 
 #: Titles made of part names, in an expression that Spark and DuckDB both read.
 RAW = """CASE p_partkey % 14
@@ -138,6 +143,73 @@ def chunk_replace(spark, d):
     return replace_chunks(x, x.where("book_id % 10 = 4 and chunk_id % 4 = 0").withColumn("n_chars", -F.col("n_chars")))
 
 
+def _catalog(spark, d):
+    """Suppliers as a catalog: titles that several rows share, fields that some rows lack."""
+    x = _t(spark, d, "supplier")
+    return x.select(
+        F.col("s_suppkey").alias("id"), F.col("s_name").alias("clean_title"), F.expr("concat('Title ', s_suppkey % 40, '.pdf')").alias("raw_title"), F.when(F.col("s_suppkey") % 3 == 0, F.expr("concat('Author ', s_nationkey)")).alias("author"),
+        (F.col("s_suppkey") % 2).cast("int").alias("in_directory"), F.when(F.col("s_suppkey") % 5 == 0, F.expr("concat('/d/', s_suppkey)")).alias("source_path"), F.lit("en").alias("language"), F.lit(1).alias("revision"), F.lit("before").alias("updated_at"),
+    )
+
+
+def seed_upsert(spark, d):
+    """Every second supplier known already, and as many new titles."""
+    x = _t(spark, d, "supplier")
+    records = x.select(F.col("s_suppkey").alias("place"), F.expr("CASE WHEN s_suppkey % 2 = 0 THEN s_name ELSE concat('new ', s_name) END").alias("clean_title"), F.expr("concat('seed ', s_suppkey)").alias("raw_title"))
+    return K.seed(_catalog(spark, d), records, F.lit("now"))
+
+
+def reclean_renumbered(spark, d):
+    return K.reclean_catalog(_catalog(spark, d), F.when(F.col("id") % 7 != 0, N.strip_extensions(F.col("raw_title"))), F.lit("now"))
+
+
+def reclean_counts(spark, d):
+    return K.reclean_counts(_catalog(spark, d), F.when(F.col("id") % 7 != 0, N.strip_extensions(F.col("raw_title"))))
+
+
+def ingest_guard(spark, d):
+    """Suppliers whose title is stored under another id and whose file is there."""
+    books = _catalog(spark, d)
+    stored = books.where("id % 4 != 1").select((F.col("id") + 1000).alias("id"), "clean_title")
+    found = books.where("id % 10 = 0").select(F.col("source_path").alias("path"))
+    return K.documents_to_ingest(books, K.id_map(books, stored), found)
+
+
+def ingest_report(spark, d):
+    chunks = _t(spark, d, "documents").select((F.col("doc_id") % 97).alias("book_id"))
+    return K.ingestion_report(_t(spark, d, "part"), chunks, 384)
+
+
+def catalog_introspection(spark, d):
+    return K.introspect(_catalog(spark, d))
+
+
+def _services(spark, d):
+    """Every part wanted by its name and key, with three documents of one service and a work of another, titled like it or not."""
+    p = _t(spark, d, "part").select("p_brand", "p_size", F.expr("concat(lower(p_name), ' ', p_partkey)").alias("query"), F.split(F.lower("p_name"), " ").alias("w"))
+    wanted = p.select(F.concat(F.lit("k:"), F.col("query")).alias("key"), "query")
+    title = F.expr("CASE p_size % 4 WHEN 0 THEN concat(query, ' revised') WHEN 1 THEN concat('other ', w[0]) WHEN 2 THEN 'nothing alike' ELSE concat('Nothing ', w[1], ' ', w[0]) END")
+    doc = lambda place, t: p.select("query", F.lit(place).alias("place"), t.alias("title"), F.expr("CASE WHEN length(query) % 2 = 0 THEN array('A', 'B', 'C', 'D') ELSE array() END").cast("array<string>").alias("author_name"), (F.length("query") + 1900).alias("first_publish_year"), F.array("p_brand").alias("publisher"), F.array().cast("array<string>").alias("language"), F.lit(None).cast("string").alias("first_sentence"), (F.length("query") % 3).alias("edition_count"))
+    docs = doc(0, F.lit("unlike")).union(doc(1, title)).union(doc(2, F.col("query")))
+    works = p.select("query", F.lit(0).alias("place"), F.when(F.length("query") % 3 == 0, F.initcap("query")).otherwise("far off").alias("title"), F.array(F.lit("E")).alias("author"), F.lit(2001).alias("published"), F.lit("P").alias("publisher"))
+    return wanted, docs, works
+
+
+def lookup_answers(spark, d):
+    wanted, docs, works = _services(spark, d)
+    x = L.answers(wanted, L.open_library_answers(wanted, docs), L.crossref_answers(wanted, works))
+    return x.select("key", "hit", "data.author", "data.published", "data.publisher", "data.language", "data.revision", "data.source")
+
+
+def isbn_answers(spark, d):
+    x = _t(spark, d, "part").select("p_partkey", "p_name", F.expr("CASE WHEN p_partkey % 5 = 0 THEN 'none' ELSE concat('978-', lpad(CAST(p_partkey AS STRING), 10, '0')) END").alias("isbn"))
+    none = F.lit(None).cast("string")
+    docs = x.where("p_partkey % 2 = 0").select("isbn", F.lit(0).alias("place"), F.col("p_name").alias("title"), none.alias("subtitle"), F.array(F.lit("A")).alias("author_name"), F.lit(1999).alias("first_publish_year"), F.array(F.lit("P")).alias("publisher"), F.array(F.lit("de")).alias("language"), none.alias("first_sentence"))
+    volumes = x.where("p_partkey % 3 = 0").select("isbn", F.lit(0).alias("place"), F.col("p_name").alias("title"), F.lit("s").alias("subtitle"), F.array(F.lit("B")).alias("authors"), F.lit("G").alias("publisher"), F.lit("2010-05-01").alias("published_date"), none.alias("language"), F.lit("text").alias("description"))
+    out = L.answers(L.wanted_isbns(x), L.isbn_open_library(docs), L.isbn_google(volumes))
+    return out.select("key", "hit", "data.title", "data.author", "data.published", "data.language", "data.summary", "data.source")
+
+
 # --- titles and metadata
 
 
@@ -296,6 +368,17 @@ def dense_topk(spark, d):
     return V.dense_search(_t(spark, d, "embeddings"), _vector(spark, d), 10, "vec_id").select("vec_id", F.round("similarity", 6).alias("similarity"))
 
 
+def dense_rounded(spark, d):
+    return rounded(V.dense_search(_t(spark, d, "embeddings"), _vector(spark, d, 1), 10, "vec_id")).select("vec_id", "similarity")
+
+
+def ann_topk(spark, d):
+    """Approximate: 20 of 32 cells are read."""
+    e = _t(spark, d, "embeddings")
+    centroids = fit_centroids(e, "vec_id")
+    return ann_search(ann_index(e, centroids), centroids, _vector(spark, d), 10, "vec_id").select("vec_id", F.round("similarity", 6).alias("similarity"))
+
+
 def dense_topk_filtered(spark, d):
     books = _t(spark, d, "nation").select(F.col("n_nationkey").alias("label"), F.col("n_name").alias("domain"))
     rows = _t(spark, d, "embeddings").join(F.broadcast(books.where(V.filter_condition({"domain": "a", "unknown": 1}))), "label")
@@ -402,8 +485,9 @@ def embedded_chunks(spark, d):
 QUERIES = {
     q.__name__: q
     for q in (
-        dense_topk, dense_topk_filtered, l2_normalize, hierarchical, keyword_single, keyword_cover_density, keyword_stemmed, rrf_scores, hybrid_rrf, chunk_search_dense, chunk_search_sparse, chunk_search_hybrid, keyword_indexed, citations, rag_context, rag_prompt, embedding_cache_miss, embedded_chunks,
+        dense_topk, dense_rounded, ann_topk, dense_topk_filtered, l2_normalize, hierarchical, keyword_single, keyword_cover_density, keyword_stemmed, rrf_scores, hybrid_rrf, chunk_search_dense, chunk_search_sparse, chunk_search_hybrid, keyword_indexed, citations, rag_context, rag_prompt, embedding_cache_miss, embedded_chunks,
         catalog_count, catalog_head, verify_catalog, number_titles, first_titles, reconcile_status, reconcile_summary, list_missing, dir_unlisted, sync_merge, sync_totals, reclean_merge, catalog_upsert, chunk_replace,
+        seed_upsert, reclean_renumbered, reclean_counts, ingest_guard, ingest_report, catalog_introspection, lookup_answers, isbn_answers,
         ext_strip, doubled_extension, copy_suffix, camel_split, title_clean, title_key, file_info, publisher, subtitle, edition, published_year, author, taxonomy, media_class, uninformative, isbn_valid, isbn_find,
         title_jaccard, search_words, metadata_passage, summary_text, enrich_offline, enrich_counts, html_strip, html_snippet, html_heading, html_unescaped, token_estimate, clean_text, paragraph_units, sentence_units, chunked_documents, markdown_sections,
     )

@@ -95,9 +95,12 @@ def pdf_pages(rows: DataFrame) -> DataFrame:
     return raw.select("path", page.alias("p")).where(F.length("p.text") > 0).groupBy("path").agg(F.array_sort(F.collect_list("p")).cast(PAGES).alias("pages"))
 
 
-def document_pages(rows: DataFrame) -> DataFrame:
-    """``(path, pages)`` by suffix; other files have none."""
-    return text_pages(rows).union(epub_pages(rows)).union(pdf_pages(rows))
+def document_pages(rows: DataFrame, max_pages: int | None = None) -> DataFrame:
+    """``(path, pages)`` by suffix; other files have none. Only pages up to the number ``max_pages`` are kept, if it is given."""
+    out = text_pages(rows).union(epub_pages(rows)).union(pdf_pages(rows))
+    if max_pages is None:
+        return out
+    return out.withColumn("pages", F.filter("pages", lambda p: p["page_number"] <= max_pages)).where(F.size("pages") > 0)
 
 
 def _opf(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -190,6 +193,12 @@ def pdf_front_matter(rows: DataFrame, max_pages: int = 5) -> DataFrame:
     return page_front_matter(meta)
 
 
+def front_matter_of(paths: DataFrame, rows: DataFrame, max_pages: int = 5) -> DataFrame:
+    """Front matter of every one of ``paths(path)``; one that is not among ``rows`` gets a row that says so."""
+    gone = paths.select("path").distinct().join(rows.select("path"), "path", "left_anti").select("path", F.lit("file_not_found").alias("source"))
+    return front_matter(rows, max_pages).unionByName(gone, allowMissingColumns=True)
+
+
 def front_matter(rows: DataFrame, max_pages: int = 5) -> DataFrame:
     """Front matter by suffix; other files get a row that says so."""
     other = rows.where(~F.coalesce(F.col("suffix"), F.lit("")).isin("pdf", "epub", "ibooks")).select("path", F.lit("unsupported_format").alias("source"))

@@ -33,6 +33,11 @@ def report_text(summary: DataFrame, statuses: DataFrame, preview: int = 10) -> s
     return "\n".join(out)
 
 
+def rounded(results: DataFrame, places: int = 4) -> DataFrame:
+    """Search results with their scores rounded."""
+    return results.withColumns({c: F.round(c, places) for c in ("similarity", "rank", "score") if c in results.columns})
+
+
 def result_lines(results: DataFrame, title: str = "clean_title", score: str = "score", body: str = "content", width: int = 160) -> DataFrame:
     """Search results as lines of four decimals and an excerpt."""
     excerpt = F.regexp_replace(F.substring(F.col(body), 1, width), r"\s+", " ")

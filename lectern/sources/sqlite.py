@@ -65,3 +65,21 @@ def write_sqlite(df: DataFrame, path: str, table: str = "books") -> None:
         kinds = {"bigint": "INTEGER", "int": "INTEGER", "double": "REAL", "float": "REAL", "binary": "BLOB"}
         c.execute(f'CREATE TABLE "{table}" ({", ".join(f"{chr(34)}{n}{chr(34)} {kinds.get(k, chr(84) + "EXT")}" for n, k in df.dtypes)})')
         c.executemany(f'INSERT INTO "{table}" ({names}) VALUES ({", ".join("?" * len(df.columns))})', (tuple(r) for r in df.toLocalIterator()))
+
+
+def upsert_sqlite(df: DataFrame, path: str, key: str = "clean_title", table: str = "books", keep: tuple[str, ...] = ()) -> int:
+    """Rows into a SQLite table by its unique ``key``: a known key takes all columns but ``keep``, a new one is inserted; the number of rows.
+
+    The table must be there (``write_sqlite`` or the owner made it); other rows and columns stay. One transaction on the driver:
+    a failure leaves the file as it was. Rows are streamed by partition.
+    """
+    names = [f'"{c}"' for c in df.columns]
+    update = ", ".join(f'"{c}" = excluded."{c}"' for c in df.columns if c != key and c not in keep)
+    n = 0
+    with sqlite3.connect(path) as c:
+        c.execute(f'CREATE UNIQUE INDEX IF NOT EXISTS "unique_{table}_{key}" ON "{table}" ("{key}")')
+        rule = f"DO UPDATE SET {update}" if update else "DO NOTHING"
+        for r in df.toLocalIterator():
+            c.execute(f'INSERT INTO "{table}" ({", ".join(names)}) VALUES ({", ".join("?" * len(names))}) ON CONFLICT ("{key}") {rule}', tuple(r))
+            n += 1
+    return n
