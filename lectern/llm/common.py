@@ -81,6 +81,25 @@ def tidy(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: A key is hot when it holds more than one row in so many; hence there are fewer hot keys than this, however large the table.
+HOT = 1000
+
+
+def join_counted(rows: DataFrame, counted: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` joined with their line of ``counted`` (stored; one line a key, ``n`` rows of it), without ``n``.
+
+    Rows of hot keys, whose lines are fewer than ``HOT``, meet them by broadcast where they lie, so no task gets all rows of such
+    a key; the others are shuffled. Keys are not null. ``rows`` is read twice if there are hot keys.
+    """
+    total, most = counted.agg(F.sum("n"), F.max("n")).first()
+    if total is None or most * HOT <= total:
+        return rows.join(counted.drop("n"), keys)
+    hot = F.col("n") * HOT > total
+    few = counted.where(hot).drop("n")
+    others = rows.join(F.broadcast(few.select(keys)), keys, "left_anti").join(counted.where(~hot).drop("n"), keys)
+    return rows.join(F.broadcast(few), keys).unionByName(others)
+
+
 def tasks(spark: SparkSession) -> int:
     """Shuffle partitions of the session, the unit by which fixed-size work is dealt out."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

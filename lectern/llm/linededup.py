@@ -1,16 +1,20 @@
 """Line dedup over the line-ID sequences of all documents, by prefix doubling, in DataFrame functions only.
 
-The sequence of a document is the IDs of its lines that have words. Suffixes are grouped as a suffix array
-groups them, by ever longer common prefixes: the name of 2**(k+1) lines is the pair of names of its halves, a
-name that occurs once in the corpus is dropped, and so is every suffix that begins with it. An interval of
-suffixes whose common prefix holds ``least_words`` words has a name made of two overlapping blocks; its first
-member in the order (doc_id, line) stays, all others are later copies. The interval's members are then told
-apart by their next lines, as far as these add fewer than ``least_words``, which gives every later copy the
-whole length of its longest match with an earlier one (longer matches are covered by the intervals of their own
-later suffixes). The union of these maximal runs is deleted.
-
-Line IDs, names and counts are pre-aggregated before each shuffle; joins back are on unique names, so AQE splits
-the rows of a hot line. Only rows of repeated lines go beyond the first count.
+The sequence of a document is the IDs of its lines that have words; its suffixes are ordered by their lines' IDs. Doubling
+ranks them by their first 1, 2, 4, ... lines: the rank of 2**(k+1) lines is the rank, in a range sort of all distinct ones, of the
+pair of ranks of its halves. A pair that occurs once in the corpus parts its suffix from all others, so the suffix's
+place is found and its common prefixes with its neighbours are shorter: it is dropped.
+
+Suffixes that agree in a prefix are neighbours, an interval of the order whose common prefix is that long. Two ranks of one
+level, of overlapping blocks, tell whether a prefix of any length is common. Each suffix gets the interval of the shortest
+prefix that holds ``least_words`` words; its first member in the order (doc_id, line) stays, all others are later copies. The
+interval's members are then told apart by their next lines, as far as these add fewer than ``least_words``, which gives
+every later copy the whole length of its longest match with an earlier one (longer matches are covered by the intervals of
+their own later suffixes). The union of these maximal runs is deleted. Intervals are formed by equal ranks and not by a walk
+over neighbours, since that would need the whole order in one pass.
+
+Counts come before each shuffle, and rows of a hot line or prefix are never gathered: they meet its rank by broadcast. Only
+rows of repeated lines go beyond the first count.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, text_of
+from .common import WORD, cut, discard, join_counted, text_of
 
 LEAST_WORDS = 50
 
@@ -36,10 +40,26 @@ def _sequences(docs: DataFrame) -> DataFrame:
     return each.select("d", "t", "pos", "x.raw", "x.w", _name(F.col("x.line").cast("binary")).alias("id"))
 
 
-def _repeated(rows: DataFrame, name: str) -> DataFrame:
-    """Names that occur more than once, with their first place in the order (doc_id, text, line)."""
+def _counts(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys that occur more than once, with the number ``n`` of their rows."""
+    return rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def _ranked(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` (stored) whose keys occur more than once, with their ``rank`` in the keys' order for the keys.
+
+    Ranks come from one range sort of the distinct keys, stored before they are used: they ascend, with gaps.
+    """
+    ranks = cut(_counts(rows, keys).sort(*keys).withColumn("rank", F.monotonically_increasing_id()))
+    out = cut(join_counted(rows, ranks, keys).drop(*keys))
+    discard(ranks, rows)
+    return out
+
+
+def _firsts(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` (stored) whose keys occur more than once, with the key's ``first`` place in the order (doc_id, text, line)."""
     place = F.struct(F.col("d").isNull().alias("no"), "d", "t", "pos")
-    return rows.groupBy(name).agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").drop("n")
+    return join_counted(rows, cut(rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1")), keys)
 
 
 def _later() -> Column:
@@ -51,7 +71,7 @@ def _intervals(rows: DataFrame, least: int) -> DataFrame:
     by_doc = Window.partitionBy("d", "t")
     before = F.coalesce(F.sum("w").over(by_doc.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ahead = by_doc.orderBy("before").rangeBetween(0, least - 1)
-    after = F.struct("pos", "raw", "id", (F.col("before") + F.col("w")).alias("end"))
+    after = F.struct("pos", "raw", "rank", (F.col("before") + F.col("w")).alias("end"))
     x = rows.withColumn("before", before.cast("long")).select(
         "*",
         F.max("pos").over(ahead).alias("last"),
@@ -63,48 +83,54 @@ def _intervals(rows: DataFrame, least: int) -> DataFrame:
     x = x.withColumn("next", F.first("near").over(by_doc.orderBy("pos").rangeBetween(1, 1)))
     x = x.where((F.col("lines") == F.col("last") - F.col("pos") + 1) & (F.col("end") - F.col("before") >= least))
     own_end = F.col("before") + F.col("w")
-    tail = F.filter(F.coalesce("next", F.array().cast("array<struct<pos:int,raw:int,id:binary,end:bigint>>")), lambda v: (v["pos"] > F.col("last")) & (v["end"] - own_end < least))
+    tail = F.filter(F.coalesce("next", F.array().cast("array<struct<pos:int,raw:int,rank:bigint,end:bigint>>")), lambda v: (v["pos"] > F.col("last")) & (v["end"] - own_end < least))
     tail = F.filter(tail, lambda v, i: v["pos"] == F.col("last") + 1 + i)
-    return x.select("d", "t", "pos", "raw", "id", "last", "raw_last", "lines", tail.alias("tail"))
+    return x.select("d", "t", "pos", "raw", "rank", "last", "raw_last", "lines", tail.alias("tail"))
 
 
 def _levels(rows: DataFrame, most_lines: int) -> list[DataFrame]:
-    """Names of 1, 2, 4, ... lines from each place, up to ``most_lines``; only names that occur more than once."""
-    out = [rows.select("d", "t", "pos", F.col("id").alias("name"))]
+    """Ranks of the prefixes of 1, 2, 4, ... lines from each place, up to ``most_lines``; only prefixes that occur more than once."""
+    out = [rows.select("d", "t", "pos", "rank")]
     while 2 ** len(out) <= most_lines:
         half = 2 ** (len(out) - 1)
-        other = F.first("name").over(Window.partitionBy("d", "t").orderBy("pos").rangeBetween(half, half))
-        pairs = out[-1].select("d", "t", "pos", "name", other.alias("other")).where("other is not null").select("d", "t", "pos", _name("name", "other").alias("name"))
-        out.append(cut(pairs.join(_repeated(pairs, "name").select("name"), "name").select("d", "t", "pos", "name")))
+        right = F.first("rank").over(Window.partitionBy("d", "t").orderBy("pos").rangeBetween(half, half))
+        pairs = out[-1].select("d", "t", "pos", F.col("rank").alias("left"), right.alias("right")).where("right is not null")
+        out.append(_ranked(cut(pairs), ["left", "right"]))
     return out
 
 
-def deleted_runs(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """``(d, t, runs)``: the deleted stretches of lines of each document that has any, in order, both ends included."""
-    lines = cut(_sequences(docs))
-    ids = lines.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
-    # rows equal in id and text are one document
-    rows = cut(lines.join(ids, "id").repartition("d", "t").dropDuplicates(["d", "t", "pos"]))
-    intervals = cut(_intervals(rows, least_words))
-    most = intervals.agg(F.max("lines")).first()[0] or 0
-    levels = _levels(rows, most)
-    named = intervals.where("lines = 1").withColumn("name", F.col("id"))
+#: What names an interval: its length in lines and the ranks of two blocks that cover it, one at either end.
+_INTERVAL = ["lines", "left", "right"]
+
+
+def _named(intervals: DataFrame, levels: list[DataFrame]) -> DataFrame:
+    """Intervals with the ranks of their two blocks; a stretch of which a block occurs once has no copy and is left out."""
+    named = intervals.where("lines = 1").withColumns({"left": F.col("rank"), "right": F.col("rank")})
     for k in range(1, len(levels)):
         own = intervals.where((F.col("lines") >= 2**k) & (F.col("lines") < 2 ** (k + 1)))
-        left = levels[k].withColumnRenamed("name", "left")
-        right = levels[k].select("d", "t", (F.col("pos") + 2**k - 1).alias("last"), F.col("name").alias("right"))
+        left = levels[k].withColumnRenamed("rank", "left")
+        right = levels[k].select("d", "t", (F.col("pos") + 2**k - 1).alias("last"), F.col("rank").alias("right"))
         for other, key in ((left, "pos"), (right, "last")):
             other = other.select(F.col("d").alias("od"), F.col("t").alias("ot"), F.col(key).alias("ok"), other.columns[-1])
             own = own.join(other, F.col("d").eqNullSafe(F.col("od")) & (F.col("t") == F.col("ot")) & (F.col(key) == F.col("ok"))).drop("od", "ot", "ok")
-        named = named.unionByName(own.withColumn("name", _name("left", "right", F.col("lines").cast("string").cast("binary"))).drop("left", "right"))
-    named = named.drop("id", "lines")
-    repeated = cut(named.join(_repeated(named, "name"), "name"))
+        named = named.unionByName(own)
+    return named.drop("rank")
+
+
+def deleted_runs(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """``(d, t, runs)``: the deleted stretches of lines of each document that has any, in order, both ends included."""
+    # rows equal in id and text are one document
+    rows = cut(_ranked(cut(_sequences(docs)), ["id"]).repartition("d", "t").dropDuplicates(["d", "t", "pos"]))
+    intervals = cut(_intervals(rows, least_words))
+    most = intervals.agg(F.max("lines")).first()[0] or 0
+    repeated = cut(_firsts(cut(_named(intervals, _levels(rows, most))), _INTERVAL))
     runs = repeated.where(_later()).select("d", "t", "pos", "last", F.col("raw").alias("begin"), F.col("raw_last").alias("end"))
     # members of an interval by their next lines: the common prefix grows as long as an earlier member goes along
     step = repeated.where(F.size("tail") > 0).drop("first").withColumn("k", F.explode(F.sequence(F.lit(1), F.size("tail"))))
-    head = F.slice("tail", 1, F.col("k"))
-    longer = step.select("d", "t", "pos", "raw", F.element_at("tail", F.col("k"))["pos"].alias("last"), F.element_at("tail", F.col("k"))["raw"].alias("end"), F.unhex(F.md5(F.aggregate(head, F.col("name"), lambda acc, v: F.concat(acc, v["id"])))).alias("longer"))
-    longer = longer.join(_repeated(longer, "longer"), "longer").where(_later()).select("d", "t", "pos", "last", F.col("raw").alias("begin"), "end")
+    along = F.transform(F.slice("tail", 1, F.col("k")), lambda v: v["rank"].cast("string"))
+    name = _name(F.concat_ws(",", *[F.col(c).cast("string") for c in _INTERVAL], along).cast("binary"))
+    longer = step.select("d", "t", "pos", "raw", F.element_at("tail", F.col("k"))["pos"].alias("last"), F.element_at("tail", F.col("k"))["raw"].alias("end"), name.alias("longer"))
+    longer = _firsts(cut(longer), ["longer"]).where(_later()).select("d", "t", "pos", "last", F.col("raw").alias("begin"), "end")
     by_doc = Window.partitionBy("d", "t").orderBy("pos", "last")
     all_ = runs.union(longer).withColumn("reach", F.max("last").over(by_doc.rowsBetween(Window.unboundedPreceding, -1)))
     all_ = all_.withColumn("run", F.sum(F.when(F.col("pos") <= F.col("reach") + 1, 0).otherwise(1)).over(by_doc.rowsBetween(Window.unboundedPreceding, 0)))

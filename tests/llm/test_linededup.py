@@ -58,3 +58,15 @@ def test_same_row_twice_and_empty(spark):
     df = spark.createDataFrame([(1, long), (1, long)], "doc_id long, text string")
     assert [r.n_deleted for r in dedup_lines(df).collect()] == [0, 0]
     assert dedup_lines(df.limit(0)).count() == 0
+
+
+def test_rows_of_hot_and_other_keys_meet_their_line_once(spark):
+    from pyspark.sql import functions as F
+
+    from lectern.llm.common import cut, join_counted
+
+    rows = spark.range(6000).select("id", F.when(F.col("id") < 2000, F.lit(-1)).otherwise(F.floor(F.col("id") / 3)).alias("k"))
+    counted = cut(rows.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("low")).where("n > 1"))
+    got = sorted(map(tuple, join_counted(rows, counted, ["k"]).select("id", "k", "low").collect()))
+    assert got == sorted(map(tuple, rows.join(counted, "k").select("id", "k", "low").collect()))
+    assert {x[1] for x in got} > {-1} and join_counted(rows, counted.limit(0), ["k"]).count() == 0
