@@ -28,10 +28,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, discard, pieces, tidy
+from .common import cut, discard, pieces, tasks, tidy
 from .components import connected_components
 from .textvec import Powers, mix, shingles, words
 
@@ -40,6 +40,11 @@ SIGMAS = 3.72
 PERCENT = 75
 #: Bits of the filter that picks the texts of active classes on the map side; it bounds what is broadcast.
 FILTER_BITS = 1 << 24
+#: A post that holds more than one row in so many is hot: fewer posts than this are, however large the table. They are looked for
+#: among the rows of one class in ``LOOKED``; what is taken for hot changes where rows are dealt to, never what is found.
+HOT_POSTS = 10_000
+LOOKED = 32
+LEAST_SEEN = 16
 
 _SALTS = np.random.default_rng(20240611).integers(0, 2**64, 2, np.uint64)
 
@@ -146,14 +151,27 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep, pa.int64())) for c in ("a", "b")], ["a", "b"])
 
 
+def _hot(posts: DataFrame) -> DataFrame:
+    """``(post, often)``: posts that a large share of all classes hold, and about how many do.
+
+    Prefixes need one order for all classes, whichever it is, so an estimate serves as well as a count.
+    """
+    seen = cut(posts.where(F.pmod(F.xxhash64("cid"), F.lit(LOOKED)) == 0).groupBy("post").agg(F.count("*").alias("n")))
+    total = seen.agg(F.sum("n")).first()[0] or 0
+    return seen.where((F.col("n") >= LEAST_SEEN) & (F.col("n") * HOT_POSTS > total)).select("post", (F.col("n") * LOOKED).alias("often"))
+
+
 def _prefixes(posts: DataFrame, classes: DataFrame) -> DataFrame:
     """``posts(cid, post)``, ``classes(cid, n, least, filled)`` -> ``(cid, n, company, post, pos)``, prefix posts that others hold.
 
     ``pos`` is the post's place in the class's order, ``company`` how often the class's posts are held in all.
     """
-    posts = posts.repartition("post")  # one exchange for both the count and the join
-    shared = posts.groupBy("post").agg(F.count("*").alias("df")).where("df > 1")
-    held = posts.join(shared, "post").groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("df", "post"))).alias("held")).join(classes, "cid")
+    hot = _hot(posts)
+    salt = F.when(F.col("often").isNotNull(), F.pmod(F.xxhash64("cid"), F.lit(tasks(posts.sparkSession)))).otherwise(0)
+    # a window, so that one exchange and one sort serve the count and its rows; a hot post is dealt over all tasks and goes by its estimate
+    posts = posts.join(F.broadcast(hot), "post", "left").withColumn("salt", salt)
+    shared = posts.withColumn("df", F.coalesce("often", F.count("*").over(Window.partitionBy("post", "salt")))).where("df > 1")
+    held = shared.groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("df", "post"))).alias("held")).join(classes, "cid")
     # posts that no other class holds are the rarest and take the first places; sums come before the explode, else each of its rows makes them anew
     summed = held.select(
         "cid",

@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from lectern.llm import neardup as N
 from lectern.llm import resample as R
 from lectern.llm import tokens as K
 from lectern.llm import toxicity as X
@@ -254,7 +255,12 @@ def test_components(spark):
     assert {got[i] for i in range(41)} == {0} and {got[i] for i in range(100, 130)} == {100} and got[201] == 200
 
 
-def test_near_duplicates_by_brute_force(spark):
+@pytest.mark.parametrize("hot", [False, True])
+def test_near_duplicates_by_brute_force(spark, monkeypatch, hot):
+    """With ``hot``, shared posts of so small a table are dealt over all tasks and go by estimates, too."""
+    if hot:
+        monkeypatch.setattr(N, "LOOKED", 2)
+        monkeypatch.setattr(N, "LEAST_SEEN", 3)
     rng = random.Random(12)
     texts = [prose(rng, 120) for _ in range(12)]
     for base in list(texts[:6]):
