@@ -72,8 +72,8 @@ def _url_sql() -> str:
         f"s AS (SELECT win, round(ln(p_good / p_bad) * {MICRO})::BIGINT AS score FROM {before})",
         f"m AS (SELECT t.text, t.good, t.bad, t.held, b.bin FROM t JOIN (SELECT text, floor(sum(score)::DOUBLE / count(*) / {BIN}) AS bin FROM e JOIN s ON e.win = s.win GROUP BY text) b ON t.text = b.text)",
         "h AS (SELECT bin, sum(good) AS good, sum(bad) AS bad FROM m WHERE held AND good + bad > 0 GROUP BY bin)",
-        "k AS (SELECT bin, coalesce(sum(good) OVER (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lost, coalesce(sum(bad) OVER (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS caught, sum(good) OVER () AS n_good, sum(bad) OVER () AS n_bad FROM h)",
-        "z AS (SELECT bin FROM k WHERE n_good > 0 AND n_bad > 0 ORDER BY lost / n_good + (n_bad - caught) / n_bad, bin LIMIT 1)",
+        "k AS (SELECT bin, coalesce(lag(bin) OVER (ORDER BY bin), bin - 1) AS low, coalesce(sum(good) OVER (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lost, coalesce(sum(bad) OVER (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS caught, sum(good) OVER () AS n_good, sum(bad) OVER () AS n_bad FROM h)",
+        "z AS (SELECT floor((low + bin + 1) / 2) AS bin FROM k WHERE n_good > 0 AND n_bad > 0 ORDER BY lost / n_good + (n_bad - caught) / n_bad, low - bin, bin LIMIT 1)",
     ]
     out.append("n AS (SELECT coalesce(sum(good), 0) > 0 AND coalesce(sum(bad), 0) > 0 AS trained FROM m WHERE NOT held)")
     by_model = "CASE WHEN (SELECT trained FROM n) AND bin < coalesce((SELECT bin FROM z), 0) THEN 'block' ELSE 'allow' END"

@@ -4,10 +4,10 @@ URLs that a rule decides train two variable-order Markov models, of accepted and
 a character interpolates contexts of 0 to ``ORDER`` characters (Witten-Bell: an order is trusted by its count
 against its number of distinct followers). A URL's score is the log-likelihood difference of all its characters, from
 the scheme to the fragment, over their number. One part in ``HELD`` of the rule-decided URLs, by a digest, trains nothing and
-calibrates the threshold, at the least sum of both error rates; where it lacks accepted or rejected ones the threshold is 0.
+calibrates the threshold, in the middle of the widest gap between scores at the least sum of both error rates; where it lacks accepted or rejected ones the threshold is 0.
 
 Everything is counted on distinct windows (a context with its character): windows are pre-aggregated with class
-counts, each distinct window is scored once, and URLs meet the scores in one join whose hot windows AQE splits.
+counts, each distinct window is scored once, and URLs meet the scores in one join, the few windows that a large share of them holds by broadcast.
 Scores are whole millionths, so sums do not depend on order. The threshold and the sums over all windows reach the driver.
 """
 
@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, tasks
+from .common import cut, discard, join_counted, tasks
 
 ORDER = 4
 #: Bins of a hundredth of a nat a character for calibration.
@@ -66,8 +66,8 @@ def _windows(text: Column, order: int) -> Column:
 
 
 def _scored_windows(windows: DataFrame, order: int) -> DataFrame:
-    """``windows(window, good, bad)``, counts by class -> ``(window, score)``, millionths of the log ratio."""
-    out = windows.select("window", F.lit(1.0 / ALPHABET).alias("p_good"), F.lit(1.0 / ALPHABET).alias("p_bad"))
+    """``windows(window, n, good, bad)``, counts by class -> ``(window, n, score)``, millionths of the log ratio."""
+    out = windows.select("window", "n", F.lit(1.0 / ALPHABET).alias("p_good"), F.lit(1.0 / ALPHABET).alias("p_bad"))
     for o in range(order + 1):
         # windows at the start of a text are shorter: they take part in the orders that they have
         gram = F.substring("window", -(o + 1), o + 1)
@@ -83,18 +83,22 @@ def _scored_windows(windows: DataFrame, order: int) -> DataFrame:
         for k in ("good", "bad"):
             n, t, p = F.col(f"n_{k}"), F.col(f"t_{k}"), F.col(f"p_{k}")
             steps.append(F.when(n > 0, (F.col(k) + t * p) / (n + t)).otherwise(p).alias(f"p_{k}"))
-        out = out.select("window", *steps)
-    return out.select("window", F.round(F.log(F.col("p_good") / F.col("p_bad")) * MICRO).cast("long").alias("score"))
+        out = out.select("window", "n", *steps)
+    return out.select("window", "n", F.round(F.log(F.col("p_good") / F.col("p_bad")) * MICRO).cast("long").alias("score"))
 
 
 def _threshold(bins: DataFrame) -> int | None:
-    """The bin from which URLs are allowed; ``bins(bin, good, bad)`` is bounded by the range of scores."""
+    """The bin from which URLs are allowed; ``bins(bin, good, bad)`` is bounded by the range of scores.
+
+    All cuts between two occupied bins cost the same: of the widest such gap at the least cost, the middle.
+    """
     below = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy()
-    x = bins.select("bin", F.coalesce(F.sum("good").over(below), F.lit(0)).alias("lost"), F.coalesce(F.sum("bad").over(below), F.lit(0)).alias("caught"), F.sum("good").over(every).alias("n_good"), F.sum("bad").over(every).alias("n_bad"))
+    low = F.coalesce(F.lag("bin").over(Window.orderBy("bin")), F.col("bin") - 1)
+    x = bins.select("bin", low.alias("low"), F.coalesce(F.sum("good").over(below), F.lit(0)).alias("lost"), F.coalesce(F.sum("bad").over(below), F.lit(0)).alias("caught"), F.sum("good").over(every).alias("n_good"), F.sum("bad").over(every).alias("n_bad"))
     cost = F.col("lost") / F.col("n_good") + (F.col("n_bad") - F.col("caught")) / F.col("n_bad")
-    best = x.where("n_good > 0 and n_bad > 0").select("bin", cost.alias("cost")).orderBy("cost", "bin").first()
-    return best and best["bin"]
+    best = x.where("n_good > 0 and n_bad > 0").select("bin", "low", cost.alias("cost")).orderBy("cost", F.col("low") - F.col("bin"), "bin").first()
+    return best and (best["low"] + best["bin"] + 1) // 2
 
 
 def filter_urls(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, order: int = ORDER) -> DataFrame:
@@ -111,15 +115,17 @@ def filter_urls(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULE
     judged = cut(parsed.select("page_id", "text", "host", "path", rule.alias("rule"), verdict.alias("by_rule")))
     held = F.conv(F.substring(F.md5(F.col("text").cast("binary")), 1, 8), 16, 10).cast("long") % HELD == 0
     texts = judged.groupBy("text").agg(F.sum((F.coalesce("by_rule", F.lit("")) == "allow").cast("long")).alias("good"), F.sum((F.coalesce("by_rule", F.lit("")) == "block").cast("long")).alias("bad"))
-    texts = cut(texts.withColumn("held", held))
+    texts = cut(texts.select("*", held.alias("held"), F.monotonically_increasing_id().alias("id")))
     # dealt out anew: a few small files would be one task, and each row becomes as many as it has characters
     train = [F.when(F.col("held"), 0).otherwise(F.col(c)).alias(c) for c in ("good", "bad")]
-    each = texts.repartition(tasks(pages.sparkSession), "text").select("text", *train, F.explode(_windows(F.col("text"), order)).alias("window"))
-    windows = cut(each.groupBy("window").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")))
+    each = texts.repartition(tasks(pages.sparkSession), "id").select("id", *train, F.explode(_windows(F.col("text"), order)).alias("window"))
+    windows = cut(each.groupBy("window").agg(F.count("*").alias("n"), F.sum("good").alias("good"), F.sum("bad").alias("bad")))
     scores = cut(_scored_windows(windows, order))
     # the planner takes exploded rows to be as small as their texts: never broadcast them
-    met = each.groupBy("text", "window").agg(F.count("*").alias("n")).hint("merge").join(scores, "window")
-    scored = cut(met.groupBy("text").agg(F.sum(F.col("n") * F.col("score")).alias("total"), F.sum("n").alias("n")).join(texts, "text"))
+    own = each.groupBy("id", "window").agg(F.count("*").alias("times")).hint("merge")
+    met = join_counted(own, scores, ["window"])
+    scored = cut(met.groupBy("id").agg(F.sum(F.col("times") * F.col("score")).alias("total"), F.sum("times").alias("n")).join(texts, "id"))
+    discard(windows, scores)
     mean = F.col("total") / F.col("n")
     decided = scored.where("good + bad > 0").withColumn("bin", F.floor(mean / BIN))
     trained = decided.where("not held").agg(F.sum("good"), F.sum("bad")).first()

@@ -12,6 +12,7 @@ from lectern.llm import neardup as N
 from lectern.llm import resample as R
 from lectern.llm import tokens as K
 from lectern.llm import toxicity as X
+from lectern.llm import urlfilter as U
 from lectern.llm.components import connected_components
 from lectern.llm.neardup import near_duplicates
 from lectern.llm.rules import HostRules, beta_prior, host_quality
@@ -299,3 +300,13 @@ def test_near_duplicates_by_brute_force(spark, monkeypatch, hot):
 def test_token_arrays_are_whole():
     t = X.tokens(pa.array(["Ab, cd\nef", None, "", "x" * 9]), __import__("lectern.llm.textvec", fromlist=["Powers"]).Powers())
     assert list(t.row) == [0, 0, 0, 3] and list(t.chain) == [0, 2, 3, 4]
+
+
+@pytest.mark.parametrize("shift", [-500, 0, 500])
+def test_the_url_threshold_lies_in_the_gap(spark, shift):
+    bins = [(-40 + shift, 0, 30), (-7 + shift, 1, 9), (60 + shift, 9, 0), (81 + shift, 30, 0)]
+    assert U._threshold(spark.createDataFrame(bins, "bin long, good long, bad long")) == 27 + shift
+    # of two gaps at the same cost the wider one, wherever it lies; without one of the classes none
+    even = [(0, 0, 5), (10, 5, 5), (15, 5, 0)]
+    assert U._threshold(spark.createDataFrame([(b + shift, g, x) for b, g, x in even], "bin long, good long, bad long")) == 5 + shift
+    assert U._threshold(spark.createDataFrame([(shift, 4, 0)], "bin long, good long, bad long")) is None
