@@ -10,6 +10,7 @@ from .linededup import LEAST_WORDS
 from .mixing import LANES, MOST_TIMES, PERCENT, SEED, WEIGHTS
 from .neardup import PERCENT as PERCENT_NEAR
 from .rules import HostRules
+from .stamps import DAY, FIRST_DAY, LAST_DAY, MONTHS, PARTS, PATTERN, SECOND, SPACE, TIMES
 from .urlfilter import ALPHABET, BIN, HELD, LOWER, MICRO, ORDER, RULES, UPPER
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -110,4 +111,27 @@ c AS (SELECT doc_id, min(root) AS component_id FROM r GROUP BY doc_id)
 SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, w.doc_id = component_id AS kept FROM w JOIN c ON w.doc_id = c.doc_id LEFT JOIN n ON w.doc_id = n.doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op4_source_mixing": _MIX, "op5_host_rules": _HOSTS, "op7_line_dedup": _LINES, "op8_url_filter": _url_sql(), "op9_minhash_neardup": _NEAR}
+_STAMPS = f"""
+WITH t AS (SELECT row_number() OVER () AS r, stamp_id, source, zone, regexp_replace(raw, '^{SPACE}+|{SPACE}+\\z', '', 'g') AS x FROM stamps),
+g AS (SELECT *, CASE WHEN regexp_full_match(x, '[0-9]{{10}}') THEN x::BIGINT * {SECOND} WHEN regexp_full_match(x, '[0-9]{{13}}') THEN x::BIGINT * 1000 END AS epoch_us,
+  CASE WHEN regexp_matches(x, '{PATTERN}') THEN regexp_extract(x, '{PATTERN}', [{", ".join(f"'{n}'" for n in PARTS)}]) END AS g FROM t),
+f AS (SELECT *, g.y5 <> '' AS slashed, try_cast(g.h AS INT) AS h, try_cast(g.i AS INT) AS i, coalesce(try_cast(g.s AS INT), 0) AS s,
+  CASE WHEN g.y5 <> '' THEN try_cast(g.y5 || '-' || g.q || '-' || g.p AS DATE) WHEN g.b4 <> '' THEN try_cast(g.y4 || '-' || lpad(list_position([{", ".join(f"'{m}'" for m in MONTHS)}], g.b4)::VARCHAR, 2, '0') || '-' || g.d4 AS DATE) ELSE try_cast(g.y1 || g.y2 || g.y3 || '-' || g.m1 || g.m2 || g.m3 || '-' || g.d1 || g.d2 || g.d3 AS DATE) END AS day,
+  CASE WHEN g.y5 <> '' THEN try_cast(g.y5 || '-' || g.p || '-' || g.q AS DATE) END AS other,
+  CASE WHEN g.z <> '' THEN 0 WHEN g.sign <> '' THEN try_cast(g.sign AS INT) * 3600 + try_cast(left(g.sign, 1) || g.oi AS INT) * 60 END AS off FROM g),
+k AS (SELECT *, CASE WHEN g.h = '' THEN 0 WHEN g.half = '' AND h <= 23 THEN h * 3600 + i * 60 + s WHEN g.half <> '' AND h BETWEEN 1 AND 12 THEN (h % 12 + CASE g.half WHEN 'P' THEN 12 ELSE 0 END) * 3600 + i * 60 + s END AS secs FROM f),
+b AS (SELECT *, coalesce(epoch_us IS NULL AND (secs IS NULL OR (day IS NULL AND other IS NULL) OR (off IS NULL AND (zone IS NULL OR zone NOT IN (SELECT name FROM pg_timezone_names())))), true) AS bad FROM k),
+v AS (SELECT source, count(*) FILTER (slashed AND day IS NOT NULL AND other IS NULL) AS dv, count(*) FILTER (slashed AND day IS NULL AND other IS NOT NULL) AS mv FROM b WHERE NOT bad GROUP BY source),
+c AS (SELECT b.*, CASE WHEN NOT bad AND slashed AND day <> other THEN CASE WHEN mv > {TIMES} * dv THEN 'month' WHEN dv > {TIMES} * mv THEN 'day' ELSE 'default' END END AS how FROM b LEFT JOIN v ON b.source IS NOT DISTINCT FROM v.source),
+w AS (SELECT *, epoch_us(CASE WHEN how = 'month' THEN other ELSE coalesce(day, other) END::TIMESTAMP) + secs::BIGINT * {SECOND} AS wall FROM c),
+z AS (SELECT DISTINCT zone, (epoch_us(timezone(zone, make_timestamptz(d * {DAY * SECOND}))) - d * {DAY * SECOND}) // {SECOND} AS o FROM (SELECT DISTINCT zone FROM stamps WHERE zone IN (SELECT name FROM pg_timezone_names())), (SELECT unnest(range({FIRST_DAY}, {LAST_DAY + 1})) AS d)),
+y AS (SELECT r, wall, o, (epoch_us(timezone(w.zone, make_timestamptz(wall - o * {SECOND}))) - wall + o * {SECOND}) // {SECOND} AS back FROM w JOIN z ON w.zone = z.zone WHERE NOT bad AND epoch_us IS NULL AND off IS NULL),
+l AS (SELECT r, count(*) FILTER (o = back) AS n, min(o) FILTER (o = back) AS low FROM y GROUP BY r),
+p AS (SELECT a.r, max(a.o) AS o FROM y a JOIN y b ON a.r = b.r AND a.back = b.o AND b.back = a.o AND a.o > b.o GROUP BY a.r)
+SELECT stamp_id, CASE WHEN bad THEN NULL ELSE coalesce(epoch_us, wall - coalesce(off, low, p.o) * {SECOND}) END AS utc_us,
+  CASE WHEN bad THEN 'bad' WHEN epoch_us IS NOT NULL THEN 'epoch' WHEN how IN ('month', 'day') THEN 'votes' WHEN how = 'default' THEN 'default' ELSE 'plain' END AS rule, how IS NOT NULL OR coalesce(n <> 1, false) AS ambiguous,
+  CASE n WHEN 0 THEN 'gap' WHEN 1 THEN 'once' ELSE CASE WHEN n > 1 THEN 'overlap' END END AS wall
+FROM w LEFT JOIN l ON w.r = l.r LEFT JOIN p ON w.r = p.r
+"""
+
+ORACLE_SQL: dict[str, str] = {"op4_source_mixing": _MIX, "op5_host_rules": _HOSTS, "op7_line_dedup": _LINES, "op8_url_filter": _url_sql(), "op9_minhash_neardup": _NEAR, "op13_stamp_normalisation": _STAMPS}

@@ -10,6 +10,7 @@ from .neardup import near_duplicates
 from .packing import pack_near_documents
 from .resample import quality_classifier
 from .rules import host_quality
+from .stamps import normalise
 from .tiff import text_to_tiff, tiff_documents
 from .tokens import count_tokens
 from .toxicity import toxicity
@@ -71,7 +72,15 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"))
 
 
+def op13_stamp_normalisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stamp's instant, by which rule, and whether it was ambiguous."""
+    return normalise(_table(spark, sf_dir, "stamps"))
+
+
 QUERIES = {
     q.__name__: q
-    for q in (op1_tiff_media, op2_best_fit_packing, op3_crf_toxicity, op4_source_mixing, op5_host_rules, op6_quality_resampling, op7_line_dedup, op8_url_filter, op9_minhash_neardup, op10_token_counts)
-}
+    for q in (
+        op1_tiff_media, op2_best_fit_packing, op3_crf_toxicity, op4_source_mixing, op5_host_rules, op6_quality_resampling, op7_line_dedup, op8_url_filter, op9_minhash_neardup, op10_token_counts,
+        op13_stamp_normalisation,
+    )
+}
