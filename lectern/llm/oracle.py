@@ -6,6 +6,9 @@ against brute force, exact round trips or held-out labels in ``tests/llm``.
 
 from __future__ import annotations
 
+from itertools import permutations
+
+from .audit import FILTERS, SYMBOLS, Limits
 from .linededup import LEAST_WORDS
 from .mixing import LANES, MOST_TIMES, PERCENT, SEED, WEIGHTS
 from .neardup import PERCENT as PERCENT_NEAR
@@ -111,6 +114,24 @@ c AS (SELECT doc_id, min(root) AS component_id FROM r GROUP BY doc_id)
 SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, w.doc_id = component_id AS kept FROM w JOIN c ON w.doc_id = c.doc_id LEFT JOIN n ON w.doc_id = n.doc_id
 """
 
+_L = Limits()
+_ORDERS = ", ".join(f"'{''.join(p)}'" for p in permutations(FILTERS))
+
+_AUDIT = f"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS x, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS ws FROM documents),
+f AS (SELECT doc_id, part, [len(ws) < {_L.least_words}, 100 * len(list_distinct(ws)) < {_L.least_distinct_percent} * len(ws), 100 * length(regexp_replace(x, '[^A-Z]', '', 'g')) > {_L.most_upper_percent} * length(x),
+  regexp_matches(x, '[{SYMBOLS}]'), coalesce(doc_id > min(doc_id) OVER (PARTITION BY x), false)] AS fails FROM d),
+l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+c AS (SELECT part, fails, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM f LEFT JOIN l ON f.doc_id = l.doc_id GROUP BY part, fails),
+o AS (SELECT unnest([{_ORDERS}]) AS filter_order),
+s AS (SELECT filter_order, step, instr('{FILTERS}', substr(filter_order, step, 1)) AS own FROM o, (SELECT unnest(range(1, {len(FILTERS) + 1})) AS step)),
+g AS (SELECT part, fails, n, good, toxic, filter_order, min(step) AS out_at FROM c, s WHERE fails[own] GROUP BY ALL),
+t AS (SELECT c.part, c.fails, c.n, c.good, c.toxic, s.filter_order, s.step::INT AS step, s.own, coalesce(g.out_at, 99) AS out_at FROM c CROSS JOIN s LEFT JOIN g ON c.part = g.part AND c.fails = g.fails AND s.filter_order = g.filter_order),
+r AS (SELECT part, filter_order, step, own, coalesce(sum(n) FILTER (out_at > step), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (out_at = step), 0)::BIGINT AS removed, coalesce(sum(n) FILTER (fails[own] AND out_at < step), 0)::BIGINT AS redundant,
+  coalesce(sum(n) FILTER (fails[own] AND len(list_filter(fails, lambda b: b)) = 1), 0)::BIGINT AS unique_fails, coalesce(sum(good) FILTER (out_at = step), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (out_at = step), 0)::BIGINT AS toxic_lost FROM t GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM r
+"""
+
 _STAMPS = f"""
 WITH t AS (SELECT row_number() OVER () AS r, stamp_id, source, zone, regexp_replace(raw, '^{SPACE}+|{SPACE}+\\z', '', 'g') AS x FROM stamps),
 g AS (SELECT *, CASE WHEN regexp_full_match(x, '[0-9]{{10}}') THEN x::BIGINT * {SECOND} WHEN regexp_full_match(x, '[0-9]{{13}}') THEN x::BIGINT * 1000 END AS epoch_us,
@@ -134,4 +155,4 @@ SELECT stamp_id, CASE WHEN bad THEN NULL ELSE coalesce(epoch_us, wall - coalesce
 FROM w LEFT JOIN l ON w.r = l.r LEFT JOIN p ON w.r = p.r
 """
 
-ORACLE_SQL: dict[str, str] = {"op4_source_mixing": _MIX, "op5_host_rules": _HOSTS, "op7_line_dedup": _LINES, "op8_url_filter": _url_sql(), "op9_minhash_neardup": _NEAR, "op13_stamp_normalisation": _STAMPS}
+ORACLE_SQL: dict[str, str] = {"op4_source_mixing": _MIX, "op5_host_rules": _HOSTS, "op7_line_dedup": _LINES, "op8_url_filter": _url_sql(), "op9_minhash_neardup": _NEAR, "op12_filter_audit": _AUDIT, "op13_stamp_normalisation": _STAMPS}

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .audit import audit
 from .linededup import dedup_lines
 from .mixing import mix
 from .neardup import near_duplicates
 from .packing import pack_near_documents
+from .private import find_private, span_digests
 from .resample import quality_classifier
 from .rules import host_quality
 from .stamps import normalise
@@ -72,6 +74,16 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"))
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's base spans, counted and digested, and all spans."""
+    return span_digests(find_private(_table(spark, sf_dir, "documents")))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each order of the five filters keeps and removes of every language's documents."""
+    return audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op13_stamp_normalisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every stamp's instant, by which rule, and whether it was ambiguous."""
     return normalise(_table(spark, sf_dir, "stamps"))
@@ -81,6 +93,6 @@ QUERIES = {
     q.__name__: q
     for q in (
         op1_tiff_media, op2_best_fit_packing, op3_crf_toxicity, op4_source_mixing, op5_host_rules, op6_quality_resampling, op7_line_dedup, op8_url_filter, op9_minhash_neardup, op10_token_counts,
-        op13_stamp_normalisation,
+        op11_personal_data, op12_filter_audit, op13_stamp_normalisation,
     )
 }
