@@ -86,9 +86,10 @@ def shingles(h: np.ndarray, bounds: np.ndarray, k: int = 5) -> tuple[np.ndarray,
     out_bounds = np.concatenate([[0], np.cumsum(counts)])
     if len(h) == 0:
         return np.zeros(0, np.uint64), out_bounds
-    rolled = np.zeros(max(0, len(h) - k + 1), np.uint64)
+    whole = max(0, len(h) - k + 1)
+    rolled = np.zeros(whole, np.uint64)
     for j in range(k):
-        rolled = rolled * step + h[j : len(h) - k + 1 + j]
+        rolled = rolled * step + h[j : j + whole]
     row = np.repeat(np.arange(len(sizes)), counts)
     at = np.arange(out_bounds[-1]) - out_bounds[row] + bounds[row]
     out = np.zeros(len(at), np.uint64)
