@@ -1,7 +1,7 @@
 """Toxic spans by a linear-chain conditional random field, folded into document scores and offsets.
 
-Tokens are runs of letters, digits and bytes above ASCII; a chain is a piece of a line of at most ``CHAIN``
-tokens. A token's features are its hashed lower-cased form, its prefixes and its suffixes, so marking needs no
+Tokens are runs of letters, digits and bytes above ASCII; a chain is a whole line, however long (``PIECE`` tokens of it move
+at a time, and what one piece hands to the next is exact). A token's features are its hashed lower-cased form, its prefixes and its suffixes, so marking needs no
 Python object a token. Labels mark documents, so token labels come first: in a toxic training document the
 tokens whose features sit almost only in toxic training documents, beyond chance. The field is then trained on
 these labelled tokens by likelihood, and forward-backward gives every token's marginal. A document's score is
@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 from .common import cut, pieces, text_of
 from .textvec import Powers, mix, shingles, text_bytes, words
 
-CHAIN = 128
-SLOTS_BITS = 18  # of the table that holds the trained features, each under its full hash's mark
+#: Tokens of a chain that are walked one by one; pieces of this length move side by side.
+PIECE = 128
+SLOTS_BITS = 20  # of the table that trained features are looked up in first, each under its hash's mark
 PREFIXES, SUFFIXES = (3, 4, 5, 6, 7, 8), (3, 4)
 _SOLID = np.zeros(256, bool)
 _SOLID[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -89,21 +90,22 @@ def tokens(column: pa.Array, powers: Powers) -> Tokens:
     line = np.cumsum(data == 10)[s] if len(s) else np.zeros(0, np.int64)
     fresh = np.ones(len(s), bool)
     fresh[1:] = (row[1:] != row[:-1]) | (line[1:] != line[:-1])
-    at = np.flatnonzero(fresh)
-    within = np.arange(len(s)) - np.repeat(at, np.diff([*at, len(s)]))
-    return Tokens(s, e, row, features, np.append(np.flatnonzero(within % CHAIN == 0), len(s)))
+    return Tokens(s, e, row, features, np.append(np.flatnonzero(fresh), len(s)))
 
 
 @dataclass
 class Field:
     """Weights of the features, transitions between clean (0) and toxic (1), and the document's logistic.
 
-    Features live in a fixed table by part of their hash and count only where the rest of it agrees, so that
-    the many unknown features of new text do not borrow weights.
+    A feature is looked up in a table by a part of its hash, and counts only where the rest of it agrees, so that the many unknown features
+    of new text do not borrow weights. Trained features that share a slot are kept in order beside the table.
     """
 
     weights: np.ndarray = field(default_factory=lambda: np.zeros(1 << SLOTS_BITS, np.float32))
     marks: np.ndarray = field(default_factory=lambda: np.zeros(1 << SLOTS_BITS, np.uint32))
+    shared: np.ndarray = field(default_factory=lambda: np.zeros(1 << SLOTS_BITS, bool))
+    others: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    other_weights: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
     bias: float = -6.0
     begin: float = 0.0
     step: np.ndarray = field(default_factory=lambda: np.zeros((2, 2)))
@@ -113,45 +115,88 @@ class Field:
     def slots(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return (h >> np.uint64(64 - SLOTS_BITS)).astype(np.int64), (h & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
-    def learn(self, features: np.ndarray, weights: np.ndarray, least: float = 0.02) -> None:
-        """Keep the features of some weight; of two that share a slot, the heavier."""
-        order = np.argsort(np.abs(weights), kind="stable")
-        order = order[np.abs(weights[order]) >= least]
+    def learn(self, features: np.ndarray, weights: np.ndarray) -> None:
+        """Keep every feature that has a weight; of those that share a slot the first goes into the table, the others beside it."""
+        order = np.argsort(features, kind="stable")
+        order = order[weights[order] != 0]
         slot, mark = self.slots(features[order])
-        self.weights[slot], self.marks[slot] = weights[order], mark
+        first = np.ones(len(order), bool)
+        first[1:] = slot[1:] != slot[:-1]  # slots are in order, as they are the hashes' first bits
+        self.weights[slot[first]], self.marks[slot[first]] = weights[order[first]], mark[first]
+        self.shared[slot[~first]] = True
+        self.others, self.other_weights = features[order[~first]], weights[order[~first]].astype(np.float32)
 
     def emissions(self, features: np.ndarray) -> np.ndarray:
         out = np.full(len(features), self.bias)
         for j in range(features.shape[1]):
             slot, mark = self.slots(features[:, j])
-            out += self.weights[slot] * (self.marks[slot] == mark)
+            same = self.marks[slot] == mark
+            out += self.weights[slot] * same
+            if len(self.others):
+                at = np.flatnonzero(self.shared[slot] & ~same)
+                near = np.minimum(np.searchsorted(self.others, features[at, j]), len(self.others) - 1)
+                out[at] += self.other_weights[near] * (self.others[near] == features[at, j])
         return np.clip(out, -40, 40)
 
 
+def _chained(first: np.ndarray, steps: np.ndarray, chain: np.ndarray) -> np.ndarray:
+    """``x`` of every token: ``first`` at the start of a chain, then ``(a x + b) / (c x + d)`` of the one before; ``steps`` holds a, b, c, d.
+
+    Such steps are 2 x 2 matrices, and a piece's product turns what comes into it into what leaves it. So the pieces' products are
+    taken side by side, what enters each piece is handed along its chain, and all pieces are walked at once.
+    """
+    n, x = np.diff(chain), np.zeros(len(first))
+    each = -(-n // PIECE)  # pieces of each chain
+    depth = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+    start = np.repeat(chain[:-1], each) + depth * PIECE
+    size = np.minimum(np.repeat(chain[1:], each) - start, PIECE)
+    enters = np.zeros(len(start))
+
+    def walk(of: np.ndarray) -> None:
+        of = of[np.argsort(-size[of], kind="stable")]
+        live = np.searchsorted(-size[of], -np.arange(PIECE), "left")
+        for turn in range(int(size[of[0]]) if len(of) else 0):
+            which = of[: live[turn]]
+            at = start[which] + turn
+            before = enters[which] if turn == 0 else x[at - 1]
+            a, b, c, d = steps[:, at]
+            x[at] = (a * before + b) / (c * before + d)
+            if turn == 0:
+                fresh = depth[which] == 0
+                x[at[fresh]] = first[at[fresh]]
+
+    walk(np.flatnonzero(depth == 0))
+    if len(depth) and depth.max() > 0:
+        inner = np.flatnonzero((depth > 0) & (np.append(depth[1:], 0) > 0))
+        p = np.zeros((4, len(start)))
+        q = np.repeat(np.array([[1.0], [0.0], [0.0], [1.0]]), len(inner), axis=1)
+        for turn in range(PIECE if len(inner) else 0):
+            a, b, c, d = steps[:, start[inner] + turn]
+            q = np.stack([a * q[0] + b * q[2], a * q[1] + b * q[3], c * q[0] + d * q[2], c * q[1] + d * q[3]])
+            q /= q.max(axis=0)
+        p[:, inner] = q
+        leaves = np.where(depth == 0, x[start + size - 1], 0.0)
+        for d in range(1, int(depth.max()) + 1):
+            at = np.flatnonzero(depth == d)
+            enters[at] = leaves[at - 1]
+            leaves[at] = (p[0, at] * enters[at] + p[1, at]) / np.maximum(p[2, at] * enters[at] + p[3, at], 1e-300)
+        walk(np.flatnonzero(depth > 0))
+    return x
+
+
 def forward_backward(e: np.ndarray, chain: np.ndarray, begin: float, step: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Per token the log odds of toxic given all of its chain, and the forward and backward log odds.
 
-    ``step[i, j]`` is the log weight of going from label i to j. All chains move together, a token a turn.
+    ``step[i, j]`` is the log weight of going from label i to j. All chains move together.
     """
-    size = np.diff(chain)
-    order = np.argsort(-size, kind="stable")
-    starts, size = chain[:-1][order], size[order]
-    t = np.exp(step)
-    a, b = np.zeros(len(e)), np.zeros(len(e))
-    longest = int(size[0]) if len(size) else 0
-    live = np.searchsorted(-size, -np.arange(longest), "left")  # chains longer than each turn
-    with np.errstate(over="ignore"):
-        for turn in range(longest):
-            at = starts[: live[turn]] + turn
-            if turn == 0:
-                a[at] = e[at] + begin
-            else:
-                r = np.exp(a[at - 1])
-                a[at] = e[at] + np.log((t[0, 1] + t[1, 1] * r) / (t[0, 0] + t[1, 0] * r))
-        for turn in range(longest - 2, -1, -1):
-            at = starts[: live[turn + 1]] + turn
-            r = np.exp(e[at + 1] + b[at + 1])
-            b[at] = np.log((t[1, 0] + t[1, 1] * r) / (t[0, 0] + t[0, 1] * r))
+    if len(e) == 0:
+        return e, e, e
+    t, odds, ones = np.exp(step), np.exp(e), np.ones(len(e))
+    a = np.log(_chained(odds * np.exp(begin), np.stack([odds * t[1, 1], odds * t[0, 1], ones * t[1, 0], ones * t[0, 0]]), chain))
+    # backward is forward over the turned chains, where a token's step has the next token's odds
+    following = np.append(1.0, odds[::-1][:-1])
+    turned = np.stack([following * t[1, 1], ones * t[1, 0], following * t[0, 1], ones * t[0, 0]])
+    b = np.log(_chained(ones, turned, len(e) - chain[::-1]))[::-1]
     return a + b, a, b
 
 
@@ -301,10 +346,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, how: Training = Training()
     by = F.xxhash64("id", F.lit(3))
     sample = known.where("toxic = 1").orderBy(by, "id").limit(how.toxic_docs).union(known.where("toxic = 0").orderBy(by, "id").limit(how.clean_docs))
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where(F.length("text") <= how.doc_chars)
-    rows = texts.join(F.broadcast(sample), "id").toArrow()
     # rows that share an id may outnumber the sample: one of each is enough
-    got = {i: (x, y) for i, x, y in sorted(zip(*(rows.column(c).to_pylist() for c in ("id", "text", "toxic")), strict=True))}
-    return list(got.values()), bad / n if n else 0.0
+    rows = texts.join(F.broadcast(sample), "id").groupBy("id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic")).orderBy("id").toArrow()
+    return list(zip(rows.column("text").to_pylist(), rows.column("toxic").to_pylist(), strict=True)), bad / n if n else 0.0
 
 
 def score(docs: DataFrame, model: Field, span_odds: float = 0.0) -> DataFrame:
@@ -339,8 +383,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, how: Tr
 
     A null or empty text has no tokens and gets the score of a document without any sign. Without usable labels
     every score is the same low value. Null labels are ignored, the highest counts where there are several;
-    only ids whose crc32 modulo 4 is not 2 are ever learned from. A null doc_id is not held out. Extra columns
-    are not read.
+    only ids whose crc32 modulo 4 is not 2 are ever learned from. A null doc_id is not held out. Repeated rows are scored each, and equal
+    texts score alike; of rows that share a labelled id one is learned from. Texts are scored whole, however long. An empty table gives
+    an empty table. Extra columns are not read.
     """
     rows, share = training_rows(docs, labels, how)
     out = score(docs, fit(rows, share, how))

@@ -1,6 +1,7 @@
 """Rules, resampling, toxicity, URLs, tokens and near-duplicates against brute force and held-out labels."""
 
 import random
+import re
 from itertools import product
 
 import numpy as np
@@ -181,6 +182,80 @@ def test_forward_backward_by_enumeration():
     assert np.allclose(1 / (1 + np.exp(-odds)), want)
 
 
+def walked(e, begin, step):
+    """Forward and backward log odds of one chain, token by token."""
+    t, n = np.exp(step), len(e)
+    a, b = np.zeros(n), np.zeros(n)
+    for i in range(n):
+        r = np.exp(a[i - 1]) if i else 0
+        a[i] = e[i] + (np.log((t[0, 1] + t[1, 1] * r) / (t[0, 0] + t[1, 0] * r)) if i else begin)
+    for i in range(n - 2, -1, -1):
+        r = np.exp(e[i + 1] + b[i + 1])
+        b[i] = np.log((t[1, 0] + t[1, 1] * r) / (t[0, 0] + t[0, 1] * r))
+    return a, b
+
+
+@pytest.mark.parametrize("piece", [1, 3, 7, 128])
+def test_pieces_of_a_chain_are_exact(monkeypatch, piece):
+    monkeypatch.setattr(X, "PIECE", piece)
+    rng = np.random.default_rng(piece)
+    size = np.array([5, 1, 700, 3, 128, 129, 1, 256, 40])
+    chain, step = np.concatenate([[0], np.cumsum(size)]), rng.normal(size=(2, 2)) * 2
+    e = np.clip(rng.normal(size=chain[-1]) * 8, -40, 40)
+    odds, a, b = X.forward_backward(e, chain, 0.3, step)
+    for i, j in zip(chain, chain[1:]):
+        x, y = walked(e[i:j], 0.3, step)
+        assert np.allclose(a[i:j], x) and np.allclose(b[i:j], y) and np.allclose(odds[i:j], x + y)
+    none = X.forward_backward(np.zeros(0), np.zeros(1, np.int64), 0.3, step)
+    assert [len(x) for x in none] == [0, 0, 0]
+
+
+def test_a_field_keeps_every_feature():
+    rng = np.random.default_rng(4)
+    shift = np.uint64(64 - X.SLOTS_BITS)
+    names = np.unique(np.concatenate([rng.integers(0, 2**63, 3000, np.uint64), (np.uint64(5) << shift) + np.arange(1, 40, dtype=np.uint64)]))
+    weights, field = rng.normal(size=len(names)) / 100, X.Field(bias=0.0)
+    field.learn(names, weights)
+    unknown = np.array([(5 << int(shift)) + 99, 12345], np.uint64)
+    got = field.emissions(np.concatenate([names, unknown])[:, None])
+    assert len(field.others) >= 38 and np.allclose(got[:-2], weights, atol=1e-6) and (got[-2:] == 0).all()
+
+
+def test_toxicity_scores_by_brute_force(spark):
+    rng = random.Random(8)
+    field = X.Field(bias=-1.0, begin=-0.2, step=np.array([[0.3, -0.7], [-0.5, 0.6]]), logistic=(-2.0, 1.5, 0.8))
+    known = X.tokens(pa.array([" ".join(WORDS)]), X.Powers())
+    field.learn(known.features[:, 0], np.array([rng.gauss(0, 2) for _ in WORDS]))
+    texts = [None, "", "...", "alpha", "alpha beta\n\ngamma, alpha", prose(rng, 9000), "beta " * 400 + "\n" + "tau", "é alpha é"] + [prose(rng, rng.randint(1, 300)).replace("s ", "\n") for _ in range(40)]
+    rows = list(enumerate(texts)) + [(3, "alpha"), (None, "beta")]
+    got = sorted(((-1 if r.doc_id is None else r.doc_id), r.score, [tuple(x) for x in r.spans]) for r in X.score(spark.createDataFrame(rows, "doc_id long, text string"), field).collect())
+    for (i, text), (at, score, spans) in zip(sorted(rows, key=lambda r: -1 if r[0] is None else r[0]), got, strict=True):
+        assert at == (-1 if i is None else i)
+        odds, places, base = [], [], 0
+        for line in (text or "").split("\n"):
+            raw = line.encode()
+            found = list(re.finditer(rb"[0-9A-Za-z\x80-\xff]+", raw))
+            e = np.clip([field.bias + X.Field.emissions(X.Field(bias=0.0, weights=field.weights, marks=field.marks, shared=field.shared, others=field.others, other_weights=field.other_weights), X.tokens(pa.array([m[0].decode(errors="surrogateescape")]), X.Powers()).features)[0] for m in found] if len(found) < 500 else field.emissions(X.tokens(pa.array([line]), X.Powers()).features), -40, 40)
+            a, b = walked(np.asarray(e, float), field.begin, field.step)
+            odds += list(a + b)
+            places += [(base + m.start(), base + m.end()) for m in found]
+            base += len(raw) + 1
+        most = max([-30.0, *np.clip(odds, -30, 30)])
+        count = np.log1p(sum(1 / (1 + np.exp(-x)) for x in odds))
+        assert np.isclose(score, 1 / (1 + np.exp(-(-2.0 + 1.5 * most / 10 + 0.8 * count)))), (i, text)
+        hot = [x for x, o in zip(places, odds, strict=True) if o > 0]
+        assert {s for s, _ in spans} <= {s for s, _ in hot} and {e for _, e in spans} <= {e for _, e in hot}
+        assert all(any(s <= x and y <= e for s, e in spans) for x, y in hot)
+
+
+def test_toxicity_of_empty_tables_and_repeated_rows(spark):
+    labels = spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, toxic int")
+    assert X.toxicity(spark.createDataFrame([], "doc_id long, text string"), labels).count() == 0
+    rows = [(1, "zznit one"), (1, "zznit one"), (1, "zznit " + "a " * 30_000), (3, "two"), (3, "two")]
+    got = X.toxicity(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect()
+    assert len(got) == 5 and len({r.score for r in got if r.doc_id == 3}) == 1
+
+
 def test_toxicity_held_out(spark):
     rng = random.Random(11)
     bad = ["blorgface", "zznit", "vexoid"]
