@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, discard, pieces, tasks, tidy
+from .common import HOT, cut, discard, join_counted, pieces, tasks, tidy
 from .components import connected_components
 from .textvec import Powers, mix, shingles, words
 
@@ -193,18 +193,31 @@ def _sizes(n: Column, pos: Column, m: Column, at: Column) -> Column:
     return 100 * F.least(n, m) >= PERCENT * F.greatest(n, m)
 
 
+def _met(rows: DataFrame, counted: DataFrame, n: str = "n") -> DataFrame:
+    """``rows`` with the line of their post in ``counted``, which is stored; rows of hot posts meet it by broadcast."""
+    carried = [c for c in counted.columns if c not in ("post", n)]
+    # join_counted goes by ``n``, which a row has of its own
+    line = counted.select("post", F.col(n).alias("n"), *([F.struct(*carried).alias("_line")] if carried else []))
+    own = rows.select("post", F.struct(*[c for c in rows.columns if c != "post"]).alias("_row"))
+    return join_counted(own, line, ["post"]).select("post", "_row.*", *(["_line.*"] if carried else []))
+
+
 class _Links:
     """The link graph between classes as far as it is known."""
 
-    def __init__(self, classes: DataFrame, texts: DataFrame) -> None:
+    def __init__(self, classes: DataFrame, texts: DataFrame, exact: bool = False) -> None:
         self.links: DataFrame | None = None
         self.known: DataFrame | None = None
+        self.posts: DataFrame | None = None
         full = classes.where("n_shingles > 0")
-        own = full.select("cid", F.col("n_shingles").alias("n"), "least", F.size("posts").alias("filled"))
-        self.posts = cut(self._open(cut(_prefixes(full.select("cid", F.explode("posts").alias("post")), own))))
         # 32 bits of a post, its coordinate among them, are enough to count by
         short = F.transform("posts", lambda x: F.shiftright(x, 32).cast("int"))
-        active = cut(self.posts.select("cid").distinct().join(classes, "cid").select("cid", "k1", "k2", "doc_id", "n_shingles", "least", short.alias("signature")))
+        if exact:
+            active = cut(full.select("cid", "k1", "k2", "doc_id", "n_shingles", F.lit(0).alias("least"), short.alias("signature")))
+        else:
+            own = full.select("cid", F.col("n_shingles").alias("n"), "least", F.size("posts").alias("filled"))
+            self.posts = cut(self._open(cut(_prefixes(full.select("cid", F.explode("posts").alias("post")), own))))
+            active = cut(self.posts.select("cid").distinct().join(classes, "cid").select("cid", "k1", "k2", "doc_id", "n_shingles", "least", short.alias("signature")))
         sets = _sets_of(texts, active).groupBy("k1", "k2").agg(F.first("members").alias("members"))
         self.signatures = active.select("cid", "least", "signature")
         self.sets = cut(active.select("cid", "k1", "k2", F.col("n_shingles").alias("n")).join(sets, ["k1", "k2"]).select("cid", "n", "members"))
@@ -213,7 +226,8 @@ class _Links:
     @staticmethod
     def _open(posts: DataFrame) -> DataFrame:
         """Posts that several components hold, each class its own."""
-        return posts.join(posts.groupBy("post").agg(F.count("*").alias("k")).where("k > 1").select("post"), "post").withColumn("component", F.col("cid"))
+        held = cut(posts.groupBy("post").agg(F.count("*").alias("n")).where("n > 1"))
+        return _met(posts, held).withColumn("component", F.col("cid"))
 
     def parts(self) -> DataFrame | None:
         """``(node, component)`` of the classes that have links by now."""
@@ -228,9 +242,9 @@ class _Links:
             return posts
         now = posts.drop("component").join(parts.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
         now = cut(now)
-        several = now.groupBy("post").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("post")
-        out = cut(now.join(several, "post"))
-        discard(now)
+        several = cut(now.groupBy("post").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low <> high").select("post", "n"))
+        out = cut(_met(now, several))
+        discard(now, several)
         return out
 
     def confirm(self, pairs: DataFrame) -> None:
@@ -248,15 +262,24 @@ class _Links:
     @staticmethod
     def star(labelled: DataFrame, fits) -> DataFrame:
         """Each class with the pivots of its posts, as far as these are of other components."""
-        top = labelled.groupBy("post").agg(F.max_by(F.struct("cid", "n", "pos", "component"), F.struct("company", "cid")).alias("p"))
-        met = labelled.join(top, "post").where((F.col("component") != F.col("p.component")) & fits(F.col("n"), F.col("pos"), F.col("p.n"), F.col("p.pos")))
+        top = cut(labelled.groupBy("post").agg(F.max_by(F.struct("cid", "n", "pos", "component"), F.struct("company", "cid")).alias("p"), F.count("*").alias("holders")))
+        met = _met(labelled, top.withColumnRenamed("holders", "held"), "held").where((F.col("component") != F.col("p.component")) & fits(F.col("n"), F.col("pos"), F.col("p.n"), F.col("p.pos")))
         return met.select(F.least("cid", "p.cid").alias("a"), F.greatest("cid", "p.cid").alias("b")).distinct()
 
     @staticmethod
     def rest(labelled: DataFrame, fits) -> DataFrame:
         """Every pair of different components that meets at fitting places; the larger class looks for smaller or equal ones."""
         cells = labelled.groupBy("post", F.col("component").alias("other"), F.col("n").alias("m")).agg(F.min("pos").alias("low"))
-        opened = labelled.join(cells, "post").where((F.col("m") <= F.col("n")) & (F.col("component") != F.col("other")) & fits(F.col("n"), F.col("pos"), F.col("m"), F.col("low")))
+        # rows of a post that many hold are dealt over all tasks, and so its cells are there in each
+        most = labelled.groupBy("post").agg(F.count("*").alias("k"))
+        total = labelled.count()
+        hot = F.broadcast(most.where(F.col("k") * HOT > total).select("post", F.lit(True).alias("hot")))  # fewer than HOT posts
+        deal = tasks(labelled.sparkSession)
+        salt = F.when(F.col("hot"), F.pmod(F.xxhash64("cid"), F.lit(deal))).otherwise(0).cast("int")
+        every = F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(deal - 1))).otherwise(F.array(F.lit(0)))).alias("salt")
+        seekers = labelled.join(hot, "post", "left").withColumn("salt", salt).drop("hot")
+        cells = cells.join(hot, "post", "left").select("post", "other", "m", "low", every)
+        opened = seekers.join(cells, ["post", "salt"]).where((F.col("m") <= F.col("n")) & (F.col("component") != F.col("other")) & fits(F.col("n"), F.col("pos"), F.col("m"), F.col("low")))
         opened = opened.select("post", "other", "m", F.col("cid").alias("a"), F.col("n").alias("n"), "pos")
         members = labelled.select("post", F.col("component").alias("other"), F.col("n").alias("m"), F.col("cid").alias("b"), F.col("pos").alias("at"))
         met = opened.join(members, ["post", "other", "m"]).where(((F.col("m") < F.col("n")) | (F.col("b") < F.col("a"))) & fits(F.col("n"), F.col("pos"), F.col("m"), F.col("at")))
@@ -270,14 +293,17 @@ class _Links:
 
     def find(self) -> DataFrame | None:
         """``(node, component)`` of all classes that have links."""
-        self.confirm(self.star(self.posts, _sizes))
-        fine = self.fine(self.labelled(self.posts))
+        if self.posts is None:
+            fine = self.fine(self.signatures)
+        else:
+            self.confirm(self.star(self.posts, _sizes))
+            fine = self.fine(self.labelled(self.posts))
         self.confirm(self.star(self.labelled(fine), _places))
         self.confirm(self.rest(self.labelled(fine), _places))
         return self.parts()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, exact: bool = False) -> DataFrame:
     """``docs(doc_id, text, ...)`` -> ``(doc_id, n_shingles, component_id, kept)``, one row per input row.
 
     Words are maximal runs of non-white-space, A-Z lower-cased. A null text, or one without words, has an
@@ -286,11 +312,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     each is linked by its own text. A null doc_id takes part like any other but is never a component's
     name, and is kept only where a component has no doc_id at all (component_id is null then). Other
     columns are ignored, whatever their names. An empty table gives an empty table.
+
+    Signatures may lose a link at similarity 0.75 itself, one in ten thousand (``SIGMAS``). With ``exact`` every class goes by its
+    fine signature alone and none is lost, at the price of a post for each shingle. Components wider than ``connected_components`` settles raise.
     """
-    return near_components(docs).select("doc_id", "n_shingles", "component_id", "kept")
+    return near_components(docs, exact=exact).select("doc_id", "n_shingles", "component_id", "kept")
 
 
-def near_components(docs: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
+def near_components(docs: DataFrame, carried: tuple[str, ...] = (), exact: bool = False) -> DataFrame:
     """``near_duplicates`` with the ``carried`` columns of each row, ``n_words``, and ``component``, which tells components
     apart where ids do not: 128 bits that depend on the component's sets alone, null for an empty set.
     """
@@ -301,7 +330,7 @@ def near_components(docs: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame
     full = base.where("n_shingles > 0")
     firsts = [F.first(c).alias(c) for c in ("n_shingles", "least", "posts")]
     classes = cut(full.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"), *firsts).select(F.monotonically_increasing_id().alias("cid"), "*"))
-    parts = _Links(classes, texts).find()
+    parts = _Links(classes, texts, exact).find()
     named = classes.select("cid", "k1", "k2", "doc_id").join(parts.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     names = named.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.min(F.struct("k1", "k2")).alias("name"))
     named = named.join(names, "component").select("k1", "k2", "component_id", "name")

@@ -385,3 +385,31 @@ def test_the_url_threshold_lies_in_the_gap(spark, shift):
     even = [(0, 0, 5), (10, 5, 5), (15, 5, 0)]
     assert U._threshold(spark.createDataFrame([(b + shift, g, x) for b, g, x in even], "bin long, good long, bad long")) == 5 + shift
     assert U._threshold(spark.createDataFrame([(shift, 4, 0)], "bin long, good long, bad long")) is None
+
+
+def test_near_duplicates_exact_and_hot(spark):
+    rng = random.Random(21)
+    base = [prose(rng, 60).split() for _ in range(12)]
+    rows = []
+    for i in range(500):  # one common original for most, so that posts, cells and the component are hot
+        ws = list(base[0] if i % 3 else base[i % 12])
+        for _ in range(rng.randint(0, 3)):
+            ws[rng.randrange(len(ws))] = rng.choice(WORDS) + str(rng.randint(0, 9))
+        rows.append((i, " ".join(ws)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {i: {tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for i, t in rows}
+    root = {i: i for i, _ in rows}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in sets:
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both) and find(i) != find(j):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    want = {i: find(i) for i in sets}
+    for exact in (False, True):
+        assert {r.doc_id: r.component_id for r in near_duplicates(df, exact).collect()} == want
