@@ -6,10 +6,8 @@ against other engines' parsers: words are ``\\w+`` runs, compounds and numbers g
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from ..functions.text import STOP_WORDS, lexemes, stem, stems
 from .vector import top_k
@@ -51,9 +49,21 @@ def cover_density(positions: list[list[int]]) -> float:
     return total
 
 
-@F.pandas_udf(DoubleType())
-def _rank(positions: pd.Series) -> pd.Series:
-    return positions.map(lambda ps: cover_density([list(p) for p in ps]))
+def cover_rank(positions: Column, terms: int) -> Column:
+    """``cover_density`` as a column: one walk over the positions of all terms, which keeps where each term was last."""
+    placed = F.flatten(F.transform(positions, lambda ps, t: F.transform(ps, lambda at: F.struct(at.cast("int").alias("at"), t.cast("int").alias("t")))))
+    events = F.transform(F.array_sort(placed), lambda e, i: F.struct(e["at"].alias("at"), e["t"].alias("t"), i.cast("int").alias("i")))
+    never = F.struct(F.lit(-1).alias("at"), F.lit(-1).alias("i"))
+    start = F.struct(F.array(*[never] * terms).alias("last"), F.lit(-1).alias("begin"), F.lit(0.0).alias("total"))
+
+    def step(acc: Column, e: Column) -> Column:
+        last = F.transform(acc["last"], lambda x, t: F.when(t == e["t"], F.struct(e["at"].alias("at"), e["i"].alias("i"))).otherwise(x))
+        first = F.array_min(last)
+        fresh = (first["at"] >= 0) & (first["at"] != acc["begin"])
+        gaps = (e["at"] - first["at"]) - (e["i"] - first["i"])
+        return F.struct(last.alias("last"), F.when(fresh, first["at"]).otherwise(acc["begin"]).alias("begin"), (acc["total"] + F.when(fresh, F.lit(0.1) / (1 + F.greatest(gaps, F.lit(0)))).otherwise(F.lit(0.0))).alias("total"))
+
+    return F.aggregate(events, start, step, lambda acc: acc["total"])
 
 
 def sparse_search(chunks: DataFrame, query: str, k: int = 10, id_: str = "chunk_id", content: str = "content", stemmed: bool = True) -> DataFrame:
@@ -67,11 +77,15 @@ def sparse_search(chunks: DataFrame, query: str, k: int = 10, id_: str = "chunk_
     def places(term: str):
         return F.transform(F.filter(F.transform("w", lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda y: y["x"] == term), lambda y: y["i"] + 1)
 
+    if not stemmed:  # a text that lacks a term anywhere need not be cut into words
+        low = F.lower(F.coalesce(F.col(content), F.lit("")))
+        for t in terms:
+            chunks = chunks.where(F.contains(low, F.lit(t)))
     held = chunks.select(id_, words.alias("w")).select(id_, *[places(t).alias(f"p{n}") for n, t in enumerate(terms)])
     matched = held.where(" and ".join(f"size(p{n}) > 0" for n in range(len(terms))))
     if len(terms) == 1:
         return top_k(matched.select(id_, (F.size("p0") * F.lit(0.1)).alias("rank")), "rank", id_, k)
-    return top_k(matched.select(id_, _rank(F.array(*[F.col(f"p{n}") for n in range(len(terms))])).alias("rank")), "rank", id_, k)
+    return top_k(matched.select(id_, cover_rank(F.array(*[F.col(f"p{n}") for n in range(len(terms))]), len(terms)).alias("rank")), "rank", id_, k)
 
 
 def postings(chunks: DataFrame, id_: str = "chunk_id", content: str = "content", stemmed: bool = True, carried: tuple[str, ...] = ()) -> DataFrame:
@@ -87,5 +101,5 @@ def indexed_search(index: DataFrame, query: str, k: int = 10, id_: str = "chunk_
     if not terms:
         return index.select(F.col(id_), F.lit(0.0).alias("rank")).limit(0)
     met = index.where(F.col("lexeme").isin(*terms)).groupBy(id_).agg(F.collect_list("positions").alias("p")).where(F.size("p") == len(terms))
-    rank = F.size(F.col("p")[0]) * F.lit(0.1) if len(terms) == 1 else _rank(F.col("p"))
+    rank = F.size(F.col("p")[0]) * F.lit(0.1) if len(terms) == 1 else cover_rank(F.col("p"), len(terms))
     return top_k(met.select(id_, rank.alias("rank")), "rank", id_, k)

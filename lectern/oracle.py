@@ -128,6 +128,7 @@ _FULL = {
     "sync_totals": f"SELECT count(*) FILTER (status = 'matched') AS matched_synced, count(*) FILTER (status = 'missing') AS missing_synced, count(*) FILTER (status = 'unlisted') AS unlisted_synced FROM ({_STATUS})",
     "reclean_merge": "SELECT p_name, min(p_partkey) AS p_partkey, arg_max(p_brand, p_partkey) FILTER (p_size % 2 = 0) AS brand, max(p_size % 2)::INT AS in_directory FROM part GROUP BY p_name",
     "catalog_upsert": "SELECT coalesce(a.p_partkey, b.k) AS p_partkey, coalesce(b.name, a.p_name) AS p_name, coalesce(b.size, a.p_size)::INT AS p_size FROM part a FULL JOIN (SELECT p_partkey * 3 AS k, upper(p_name) AS name, p_size + 100 AS size FROM part) b ON a.p_partkey = b.k",
+    "stored_upsert": "SELECT coalesce(a.p_partkey, b.k) AS p_partkey, coalesce(b.name, a.p_name) AS p_name, coalesce(b.size, a.p_size)::INT AS p_size FROM part a FULL JOIN (SELECT p_partkey * 3 AS k, upper(p_name) AS name, p_size + 100 AS size FROM part) b ON a.p_partkey = b.k",
     "chunk_replace": "WITH x AS (SELECT doc_id % 50 AS book_id, doc_id AS chunk_id, n_chars FROM documents), f AS (SELECT book_id, chunk_id, -n_chars AS n_chars FROM x WHERE book_id % 10 = 4 AND chunk_id % 4 = 0) SELECT * FROM f UNION ALL SELECT * FROM x WHERE book_id NOT IN (SELECT book_id FROM f)",
     "dense_rounded": f"SELECT vec_id, round(s, 4) AS similarity FROM (SELECT vec_id, {_DENSE.replace('vec_id = 0', 'vec_id = 1')} AS s FROM embeddings e) ORDER BY s DESC, vec_id LIMIT 10",
     "seed_upsert": f"""WITH c AS ({_CATALOG}), r AS (SELECT s_suppkey AS place, CASE WHEN s_suppkey % 2 = 0 THEN s_name ELSE concat('new ', s_name) END AS t, concat('seed ', s_suppkey) AS raw FROM supplier)
@@ -212,6 +213,9 @@ _FULL = {
       SELECT chunk_id, clean_title, dense_rank::INT AS dense_rank, sparse_rank::INT AS sparse_rank, round(score, 9) AS score FROM (SELECT coalesce(a.chunk_id, b.chunk_id) AS chunk_id, coalesce(a.clean_title, b.clean_title) AS clean_title, dense_rank, sparse_rank, coalesce(0.5::DOUBLE / (60 + dense_rank), 0) + coalesce(0.5::DOUBLE / (60 + sparse_rank), 0) AS score FROM a FULL JOIN b ON a.chunk_id = b.chunk_id)
       ORDER BY score DESC, dense_rank NULLS LAST, sparse_rank NULLS LAST LIMIT 5""",
     "keyword_indexed": _AND,
+    "keyword_stored": _AND,
+    "keyword_stored_pair": _two_terms("^the$", "^and$"),
+    "keyword_stored_replaced": _AND.replace("FROM documents", "FROM (SELECT doc_id, CASE WHEN doc_id % 50 % 7 = 3 THEN concat('and and ', text) ELSE text END AS text FROM documents WHERE doc_id % 50 % 7 <> 4)"),
     "citations": "SELECT doc_id, concat_ws(' | ', '《' || source || '》', 'by ' || lang, CASE WHEN doc_id % 2 = 1 THEN 'Section: intro' END, CASE WHEN doc_id % 3 = 1 THEN 'p. ' || doc_id END) AS citation FROM documents",
     "rag_context": _context(60_000),
     "rag_prompt": f"SELECT concat({_q(INSTRUCTION)}, chr(10), chr(10), {_q(HEAD)}, chr(10), context, chr(10), {_q(FOOT)}, chr(10), chr(10), 'User Question: {QUESTION}', chr(10), chr(10), 'Answer:') AS prompt FROM ({_context(8000)})",

@@ -18,12 +18,15 @@ from .operators.embed import HashEmbedder, cache_key, embedded, misses
 from .operators.enrich import enrich, enrichment_counts
 from .operators.fulltext import indexed_search, postings, sparse_search
 from .operators.fusion import fuse, rrf
+from .operators.index import StoredIndex
 from .operators.merge import fold_by_key, merge, replace_chunks, sync_catalog, sync_counts, verify
 from .operators.reconcile import first_per_key, last_per_key, missing, number_rows, reconcile, summarize, unlisted
 from .plans import catalog as K
 from .plans.search import answer_prompt, search_chunks_dense, search_chunks_sparse, search_hybrid
 from .sources.documents import sections
+from .sources.files import scratch
 from .sources.sinks import rounded
+from .sources.store import Store
 
 #: Titles made of part names, in an expression that Spark and DuckDB both read.
 RAW = """CASE p_partkey % 14
@@ -138,6 +141,21 @@ def catalog_upsert(spark, d):
     return merge(p, p.select((F.col("p_partkey") * 3).alias("p_partkey"), F.upper("p_name").alias("p_name"), (F.col("p_size") + 100).alias("p_size")), "p_partkey")
 
 
+def stored_upsert(spark, d):
+    """``catalog_upsert`` as a transaction on a stored table, after one that was rolled back."""
+    p = _t(spark, d, "part").select("p_partkey", "p_name", "p_size")
+    store = Store(spark, scratch(spark))
+    with store.transaction() as tx:
+        tx.create("parts", p.schema, "p_partkey")
+        tx.append("parts", p)
+    lost = store.transaction()
+    lost.delete("parts", p)
+    lost.rollback()
+    with store.transaction() as tx:
+        tx.merge("parts", p.select((F.col("p_partkey") * 3).alias("p_partkey"), F.upper("p_name").alias("p_name"), (F.col("p_size") + 100).alias("p_size")))
+    return store.read("parts")
+
+
 def chunk_replace(spark, d):
     x = _t(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.pmod("doc_id", F.lit(50)).alias("book_id"), "n_chars")
     return replace_chunks(x, x.where("book_id % 10 = 4 and chunk_id % 4 = 0").withColumn("n_chars", -F.col("n_chars")))
@@ -448,6 +466,29 @@ def keyword_indexed(spark, d):
     return indexed_search(index, "and", 20, "doc_id", stemmed=False).withColumn("rank", F.round("rank", 6))
 
 
+def _stored_index(spark, d):
+    x = _t(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), (F.col("doc_id") % 50).alias("book_id"), F.col("text").alias("content"))
+    index = StoredIndex(Store(spark, scratch(spark)), stemmed=False)
+    index.build(x)
+    return index, x
+
+
+def keyword_stored(spark, d):
+    return _stored_index(spark, d)[0].search("and", 20, "doc_id").withColumn("rank", F.round("rank", 6))
+
+
+def keyword_stored_pair(spark, d):
+    return _stored_index(spark, d)[0].search("the and", 20, "doc_id").withColumn("rank", F.round("rank", 6))
+
+
+def keyword_stored_replaced(spark, d):
+    """A search after the chunks of every seventh book came anew and those of another went."""
+    index, x = _stored_index(spark, d)
+    index.replace(x.where("book_id % 7 = 3").withColumn("content", F.concat(F.lit("and and "), F.coalesce("content", F.lit("")))))
+    index.remove(x.where("book_id % 7 = 4"))
+    return index.search("and", 20, "doc_id").withColumn("rank", F.round("rank", 6))
+
+
 def citations(spark, d):
     x = _t(spark, d, "documents")
     page = F.when(F.col("doc_id") % 3 == 0, 0).when(F.col("doc_id") % 3 == 1, F.col("doc_id")).cast("long")
@@ -486,8 +527,8 @@ def embedded_chunks(spark, d):
 QUERIES = {
     q.__name__: q
     for q in (
-        dense_topk, dense_rounded, ann_topk, dense_topk_filtered, l2_normalize, hierarchical, keyword_single, keyword_cover_density, keyword_stemmed, rrf_scores, hybrid_rrf, chunk_search_dense, chunk_search_sparse, chunk_search_hybrid, keyword_indexed, citations, rag_context, rag_prompt, embedding_cache_miss, embedded_chunks,
-        catalog_count, catalog_head, verify_catalog, number_titles, first_titles, reconcile_status, reconcile_summary, list_missing, dir_unlisted, sync_merge, sync_totals, reclean_merge, catalog_upsert, chunk_replace,
+        dense_topk, dense_rounded, ann_topk, dense_topk_filtered, l2_normalize, hierarchical, keyword_single, keyword_cover_density, keyword_stemmed, rrf_scores, hybrid_rrf, chunk_search_dense, chunk_search_sparse, chunk_search_hybrid, keyword_indexed, keyword_stored, keyword_stored_pair, keyword_stored_replaced, citations, rag_context, rag_prompt, embedding_cache_miss, embedded_chunks,
+        catalog_count, catalog_head, verify_catalog, number_titles, first_titles, reconcile_status, reconcile_summary, list_missing, dir_unlisted, sync_merge, sync_totals, reclean_merge, catalog_upsert, stored_upsert, chunk_replace,
         seed_upsert, reclean_renumbered, reclean_counts, ingest_guard, ingest_report, catalog_introspection, lookup_answers, isbn_answers,
         ext_strip, doubled_extension, copy_suffix, camel_split, title_clean, title_key, file_info, publisher, subtitle, edition, published_year, author, taxonomy, media_class, uninformative, isbn_valid, isbn_find,
         title_jaccard, search_words, metadata_passage, summary_text, enrich_offline, enrich_counts, html_strip, html_snippet, html_heading, html_unescaped, token_estimate, clean_text, paragraph_units, sentence_units, chunked_documents, markdown_sections,

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lectern.sources import documents as D
 from lectern.sources import sinks, sqlite, titles
+from lectern.sources.store import Store
 from lectern.streaming.incremental import merge_stream
 
 
@@ -83,7 +84,9 @@ def test_stream_merges_twice(spark, tmp_path):
     merge_stream(spark, src, schema, str(tmp_path / "t"), "id", str(tmp_path / "cp")).awaitTermination()
     spark.createDataFrame([(2, "z")], schema).write.mode("append").parquet(src)
     merge_stream(spark, src, schema, str(tmp_path / "t"), "id", str(tmp_path / "cp")).awaitTermination()
-    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "t/v1")).collect())) == [(1, "a"), (2, "z")]
+    store = Store(spark, str(tmp_path / "t"))
+    assert sorted(map(tuple, store.read("rows").collect())) == [(1, "a"), (2, "z")] and store.manifest()["properties"] == {"batch:rows": 1}
+    assert sorted(map(tuple, store.read("rows", as_of=1).collect())) == [(1, "a"), (2, "b")]
 
 
 def test_front_matter_by_suffix(spark, tmp_path):
