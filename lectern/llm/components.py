@@ -5,19 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT, cut, discard, join_counted
+from .common import HOT, cut, discard
 
 
-def _hubs(both: DataFrame) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
-    """``both(a, b)`` less the edges of nodes that more than one edge in ``HOT`` ends at, these edges, and these nodes (fewer than ``HOT``)."""
-    degree = cut(both.groupBy("b").agg(F.count("*").alias("n")))
-    total, most = degree.agg(F.sum("n"), F.max("n")).first()
-    if total is None or most * HOT <= total:
-        discard(degree)
-        return both, None, None
-    hubs = cut(degree.where(F.col("n") * HOT > total).select("b"))
-    discard(degree)
-    return cut(both.join(F.broadcast(hubs), "b", "left_anti")), cut(both.join(F.broadcast(hubs), "b")), hubs
+def _common(rows: DataFrame, key: str, total: int) -> list[int]:
+    """Values of ``key`` that more than one row in ``HOT`` holds: fewer than ``HOT``."""
+    return [r[0] for r in rows.groupBy(key).count().where(F.col("count") * HOT > total).select(key).collect()]
+
+
+def _joined(rows: DataFrame, lines: DataFrame, key: str, common: list[int]) -> DataFrame:
+    """``rows`` with the one line of their key; rows of common keys meet it by broadcast, so that no task gets them all."""
+    if not common:
+        return rows.join(lines, key)
+    often = F.col(key).isin(common)
+    return rows.where(~often).join(lines.where(~often), key).unionByName(rows.where(often).join(F.broadcast(lines.where(often)), key))
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -25,22 +26,18 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Each round hooks a node's parent under the smallest grandparent next to it and halves the paths, so
     rounds grow with the logarithm of a component's width. State is one long pair a node, stored after each round. Nodes
-    of a giant component meet their parent, and edges of a hub their end, by broadcast (see ``join_counted``), so that no task gets them all.
+    of a giant component meet their parent, and edges of a hub their end, by broadcast.
     Raises after ``most_rounds`` rounds: a component that wide would take more nodes than there are.
     """
     both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
     parent = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("component")))
-    plain, hot, hubs = _hubs(both)
+    hubs, nodes = _common(both, "b", both.count()), parent.count()
     before = None
     for _ in range(most_rounds):
-        sizes = parent.groupBy("component").agg(F.count("*").alias("n"))
-        up = cut(sizes.join(parent.select(F.col("node").alias("component"), F.col("component").alias("grand")), "component"))
-        grand = cut(join_counted(parent, up, ["component"]).select("node", "component", "grand"))
-        ends = grand.select(F.col("node").alias("b"), "grand")
-        met = plain.join(ends, "b").select("a", "grand")
-        if hot is not None:
-            met = met.union(hot.join(F.broadcast(ends.join(F.broadcast(hubs), "b", "left_semi")), "b").select("a", "grand"))
-        all_ = grand.join(met.groupBy(F.col("a").alias("node")).agg(F.min("grand").alias("near")), "node")
+        up = parent.select(F.col("node").alias("component"), F.col("component").alias("grand"))
+        grand = cut(_joined(parent, up, "component", _common(parent, "component", nodes)).select("node", "component", "grand"))
+        near = _joined(both, grand.select(F.col("node").alias("b"), "grand"), "b", hubs).groupBy(F.col("a").alias("node")).agg(F.min("grand").alias("near"))
+        all_ = grand.join(near, "node")
         hooks = all_.select(
             F.explode(
                 F.array(
@@ -50,12 +47,10 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
             ).alias("x")
         ).select("x.node", "x.to")
         old, parent = parent, cut(hooks.groupBy("node").agg(F.min("to").alias("component")))
-        discard(old, up, grand)
+        discard(old, grand)
         now = parent.agg(F.count("*"), F.sum(F.col("component").cast("decimal(38,0)"))).first()
         if now == before:
-            discard(both, hot, hubs)
-            if hot is not None:
-                discard(plain)
+            discard(both)
             return parent
         before = now
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")

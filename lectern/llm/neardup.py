@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import HOT, cut, discard, join_counted, pieces, tasks, tidy
+from .common import cut, discard, pieces, tasks, tidy
 from .components import connected_components
 from .textvec import Powers, mix, shingles, words
 
@@ -162,7 +162,7 @@ def _hot(posts: DataFrame) -> DataFrame:
 
 
 def _prefixes(posts: DataFrame, classes: DataFrame) -> DataFrame:
-    """``posts(cid, post)``, ``classes(cid, n, least, filled)`` -> ``(cid, n, company, post, pos)``, prefix posts that others hold.
+    """``posts(cid, post)``, ``classes(cid, n, least, filled)`` -> ``(cid, n, company, post, hot, pos)``, prefix posts that others hold.
 
     ``pos`` is the post's place in the class's order, ``company`` how often the class's posts are held in all.
     """
@@ -171,7 +171,7 @@ def _prefixes(posts: DataFrame, classes: DataFrame) -> DataFrame:
     # a window, so that one exchange and one sort serve the count and its rows; a hot post is dealt over all tasks and goes by its estimate
     posts = posts.join(F.broadcast(hot), "post", "left").withColumn("salt", salt)
     shared = posts.withColumn("df", F.coalesce("often", F.count("*").over(Window.partitionBy("post", "salt")))).where("df > 1")
-    held = shared.groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("df", "post"))).alias("held")).join(classes, "cid")
+    held = shared.groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("df", "post", F.col("often").isNotNull().alias("hot")))).alias("held")).join(classes, "cid")
     # posts that no other class holds are the rarest and take the first places; sums come before the explode, else each of its rows makes them anew
     summed = held.select(
         "cid",
@@ -180,7 +180,7 @@ def _prefixes(posts: DataFrame, classes: DataFrame) -> DataFrame:
         (F.col("filled") - F.size("held")).alias("own"),
         F.slice("held", 1, F.greatest(F.lit(0), F.size("held") - F.col("least") + 1)).alias("prefix"),
     )
-    return summed.select("cid", "n", "company", "own", F.posexplode("prefix").alias("i", "x")).select("cid", "n", "company", F.col("x.post").alias("post"), (F.col("own") + F.col("i")).alias("pos"))
+    return summed.select("cid", "n", "company", "own", F.posexplode("prefix").alias("i", "x")).select("cid", "n", "company", F.col("x.post").alias("post"), F.col("x.hot").alias("hot"), (F.col("own") + F.col("i")).alias("pos"))
 
 
 def _places(n: Column, pos: Column, m: Column, at: Column) -> Column:
@@ -193,13 +193,13 @@ def _sizes(n: Column, pos: Column, m: Column, at: Column) -> Column:
     return 100 * F.least(n, m) >= PERCENT * F.greatest(n, m)
 
 
-def _met(rows: DataFrame, counted: DataFrame, n: str = "n") -> DataFrame:
-    """``rows`` with the line of their post in ``counted``, which is stored; rows of hot posts meet it by broadcast."""
-    carried = [c for c in counted.columns if c not in ("post", n)]
-    # join_counted goes by ``n``, which a row has of its own
-    line = counted.select("post", F.col(n).alias("n"), *([F.struct(*carried).alias("_line")] if carried else []))
-    own = rows.select("post", F.struct(*[c for c in rows.columns if c != "post"]).alias("_row"))
-    return join_counted(own, line, ["post"]).select("post", "_row.*", *(["_line.*"] if carried else []))
+def _met(rows: DataFrame, lines: DataFrame) -> DataFrame:
+    """``rows(post, hot, ...)``, which are stored, with the one line of their post in ``lines(post, hot, ...)``.
+
+    Rows of hot posts, fewer than ``HOT_POSTS``, meet it by broadcast where they lie; no task gets all rows of such a post.
+    """
+    cold = rows.where("not hot").join(lines.where("not hot").drop("hot"), "post")
+    return cold.unionByName(rows.where("hot").join(F.broadcast(lines.where("hot").drop("hot")), "post"))
 
 
 class _Links:
@@ -226,7 +226,7 @@ class _Links:
     @staticmethod
     def _open(posts: DataFrame) -> DataFrame:
         """Posts that several components hold, each class its own."""
-        held = cut(posts.groupBy("post").agg(F.count("*").alias("n")).where("n > 1"))
+        held = posts.groupBy("post", "hot").agg(F.count("*").alias("k")).where("k > 1").select("post", "hot")
         return _met(posts, held).withColumn("component", F.col("cid"))
 
     def parts(self) -> DataFrame | None:
@@ -242,9 +242,9 @@ class _Links:
             return posts
         now = posts.drop("component").join(parts.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
         now = cut(now)
-        several = cut(now.groupBy("post").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low <> high").select("post", "n"))
+        several = now.groupBy("post", "hot").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("post", "hot")
         out = cut(_met(now, several))
-        discard(now, several)
+        discard(now)
         return out
 
     def confirm(self, pairs: DataFrame) -> None:
@@ -262,23 +262,18 @@ class _Links:
     @staticmethod
     def star(labelled: DataFrame, fits) -> DataFrame:
         """Each class with the pivots of its posts, as far as these are of other components."""
-        top = cut(labelled.groupBy("post").agg(F.max_by(F.struct("cid", "n", "pos", "component"), F.struct("company", "cid")).alias("p"), F.count("*").alias("holders")))
-        met = _met(labelled, top.withColumnRenamed("holders", "held"), "held").where((F.col("component") != F.col("p.component")) & fits(F.col("n"), F.col("pos"), F.col("p.n"), F.col("p.pos")))
+        top = labelled.groupBy("post", "hot").agg(F.max_by(F.struct("cid", "n", "pos", "component"), F.struct("company", "cid")).alias("p"))
+        met = _met(labelled, top).where((F.col("component") != F.col("p.component")) & fits(F.col("n"), F.col("pos"), F.col("p.n"), F.col("p.pos")))
         return met.select(F.least("cid", "p.cid").alias("a"), F.greatest("cid", "p.cid").alias("b")).distinct()
 
     @staticmethod
     def rest(labelled: DataFrame, fits) -> DataFrame:
         """Every pair of different components that meets at fitting places; the larger class looks for smaller or equal ones."""
-        cells = labelled.groupBy("post", F.col("component").alias("other"), F.col("n").alias("m")).agg(F.min("pos").alias("low"))
-        # rows of a post that many hold are dealt over all tasks, and so its cells are there in each
-        most = labelled.groupBy("post").agg(F.count("*").alias("k"))
-        total = labelled.count()
-        hot = F.broadcast(most.where(F.col("k") * HOT > total).select("post", F.lit(True).alias("hot")))  # fewer than HOT posts
+        # rows of a hot post are dealt over all tasks, and so its cells are there in each
         deal = tasks(labelled.sparkSession)
-        salt = F.when(F.col("hot"), F.pmod(F.xxhash64("cid"), F.lit(deal))).otherwise(0).cast("int")
-        every = F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(deal - 1))).otherwise(F.array(F.lit(0)))).alias("salt")
-        seekers = labelled.join(hot, "post", "left").withColumn("salt", salt).drop("hot")
-        cells = cells.join(hot, "post", "left").select("post", "other", "m", "low", every)
+        cells = labelled.groupBy("post", "hot", F.col("component").alias("other"), F.col("n").alias("m")).agg(F.min("pos").alias("low"))
+        cells = cells.select("post", "other", "m", "low", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(deal - 1))).otherwise(F.array(F.lit(0)))).alias("salt"))
+        seekers = labelled.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("cid"), F.lit(deal))).otherwise(0).cast("int"))
         opened = seekers.join(cells, ["post", "salt"]).where((F.col("m") <= F.col("n")) & (F.col("component") != F.col("other")) & fits(F.col("n"), F.col("pos"), F.col("m"), F.col("low")))
         opened = opened.select("post", "other", "m", F.col("cid").alias("a"), F.col("n").alias("n"), "pos")
         members = labelled.select("post", F.col("component").alias("other"), F.col("n").alias("m"), F.col("cid").alias("b"), F.col("pos").alias("at"))
