@@ -9,10 +9,15 @@ import time
 import urllib.request
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .cache import KeyedLog, newest
+
+CACHE_SCHEMA = "key string, model string, embedding array<float>"
+
 #: Dimensions of models that are asked for by name.
 DIMENSIONS = {"BAAI/bge-small-en-v1.5": 384, "nomic-embed-text": 768, "text-embedding-3-small": 1536}
 
@@ -85,16 +90,44 @@ def provider(kind: str | None = None, model: str | None = None, url: str | None
     raise ValueError(f"no embedding provider is called {kind!r}")
 
 
-def embedded(texts: DataFrame, make: Callable[[], object], text: str = "text", batch: int = 32) -> DataFrame:
-    """``texts`` with ``embedding``; the provider is made once a task and called in batches."""
+def embedded(texts: DataFrame, make: Callable[[], object], text: str = "text", batch: int = 32, errors: str | None = None) -> DataFrame:
+    """``texts`` with ``embedding``, a vector of unit length; the provider is made once a task and called in batches.
+
+    A batch that fails is halved until what fails stands alone; that text gets null. With ``errors`` a column of that name says why.
+    """
 
-    def run(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         p = make()
         for s in series:
             values = s.fillna("").tolist()
-            yield pd.Series([v for i in range(0, len(values), batch) for v in p.embed(values[i : i + batch])])
+            done = [r for i in range(0, len(values), batch) for r in _bisected(p, values[i : i + batch])]
+            yield pd.DataFrame({"vector": [unit(v) for v, _ in done], "error": [e for _, e in done]})
+
+    got = texts.withColumn("_got", F.pandas_udf(run, "vector array<float>, error string")(F.col(text))).withColumn("embedding", F.col("_got.vector"))
+    return (got.withColumn(errors, F.col("_got.error")) if errors else got).drop("_got")
+
+
+def unit(vector: list[float] | None) -> list[float] | None:
+    """The vector at unit length; one of (almost) no length as it is."""
+    if vector is None:
+        return None
+    v = np.asarray(vector, dtype=np.float64)
+    n = float(np.sqrt(v @ v))
+    return (v / n if n >= 1e-12 else v).tolist()
 
-    return texts.withColumn("embedding", F.pandas_udf(run, "array<float>")(F.col(text)))
+
+def _bisected(p: object, texts: list[str]) -> list[tuple[list[float] | None, str | None]]:
+    """A vector or an error for each text: of a failed batch the halves are tried, down to single texts."""
+    try:
+        got = p.embed(texts)
+        if len(got) != len(texts):
+            raise ValueError(f"{len(got)} vectors for {len(texts)} texts")
+        return [(v, None) for v in got]
+    except Exception as e:
+        if len(texts) == 1:
+            return [(None, f"{type(e).__name__}: {e}"[:500])]
+        half = len(texts) // 2
+        return _bisected(p, texts[:half]) + _bisected(p, texts[half:])
 
 
 def cache_key(model: str, text: Column) -> Column:
@@ -108,7 +141,20 @@ def misses(texts: DataFrame, cache: DataFrame, model: str, text: str = "text") -
 
 
 def with_cache(texts: DataFrame, cache: DataFrame, make: Callable[[], object], model: str, text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """The texts with vectors, and the rows to append to the cache: only misses are embedded, each once."""
+    """The texts with vectors, and the rows to append to the cache: only misses are embedded, each once. Of a key cached twice the newest counts."""
     fresh = embedded(misses(texts, cache, model, text), make, text).select("key", F.lit(model).alias("model"), "embedding")
-    known = cache.select("key", "embedding").unionByName(fresh.select("key", "embedding"))
+    held = newest(cache, "key", "run" if "run" in cache.columns else None)
+    known = held.select("key", "embedding").unionByName(fresh.select("key", "embedding"))
     return texts.withColumn("key", cache_key(model, F.col(text))).join(known, "key", "left").drop("key"), fresh
+
+
+def embedding_cache(spark: SparkSession, path: str) -> KeyedLog:
+    """A stored cache of vectors: read with one row a key, appended to run by run; one that cannot be read is empty."""
+    return KeyedLog(spark, path, CACHE_SCHEMA)
+
+
+def embed_cached(texts: DataFrame, log: KeyedLog, make: Callable[[], object], model: str, text: str = "text") -> DataFrame:
+    """The texts with vectors from the stored cache. What it lacks is embedded first and stored as a run; texts that failed are not, and are null."""
+    fresh = embedded(misses(texts, log.read(), model, text), make, text).where("embedding is not null")
+    log.append(fresh.select("key", F.lit(model).alias("model"), "embedding"))
+    return texts.withColumn("key", cache_key(model, F.col(text))).join(log.read().select("key", "embedding"), "key", "left").drop("key")

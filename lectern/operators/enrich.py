@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import metadata as M
 from ..functions.text import html_snippet
 from ..functions.titles import clean_title, strip
+from .cache import newest
 
 LOOKUP = ("title", "subtitle", "author", "publisher", "published", "language", "summary", "source")
 LOOKUP_SCHEMA = "key string, hit boolean, data struct<" + ", ".join(f"{c}: string" for c in LOOKUP) + ", revision: int>"
@@ -33,20 +34,24 @@ def lookups_to_fetch(books: DataFrame, cache: DataFrame) -> DataFrame:
 
 
 def _once(df: DataFrame, fields: Column) -> DataFrame:
-    """``df`` with the struct's fields as columns, computed once a row: the optimizer would put a projection's rules into every use of them, but not through a generator."""
-    return df.select("*", F.inline(F.array(fields)))
+    """``df`` with the struct's fields as columns, computed once a row: the optimizer would put a projection's rules into every use of them, but not through a generator. As a lambda's body they stay out of the generated code, which they would make too long to compile.
+    """
+    return df.select("*", F.inline(F.transform(F.array(F.lit(0)), lambda _: fields)))
 
 
 def enrich(books: DataFrame, front: DataFrame | None = None, cache: DataFrame | None = None) -> DataFrame:
     """``books(id, clean_title, raw_title, source_path, in_directory)`` -> all catalog columns.
 
-    ``front`` has front matter by ``path``, ``cache`` answers by key. Without either, rules decide alone.
+    ``front`` has front matter by ``path``, ``cache`` answers by key. Without either, rules decide alone. A path or key that comes
+    more than once counts once: the greatest ``run`` where there is such a column, then the greatest values.
     """
     spark = books.sparkSession
     titled = front is not None or cache is not None
     front = spark.createDataFrame([], FRONT_SCHEMA) if front is None else front
     cache = spark.createDataFrame([], LOOKUP_SCHEMA) if cache is None else cache
-    answers = cache.where("hit")
+    # the newest row of a key counts, also where it says that there is no answer
+    answers = newest(cache, "key", "run" if "run" in cache.columns else None).where("hit")
+    front = newest(front, "path", "run" if "run" in front.columns else None)
     fm = front.select(F.struct(*[F.col(c) if c in front.columns else F.lit(None).cast("int" if c == "revision" else "string").alias(c) for c in (x.split()[0] for x in FRONT_SCHEMA.split(", "))]).alias("fm"), F.col("path").alias("_path"))
     x = books.join(fm, F.col("source_path") == F.col("_path"), "left").drop("_path")
     x = x.join(answers.select(F.col("key").alias("_ik"), F.col("data").alias("isbn_data")), isbn_key(F.col("fm.isbn")) == F.col("_ik"), "left").drop("_ik")
@@ -54,7 +59,8 @@ def enrich(books: DataFrame, front: DataFrame | None = None, cache: DataFrame |
     useful = F.when(~M.is_uninformative(F.col("fm.title")), F.col("fm.title"))
     candidate = F.when(blank, F.coalesce(M.nonblank(F.col("isbn_data.title")), useful))
     if titled:
-        x = _once(x, F.struct(F.when(candidate.isNotNull(), clean_title(candidate)).alias("_better")))
+        # title casing is a Python function, which has no place in a lambda
+        x = x.select("*", F.inline(F.array(F.struct(F.when(candidate.isNotNull(), clean_title(candidate)).alias("_better")))))
         x = x.withColumn("clean_title", F.coalesce("_better", "clean_title")).drop("_better")
     x = x.join(answers.select(F.col("key").alias("_tk"), F.col("data").alias("title_data")), (lookup_key(F.col("clean_title")) == F.col("_tk")) & F.col("isbn_data").isNull(), "left").drop("_tk")
     api = lambda c: M.nonblank(F.coalesce(F.col("isbn_data"), F.col("title_data"))[c].cast("string"))

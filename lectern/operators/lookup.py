@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import json
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.metadata import accepts_crossref, accepts_open_library, clean_isbn, isbn_valid
+from .cache import KeyedLog
 from .enrich import LOOKUP, LOOKUP_SCHEMA, isbn_key
 
 #: Documents of one answer that are looked at, and authors that are named.
@@ -79,16 +79,13 @@ def answers(wanted: DataFrame, *services: DataFrame) -> DataFrame:
 
 
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
-    """A stored cache; one that is not there or cannot be read is empty."""
-    try:
-        return spark.read.schema(LOOKUP_SCHEMA).parquet(path)
-    except AnalysisException:
-        return spark.createDataFrame([], LOOKUP_SCHEMA)
+    """A stored cache, one row a key, the newest; one that is not there or cannot be read is empty."""
+    return KeyedLog(spark, path, LOOKUP_SCHEMA).read()
 
 
-def save_cache(fresh: DataFrame, path: str) -> None:
-    """New rows appended to a stored cache; rows are never rewritten, so an attempt that is lost leaves no half of a row."""
-    fresh.select("key", "hit", "data").write.mode("append").parquet(path)
+def save_cache(fresh: DataFrame, path: str, run: int | None = None) -> int:
+    """New rows added to a stored cache as a run; the same run again replaces its first try. Returns the run's number."""
+    return KeyedLog(fresh.sparkSession, path, LOOKUP_SCHEMA).append(fresh, run)
 
 
 def import_cache(spark: SparkSession, path: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import scratch
+
 
 def first_per_key(df: DataFrame, key: str, order: str | list[Column]) -> DataFrame:
     """The first row of each key in the given order. Aggregated before the shuffle, so a hot key is one row a task."""
@@ -53,20 +55,18 @@ def summarize(statuses: DataFrame) -> DataFrame:
 
 
 def number_rows(df: DataFrame, order: list[str], name: str = "id") -> DataFrame:
-    """Dense ids from 1 by a total order, without one task for all rows: the bounds of sorted ranges are drawn once, ranges are numbered apart and offset by their counts.
+    """Dense ids from 1 by a total order, without one task for all rows: rows are sorted in ranges, stored, and numbered by the counts of the ranges before theirs.
 
-    A row's range is a function of its values and the drawn bounds, so both readings below agree whatever is computed again.
+    A row's place is stored with it, so it stays the same whatever is computed again. What is counted is one row a range.
     """
-    n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    key = F.struct(*order)
-    drawn = df.select(key.alias("k")).orderBy(F.xxhash64("k")).limit(64 * n).orderBy("k").collect()
-    bounds = [r["k"] for r in drawn[len(drawn) // n or 1 :: len(drawn) // n or 1]]
-    fields = df.select(key.alias("k")).schema["k"].dataType.fields
-    at = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(b, fields, strict=True)]) for b in bounds]
-    part = F.size(F.filter(F.array(*at), lambda b: b < key)) if at else F.lit(0)
-    spread = df.withColumn("_part", part)
-    spread = spread.withColumn("_nth", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    sizes = spread.groupBy("_part").agg(F.count("*").alias("_n"))
-    # one row a partition: the running sum is small by construction
-    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    return spread.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_before") + F.col("_nth")).drop("_part", "_nth", "_before")
+    spark = df.sparkSession
+    path = scratch(spark)
+    ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # the upper bits of this number tell the range, the lower 33 the place in it
+    placed = df.repartitionByRange(ranges, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    placed.write.parquet(path)
+    rows = spark.read.schema(placed.schema).parquet(path).withColumn("_range", F.shiftright("_at", 33))
+    sizes = rows.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = sizes.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    nth = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return rows.join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + nth).drop("_range", "_at", "_before")

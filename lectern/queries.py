@@ -399,7 +399,7 @@ def ann_topk(spark, d):
 
 def dense_topk_filtered(spark, d):
     books = _t(spark, d, "nation").select(F.col("n_nationkey").alias("label"), F.col("n_name").alias("domain"))
-    rows = _t(spark, d, "embeddings").join(F.broadcast(books.where(V.filter_condition({"domain": "a", "unknown": 1}))), "label")
+    rows = _t(spark, d, "embeddings").join(books.where(V.filter_condition({"domain": "a", "unknown": 1})), "label")
     return V.dense_search(rows, _vector(spark, d), 10, "vec_id").select("vec_id", "domain", F.round("similarity", 6).alias("similarity"))
 
 

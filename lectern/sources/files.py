@@ -47,6 +47,10 @@ class Files:
     def delete(self, path: str) -> None:
         self.fs.delete(self._path(path), True)
 
+    def rename(self, old: str, new: str) -> None:
+        if not self.fs.rename(self._path(old), self._path(new)):
+            raise OSError(f"{old} cannot become {new}")
+
     def publish(self, text: str, path: str) -> bool:
         """Put a whole file at ``path`` in one step; False if there is one already."""
         folder, name = path.rsplit("/", 1)

@@ -4,9 +4,12 @@ import sqlite3
 import numpy as np
 from pyspark.sql import functions as F
 
+from lectern.operators import embed as E
 from lectern.operators import lookup as L
 from lectern.operators.ann import ann_search, fit_centroids, index
+from lectern.operators.cache import KeyedLog
 from lectern.operators.enrich import enrich
+from lectern.operators.reconcile import number_rows
 from lectern.operators.vector import dense_search
 from lectern.plans import catalog as K
 from lectern.schema import BOOKS, conform, create
@@ -117,3 +120,76 @@ def test_declared_columns(spark):
     got = K.declared(spark.createDataFrame([("t",)], "clean_title string"))
     assert got.columns == BOOKS.fieldNames() and got.first().revision == 1
     assert conform(got).schema == got.schema
+
+
+def test_a_key_cached_twice_counts_once(spark, tmp_path):
+    path = str(tmp_path / "cache")
+    answer = lambda author, hit=True: ("deep work", hit, (None, None, author, None, None, None, None, "OpenLibrary", None) if hit else None)
+    frame = lambda *rows: spark.createDataFrame(list(rows), L.LOOKUP_SCHEMA)
+    assert L.save_cache(frame(answer("Old"), (None, True, None)), path) == 1
+    assert L.save_cache(frame(answer("New"), answer("New")), path) == 2
+    assert L.save_cache(frame(answer("New"), answer("New")), path, 2) == 2  # the same run again adds nothing
+    books = spark.createDataFrame([(1, "Deep Work", "Deep Work.pdf", "/w.pdf", 0)], "id long, clean_title string, raw_title string, source_path string, in_directory int")
+    front = spark.createDataFrame([("/w.pdf", "P"), ("/w.pdf", "Q")], "path string, publisher string")
+    got = enrich(books, front, L.read_cache(spark, path)).collect()
+    assert [(r.id, r.author, r.publisher) for r in got] == [(1, "New", "Q")]
+    raw = frame(answer("A"), answer("B"))
+    assert [r.author for r in enrich(books, None, raw).collect()] == ["B"]
+    # an answer that was withdrawn later is a negative one
+    L.save_cache(frame(answer("", False)), path)
+    log = KeyedLog(spark, path, L.LOOKUP_SCHEMA)
+    assert [(r.key, r.hit) for r in log.read().collect()] == [("deep work", False)] and log.runs() == [1, 2, 3]
+    assert [r.author for r in enrich(books, None, log.read()).collect()] == [None]
+    assert log.compact() == 4 and log.runs() == [4] and log.read().count() == 1
+    wanted = spark.createDataFrame([("deep work",), ("other",)], "key string")
+    assert [r.key for r in log.misses(wanted).collect()] == ["other"]
+    (tmp_path / "bad").write_text("{")
+    assert KeyedLog(spark, str(tmp_path / "bad" / "none"), L.LOOKUP_SCHEMA).read().count() == 0
+
+
+def touchy(calls=None):
+    """A provider that fails on a word, and counts its calls; made here, for workers do not know this module."""
+
+    class Touchy:
+        def embed(self, texts):
+            if calls is not None:
+                calls.append(len(texts))
+            if any("bad" in t for t in texts):
+                raise OSError("no vector")
+            return [[3.0, 4.0 * len(t)] for t in texts]
+
+    return Touchy
+
+
+def test_a_failed_batch_is_halved(spark):
+    texts = [f"t{i}" for i in range(30)] + ["bad one", "t31"]
+    calls = []
+    got = E._bisected(touchy(calls)(), texts)
+    assert [e for _, e in got if e] == ["OSError: no vector"] and got[30][0] is None and sum(v is not None for v, _ in got) == 31
+    assert len(calls) <= 2 * 5 + 1
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None])], "id int, text string")
+    done = {r.id: r for r in E.embedded(rows, touchy(), errors="why").collect()}
+    assert done[30].embedding is None and done[30].why == "OSError: no vector" and done[32].why is None
+    assert all(abs(sum(x * x for x in r.embedding) - 1) < 1e-6 for r in done.values() if r.embedding)
+    assert E.unit([0.0, 0.0]) == [0.0, 0.0] and E.unit(None) is None
+
+
+def test_embeddings_come_from_the_stored_cache(spark, tmp_path):
+    log = E.embedding_cache(spark, str(tmp_path / "vectors"))
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a"), (4, "bad")], "id int, text string")
+    first = {r.id: r.embedding for r in E.embed_cached(rows, log, touchy(), "m").collect()}
+    assert first[1] == first[3] and first[4] is None and log.read().count() == 2
+    log.append(log.read().withColumn("embedding", F.array(F.lit(1.0).cast("float"))))  # the newest run counts
+    assert {tuple(r.embedding) for r in E.embed_cached(rows.where("id < 4"), log, touchy(), "m").collect()} == {(1.0,)}
+    twice = log.read().unionByName(log.read())
+    out, fresh = E.with_cache(rows.where("id < 4"), twice, touchy(), "m")
+    assert out.count() == 3 and fresh.count() == 0
+
+
+def test_numbers_follow_the_order_over_ranges(spark):
+    rows = spark.range(5000).select((F.col("id") * 7919 % 5003).alias("k"), F.lit("x").alias("_n"))
+    got = sorted((r.k, r.id) for r in number_rows(rows, ["k"]).collect())
+    assert [i for _, i in got] == list(range(1, 5001))
+    odd = spark.createDataFrame([(None, 1), ("b", 2), ("", 3), ("b", 4)], "t string, n int")
+    assert [(r.t, r.n) for r in number_rows(odd, ["t", "n"]).orderBy("id").collect()] == [(None, 1), ("", 3), ("b", 2), ("b", 4)]
+    assert number_rows(odd.limit(0), ["t"]).count() == 0
