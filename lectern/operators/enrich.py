@@ -13,6 +13,7 @@ from ..functions import metadata as M
 from ..functions.text import html_snippet
 from ..functions.titles import clean_title, strip
 from .cache import newest
+from .merge import merge
 
 LOOKUP = ("title", "subtitle", "author", "publisher", "published", "language", "summary", "source")
 LOOKUP_SCHEMA = "key string, hit boolean, data struct<" + ", ".join(f"{c}: string" for c in LOOKUP) + ", revision: int>"
@@ -96,3 +97,39 @@ def enrichment_counts(enriched: DataFrame) -> DataFrame:
     """How many rows an online source enriched, and how many rules alone."""
     online = F.col("source").rlike("OpenLibrary|Crossref|GoogleBooks")
     return enriched.agg(F.count("*").alias("rows"), F.coalesce(F.sum(online.cast("long")), F.lit(0)).alias("online"), F.coalesce(F.sum((~online).cast("long")), F.lit(0)).alias("local"))
+
+
+class TitleCollision(RuntimeError):
+    """An update would give several rows one title."""
+
+
+def title_collisions(catalog: DataFrame, fresh: DataFrame) -> DataFrame:
+    """``(id, clean_title, holder)`` of the rows of ``fresh(id, clean_title)`` that cannot have the title they ask for.
+
+    Titles are unique in ``catalog(id, clean_title)``. A row keeps its own; a new title is had by the smallest id that asks for it, and by none if another row
+    holds it now, whatever that row asks for itself. ``holder`` is who has it. One aggregate over both finds them.
+    """
+    asked = fresh.select("id", F.col("clean_title").alias("title")).join(catalog.select("id", F.col("clean_title").alias("old")), "id").where(~F.col("title").eqNullSafe(F.col("old")) & F.col("title").isNotNull())
+    claims = catalog.select(F.col("clean_title").alias("title"), F.col("id").alias("holds"), F.lit(None).cast(catalog.schema["id"].dataType).alias("asks"))
+    claims = claims.unionByName(asked.select("title", F.lit(None).cast(catalog.schema["id"].dataType).alias("holds"), F.col("id").alias("asks")))
+    first = claims.groupBy("title").agg(F.coalesce(F.min("holds"), F.min("asks")).alias("holder"), F.count("asks").alias("n")).where("n > 0")
+    return asked.join(first, "title").where(F.col("holder") != F.col("id")).select("id", F.col("title").alias("clean_title"), "holder")
+
+
+def enrich_update(catalog: DataFrame, fresh: DataFrame, collisions: str = "abort", named: int = 20) -> DataFrame:
+    """``fresh`` (unique ids, columns of the catalog) into ``catalog`` by ``id``, its titles staying unique; unknown ids are ignored.
+
+    With ``abort`` a collision raises ``TitleCollision``, with the number of rows and the first ``named`` of them, before anything is changed. With ``first``
+    a row that cannot have its title keeps the old one and takes all else. A null title changes none.
+    """
+    if collisions not in ("abort", "first"):
+        raise ValueError("collisions: abort or first")
+    lost = title_collisions(catalog, fresh)
+    if collisions == "abort":
+        some = lost.orderBy("id").limit(named).collect()
+        if some:
+            raise TitleCollision(f"{lost.count()} rows cannot have their title, such as " + ", ".join(f"{r['id']}: {r['clean_title']!r} of {r['holder']}" for r in some))
+    kept = fresh.join(lost.select("id", F.lit(True).alias("_lost")), "id", "left").withColumn("clean_title", F.when(F.col("_lost").isNull(), F.col("clean_title"))).drop("_lost")
+    update = {c: (lambda o, n, c=c: n(c)) for c in fresh.columns if c in catalog.columns and c not in ("id", "clean_title")}
+    update["clean_title"] = lambda o, n: F.coalesce(n("clean_title"), o("clean_title"))
+    return merge(catalog, kept.join(catalog.select("id"), "id", "left_semi"), "id", update)

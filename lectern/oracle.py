@@ -97,6 +97,12 @@ def _two_terms(first: str, second: str) -> str:
       WINDOW o AS (PARTITION BY doc_id ORDER BY place)) WHERE term <> other GROUP BY doc_id) AS ranked ORDER BY ranked.rank DESC, doc_id LIMIT 20"""
 
 
+_RETITLED = """WITH c AS (SELECT p_partkey AS id, concat(p_name, ' ', p_partkey) AS t, p_brand AS author FROM part),
+  a AS (SELECT c.id, c.t AS old, CASE WHEN c.id % 10 = 4 THEN h.t WHEN c.id % 6 = 0 THEN concat('Title ', c.id % 400) WHEN c.id % 6 = 2 THEN concat('part ', c.id) ELSE c.t END AS t FROM c LEFT JOIN c h ON h.id * 2 = c.id WHERE c.id % 2 = 0),
+  l AS (SELECT a.id, a.t, coalesce(c.id, min(a.id) OVER (PARTITION BY a.t)) AS holder FROM a LEFT JOIN c ON a.t = c.t WHERE a.t <> a.old),
+  x AS (SELECT id, t AS clean_title, holder FROM l WHERE holder <> id)"""
+
+
 def _search_words() -> str:
     q = _STRIP.format("raw")
     for pattern in ("(?i)^Udemy\\s*-\\s*", "\\[[^\\]]+\\]", "(?i)\\b(\\d+)(?:st|nd|rd|th)\\s+(?:edition|ed)\\b", "(?i)\\b(?:pack|collection)[-_\\s]*\\d+\\b", "\\b(19\\d\\d|20\\d\\d)\\b"):
@@ -127,6 +133,8 @@ _FULL = {
       (u.dir_key IS NOT NULL)::INT AS in_directory, CASE WHEN u.k IS NULL THEN 'before' ELSE 'now' END AS updated_at FROM t FULL JOIN u ON t.k = u.title""",
     "sync_totals": f"SELECT count(*) FILTER (status = 'matched') AS matched_synced, count(*) FILTER (status = 'missing') AS missing_synced, count(*) FILTER (status = 'unlisted') AS unlisted_synced FROM ({_STATUS})",
     "reclean_merge": "SELECT p_name, min(p_partkey) AS p_partkey, arg_max(p_brand, p_partkey) FILTER (p_size % 2 = 0) AS brand, max(p_size % 2)::INT AS in_directory FROM part GROUP BY p_name",
+    "enrich_collisions": f"{_RETITLED} SELECT * FROM x",
+    "enrich_titles": f"{_RETITLED} SELECT c.id, CASE WHEN a.id IS NULL OR x.id IS NOT NULL THEN c.t ELSE coalesce(a.t, c.t) END AS clean_title, CASE WHEN a.id IS NULL THEN c.author ELSE 'new' END AS author FROM c LEFT JOIN a ON c.id = a.id LEFT JOIN x ON c.id = x.id",
     "catalog_upsert": "SELECT coalesce(a.p_partkey, b.k) AS p_partkey, coalesce(b.name, a.p_name) AS p_name, coalesce(b.size, a.p_size)::INT AS p_size FROM part a FULL JOIN (SELECT p_partkey * 3 AS k, upper(p_name) AS name, p_size + 100 AS size FROM part) b ON a.p_partkey = b.k",
     "stored_upsert": "SELECT coalesce(a.p_partkey, b.k) AS p_partkey, coalesce(b.name, a.p_name) AS p_name, coalesce(b.size, a.p_size)::INT AS p_size FROM part a FULL JOIN (SELECT p_partkey * 3 AS k, upper(p_name) AS name, p_size + 100 AS size FROM part) b ON a.p_partkey = b.k",
     "chunk_replace": "WITH x AS (SELECT doc_id % 50 AS book_id, doc_id AS chunk_id, n_chars FROM documents), f AS (SELECT book_id, chunk_id, -n_chars AS n_chars FROM x WHERE book_id % 10 = 4 AND chunk_id % 4 = 0) SELECT * FROM f UNION ALL SELECT * FROM x WHERE book_id NOT IN (SELECT book_id FROM f)",

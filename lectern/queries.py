@@ -15,7 +15,7 @@ from .operators.ann import ann_search, fit_centroids
 from .operators.ann import index as ann_index
 from .operators.chunk import chunk_documents, one_page, paragraphs, sentences
 from .operators.embed import HashEmbedder, cache_key, embedded, misses
-from .operators.enrich import enrich, enrichment_counts
+from .operators.enrich import enrich, enrich_update, enrichment_counts, title_collisions
 from .operators.fulltext import indexed_search, postings, sparse_search
 from .operators.fusion import fuse, rrf
 from .operators.index import StoredIndex
@@ -185,6 +185,23 @@ def reclean_counts(spark, d):
     return K.reclean_counts(_catalog(spark, d), F.when(F.col("id") % 7 != 0, N.strip_extensions(F.col("raw_title"))))
 
 
+def _retitled(spark, d):
+    """Parts under unique titles, and half of them with another: one that many ask for, one that another part holds, or their own."""
+    x = _t(spark, d, "part").select(F.col("p_partkey").alias("id"), F.expr("concat(p_name, ' ', p_partkey)").alias("clean_title"), F.col("p_brand").alias("author"))
+    title = F.expr("CASE id % 6 WHEN 0 THEN concat('Title ', id % 400) WHEN 2 THEN concat('part ', id) ELSE clean_title END")
+    held = x.select((F.col("id") * 2).alias("id"), F.col("clean_title").alias("other"))
+    fresh = x.where("id % 2 = 0").join(held, "id", "left").select("id", F.when(F.col("id") % 10 == 4, F.col("other")).otherwise(title).alias("clean_title"), F.lit("new").alias("author"))
+    return x, fresh
+
+
+def enrich_collisions(spark, d):
+    return title_collisions(*_retitled(spark, d))
+
+
+def enrich_titles(spark, d):
+    return enrich_update(*_retitled(spark, d), collisions="first")
+
+
 def ingest_guard(spark, d):
     """Suppliers whose title is stored under another id and whose file is there."""
     books = _catalog(spark, d)
@@ -529,7 +546,7 @@ QUERIES = {
     for q in (
         dense_topk, dense_rounded, ann_topk, dense_topk_filtered, l2_normalize, hierarchical, keyword_single, keyword_cover_density, keyword_stemmed, rrf_scores, hybrid_rrf, chunk_search_dense, chunk_search_sparse, chunk_search_hybrid, keyword_indexed, keyword_stored, keyword_stored_pair, keyword_stored_replaced, citations, rag_context, rag_prompt, embedding_cache_miss, embedded_chunks,
         catalog_count, catalog_head, verify_catalog, number_titles, first_titles, reconcile_status, reconcile_summary, list_missing, dir_unlisted, sync_merge, sync_totals, reclean_merge, catalog_upsert, stored_upsert, chunk_replace,
-        seed_upsert, reclean_renumbered, reclean_counts, ingest_guard, ingest_report, catalog_introspection, lookup_answers, isbn_answers,
+        seed_upsert, reclean_renumbered, reclean_counts, enrich_collisions, enrich_titles, ingest_guard, ingest_report, catalog_introspection, lookup_answers, isbn_answers,
         ext_strip, doubled_extension, copy_suffix, camel_split, title_clean, title_key, file_info, publisher, subtitle, edition, published_year, author, taxonomy, media_class, uninformative, isbn_valid, isbn_find,
         title_jaccard, search_words, metadata_passage, summary_text, enrich_offline, enrich_counts, html_strip, html_snippet, html_heading, html_unescaped, token_estimate, clean_text, paragraph_units, sentence_units, chunked_documents, markdown_sections,
     )

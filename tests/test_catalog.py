@@ -2,13 +2,14 @@ import json
 import sqlite3
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lectern.operators import embed as E
 from lectern.operators import lookup as L
 from lectern.operators.ann import ann_search, fit_centroids, index
 from lectern.operators.cache import KeyedLog
-from lectern.operators.enrich import enrich
+from lectern.operators.enrich import TitleCollision, enrich, enrich_update, title_collisions
 from lectern.operators.reconcile import number_rows
 from lectern.operators.vector import dense_search
 from lectern.plans import catalog as K
@@ -193,3 +194,21 @@ def test_numbers_follow_the_order_over_ranges(spark):
     odd = spark.createDataFrame([(None, 1), ("b", 2), ("", 3), ("b", 4)], "t string, n int")
     assert [(r.t, r.n) for r in number_rows(odd, ["t", "n"]).orderBy("id").collect()] == [(None, 1), ("", 3), ("b", 2), ("b", 4)]
     assert number_rows(odd.limit(0), ["t"]).count() == 0
+
+
+def test_titles_stay_unique(spark):
+    kind = "id long, clean_title string, author string"
+    catalog = spark.createDataFrame([(1, "a", "x"), (2, "b", "x"), (3, "c", "x"), (4, "d", "x"), (5, "e", "x"), (6, "f", "x")], kind)
+    fresh = spark.createDataFrame([(1, "b", "y"), (2, "z", "y"), (3, "new", "y"), (4, "new", "y"), (5, "e", "y"), (6, None, "y"), (9, "b", "y")], kind)
+    assert sorted(map(tuple, title_collisions(catalog, fresh).collect())) == [(1, "b", 2), (4, "new", 3)]
+    with pytest.raises(TitleCollision, match="2 rows .*1: 'b' of 2, 4: 'new' of 3"):
+        enrich_update(catalog, fresh)
+    got = sorted(map(tuple, enrich_update(catalog, fresh, "first").collect()))
+    assert got == [(1, "a", "y"), (2, "z", "y"), (3, "new", "y"), (4, "d", "y"), (5, "e", "y"), (6, "f", "y")]
+    sound = fresh.where("id in (3, 5)")
+    assert sorted(map(tuple, enrich_update(catalog, sound).collect()))[2] == (3, "new", "y")
+    assert enrich_update(catalog.limit(0), fresh).count() == 0
+    # many that ask for one title: one has it
+    many = spark.range(2000).select("id", F.concat(F.lit("t"), "id").alias("clean_title"), F.lit("x").alias("author"))
+    out = enrich_update(many, many.select("id", F.lit("same").alias("clean_title")), "first")
+    assert out.where("clean_title = 'same'").count() == 1 and out.select("clean_title").distinct().count() == 2000
