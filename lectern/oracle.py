@@ -135,6 +135,7 @@ _FULL = {
     "reclean_merge": "SELECT p_name, min(p_partkey) AS p_partkey, arg_max(p_brand, p_partkey) FILTER (p_size % 2 = 0) AS brand, max(p_size % 2)::INT AS in_directory FROM part GROUP BY p_name",
     "enrich_collisions": f"{_RETITLED} SELECT * FROM x",
     "enrich_titles": f"{_RETITLED} SELECT c.id, CASE WHEN a.id IS NULL OR x.id IS NOT NULL THEN c.t ELSE coalesce(a.t, c.t) END AS clean_title, CASE WHEN a.id IS NULL THEN c.author ELSE 'new' END AS author FROM c LEFT JOIN a ON c.id = a.id LEFT JOIN x ON c.id = x.id",
+    "graph_exact": "SELECT query, id, rank, round(s, 5) AS similarity FROM (SELECT q.vec_id AS query, e.vec_id AS id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS s, (row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, e.vec_id))::INT AS rank FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0) WHERE rank <= 10",
     "catalog_upsert": "SELECT coalesce(a.p_partkey, b.k) AS p_partkey, coalesce(b.name, a.p_name) AS p_name, coalesce(b.size, a.p_size)::INT AS p_size FROM part a FULL JOIN (SELECT p_partkey * 3 AS k, upper(p_name) AS name, p_size + 100 AS size FROM part) b ON a.p_partkey = b.k",
     "stored_upsert": "SELECT coalesce(a.p_partkey, b.k) AS p_partkey, coalesce(b.name, a.p_name) AS p_name, coalesce(b.size, a.p_size)::INT AS p_size FROM part a FULL JOIN (SELECT p_partkey * 3 AS k, upper(p_name) AS name, p_size + 100 AS size FROM part) b ON a.p_partkey = b.k",
     "chunk_replace": "WITH x AS (SELECT doc_id % 50 AS book_id, doc_id AS chunk_id, n_chars FROM documents), f AS (SELECT book_id, chunk_id, -n_chars AS n_chars FROM x WHERE book_id % 10 = 4 AND chunk_id % 4 = 0) SELECT * FROM f UNION ALL SELECT * FROM x WHERE book_id NOT IN (SELECT book_id FROM f)",

@@ -18,6 +18,7 @@ from .operators.embed import HashEmbedder, cache_key, embedded, misses
 from .operators.enrich import enrich, enrich_update, enrichment_counts, title_collisions
 from .operators.fulltext import indexed_search, postings, sparse_search
 from .operators.fusion import fuse, rrf
+from .operators.graph import build_graphs, graph_neighbours
 from .operators.index import StoredIndex
 from .operators.merge import fold_by_key, merge, replace_chunks, sync_catalog, sync_counts, verify
 from .operators.reconcile import first_per_key, last_per_key, missing, number_rows, reconcile, summarize, unlisted
@@ -414,6 +415,23 @@ def ann_topk(spark, d):
     return ann_search(ann_index(e, centroids), centroids, _vector(spark, d), 10, "vec_id").select("vec_id", F.round("similarity", 6).alias("similarity"))
 
 
+def _graphs(spark, d):
+    """Graphs over all vectors, stored and read again."""
+    path = scratch(spark)
+    build_graphs(_t(spark, d, "embeddings"), "vec_id").write.parquet(path)
+    return spark.read.parquet(path), _t(spark, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), "embedding")
+
+
+def graph_approximate(spark, d):
+    """The ten nearest of every hundredth vector among all, by a beam of 16."""
+    return graph_neighbours(*_graphs(spark, d), 10, 16).withColumn("similarity", F.round("similarity", 6))
+
+
+def graph_exact(spark, d):
+    """The same with a beam without bound, which is exact."""
+    return graph_neighbours(*_graphs(spark, d), 10, 1 << 30).select("query", "id", "rank", F.round("similarity", 5).alias("similarity"))
+
+
 def dense_topk_filtered(spark, d):
     books = _t(spark, d, "nation").select(F.col("n_nationkey").alias("label"), F.col("n_name").alias("domain"))
     rows = _t(spark, d, "embeddings").join(books.where(V.filter_condition({"domain": "a", "unknown": 1})), "label")
@@ -544,7 +562,7 @@ def embedded_chunks(spark, d):
 QUERIES = {
     q.__name__: q
     for q in (
-        dense_topk, dense_rounded, ann_topk, dense_topk_filtered, l2_normalize, hierarchical, keyword_single, keyword_cover_density, keyword_stemmed, rrf_scores, hybrid_rrf, chunk_search_dense, chunk_search_sparse, chunk_search_hybrid, keyword_indexed, keyword_stored, keyword_stored_pair, keyword_stored_replaced, citations, rag_context, rag_prompt, embedding_cache_miss, embedded_chunks,
+        dense_topk, dense_rounded, ann_topk, graph_approximate, graph_exact, dense_topk_filtered, l2_normalize, hierarchical, keyword_single, keyword_cover_density, keyword_stemmed, rrf_scores, hybrid_rrf, chunk_search_dense, chunk_search_sparse, chunk_search_hybrid, keyword_indexed, keyword_stored, keyword_stored_pair, keyword_stored_replaced, citations, rag_context, rag_prompt, embedding_cache_miss, embedded_chunks,
         catalog_count, catalog_head, verify_catalog, number_titles, first_titles, reconcile_status, reconcile_summary, list_missing, dir_unlisted, sync_merge, sync_totals, reclean_merge, catalog_upsert, stored_upsert, chunk_replace,
         seed_upsert, reclean_renumbered, reclean_counts, enrich_collisions, enrich_titles, ingest_guard, ingest_report, catalog_introspection, lookup_answers, isbn_answers,
         ext_strip, doubled_extension, copy_suffix, camel_split, title_clean, title_key, file_info, publisher, subtitle, edition, published_year, author, taxonomy, media_class, uninformative, isbn_valid, isbn_find,
