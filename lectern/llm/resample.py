@@ -2,13 +2,11 @@
 
 Tokens are runs of letters and digits or single other characters (case kept); unigrams and bigrams fall into
 ``BUCKETS`` hash buckets. The raw model counts every document; the target model counts the labelled good
-documents of a bounded sample (``sample_labels``). The log ratio of the two models grows with a text's length, far
-beyond what any draw could turn, so it is taken as the mean of the text's n-grams and tempered: a logistic fit on labels
-that the target model has not counted turns the mean into the log odds of being good (a good label counts ``GOOD_COST``
-times, for losing a good document costs so many times what keeping a bad one does). These odds are the document's weight. Every
-document gets one Gumbel draw from its id; the ``k`` greatest ``log weight + draw`` are kept, which samples ``k`` documents without
-replacement in proportion to the weights. ``k`` is a share of the documents, if one is given, else the expected
-number of good ones, the sum of odds / (1 + odds) over all.
+documents of a bounded sample (``sample_labels``); labels serve for nothing else. The log ratio of the two models grows with a text's
+length, far beyond what any draw could turn, so a document's log weight is the mean log ratio of its n-grams times the constant
+``TEMPER``. Every document gets one Gumbel draw from its id; the ``k`` greatest ``log weight + draw`` are kept, which samples ``k``
+documents without replacement in proportion to the weights. ``k`` is a share of the documents, if one is given, else the number of documents whose
+n-grams are on average not less likely under the target model than under the raw one by more than ``MARGIN`` (in nats).
 
 Counts are pre-aggregated in each task (``BUCKETS`` rows a task at most); the driver sees the two fixed-size
 models and fixed-size histograms, never a row for each document. Nothing is sorted: the k-th greatest key is
@@ -26,15 +24,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from .common import cut, pieces
+from .common import cut, discard, pieces
 from .textvec import Powers, mix, text_bytes
 
 BUCKETS = 1 << 18
 SEED = 17
-#: What losing a good document costs against keeping a bad one.
-GOOD_COST = 5.0
-#: Weight of the Gaussian prior of the logistic fit, which keeps clear-cut labels from parting without bound.
-RIDGE = 0.1
+#: Log weight of a nat of mean log ratio: a draw, of deviation 1.3, turns the order of documents that lie about 0.13 nats apart.
+TEMPER = 10.0
+#: The raw model as the target's prior, in shares of what the target has counted: an n-gram that it never saw weighs log(PRIOR / (1 + PRIOR)) = -2.4.
+PRIOR = 0.1
+#: How many nats an n-gram less likely under the target a document may be to count for ``k``.
+MARGIN = 0.2
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _SOLID = np.zeros(256, bool)
@@ -78,11 +78,9 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Model:
-    """The log ratio of each bucket, what turns a text's mean into log odds, and the key from which documents are kept."""
+    """The log ratio of each bucket, and the key from which documents are kept."""
 
     ratio: np.ndarray
-    scale: float = 1.0
-    offset: float = 0.0
     least_key: float = -np.inf
 
 
@@ -103,9 +101,9 @@ def fit_models(docs: DataFrame, sample: DataFrame) -> Model:
     raw[at], target[at] = table.column("raw").to_numpy(), table.column("target").to_numpy()
     if not target.sum():
         return Model(np.zeros(BUCKETS, np.float32))
-    # the raw model is the prior of the target's rare buckets: both stay positive, unseen n-grams weigh nothing
+    # both stay positive; buckets that no text has weigh the same as those that no good one has
     raw = (raw + 0.5) / (raw + 0.5).sum()
-    target = (target + 0.5 * BUCKETS * raw) / (target + 0.5 * BUCKETS * raw).sum()
+    target = (target / target.sum() + PRIOR * raw) / (1 + PRIOR)
     return Model(np.log(target / raw).astype(np.float32))
 
 
@@ -114,7 +112,7 @@ def with_weights(docs: DataFrame, model: Model) -> DataFrame:
 
     A text without n-grams has log weight 0. Only ``text`` is read; columns of either name are replaced.
     """
-    ratio, scale, offset = model.ratio, model.scale, model.offset
+    ratio = model.ratio
     docs = docs.drop("n_ngrams", "log_weight")
 
     def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,7 +121,7 @@ def with_weights(docs: DataFrame, model: Model) -> DataFrame:
             bucket, row = _ngrams(batch.column("text"), powers)
             n = np.bincount(row, minlength=batch.num_rows)
             mean = np.bincount(row, ratio[bucket].astype(np.float64), minlength=batch.num_rows) / np.maximum(n, 1)
-            arrays = [*batch.columns, pa.array(n.astype(np.int64)), pa.array(np.where(n > 0, scale * mean + offset, 0.0))]
+            arrays = [*batch.columns, pa.array(n.astype(np.int64)), pa.array(TEMPER * mean)]
             yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names, "n_ngrams", "log_weight"])
 
     schema = StructType([*docs.schema.fields, StructField("n_ngrams", LongType()), StructField("log_weight", DoubleType())])
@@ -165,53 +163,25 @@ def kth_greatest(keys: DataFrame, column: str, k: int, bins: int = 4096, few: in
         low, high = least, most
 
 
-def _log_odds(mean: np.ndarray, good: np.ndarray) -> tuple[float, float] | None:
-    """Scale and offset of the logistic fit; None where labels are all alike, or all texts."""
-    if good.all() or not good.any() or mean.std() == 0:
-        return None
-    centre, width = mean.mean(), mean.std()
-    x = np.stack([(mean - centre) / width, np.ones(len(mean))], 1)
-    cost, w = np.where(good, GOOD_COST, 1.0), np.zeros(2)
-    for _ in range(100):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (cost * p * (1 - p))[:, None]).T @ x + RIDGE * np.eye(2), x.T @ (cost * (p - good)) + RIDGE * w)
-        w -= np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-9:
-            break
-    return float(w[0] / width), float(w[1] - w[0] * centre / width)
-
-
 def fit(docs: DataFrame, labels: DataFrame, share: float | None = None, seed: int = SEED) -> Model:
-    """Models, calibration and the key of the k-th document.
-
-    Without a good label, or without a bad one, nothing can be told apart and every document is kept.
-    """
+    """Models and the key of the k-th document. Without a good label nothing can be told apart and every document is kept."""
     sample = cut(sample_labels(labels))
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # one half of the labels makes the target model, the other calibrates: a model flatters what it has counted
-    half = F.pmod(F.xxhash64("doc_id", F.lit(SEED + 1)), F.lit(2))
-    model = fit_models(narrow, sample.where(half == 0))
-    scored = cut(with_weights(narrow, model).drop("text"))
-    # one row a sampled label, however many documents share its id
-    held = F.broadcast(sample.where(half == 1))
-    rows = scored.where("n_ngrams > 0").join(held, "doc_id").groupBy("doc_id").agg(F.min("log_weight").alias("mean"), F.min("quality").alias("quality")).orderBy("doc_id").toArrow()
-    found = _log_odds(rows.column("mean").to_numpy(), rows.column("quality").to_numpy() == 1) if model.ratio.any() else None
-    if found is None:
-        return Model(model.ratio)
-    model.scale, model.offset = found
-    keyed = scored.where("n_ngrams > 0").withColumn("log_weight", F.col("log_weight") * model.scale + model.offset).withColumn("key", gumbel_key(seed))
-    # whole millionths, so that the sum does not depend on its order
-    chance = F.round(1e6 / (1 + F.exp(-F.col("log_weight")))).cast("long")
-    n, good = keyed.agg(F.count("*"), F.coalesce(F.sum(chance), F.lit(0))).first()
-    k = round(share * n) if share is not None else round(good / 1e6)
-    model.least_key = kth_greatest(keyed, "key", k)
+    model = fit_models(narrow, sample)
+    if not model.ratio.any():
+        return model
+    keyed = cut(with_weights(narrow, model).drop("text").where("n_ngrams > 0").withColumn("key", gumbel_key(seed)))
+    near = F.coalesce(F.sum((F.col("log_weight") >= -TEMPER * MARGIN).cast("long")), F.lit(0))
+    n, k = keyed.agg(F.count("*"), near).first()
+    model.least_key = kth_greatest(keyed, "key", round(share * n) if share is not None else k)
+    discard(sample, keyed)
     return model
 
 
 def quality_classifier(docs: DataFrame, labels: DataFrame, share: float | None = None, seed: int = SEED) -> DataFrame:
     """``docs(doc_id, text, ...)``, ``labels(doc_id, quality)`` -> ``(doc_id, n_ngrams, log_weight, kept)``, a row for each input row.
 
-    A null text is empty; a text without n-grams has log weight 0, takes no part in the sampling and is kept. Rows with equal
+    A null text is empty; a text without n-grams has log weight 0, takes no part in the sampling and is kept. Texts are weighed whole, however long. Rows with equal
     doc_id share one Gumbel draw, and so do all without one. Rows whose key ties with the k-th are all kept. Labels of unknown documents
     and null labels are ignored; where a document has several labels the lowest counts. Extra columns are not read.
     """

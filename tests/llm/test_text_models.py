@@ -112,13 +112,13 @@ def brute_tokens(text):
     return out + ([run] if run else [])
 
 
-def test_resampling_by_brute_force(spark):
+def test_resampling_by_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(R, "MARGIN", -0.1)  # these texts lie close together
     rng = random.Random(12)
     text = lambda bad: " ".join((rng.choice(["#", "|", "zz", "9"]) if rng.random() < bad else rng.choice(WORDS)) for _ in range(rng.randint(5, 60)))
     rows = [(i, text(rng.random())) for i in range(300)] + [(900, None), (901, " \n"), (7, "copy of an id | é!")]
     quality = {i: int(sum(c in "#|" for c in t) * 8 < len(t.split())) for i, t in rows[:300] if i % 3}
     docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(list(quality.items()), "doc_id long, quality int")
-    half = {r.doc_id: r.h for r in labels.select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit(R.SEED + 1)), F.lit(2)).alias("h")).collect()}
     # exact counts of n-grams, without hashing
     raw, target, grams = {}, {}, []
     for i, t in rows:
@@ -127,20 +127,20 @@ def test_resampling_by_brute_force(spark):
         grams.append(own)
         for g in own:
             raw[g] = raw.get(g, 0) + 1
-            if quality.get(i) == 1 and half[i] == 0:
+            if quality.get(i) == 1:
                 target[g] = target.get(g, 0) + 1
-    n_raw, n_target, half_b = sum(raw.values()) + R.BUCKETS / 2, sum(target.values()) + R.BUCKETS / 2, R.BUCKETS / 2
+    n_raw, n_target = sum(raw.values()) + R.BUCKETS / 2, sum(target.values())
     p = {g: (c + 0.5) / n_raw for g, c in raw.items()}
-    ratio = {g: np.log((target.get(g, 0) + half_b * p[g]) / n_target / p[g]) for g in raw}
+    ratio = {g: np.log((target.get(g, 0) / n_target + R.PRIOR * p[g]) / (1 + R.PRIOR) / p[g]) for g in raw}
     mean = [np.mean([ratio[g] for g in own]) if own else None for own in grams]
     model = R.fit(docs, labels)
     got = R.with_weights(docs, model).withColumn("key", R.gumbel_key()).withColumn("kept", R.is_kept(model)).collect()
     for (i, t), m, own, r in zip(rows, mean, grams, got, strict=True):
         assert (r.doc_id, r.n_ngrams) == (i, len(own))
-        assert abs(r.log_weight - (model.scale * m + model.offset if own else 0)) < 2e-3 * (1 + abs(model.scale))
-    # the k greatest keys, k the expected number of good documents
+        assert abs(r.log_weight - (R.TEMPER * m if own else 0)) < 2e-3 * (1 + R.TEMPER)
+    # the k greatest keys, k the documents that are not much less likely under the target
     full = [r for r in got if r.n_ngrams]
-    k = round(sum(round(1e6 / (1 + np.exp(-r.log_weight))) for r in full) / 1e6)
+    k = sum(r.log_weight >= -R.TEMPER * R.MARGIN for r in full)
     best = sorted((r.key for r in full), reverse=True)[k - 1]
     assert all(r.kept == (not r.n_ngrams or r.key >= best) for r in got) and 50 < k < 290
     # the draw matters: a plain threshold would choose others
