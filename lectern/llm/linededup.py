@@ -145,7 +145,7 @@ def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     and holds ``least_words`` words or more; its first copy stays. Lines without words do not break a run, and go
     if they stand between two lines that go. A null text stays null; a text of which all lines go becomes empty; no row is
     dropped. A null doc_id comes last in the order. Rows equal in doc_id and text are one document and keep the
-    same lines. All columns of ``docs`` are kept; ``n_lines``, ``n_deleted`` and ``runs`` replace any of these names.
+    same lines. Texts are taken whole, however long, and an empty table gives an empty table. All columns of ``docs`` are kept; ``n_lines``, ``n_deleted`` and ``runs`` replace any of these names.
     """
     found = deleted_runs(docs, least_words)
     names = [n for n in docs.columns if n not in ("n_lines", "n_deleted", "runs")]

@@ -79,7 +79,7 @@ def with_copies(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, percent:
     ``size`` counts the words of the whole text (null: 0). A null source is a source of its own, after all
     others. A document without words gets no copy, and so does every document of a source without words. Rows
     equal in id, source and text are interchangeable, and number as separate rows. Where the id is null its text
-    stands in. Extra columns are not read.
+    stands in. Texts are counted whole, however long. Extra columns are not read; an empty table gives an empty table.
     """
     narrow = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),

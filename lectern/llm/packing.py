@@ -132,7 +132,8 @@ def pack_near_documents(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Documents by their number of words, conflicting by source and by near-duplicate component.
 
     Components are those of ``near_components`` over lower-cased texts, so that texts which differ in case and
-    white space alone, in any script, are one cluster here too. A null text has no words.
+    white space alone, in any script, are one cluster here too. A null text has no words. Repeated rows are packed each, and in different
+    bins, as they are one cluster; a text of more than ``capacity`` words fills bins of its own first, however long. An empty table gives an empty table.
     """
     own = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.lower("text").alias("text"))
     items = near_components(own, ("source",)).select("doc_id", "source", F.col("component").alias("cluster"), F.col("n_words").alias("size"))

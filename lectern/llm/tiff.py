@@ -408,7 +408,11 @@ def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def text_to_tiff(docs: DataFrame) -> DataFrame:
-    """``docs(doc_id, text, ...)`` -> ``(doc_id, n_bytes, media)``, the padded UTF-8 text as a TIFF file."""
+    """``docs(doc_id, text, ...)`` -> ``(doc_id, n_bytes, media)``, the padded UTF-8 text as a TIFF file.
+
+    A null text is stored like an empty one, whole texts are stored however long; equal texts give equal files. Repeated rows and null ids come
+    out as they are, an empty table gives an empty one, and no other column is read.
+    """
     return docs.select("doc_id", text_of().alias("text")).mapInArrow(_stored, "doc_id long, n_bytes long, media binary")
 
 
@@ -476,7 +480,11 @@ def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def tiff_documents(files: DataFrame) -> DataFrame:
-    """``files(doc_id, n_bytes, media, ...)`` -> one row a file: its pages walked, decoded and folded in order."""
+    """``files(doc_id, n_bytes, media, ...)`` -> one row a file: its pages walked, decoded and folded in order.
+
+    A null or damaged file is a row with ``error``, as far as it could be read. Repeated rows and null ids come out as they are, an empty
+    table gives an empty one, and no other column is read.
+    """
     return files.select("doc_id", F.col("n_bytes").cast("long").alias("n_bytes"), "media").mapInArrow(
         _folded,
         "doc_id long, n_bytes long, n_pages long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string",
