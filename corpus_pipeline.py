@@ -1,4 +1,7 @@
-"""From raw documents to packed sequences: quality, line dedup, near-dedup, mixing, packing."""
+"""From raw documents to packed sequences: quality, line dedup, near-dedup, mixing, packing.
+
+Every stage takes whole texts, however long, and gives an empty table for an empty one.
+"""
 
 from __future__ import annotations
 
