@@ -12,6 +12,7 @@ from .fixed import FILE_TYPES, KNOWN_AUTHORS, NON_AUTHORS, PAGE_PUBLISHERS, TAXO
 from .titles import base_name, squeeze, stem_of, strip
 
 TAXONOMY_FIELDS = ("domain", "subject", "subfield", "genre", "target_audience", "key_concepts", "topics")
+# What counts as a book number in running text.
 ISBN_13 = r"\b(97[89][-\s]?[0-9]{1,5}[-\s]?[0-9]{1,7}[-\s]?[0-9]{1,7}[-\s]?[0-9])\b"
 ISBN_10 = r"\b([0-9]{1,5}[-\s]?[0-9]{1,7}[-\s]?[0-9]{1,7}[-\s]?[0-9xX])\b"
 
@@ -50,6 +51,7 @@ def subtitle(title: Column) -> Column:
     """After the first colon, else after the first spaced hyphen unless a few prefixes say otherwise."""
     by_colon = F.when(title.contains(":"), nonblank(strip(F.regexp_extract(title, r"(?s)^[^:]*:(.*)$", 1))))
     head = F.lower(strip(F.substring_index(title, " - ", 1)))
+    # The prefixes.
     by_dash = F.when(title.contains(" - ") & ~head.isin("udemy", "statement", "2024"), nonblank(strip(F.regexp_extract(title, r"(?s)^.*?\s-\s(.*)$", 1))))
     return F.when(title.contains(":"), by_colon).otherwise(by_dash)
 
@@ -64,6 +66,7 @@ def ordinal(n: Column) -> Column:
 def edition_info(raw: Column, clean: Column) -> Column:
     """``struct(revision, edition)``."""
     title = F.lower(F.concat_ws(" ", raw, clean))
+    # The patterns.
     nth, pack, version = (nonblank(F.regexp_extract(title, "(?i)" + p, 1)).cast("int") for p in (r"\b(\d+)(?:st|nd|rd|th)\s+(?:edition|ed)\b", r"\bpack[-_\s]*(\d+)\b", r"\bv(\d+)\b"))
     label = F.when(nth.isNotNull(), F.concat(ordinal(nth), F.lit(" Edition"))).when(pack.isNotNull(), F.concat(F.lit("Pack "), pack.cast("string")))
     label = label.when(version.isNotNull(), F.concat(F.lit("Version "), version.cast("string"), F.lit(".0"))).otherwise("1st Edition")
@@ -83,6 +86,7 @@ def author(raw: Column, clean: Column) -> Column:
     """A bracketed prefix that names a person, else ``by First Last``, else an author known by a word of the title."""
     tag = strip(F.regexp_extract(raw, r"^\s*\[([^\]]+)\]", 1))
     low = F.lower(tag)
+    # The marks of a site, and the patterns.
     site = reduce(lambda x, y: x | y, [low.contains(t) for t in ("http", "www.", ".com", ".org")])
     fits = (F.length(tag) > 0) & ~low.isin(*NON_AUTHORS) & ~site & ~tag.rlike(r"^\d+$")
     byline = nonblank(F.regexp_extract(clean, r"\bby\s+([A-Z][a-z]+(?:\s+[A-Z][a-z.]+){1,3})\b", 1))
@@ -102,6 +106,7 @@ def media_class(raw: Column, clean: Column, file_type: Column) -> Column:
     """``struct(media_type, is_collection)`` by the first test that holds."""
     text = F.lower(F.concat_ws(" ", clean, raw))
     any_ = lambda *words: reduce(lambda a, b: a | b, [text.contains(w) for w in words])
+    # The words of each class.
     course, pack = any_("udemy", "bootcamp", "course", "tutorial"), any_("pack", "collection", "130+")
     project = any_("manifest", "specification", "architecture") | (file_type == "Markdown")
     bom, money = any_("bom", ".csv", "datasheet"), any_("statement", "bill", "1040", "invoice")

@@ -146,6 +146,7 @@ def _segment_and_case(words: tuple[str, ...]):
 
 def clean_title(c: Column, words: tuple[str, ...] = WORDS) -> Column:
     """A raw file name or list line as a title. A null stays null."""
+    # The steps' patterns and their order.
     c = strip(c)
     for a in "!+-":
         c = F.replace(c, F.lit("\\" + a), F.lit(a))

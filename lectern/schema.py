@@ -6,18 +6,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, IntegerType, LongType, StringType, StructField, StructType, TimestampType
 
-_TEXTS = "clean_title subtitle raw_title author publisher published edition".split()
-_LABELS = "language domain subject subfield genre topics key_concepts target_audience media_type".split()
-
 # The catalog's columns in order.
 BOOKS = StructType(
-    [StructField("id", LongType())]
-    + [StructField(c, StringType()) for c in _TEXTS]
-    + [StructField("revision", IntegerType())]
-    + [StructField(c, StringType()) for c in _LABELS]
-    + [StructField("is_collection", IntegerType())]
-    + [StructField(c, StringType()) for c in ("summary", "file_type", "file_extension", "source_path")]
-    + [StructField("in_directory", IntegerType()), StructField("created_at", TimestampType()), StructField("updated_at", TimestampType())]
+    [
+        StructField("id", LongType()),
+        StructField("clean_title", StringType()),
+        StructField("subtitle", StringType()),
+        StructField("raw_title", StringType()),
+        StructField("author", StringType()),
+        StructField("publisher", StringType()),
+        StructField("published", StringType()),
+        StructField("edition", StringType()),
+        StructField("revision", IntegerType()),
+        StructField("language", StringType()),
+        StructField("domain", StringType()),
+        StructField("subject", StringType()),
+        StructField("subfield", StringType()),
+        StructField("genre", StringType()),
+        StructField("topics", StringType()),
+        StructField("key_concepts", StringType()),
+        StructField("target_audience", StringType()),
+        StructField("media_type", StringType()),
+        StructField("is_collection", IntegerType()),
+        StructField("summary", StringType()),
+        StructField("file_type", StringType()),
+        StructField("file_extension", StringType()),
+        StructField("source_path", StringType()),
+        StructField("in_directory", IntegerType()),
+        StructField("created_at", TimestampType()),
+        StructField("updated_at", TimestampType()),
+    ]
 )
 # The stored chunks' columns in order.
 CHUNKS = StructType(
