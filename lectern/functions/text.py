@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import html.entities
 import re
 
 import pandas as pd
@@ -45,10 +46,23 @@ def _unescape(s: pd.Series) -> pd.Series:
     return s.map(lambda t: t if t is None or "&" not in t else html.unescape(t))
 
 
-def unescape(c: Column, known: dict[str, str] | None = None) -> Column:
-    """Character references resolved; with ``known`` (entity to text) on the JVM, without Python."""
+_CLOSED = re.compile(r"&(#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);")
+
+
+def _closed(m: re.Match) -> str:
+    # html.unescape would take the start of an unknown name for a known one
+    return html.unescape(m[0]) if m[1][0] == "#" else html.entities.html5.get(m[1] + ";", m[0])
+
+
+@F.pandas_udf(StringType())
+def _unescape_closed(s: pd.Series) -> pd.Series:
+    return s.map(lambda t: t if t is None or "&" not in t else _CLOSED.sub(_closed, t))
+
+
+def unescape(c: Column, known: dict[str, str] | None = None, closed: bool = False) -> Column:
+    """Character references resolved, with ``closed`` only those that a semicolon ends; with ``known`` (entity to text) on the JVM, without Python."""
     if known is None:
-        return _unescape(c)
+        return _unescape_closed(c) if closed else _unescape(c)
     for entity, text in known.items():
         c = F.replace(c, F.lit(entity), F.lit(text))
     return c
@@ -60,9 +74,9 @@ def html_to_text(c: Column, known: dict[str, str] | None = None) -> Column:
     return clean_text(unescape(F.regexp_replace(c, r"<[^>]+>", " "), known))
 
 
-def html_snippet(c: Column, known: dict[str, str] | None = None) -> Column:
+def html_snippet(c: Column, known: dict[str, str] | None = None, closed: bool = False) -> Column:
     """Tags as spaces, all white space squeezed; scripts are not told apart."""
-    return squeeze(unescape(F.regexp_replace(F.coalesce(c, F.lit("")), r"<[^>]+>", " "), known))
+    return squeeze(unescape(F.regexp_replace(F.coalesce(c, F.lit("")), r"<[^>]+>", " "), known, closed))
 
 
 def html_heading(c: Column, known: dict[str, str] | None = None) -> Column:

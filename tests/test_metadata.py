@@ -15,6 +15,23 @@ def test_html(spark):
     assert one(spark, T.html_to_text, "<p>This is <strong>important</strong> text.<script>alert(1)</script></p>") == "This is important text."
 
 
+def test_references_cut_off_before_their_semicolon(spark, tmp_path):
+    import duckdb
+
+    from lectern.oracle import ORACLE_SQL
+    from lectern.queries import QUERIES
+
+    pages = [(1, "<p>a &amp; b &amp</p>&copy; 1 &middot; &quot;x&quot"), (2, "&am<p>&amp;amp; &amp;copy; &ampx; &nosuch;</p>"), (3, "")]
+    spark.createDataFrame(pages, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    got = sorted(map(tuple, QUERIES["html_unescaped"](spark, str(tmp_path)).collect()))
+    assert got == sorted(c.sql(ORACLE_SQL["html_unescaped"]).fetchall())
+    assert got[0] == (1, 'a & b &amp © 1 · "x&quot')
+    assert one(spark, lambda c: T.unescape(c, closed=True), "&#38;&#x26;&lt;&eacute; &eacute") == "&&<é &eacute"
+    assert one(spark, T.unescape, "&eacute &amp") == "é &"
+
+
 def test_file_info(spark):
     want = {"book.pdf": ("PDF", ".pdf"), "manifest.md": ("Markdown", ".md"), "synth_bom.csv.docx": ("Word (DOCX)", ".csv.docx"), "course_pack_folder": ("Directory / Folder", ""), "x.abc": ("ABC", ".abc"), ".hidden": ("Directory / Folder", "")}
     for name, pair in want.items():
