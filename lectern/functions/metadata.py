@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .fixed import FILE_TYPES, KNOWN_AUTHORS, NON_AUTHORS, PAGE_PUBLISHERS, TAXONOMY, TAXONOMY_ELSE, TITLE_PUBLISHERS, UNINFORMATIVE
-from .titles import base_name, squeeze, stem_of, strip
+from .titles import any_of, base_name, squeeze, stem_of, strip
 
 TAXONOMY_FIELDS = ("domain", "subject", "subfield", "genre", "target_audience", "key_concepts", "topics")
 # What counts as a book number in running text.
@@ -19,7 +19,8 @@ ISBN_10 = r"\b([0-9]{1,5}[-\s]?[0-9]{1,7}[-\s]?[0-9]{1,7}[-\s]?[0-9xX])\b"
 
 def first_match(text: Column, table: tuple[tuple[str, str], ...]) -> Column:
     """The name of the first pattern found (any case), else null."""
-    return reduce(lambda other, row: F.when(text.rlike("(?i)" + row[1]), row[0]).otherwise(other), reversed(table), F.lit(None).cast("string"))
+    first = reduce(lambda other, row: F.when(text.rlike("(?i)" + row[1]), row[0]).otherwise(other), reversed(table), F.lit(None).cast("string"))
+    return F.when(text.rlike(any_of(row[1] for row in table)), first)
 
 
 def nonblank(c: Column) -> Column:
@@ -99,7 +100,9 @@ def taxonomy(raw: Column, clean: Column) -> Column:
     """The labels of the first rule that fits, as a struct."""
     text = F.lower(F.concat_ws(" ", clean, raw))
     row = lambda values: F.struct(*[F.lit(v).alias(n) for v, n in zip(values, TAXONOMY_FIELDS, strict=True)])
-    return reduce(lambda other, r: F.when(text.rlike("(?i)" + r[0].replace(r"\/", "/")), row(r[1:])).otherwise(other), reversed(TAXONOMY), row(TAXONOMY_ELSE))
+    rules = [(r[0].replace(r"\/", "/"), r[1:]) for r in TAXONOMY]
+    first = reduce(lambda other, r: F.when(text.rlike("(?i)" + r[0]), row(r[1])).otherwise(other), reversed(rules), row(TAXONOMY_ELSE))
+    return F.when(text.rlike(any_of(r[0] for r in rules)), first).otherwise(row(TAXONOMY_ELSE))
 
 
 def media_class(raw: Column, clean: Column, file_type: Column) -> Column:

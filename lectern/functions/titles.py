@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterable
 from functools import lru_cache, reduce
 
 import pandas as pd
@@ -27,6 +28,12 @@ WORDS = tuple(
 )
 
 
+def any_of(patterns: Iterable[str]) -> str:
+    """One pattern, any case, that is found where any of ``patterns`` is: most texts hold none of a long table, and are done after one search."""
+    parts = [f"(?:{p})" for p in patterns]
+    return ("(?i)\\b(?:" if all(p.startswith(r"(?:\b") for p in parts) else "(?i)(?:") + "|".join(parts) + ")"
+
+
 def squeeze(c: Column) -> Column:
     """White space runs (Unicode) as one space, none at the ends."""
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
@@ -83,6 +90,7 @@ def _costs(words: tuple[str, ...]) -> dict[str, float]:
     return {w: math.log((i + 1) * math.log(n)) for i, w in enumerate(order)}
 
 
+@lru_cache(maxsize=1 << 15)
 def segment(token: str, words: tuple[str, ...] = WORDS) -> str:
     """A long lower-case token as the cheapest chain of known words; digits and unknown stretches stay together."""
     if len(token) < 7 or re.fullmatch(r"[0-9a-f]{20,}", token) or token.isdigit() or not token.islower():
@@ -109,6 +117,7 @@ def segment(token: str, words: tuple[str, ...] = WORDS) -> str:
     return " ".join(reversed(parts)) if unknown * 4 <= len(token) else token
 
 
+@lru_cache(maxsize=1 << 15)
 def _cased(word: str) -> str:
     core = word.lower().strip("(),:;\"'?!")
     if core in WORD_CASES:
@@ -162,7 +171,7 @@ def clean_title(c: Column, words: tuple[str, ...] = WORDS) -> Column:
     c = F.regexp_replace(c, r"(?<=\S)-(?=\S)", " ")
     c = F.when(c.contains(" ") | c.contains("_"), c).otherwise(split_camel_case(c))
     c = _segment_and_case(words)(c)
-    c = reduce(lambda x, p: F.regexp_replace(x, "(?i)" + p[0], p[1]), PHRASES, c)
+    c = F.when(c.rlike(any_of(p[0] for p in PHRASES)), reduce(lambda x, p: F.regexp_replace(x, "(?i)" + p[0], p[1]), PHRASES, c)).otherwise(c)
     for pattern, by in ((r"(?U)\s*:\s*", ": "), (r"(?U)\s*,\s*", ", "), (r"(?U)\s+-\s+", " - "), (r"(?U)\s*—\s*", " — ")):
         c = F.regexp_replace(c, pattern, by)
     return squeeze(c)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import metadata as M
 from ..functions.text import html_snippet
@@ -40,22 +41,42 @@ def _once(df: DataFrame, fields: Column) -> DataFrame:
     return df.select("*", F.inline(F.transform(F.array(F.lit(0)), lambda _: fields)))
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` dealt over the session's shuffle partitions: rules and title casing cost much a byte, so a small file, or a shuffle of few bytes, must not be one task."""
+    return rows.repartition(max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def _left(rows: DataFrame, key: Column, few: DataFrame, own: str) -> DataFrame:
+    """Left join by ``key``, which is ``own`` in ``few``. Rows without a key, mostly many, meet nothing and are dealt by their content, not all to one task."""
+    salted = rows.withColumn("_k", key).withColumn("_salt", F.when(F.col("_k").isNull(), F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns])).otherwise(F.lit(0).cast("long")))
+    on = (F.col("_k") == F.col(own)) & (F.col("_salt") == F.col("_none"))
+    # a literal zero would be no key of the join
+    return salted.join(few.withColumn("_none", (F.length(own) * 0).cast("long")), on, "left").drop("_k", "_salt", "_none", own)
+
+
 def enrich(books: DataFrame, front: DataFrame | None = None, cache: DataFrame | None = None) -> DataFrame:
     """``books(id, clean_title, raw_title, source_path, in_directory)`` -> all catalog columns.
 
     ``front`` has front matter by ``path``, ``cache`` answers by key. Without either, rules decide alone. A path or key that comes
     more than once counts once: the greatest ``run`` where there is such a column, then the greatest values.
     """
-    spark = books.sparkSession
     titled = front is not None or cache is not None
-    front = spark.createDataFrame([], FRONT_SCHEMA) if front is None else front
-    cache = spark.createDataFrame([], LOOKUP_SCHEMA) if cache is None else cache
-    # the newest row of a key counts, also where it says that there is no answer
-    answers = newest(cache, "key", "run" if "run" in cache.columns else None).where("hit")
-    front = newest(front, "path", "run" if "run" in front.columns else None)
-    fm = front.select(F.struct(*[F.col(c) if c in front.columns else F.lit(None).cast("int" if c == "revision" else "string").alias(c) for c in (x.split()[0] for x in FRONT_SCHEMA.split(", "))]).alias("fm"), F.col("path").alias("_path"))
-    x = books.join(fm, F.col("source_path") == F.col("_path"), "left").drop("_path")
-    x = x.join(answers.select(F.col("key").alias("_ik"), F.col("data").alias("isbn_data")), isbn_key(F.col("fm.isbn")) == F.col("_ik"), "left").drop("_ik")
+    answers = None
+    data = (StructType.fromDDL(LOOKUP_SCHEMA) if cache is None else cache.schema)["data"].dataType
+    x = books
+    if cache is not None:
+        # the newest row of a key counts, also where it says that there is no answer
+        answers = newest(cache, "key", "run" if "run" in cache.columns else None).where("hit")
+    if front is None:
+        x = x.withColumn("fm", F.lit(None).cast(StructType.fromDDL(FRONT_SCHEMA)))
+    else:
+        front = newest(front, "path", "run" if "run" in front.columns else None)
+        fm = front.select(F.struct(*[F.col(c) if c in front.columns else F.lit(None).cast("int" if c == "revision" else "string").alias(c) for c in (x.split()[0] for x in FRONT_SCHEMA.split(", "))]).alias("fm"), F.col("path").alias("_path"))
+        x = _left(x, F.col("source_path"), fm, "_path")
+    if answers is None or front is None:
+        x = x.withColumn("isbn_data", F.lit(None).cast(data))
+    else:
+        x = _left(x, isbn_key(F.col("fm.isbn")), answers.select(F.col("key").alias("_ik"), F.col("data").alias("isbn_data")), "_ik")
     blank = M.is_uninformative(F.col("clean_title"))
     useful = F.when(~M.is_uninformative(F.col("fm.title")), F.col("fm.title"))
     candidate = F.when(blank, F.coalesce(M.nonblank(F.col("isbn_data.title")), useful))
@@ -63,12 +84,18 @@ def enrich(books: DataFrame, front: DataFrame | None = None, cache: DataFrame |
         # title casing is a Python function, which has no place in a lambda
         x = x.select("*", F.inline(F.array(F.struct(F.when(candidate.isNotNull(), clean_title(candidate)).alias("_better")))))
         x = x.withColumn("clean_title", F.coalesce("_better", "clean_title")).drop("_better")
-    x = x.join(answers.select(F.col("key").alias("_tk"), F.col("data").alias("title_data")), (lookup_key(F.col("clean_title")) == F.col("_tk")) & F.col("isbn_data").isNull(), "left").drop("_tk")
+    if answers is None:
+        x = x.withColumn("title_data", F.lit(None).cast(data))
+    else:
+        x = _left(x, F.when(F.col("isbn_data").isNull(), lookup_key(F.col("clean_title"))), answers.select(F.col("key").alias("_tk"), F.col("data").alias("title_data")), "_tk")
+    if titled:
+        x = spread(x)
     api = lambda c: M.nonblank(F.coalesce(F.col("isbn_data"), F.col("title_data"))[c].cast("string"))
     isbn, page = (lambda c: M.nonblank(F.col(f"isbn_data.{c}"))), (lambda c: M.nonblank(F.col(f"fm.{c}")))
     raw, clean = F.coalesce("raw_title", F.lit("")), F.coalesce("clean_title", F.lit(""))
     info = M.file_info(F.when(F.length(F.coalesce("source_path", F.lit(""))) > 0, F.col("source_path")).otherwise(raw))
-    x = _once(x, F.struct(info.alias("info"), M.taxonomy(raw, clean).alias("tax"), M.edition_info(raw, clean).alias("ed")))
+    x = x.select("*", F.inline(F.array(F.struct(info.alias("info")))))
+    x = _once(x, F.struct(M.taxonomy(raw, clean).alias("tax"), M.edition_info(raw, clean).alias("ed")))
     x = _once(x, F.struct(M.media_class(raw, clean, F.col("info.file_type")).alias("media")))
     sub = F.coalesce(M.subtitle(clean), isbn("subtitle"), page("subtitle"))
     author = F.coalesce(api("author"), isbn("author"), page("author"), M.author(raw, clean))

@@ -9,7 +9,7 @@ from lectern.operators import embed as E
 from lectern.operators import lookup as L
 from lectern.operators.ann import ann_search, fit_centroids, index
 from lectern.operators.cache import KeyedLog
-from lectern.operators.enrich import TitleCollision, enrich, enrich_update, title_collisions
+from lectern.operators.enrich import LOOKUP_SCHEMA, TitleCollision, _left, enrich, enrich_update, spread, title_collisions
 from lectern.operators.reconcile import number_rows
 from lectern.operators.vector import dense_search
 from lectern.plans import catalog as K
@@ -212,3 +212,26 @@ def test_titles_stay_unique(spark):
     many = spark.range(2000).select("id", F.concat(F.lit("t"), "id").alias("clean_title"), F.lit("x").alias("author"))
     out = enrich_update(many, many.select("id", F.lit("same").alias("clean_title")), "first")
     assert out.where("clean_title = 'same'").count() == 1 and out.select("clean_title").distinct().count() == 2000
+
+
+def test_enrichment_is_dealt_out(spark):
+    # every row's path is null, and rows are few bytes: neither may put them into one task
+    books = spark.range(400).coalesce(1).selectExpr("id", "'scan' AS clean_title", "concat('raw ', id) AS raw_title", "IF(id < 0, 'x', NULL) AS source_path", "0 AS in_directory")
+    front = spark.createDataFrame([("/p", "Title of a Page")], "path string, title string")
+    cache = spark.createDataFrame([("scan", True, ("T", None, "Ann", None, None, None, None, "OpenLibrary", 2))], LOOKUP_SCHEMA)
+    largest = lambda df: max(r["count"] for r in df.groupBy(F.spark_partition_id().alias("p")).count().collect())
+    confs = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "true"}
+    held = {k: spark.conf.get(k) for k in confs}
+    try:
+        for k, v in confs.items():
+            spark.conf.set(k, v)
+        for out in (enrich(spread(books)), enrich(books, front), enrich(books, front, cache)):
+            assert out.count() == 400 and largest(out) < 200
+        assert {r.author for r in enrich(books, None, cache).select("author").distinct().collect()} == {"Ann"}
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        met = _left(books, F.col("source_path"), front.select("path", F.col("title").alias("t")), "path")
+        assert met.columns == [*books.columns, "t"] and met.where("t is null").count() == 400 and largest(met) < 200
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert "Join" not in enrich(books)._jdf.queryExecution().optimizedPlan().toString()
