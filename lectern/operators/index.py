@@ -11,12 +11,16 @@ as that segment; ``compact`` makes one segment of all again. Postings, owners an
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..functions.text import lexemes, stems
 from ..sources.store import Store
-from .fulltext import cover_rank, postings, query_terms
+from .fulltext import cover_rank, query_terms
 from .vector import top_k
 
 BLOCK = 128
@@ -24,6 +28,7 @@ BLOCK = 128
 FIRST = 16
 RANK = 0.1
 _POSTINGS = "lexeme string, block long, segment int, most int, ids array<long>, places array<array<int>>"
+_PACKED = _POSTINGS.replace("segment int, ", "")
 
 
 class StoredIndex:
@@ -40,8 +45,12 @@ class StoredIndex:
 
     def _blocks(self, chunks: DataFrame, segment: Column) -> DataFrame:
         """``chunks(chunk_id, content)`` as posting rows."""
-        each = postings(chunks, "chunk_id", "content", self.stemmed).withColumn("block", F.floor(F.col("chunk_id") / BLOCK).cast("long"))
-        return _packed(each.withColumn("segment", segment))
+        tokens = lexemes(F.col("content"))
+        # texts go to their block once and are packed where they lie; only packed rows are dealt anew, by lexeme
+        dealt = chunks.select(F.floor(F.col("chunk_id") / BLOCK).cast("long").alias("block"), F.col("chunk_id").cast("long").alias("chunk_id"), "content")
+        dealt = dealt.repartition("block").sortWithinPartitions("block", "chunk_id")
+        rows = dealt.select("block", "chunk_id", (stems(tokens) if self.stemmed else tokens).alias("words")).mapInArrow(_pack, _PACKED)
+        return rows.withColumn("segment", segment).select(*StructType.fromDDL(_POSTINGS).fieldNames())
 
     def build(self, chunks: DataFrame) -> None:
         """The index of ``chunks(chunk_id, book_id, content)``, in place of what there was."""
@@ -113,6 +122,35 @@ class StoredIndex:
         return top_k(met.select("chunk_id", rank.alias("rank")), "rank", "chunk_id", k)
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ``(block, chunk_id, words)`` in this order as ``_PACKED`` rows; a worker holds the postings of one block."""
+    held: dict[str, tuple[list[int], list[list[int]]]] = {}
+    last = None
+
+    def packed() -> pa.RecordBatch:
+        ids, places = ([x[i] for x in held.values()] for i in (0, 1))
+        most = [max(map(len, x)) for x in places]
+        return pa.RecordBatch.from_arrays([pa.array(held, pa.string()), pa.array([last] * len(held), pa.int64()), pa.array(most, pa.int32()), pa.array(ids, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.list_(pa.int32())))], ["lexeme", "block", "most", "ids", "places"])
+
+    for batch in batches:
+        for start in range(0, batch.num_rows, BLOCK):
+            for block, chunk, words in zip(*(c.to_pylist() for c in batch.slice(start, BLOCK).columns), strict=True):
+                if block != last and held:
+                    yield packed()
+                    held.clear()
+                last = block
+                at: dict[str, list[int]] = {}
+                for i, w in enumerate(words or (), 1):
+                    if w is not None:
+                        at.setdefault(w, []).append(i)
+                for w, places in at.items():
+                    entry = held.setdefault(w, ([], []))
+                    entry[0].append(chunk)
+                    entry[1].append(places)
+    if held:
+        yield packed()
+
+
 def _owners(chunks: DataFrame) -> DataFrame:
     return chunks.select(F.col("book_id").cast("long").alias("book_id"), F.col("chunk_id").cast("long").alias("chunk_id"), F.floor(F.col("chunk_id") / BLOCK).cast("long").alias("block"))
 

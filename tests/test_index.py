@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.operators import index as I
-from lectern.operators.fulltext import cover_density, cover_rank, sparse_search
+from lectern.operators.fulltext import cover_density, cover_rank, postings, sparse_search
 from lectern.plans.search import search_chunks_sparse, search_hybrid
 from lectern.sources.store import Store
 
@@ -103,3 +103,20 @@ def test_plans_use_the_index(spark, library):
     a = search_hybrid(full, books, [1.0, 0.2], "river fox", filters={"domain": "law"}, index=index)
     b = search_hybrid(full, books, [1.0, 0.2], "river fox", filters={"domain": "law"})
     assert sorted(r.chunk_id for r in a.collect()) == sorted(r.chunk_id for r in b.collect())
+
+
+def test_postings_are_packed_where_their_texts_lie(spark, tmp_path):
+    texts = [(i, i % 3, None if i % 50 == 7 else "" if i % 50 == 8 else f"the Cat {i % 9} and the dog{i} and the") for i in range(-200, 400)]
+    x = spark.createDataFrame(texts, "chunk_id long, book_id long, content string")
+    for stemmed in (False, True):
+        index = I.StoredIndex(Store(spark, f"{tmp_path}/{stemmed}"), stemmed=stemmed)
+        rows = index._blocks(x, F.lit(0))
+        # one exchange, that of the texts; lists are collected by no aggregate, which would shuffle and sort every posting
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and "Aggregate" not in plan
+        got = [(r.lexeme, r.block, i, tuple(p), r.most) for r in rows.collect() for i, p in zip(r.ids, r.places, strict=True)]
+        want = {(r.lexeme, r.chunk_id): tuple(r.positions) for r in postings(x, stemmed=stemmed).collect()}
+        assert {(w, i): p for w, _, i, p, _ in got} == want and len(got) == len(want)
+        assert all(b == i // 128 for _, b, i, _, _ in got) and rows.groupBy("lexeme", "block").count().where("count > 1").isEmpty()
+        assert all(most == max(len(p) for v, c, _, p, _ in got if (v, c) == (w, b)) for w, b, _, _, most in got[:50])
+        assert all(r.ids == sorted(r.ids) for r in rows.collect())
