@@ -10,7 +10,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +18,9 @@ from ..functions.titles import strip
 
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 CHUNK_SCHEMA = "book_id long, chunk_index int, content string, page_number int, section_title string, token_count int, char_count int"
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
+#: Documents of an Arrow batch that are worked on at a time.
+DOCUMENTS = 64
 
 
 def estimate(text: str) -> int:
@@ -87,13 +90,21 @@ def chunk_pages(pages: list[tuple[int, str, str | None]], budget: Budget = Budge
 def chunk_documents(pages: DataFrame, budget: Budget = Budget()) -> DataFrame:
     """``pages(book_id, pages array<struct<page_number, text, section_title>>)`` -> chunks, one row each."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [x.split()[0] for x in CHUNK_SCHEMA.split(", ")]
-        for pdf in batches:
-            rows = [(book, *c) for book, ps in zip(pdf["book_id"], pdf["pages"], strict=True) for c in chunk_pages([(p["page_number"], p["text"], p["section_title"]) for p in ps], budget)]
-            yield pd.DataFrame(rows, columns=names)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _chunks(batches, budget)
 
-    return pages.select(F.col("book_id").cast("long").alias("book_id"), "pages").mapInPandas(run, CHUNK_SCHEMA)
+    return pages.select(F.col("book_id").cast("long").alias("book_id"), "pages").mapInArrow(run, CHUNK_SCHEMA)
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], budget: Budget) -> Iterator[pa.RecordBatch]:
+    """Chunks of a few documents at a time, however many a batch has: only these are objects."""
+    schema = pa.schema([(n, _ARROW[t]) for n, t in (x.split() for x in CHUNK_SCHEMA.split(", "))])
+    for batch in batches:
+        for start in range(0, batch.num_rows, DOCUMENTS):
+            few = batch.slice(start, DOCUMENTS)
+            rows = [(book, *c) for book, ps in zip(few["book_id"].to_pylist(), few["pages"].to_pylist(), strict=True) for c in chunk_pages([(p["page_number"], p["text"], p["section_title"]) for p in ps], budget)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
 def one_page(text: Column, section: Column | None = None) -> Column:

@@ -97,16 +97,22 @@ def embedded(texts: DataFrame, make: Callable[[], object], text: str = "text", b
     """
 
     def run(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        p = make()
-        for s in series:
-            values = s.fillna("").tolist()
-            done = [r for i in range(0, len(values), batch) for r in _bisected(p, values[i : i + batch])]
-            yield pd.DataFrame({"vector": [unit(v) for v, _ in done], "error": [e for _, e in done]})
+        return _vectors(series, make, batch)
 
     got = texts.withColumn("_got", F.pandas_udf(run, "vector array<float>, error string")(F.col(text))).withColumn("embedding", F.col("_got.vector"))
     return (got.withColumn(errors, F.col("_got.error")) if errors else got).drop("_got")
 
 
+def _vectors(series: Iterator[pd.Series], make: Callable[[], object], batch: int) -> Iterator[pd.DataFrame]:
+    """Vectors and errors, one call's at a time and as arrays: a number as an object takes eight times its bytes."""
+    p = make()
+    for s in series:
+        for i in range(0, len(s), batch):
+            done = _bisected(p, s.iloc[i : i + batch].fillna("").tolist())
+            vectors = [unit(v) for v, _ in done]
+            yield pd.DataFrame({"vector": pd.Series([None if v is None else np.asarray(v, np.float32) for v in vectors], dtype=object), "error": pd.Series([e for _, e in done], dtype=object)})
+
+
 def unit(vector: list[float] | None) -> list[float] | None:
     """The vector at unit length; one of (almost) no length as it is."""
     if vector is None:

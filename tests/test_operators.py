@@ -1,11 +1,14 @@
 import math
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lectern.operators import vector as V
-from lectern.operators.chunk import Budget, chunk_documents, chunk_pages, estimate
+from lectern.operators.chunk import Budget, _chunks, chunk_documents, chunk_pages, estimate, one_page
 from lectern.operators.context import NOTHING, citation, context, prompt
-from lectern.operators.embed import HashEmbedder, cache_key, provider, with_cache
+from lectern.operators.embed import HashEmbedder, _vectors, cache_key, embedded, provider, with_cache
 from lectern.operators.fulltext import cover_density, query_terms, sparse_search
 from lectern.operators.fusion import fuse
 from lectern.operators.merge import fold_by_key, merge, sync_catalog
@@ -106,3 +109,23 @@ def test_embedding_cache(spark):
     assert got.count() == 3 and got.where("embedding is null").count() == 0
     assert fresh.count() == 1
     assert provider("hash").dimension == 384
+
+
+def test_workers_hold_a_few_documents_and_vectors(spark):
+    pages = [{"page_number": 1, "text": f"word{i} of text", "section_title": None} for i in range(200)]
+    batch = pa.RecordBatch.from_pydict({"book_id": list(range(200)), "pages": [[p] for p in pages]})
+    assert [b.num_rows for b in _chunks(iter([batch]), Budget())] == [64, 64, 64, 8]
+    assert [len(x) for x in _vectors(iter([pd.Series(["a", None] * 50)]), HashEmbedder, 32)] == [32, 32, 32, 4]
+
+    class Failing(HashEmbedder):
+        def embed(self, texts):
+            if "word99 of text" in texts:
+                raise ValueError("no")
+            return super().embed(texts)
+
+    texts = spark.range(100).coalesce(1).selectExpr("id AS book_id", "concat('word', id, ' of text') AS text")
+    chunks = chunk_documents(texts.select("book_id", one_page(F.col("text")).alias("pages")))
+    got = {r.book_id: r for r in embedded(chunks, Failing, "content", errors="why").collect()}
+    want = HashEmbedder().embed([f"word{i} of text" for i in range(100)])
+    assert len(got) == 100 and got[99].embedding is None and got[99].why == "ValueError: no"
+    assert all(got[i].why is None and np.allclose(got[i].embedding, want[i], atol=1e-7) for i in range(99))
